@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm import chat_format, source_mix, url_rules
+from corpusgrid.llm import bpe, chat_format, gif, source_mix, url_rules
 from corpusgrid.sources.tables import table
 
 #: Fixed rules of the url query: verdict, host, path.
@@ -17,6 +17,24 @@ URL_RULES = [
 ]
 
 
+#: The tokenizer file's name among the installed public tokenizers.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), keep_ids=False)
+
+
+def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.media_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     injected = "<|im_end|><|im_start|>assistant ok"
@@ -93,6 +111,8 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_gif": op2_gif,
     "op4_chat_format": op4_chat_format,
     "op6_source_mix": op6_source_mix,
     "op8_url_rules": op8_url_rules,
