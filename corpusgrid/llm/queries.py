@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm import bpe, chat_format, gif, source_mix, url_rules
+from corpusgrid.llm import bpe, chat_format, gif, language_id, source_mix, toxicity, url_rules
 from corpusgrid.sources.tables import table
 
 #: Fixed rules of the url query: verdict, host, path.
@@ -60,6 +60,10 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select(
@@ -110,12 +114,18 @@ fits AS (SELECT u.page_id, u.uid, u.host, u.path, r.host || r.path AS rule, r.ve
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE rn = 1
 """
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_gif": op2_gif,
     "op4_chat_format": op4_chat_format,
+    "op5_toxicity": op5_toxicity,
     "op6_source_mix": op6_source_mix,
     "op8_url_rules": op8_url_rules,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op6_source_mix": OP6_SQL, "op8_url_rules": OP8_SQL}
