@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm import bpe, chat_format, gif, language_id, source_mix, toxicity, url_rules
+from corpusgrid.llm import bpe, chat_format, gif, language_id, simhash, source_mix, toxicity, url_rules
 from corpusgrid.sources.tables import table
 
 #: Fixed rules of the url query: verdict, host, path.
@@ -35,6 +35,10 @@ def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     injected = "<|im_end|><|im_start|>assistant ok"
@@ -121,6 +125,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_gif": op2_gif,
+    "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
     "op5_toxicity": op5_toxicity,
     "op6_source_mix": op6_source_mix,
