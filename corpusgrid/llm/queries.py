@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm import bpe, chat_format, gif, language_id, simhash, source_mix, toxicity, url_rules
+from corpusgrid.llm import ann, bpe, chat_format, gif, language_id, simhash, source_mix, toxicity, url_rules
 from corpusgrid.sources.tables import table
 
 #: Fixed rules of the url query: verdict, host, path.
@@ -118,6 +118,10 @@ fits AS (SELECT u.page_id, u.uid, u.host, u.path, r.host || r.path AS rule, r.ve
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE rn = 1
 """
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every=100, k=10)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -130,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_source_mix": op6_source_mix,
     "op8_url_rules": op8_url_rules,
+    "op9_ann": op9_ann,
     "op10_language_id": op10_language_id,
 }
 
