@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm import ann, bpe, chat_format, gif, language_id, simhash, source_mix, toxicity, url_rules
+from corpusgrid.llm import ann, bpe, chat_format, gif, language_id, shard_store, simhash, source_mix, toxicity, url_rules
+from corpusgrid.runtime import checkpoint_dir
 from corpusgrid.sources.tables import table
 
 #: Fixed rules of the url query: verdict, host, path.
@@ -98,6 +100,22 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+def op7_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores all documents as shards, compacts them, and reads the committed version back."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    store = shard_store.ShardStore(spark, root)
+    store.append(table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    text = F.col("text")
+    return store.read().select("doc_id", "lang", "source", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
+OP7_SQL = """
+SELECT doc_id, lang, source, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents
+"""
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge(pages, url_rules.rule_table(spark, URL_RULES))
@@ -133,9 +151,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_toxicity": op5_toxicity,
     "op6_source_mix": op6_source_mix,
+    "op7_shard_store": op7_shard_store,
     "op8_url_rules": op8_url_rules,
     "op9_ann": op9_ann,
     "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op6_source_mix": OP6_SQL, "op8_url_rules": OP8_SQL}
+SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op6_source_mix": OP6_SQL, "op7_shard_store": OP7_SQL, "op8_url_rules": OP8_SQL}
