@@ -1 +1 @@
-
+"""Shared logical plans: concepts, postings and query texts."""
