@@ -1 +1 @@
-
+"""Micro-batch forms of the incremental operators."""
