@@ -152,11 +152,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Mo
     return fit_texts(sorted((k, t) for k, t in found if has_letter(t)))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score and ambiguous."""
+def identify(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """``docs`` with the language, its score and whether another is near."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop("lang_pred", "score", "ambiguous")
+    docs = docs.drop(*names)
     sent = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -165,9 +165,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = [own.predict(v.as_py()) for v in batch.column(at)]
             made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+    added = [T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
@@ -181,4 +181,5 @@ def classify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text has a language, with their own columns: ``und`` texts go."""
     model = fit(docs.filter(fold(F.col("doc_id"), 4) != 2))
-    return identify(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    found = identify(docs, model, ("_language", "_language_score", "_language_near"))
+    return found.filter(F.col("_language") != UNKNOWN).select(*docs.columns)
