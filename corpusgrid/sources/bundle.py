@@ -35,7 +35,7 @@ def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     local = F.regexp_replace("path", "^[a-z]+:(//[^/]*)?(?=/)", "")
     relative = F.substr(local, F.locate(root.rstrip("/").removeprefix("file://") + "/", local) + F.length(base))
     ignored = F.exists(F.split(relative, "/"), lambda p: p.startswith(".") | (p == "node_modules"))
-    return found.withColumn("path", relative).filter(~ignored)
+    return found.filter(~ignored).withColumn("path", relative)
 
 
 def _parsed(scanned: DataFrame, permissive: bool) -> DataFrame:
