@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusgrid.errors import GridError
 from corpusgrid.operators import audit, explain, fuzzy, graph, hybrid, keyword, lexical, navigation, semantic, sync
+from corpusgrid.plans import stored
 from corpusgrid.plans.postings import postings
 from corpusgrid.runtime import cut, ship
 from corpusgrid.sources import bundle
@@ -115,7 +116,7 @@ class Engine:
                 return hybrid.hybrid_keyword(navigation.visible(titled, "fuzzy"), query, top_k)
             case "hybrid_bm25":
                 words = lexical.lexical_search(navigation.visible(self.concepts, "lexical"), query, top_k, **options)
-                return hybrid.fuse_lexical_fuzzy(words, fuzzy.fuzzy_search(navigation.visible(titled, "fuzzy"), query, top_k), top_k)
+                return hybrid.fuse_lexical_fuzzy(words, fuzzy.top(navigation.visible(titled, "fuzzy"), query, top_k), top_k)
             case "semantic":
                 if self.embeddings is None or vector is None:
                     raise GridError("INVALID_REQUEST", "semantic search needs embeddings and a query vector")
@@ -130,11 +131,9 @@ class Engine:
             raise GridError("INVALID_MODE", f"explain knows {', '.join(calls)}")
         return calls[mode](self.concepts if mode in ("keyword", "bm25") else titled, query, target)
 
-    def index(self, path: str) -> None:
-        """Writes the inverted frames."""
-        from corpusgrid.plans.postings import write_index
-
-        write_index(self.concepts, path)
+    def index(self, path: str, titled: bool = True) -> None:
+        """Writes the inverted frames; ``plans.stored.Index`` answers from them."""
+        stored.build(self.concepts.withColumn("title", F.coalesce("title", "id")) if titled else self.concepts, path)
 
     def postings(self) -> DataFrame:
         return postings(self.concepts)

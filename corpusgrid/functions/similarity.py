@@ -45,6 +45,34 @@ def similarity(query: Column, token: Column) -> Column:
     )
 
 
-def candidate(query: Column, token: Column) -> Column:
-    """Tokens that may match: queries of fewer than 3 characters only match what they begin."""
-    return (F.length(query) >= 3) | F.startswith(token, query)
+def near(query: str, token: Column) -> Column:
+    """``similarity`` to a known query token where it is at least ``LEAST``, something less elsewhere.
+
+    The query's trigrams are literals, so shared ones are counted by substring tests in generated
+    code; edit distances are bounded, and only tried where the lengths allow them; only tokens that
+    count as sets build their trigrams.
+    """
+    none = F.lit(0.0)
+    if len(query) < 3:  # it only matches what it begins
+        return F.when(token == query, F.lit(1.0)).when(F.startswith(token, F.lit(query)), F.lit(PREFIX)).otherwise(none)
+    grams = [f"#{query}#"[i : i + 3] for i in range(len(query))]
+
+    def held(gram):  # tokens hold no "#", so a padded gram stands at an end
+        if gram[0] == "#":
+            return F.startswith(token, F.lit(gram[1:]))
+        return F.endswith(token, F.lit(gram[:-1])) if gram[-1] == "#" else F.contains(token, F.lit(gram))
+
+    def shared(wanted):
+        return sum((held(g).cast("int") for g in wanted), F.lit(0))
+
+    size, longest = F.length(token), int(len(query) / LEAST)
+    distance = F.levenshtein(F.lit(query), token, int((1 - LEAST) * longest))
+    close = F.when((size <= longest) & (size >= int(len(query) * LEAST)) & (distance >= 0), 1 - distance.cast("double") / F.greatest(size, F.lit(len(query)))).otherwise(none)
+    distinct = sorted(set(grams))
+    sets = (shared(distinct) * 2).cast("double") / (F.size(F.array_distinct(trigrams(token))) + len(distinct))
+    sets = F.when(shared(distinct) > 0, sets).otherwise(none)
+    overlap = sets
+    if query.isascii() and len(query) <= LONGEST:
+        overlap = F.when(_listed(token), (shared(grams) * 2).cast("double") / (size + len(grams))).otherwise(sets)
+    begins = F.when(F.startswith(F.lit(query), token), F.lit(PREFIX)).otherwise(none)
+    return F.when(token == query, F.lit(1.0)).when(size < 3, begins).otherwise(F.greatest(close, overlap))

@@ -47,7 +47,7 @@ def explain_lexical(concepts: DataFrame, query: str, target) -> DataFrame:
 
 def explain_hybrid(concepts: DataFrame, query: str, target, top_k: int = 10) -> DataFrame:
     """lexical_score and fuzzy_score of one document (0 outside the top), weights and total."""
-    words, near = lexical.lexical_search(concepts, query, top_k), fuzzy.fuzzy_search(concepts, query, top_k)
+    words, near = lexical.lexical_search(concepts, query, top_k), fuzzy.top(concepts, query, top_k)
     one = concepts.filter(F.col("id") == target).select("id")
     a = words.select("id", F.col("score").alias("lexical_score"))
     b = near.select("id", F.col("score").alias("fuzzy_score"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgrid.errors import check_top_k
-from corpusgrid.functions.similarity import LEAST, candidate, similarity
+from corpusgrid.functions.similarity import LEAST, near
 from corpusgrid.functions.text import round4, snippet
 from corpusgrid.plans.postings import FUZZY_WEIGHTS, postings, vocabulary
 from corpusgrid.plans.query_text import required_tokens
@@ -16,28 +16,33 @@ WEIGHTS, MATCHED = 1.9, 0.05
 
 
 def similar_tokens(tokens: DataFrame, asked: list[str]) -> DataFrame:
-    """field, token, pos, score: vocabulary similar to a query token. Query tokens are literals, so
-    this is a projection over the vocabulary, not a join."""
+    """``tokens`` (token, ...) similar to a query token, with pos and score. Query tokens are literals,
+    so this is a projection and a filter, not a join."""
     token = F.col("token")
-    each = F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.when(candidate(F.lit(q), token), similarity(F.lit(q), token)).alias("score")) for i, q in enumerate(asked)
-    ])
-    near = F.filter(each, lambda h: h["score"] >= LEAST)
-    return tokens.select("field", "token", F.inline(near))
+    scored = tokens.withColumns({f"_{i}": near(q, token) for i, q in enumerate(asked)})
+    each = F.array(*[F.struct(F.lit(i).alias("pos"), F.col(f"_{i}").alias("score")) for i in range(len(asked))])
+    some = F.greatest(*[F.col(f"_{i}") for i in range(len(asked))], F.lit(0.0))
+    return scored.filter(some >= LEAST).select(*tokens.columns, F.inline(each)).filter(F.col("score") >= LEAST)
 
 
-def field_scores(posted: DataFrame, asked: list[str]) -> DataFrame:
-    """id, field, pos, score, token: the most similar token (the smallest on ties)."""
-    near = similar_tokens(vocabulary(posted).select("field", "token"), asked)
-    found = posted.join(near, ["field", "token"])
+def field_scores(posted: DataFrame, asked: list[str], stored: bool = False) -> DataFrame:
+    """id, field, pos, score, token: the most similar token (the smallest on ties).
+
+    Postings made on the fly are scored where they are made: one scan, and only matches are shuffled.
+    Stored ones are reached through their vocabulary, which is far smaller.
+    """
+    if stored:
+        found = posted.join(similar_tokens(vocabulary(posted).select("field", "token"), asked), ["field", "token"])
+    else:
+        found = similar_tokens(posted, asked)
     best = F.min(F.struct((-F.col("score")).alias("behind"), "token"))
     return found.groupBy("id", "field", "pos").agg(best.alias("best")).select("id", "field", "pos", (-F.col("best.behind")).alias("score"), "best.token")
 
 
-def scores(posted: DataFrame, query: str) -> DataFrame:
+def scores(posted: DataFrame, query: str, stored: bool = False) -> DataFrame:
     """id, score, matched_fields and the body's matched tokens of all documents."""
     asked = required_tokens(query)
-    best = field_scores(posted, asked)
+    best = field_scores(posted, asked, stored)
     means = best.groupBy("id").agg(
         *[F.coalesce(F.sum(F.when(F.col("field") == f, F.col("score"))), F.lit(0.0)).alias(f"_{f}") for f in FUZZY_WEIGHTS],
         F.array_sort(F.collect_set(F.when(F.col("field") == "body", F.col("token")))).alias("terms"),
@@ -48,12 +53,27 @@ def scores(posted: DataFrame, query: str) -> DataFrame:
     return means.select("id", round4(total).alias("score"), named.alias("matched_fields"), "terms").filter("score > 0")
 
 
+def top(concepts: DataFrame, query: str, top_k: int = 10, posted: DataFrame | None = None) -> DataFrame:
+    """id, score, matched_fields, terms of the ``top_k`` best: score descending, then id."""
+    found = scores(posted, query, True) if posted is not None else scores(postings(concepts), query)
+    return found.orderBy(F.desc("score"), "id").limit(check_top_k(top_k))
+
+
+def with_snippets(hits: DataFrame, concepts: DataFrame) -> DataFrame:
+    """A bounded ranking (at most 100 rows with ``id`` and ``terms``) with title and snippet.
+
+    The hits are fetched first, so their ids filter the scan that reads the bodies.
+    """
+    rows = hits.limit(100).collect()
+    if not rows:
+        return hits.drop("terms").withColumns({"title": F.lit(None).cast("string"), "snippet": F.lit(None).cast("string")})
+    known = hits.sparkSession.createDataFrame(rows, hits.schema)
+    bodies = concepts.filter(F.col("id").isin(*[r["id"] for r in rows])).select("id", "title", "body")
+    shown = F.when(F.size("terms") > 0, snippet(F.col("body"), F.col("terms")))
+    return bodies.join(F.broadcast(known), "id").withColumn("snippet", shown).drop("body", "terms")
+
+
 def fuzzy_search(concepts: DataFrame, query: str, top_k: int = 10, posted: DataFrame | None = None) -> DataFrame:
-    """The ``top_k`` best, score descending, then id; snippets are fetched for those only."""
-    top = scores(posted if posted is not None else postings(concepts), query).orderBy(F.desc("score"), "id").limit(check_top_k(top_k))
-    # top has at most 100 rows, so the bodies are met by a bounded broadcast
-    bodies = concepts.select("id", "title", "body")
-    shown = bodies.join(F.broadcast(top), "id")
-    return shown.select(
-        "id", "title", "score", "matched_fields", F.when(F.size("terms") > 0, snippet(F.col("body"), F.col("terms"))).alias("snippet")
-    ).orderBy(F.desc("score"), "id")
+    """id, title, score, matched_fields and snippet of the ``top_k`` best."""
+    found = with_snippets(top(concepts, query, top_k, posted), concepts)
+    return found.select("id", "title", "score", "matched_fields", "snippet").orderBy(F.desc("score"), "id").limit(top_k)

@@ -44,12 +44,12 @@ def fuse_lexical_fuzzy(words: DataFrame, near: DataFrame, top_k: int = 10) -> Da
 
 def hybrid_keyword(concepts: DataFrame, query: str, top_k: int = 10) -> DataFrame:
     """Keyword and fuzzy rankings, each cut to ``top_k`` before fusion."""
-    return fuse_keyword_fuzzy(keyword.keyword_search(concepts, query, top_k), fuzzy.fuzzy_search(concepts, query, top_k), top_k)
+    return fuse_keyword_fuzzy(keyword.keyword_search(concepts, query, top_k), fuzzy.top(concepts, query, top_k), top_k)
 
 
 def hybrid_lexical(concepts: DataFrame, query: str, top_k: int = 10, **analysis) -> DataFrame:
     """BM25 and fuzzy rankings, each cut to ``top_k`` before fusion."""
-    return fuse_lexical_fuzzy(lexical.lexical_search(concepts, query, top_k, **analysis), fuzzy.fuzzy_search(concepts, query, top_k), top_k)
+    return fuse_lexical_fuzzy(lexical.lexical_search(concepts, query, top_k, **analysis), fuzzy.top(concepts, query, top_k), top_k)
 
 
 def blend(hits: DataFrame, given: DataFrame, weight: float = 0.5, top_k: int = 10) -> DataFrame:

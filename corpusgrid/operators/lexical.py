@@ -17,6 +17,7 @@ from corpusgrid.errors import check_top_k
 from corpusgrid.functions.text import round4
 from corpusgrid.plans.postings import LEXICAL_WEIGHTS, field_tokens
 from corpusgrid.plans.query_text import Terms, parse_terms
+from corpusgrid.runtime import cut
 
 #: Fixed values of the ranking function.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -62,6 +63,8 @@ def frequencies(concepts: DataFrame, terms: Terms, analyse: Callable[[Column], C
 def contributions(counted: DataFrame, terms: Terms) -> DataFrame:
     """``counted`` with c_i, what each term adds; statistics cover all documents."""
     n = len(terms.positive)
+    # a few numbers for each document, written once: the texts are tokenized in one pass only
+    counted = cut(counted)
     stats = counted.agg(
         F.count(F.lit(1)).cast("double").alias("_n"), F.avg("tokens").alias("_mean"), *[F.sum((F.col(f"tf_{i}") > 0).cast("double")).alias(f"_df_{i}") for i in range(n)]
     )

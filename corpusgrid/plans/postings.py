@@ -6,8 +6,6 @@ field, so that a query reads one field's tokens only. Postings are keyed by docu
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +24,9 @@ def field_tokens(concepts: DataFrame, field: str):
 
 
 def postings(concepts: DataFrame, fields: tuple[str, ...] = tuple(FUZZY_WEIGHTS)) -> DataFrame:
-    """field, token, id: each token of each field once per document."""
-    each = [
-        concepts.select(F.lit(f).alias("field"), F.explode(F.array_distinct(field_tokens(concepts, f))).alias("token"), "id") for f in fields
-    ]
-    return reduce(DataFrame.unionByName, each)
+    """field, token, id: each token of each field once per document, from one scan."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), field_tokens(concepts, f).alias("tokens")) for f in fields])
+    return concepts.select("id", F.inline(each)).select("field", F.explode(F.array_distinct("tokens")).alias("token"), "id")
 
 
 def vocabulary(posted: DataFrame) -> DataFrame:
@@ -42,9 +38,3 @@ def keyword_tokens(concepts: DataFrame) -> DataFrame:
     """id, seq, keyword, token: tokens of each keyword in declared order."""
     each = concepts.select("id", F.posexplode("keywords").alias("seq", "keyword"))
     return each.select("id", "seq", "keyword", F.explode(F.array_distinct(tokens(F.col("keyword")))).alias("token"))
-
-
-def write_index(concepts: DataFrame, path: str) -> None:
-    """Postings and keyword tokens as Parquet."""
-    postings(concepts).write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
-    keyword_tokens(concepts).write.mode("overwrite").parquet(f"{path}/keywords")

@@ -17,7 +17,7 @@ from corpusgrid.functions.text import round4, strip_markdown, tokens
 from corpusgrid.operators import audit, explain, federation, fuzzy, graph, hybrid, keyword, lexical, metrics, navigation, privacy, semantic, sync
 from corpusgrid.plans.concepts import from_documents
 from corpusgrid.plans.postings import postings, vocabulary
-from corpusgrid.runtime import ship
+from corpusgrid.runtime import ship, spread
 from corpusgrid.sources import keyed, web
 from corpusgrid.sources.tables import table
 
@@ -143,7 +143,7 @@ def _lexical_sql(positive: list[str], negative: list[str] = []) -> str:  # noqa:
 
 
 def _concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_documents(table(spark, sf_dir, "documents"))
+    return from_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def _lists(df: DataFrame) -> DataFrame:
@@ -292,13 +292,13 @@ def _given(spark, sf_dir):
 @_query(_blend_sql("0.5::DOUBLE"))
 def rerank_blend(spark, sf_dir):
     """A fuzzy ranking blended half and half with given scores."""
-    hits = fuzzy.fuzzy_search(_concepts(spark, sf_dir), FUZZY, TOP).select("id", "score")
+    hits = fuzzy.top(_concepts(spark, sf_dir), FUZZY, TOP).select("id", "score")
     return hybrid.blend(hits, _given(spark, sf_dir), 0.5, TOP)
 
 
 @_query(_blend_sql("0.25::DOUBLE"))
 def scorer_blend(spark, sf_dir):
-    hits = fuzzy.fuzzy_search(_concepts(spark, sf_dir), FUZZY, TOP).select("id", "score")
+    hits = fuzzy.top(_concepts(spark, sf_dir), FUZZY, TOP).select("id", "score")
     return hybrid.blend(hits, _given(spark, sf_dir), 0.25, TOP)
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from corpusgrid.errors import GridError
 from corpusgrid.functions import porter
-from corpusgrid.functions.similarity import similarity
+from corpusgrid.functions.similarity import near, similarity
 from corpusgrid.functions.text import plain_text, round4, snippet, tokens
 from corpusgrid.operators import explain, fuzzy, hybrid, keyword, lexical, metrics, navigation, semantic
+from corpusgrid.plans import stored
 from corpusgrid.plans.query_text import parse_terms
 
 SCHEMA = "id string, path string, title string, description string, keywords array<string>, tags array<string>, type string, status string, body string"
@@ -202,3 +203,30 @@ def test_relevance(spark):
 
     ideal = 3 + 1 / math.log2(3)
     assert found == {"q": (round(3 / math.log2(3) / ideal, 6), 0.5), "r": (0.0, 0.0), "s": (0.0, 0.0)}
+
+
+def test_stored_index_answers_alike(spark, tmp_path):
+    df = spark.createDataFrame([(i, i + ".md", *rest) for i, *rest in CORPUS + ROWS], SCHEMA)
+    stored.build(df, str(tmp_path / "index"))
+    index = stored.Index(spark, str(tmp_path / "index"))
+    def rows(found, *columns):
+        return [tuple(r[c] if not isinstance(r[c], float) else round(r[c], 9) for c in columns) for r in found.collect()]
+    for query in ("alpha", "alpha gamma", "rotat", "caf bet"):
+        assert rows(index.keyword(query), "id", "score", "matched_keywords") == rows(keyword.keyword_search(df, query), "id", "score", "matched_keywords")
+        assert rows(index.fuzzy(query), "id", "score", "matched_fields") == rows(fuzzy.fuzzy_search(df, query), "id", "score", "matched_fields")
+    for query in ("alpha", "alpha gamma -delta", "alpha alpha beta", "zzz"):
+        assert rows(index.bm25(query), "id", "raw_score", "score") == rows(lexical.lexical_search(df, query), "id", "raw_score", "score")
+    assert rows(index.hybrid_bm25("alpha gamma"), "id", "total_score") == rows(hybrid.hybrid_lexical(df, "alpha gamma"), "id", "total_score")
+    assert rows(index.hybrid_keyword("alpha"), "id", "total_score") == rows(hybrid.hybrid_keyword(df, "alpha"), "id", "total_score")
+    with pytest.raises(GridError):
+        index.bm25('"alpha beta"')
+
+
+def test_near_is_similarity_from_the_threshold(spark):
+    draw = random.Random(2)
+    words = ["token", "to", "aaaa", "aaaaaa", "a" * 70, "a" * 63, "tökn", "té", "abc", "ab", "worthless"] + ["".join(draw.choice("abcé") for _ in range(draw.randrange(1, 9))) for _ in range(80)]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    for q in words[:40]:
+        for r in df.select("t", near(q, F.col("t")).alias("s")).collect():
+            true = brute_similarity(q, r.t) if len(q) >= 3 or r.t.startswith(q) else 0.0
+            assert abs(r.s - true) < 1e-12 if true >= 0.55 else r.s < 0.55, (q, r.t)
