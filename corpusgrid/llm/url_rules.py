@@ -14,8 +14,8 @@ The longest match (characters of host and path, then of path) over the second sw
 A sweep is a window over points and interval boundaries in key order. A boundary carries the stack
 that holds from there on (known from the rules alone, by an equi-join on key prefixes), so a point
 takes the last stack at or before it. Windows run for each (range, salt): ranges come from a sample
-of at most ``SAMPLE`` keys, salts split a hot url, and a range starts with the stacks of the
-intervals that reach into it.
+of at most ``SAMPLE`` keys, each range has as many salts as its share of the sample asks for (so a
+hot url is split), and a range starts with the stacks of the intervals that reach into it.
 
 Defined results: a null url, or one without ``://``, has empty host and path and fits no rule; a
 url without a rule gets the default verdict; repeated urls and ids keep their rows; an empty table
@@ -24,12 +24,15 @@ gives an empty result; extra columns are ignored. Rules must be unique in (host,
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Keys sampled for ranges, ranges, and salts within a range.
-SAMPLE, RANGES, SALTS = 4096, 32, 16
+#: Keys sampled for ranges, ranges, and groups that the ranges' salts make in all.
+SAMPLE, RANGES, GROUPS = 4096, 32, 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,17 +73,20 @@ def _stacks(intervals: DataFrame) -> DataFrame:
     return found.select("key", F.size("stack").alias("depth"), F.transform("stack", lambda e: e["value"]).alias("stack"))
 
 
-def _splits(points: DataFrame, ranges: int) -> list[bytes]:
-    """At most ``ranges - 1`` split keys, from the ``SAMPLE`` rows of smallest hash."""
+def _splits(points: DataFrame, ranges: int, groups: int) -> tuple[list[bytes], list[int]]:
+    """At most ``ranges - 1`` split keys and each range's salts, from the ``SAMPLE`` rows of smallest
+    hash."""
     sample = points.select("key", F.xxhash64("key", "uid").alias("h")).orderBy("h").limit(SAMPLE).select("key").collect()
     keys = sorted(bytes(r[0]) for r in sample)
-    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+    cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+    edges = [0, *(bisect_left(keys, c) for c in cuts), len(keys)]
+    return cuts, [max(1, -(-(b - a) * groups // max(1, len(keys)))) for a, b in pairwise(edges)]
 
 
-def sweep(points: DataFrame, intervals: DataFrame, ranges: int = RANGES, salts: int = SALTS) -> DataFrame:
+def sweep(points: DataFrame, intervals: DataFrame, ranges: int = RANGES, groups: int = GROUPS) -> DataFrame:
     """``points`` (key binary, uid, ...) with ``stack``: the values of all intervals whose key is a
     prefix of the point's key, outermost first (null or empty if none)."""
-    cuts = _splits(points, ranges)
+    cuts, counts = _splits(points, ranges, groups)
     splits = F.array(*[F.unhex(F.lit(c.hex())) for c in cuts]) if cuts else F.array().cast("array<binary>")
 
     def range_of(key: Column) -> Column:
@@ -88,7 +94,8 @@ def sweep(points: DataFrame, intervals: DataFrame, ranges: int = RANGES, salts:
 
     others = [c for c in points.columns if c not in ("key", "stack")]
     kind = dict(points.dtypes)
-    all_salts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    salts = F.element_at(F.array(*map(F.lit, counts)), F.col("part") + 1)
+    all_salts = F.explode(F.sequence(F.lit(0), salts - 1))
     stacks = _stacks(intervals)
     held = "array<" + dict(intervals.dtypes)["value"] + ">"
     ends = F.concat(F.col("key"), _mark("FF"))
@@ -107,8 +114,8 @@ def sweep(points: DataFrame, intervals: DataFrame, ranges: int = RANGES, salts:
         "part", all_salts.alias("salt"), "key", F.lit(0).alias("is_point"), "depth", F.col("stack").cast(held).alias("edge"),
         *[F.lit(None).cast(kind[c]).alias(c) for c in others],
     )
-    asked = points.select(
-        range_of(F.col("key")).alias("part"), F.pmod(F.hash("uid"), F.lit(salts)).alias("salt"), "key",
+    asked = points.withColumn("part", range_of(F.col("key"))).select(
+        "part", F.pmod(F.hash("uid"), salts).alias("salt"), "key",
         F.lit(1).alias("is_point"), F.lit(0).alias("depth"), F.lit(None).cast(held).alias("edge"), *others,
     )
     order = W.partitionBy("part", "salt").orderBy("key", "is_point", "depth").rowsBetween(W.unboundedPreceding, 0)
