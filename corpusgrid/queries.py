@@ -14,12 +14,14 @@ from pyspark.sql import Window as W
 from corpusgrid.functions import porter
 from corpusgrid.functions.similarity import similarity
 from corpusgrid.functions.text import round4, strip_markdown, tokens
-from corpusgrid.operators import audit, explain, federation, fuzzy, graph, hybrid, keyword, lexical, metrics, navigation, privacy, semantic, sync
+from corpusgrid.operators import audit, explain, export, federation, fuzzy, graph, hybrid, keyword, lexical, metrics, navigation, privacy, semantic, sync
+from corpusgrid.plans import stored
 from corpusgrid.plans.concepts import from_documents
 from corpusgrid.plans.postings import postings, vocabulary
 from corpusgrid.runtime import ship, spread
-from corpusgrid.sources import keyed, web
+from corpusgrid.sources import assets, bundle, keyed, web
 from corpusgrid.sources.tables import table
+from corpusgrid.streaming import watch
 
 KEYWORDS, PREFIXES, FUZZY, LEXICAL, PHRASE, WITHOUT = "the and", "th an", "worthles statin", "worthless atte", '"of the" idiot', "the -and idiot"
 TARGET, TOP, SECRET = 7, 10, bytes(range(32))
@@ -567,4 +569,114 @@ def strip_markdown_text(spark, sf_dir):
     return docs.select(F.col("doc_id").alias("id"), F.when(F.col("text").rlike(r"[\[#<]|```"), F.lit("")).otherwise(plain).alias("text"))
 
 
+# -- files, extensions, streams -------------------------------------------------------------------
+
+
+@_query("""SELECT 'd' || doc_id AS id, lang AS type, source AS keywords, 'T' || doc_id AS title, text AS body,
+  sha256('---' || chr(10) || 'type: ' || lang || chr(10) || 'keywords: [' || source || ']' || chr(10) || 'title: T' || doc_id || chr(10) || '---' || chr(10) || text) AS content_hash FROM documents""")
+def parse_frontmatter(spark, sf_dir):
+    """Every text as a Markdown file with frontmatter, parsed."""
+    docs = table(spark, sf_dir, "documents")
+    front = F.concat(F.lit("---\ntype: "), "lang", F.lit("\nkeywords: ["), "source", F.lit("]\ntitle: T"), F.col("doc_id").cast("string"), F.lit("\n---\n"), "text").cast("binary")
+    files = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), front.alias("content")).withColumn("length", F.octet_length("content"))
+    return _lists(bundle.parse_files(files).select("id", "type", "keywords", "title", "body", "content_hash"))
+
+
+@_query("""WITH rows AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"() ]+)"', 1)) AS target FROM pages)
+SELECT page_id AS id, target, count(*) AS links FROM rows GROUP BY 1, 2""")
+def markdown_links(spark, sf_dir):
+    """Links of pages written as Markdown and read again by the link scanner."""
+    hrefs = F.regexp_extract_all("html", F.lit('href="([^"() ]+)"'), F.lit(1))
+    body = F.array_join(F.transform(hrefs, lambda h: F.concat(F.lit("[x]("), h, F.lit(") `[no](code)`"))), " ")
+    pages = table(spark, sf_dir, "pages").select("page_id", body.alias("body"))
+    files = pages.select(F.col("page_id").cast("string").alias("path"), F.concat(F.lit("---\n---\n"), "body").cast("binary").alias("content")).withColumn("length", F.octet_length("content"))
+    links = bundle.parse_files(files).select(F.col("id").cast("bigint").alias("id"), F.explode("links.target").alias("target"))
+    return links.groupBy("id", "target").agg(F.count(F.lit(1)).alias("links"))
+
+
+@_query("""SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/gzip' ELSE 'text/plain' END AS media_type, page_id % 3 <> 1 AS is_text FROM pages""")
+def media_types(spark, sf_dir):
+    """Media types of pages as files: by extension, by first bytes, by content."""
+    html = F.col("html").cast("binary")
+    kind = F.col("page_id") % 3
+    pages = table(spark, sf_dir, "pages")
+    files = pages.select(
+        F.col("page_id").cast("string").alias("path"), F.when(kind == 0, F.lit("x.html")).when(kind == 1, F.lit("x.bin")).otherwise(F.lit("x")).alias("name"),
+        F.when(kind == 1, F.concat(F.unhex(F.lit("1F8B00")), html)).otherwise(html).alias("content"))
+    return assets.detect_files(files).select(F.col("path").cast("bigint").alias("id"), "media_type", "is_text")
+
+
+@_query("""SELECT doc_id AS id, sha256(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS size FROM documents""")
+def codec_roundtrip(spark, sf_dir):
+    """Texts packed with zstandard and unpacked again."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("content"), F.lit(False).alias("is_text"))
+    back = assets.decode(assets.encode(docs, "zstd")).filter("warning IS NULL")
+    return back.select("id", F.sha2("content", 256).alias("content_hash"), F.octet_length("content").cast("long").alias("size"))
+
+
+_SCOPED = """ids AS (SELECT DISTINCT regexp_replace(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g') AS id FROM pages)"""
+
+
+@_query(f"""WITH {_SCOPED}, scopes(id, scope) AS (VALUES ('_s/en', 'en'), ('_s/de', 'de'), ('_s/x', 'e'))
+SELECT s.id, i.id AS "to", 'contains' AS kind FROM scopes AS s JOIN ids AS i ON i.id = s.scope OR starts_with(i.id, s.scope || '/')""")
+def scope_contains(spark, sf_dir):
+    """Containment of paths in scopes, as an equi-join on each path's folders."""
+    ids = web.page_concepts(table(spark, sf_dir, "pages")).select("id").distinct().withColumn("path", F.col("id"))
+    rows = F.array(*[F.struct(F.lit(a).alias("id"), F.lit(b).alias("scope")) for a, b in (("_s/en", "en"), ("_s/de", "de"), ("_s/x", "e"))])
+    scopes = spark.range(1).select(F.inline(rows))
+    made = scopes.select("id", F.col("id").alias("path"))
+    return export.synthetic_merge(ids, made, ids.select("path").limit(0), scopes)[1]
+
+
+@_query(f"""WITH {_SCOPED}, rows AS (SELECT id, regexp_extract(id, '([^/]+)$', 1) AS entry, regexp_extract(id, '^(.*)/[^/]*$', 1) AS folder FROM ids WHERE contains(id, '/'))
+SELECT r.id, r.entry, CASE WHEN folder || '/' || entry IN (SELECT id FROM ids) THEN folder || '/' || entry WHEN entry IN (SELECT id FROM ids) THEN entry END AS target FROM rows AS r""")
+def related_targets(spark, sf_dir):
+    """Bare names resolved beside the concept first, then as written."""
+    ids = web.page_concepts(table(spark, sf_dir, "pages")).select("id").distinct()
+    concepts = ids.withColumn("related", F.when(F.contains("id", F.lit("/")), F.array(F.regexp_extract("id", "([^/]+)$", 1))))
+    return graph.resolve_related(concepts).select("id", "entry", "target")
+
+
+@_query("""SELECT 'customer/' || o_custkey AS id FROM orders GROUP BY o_custkey HAVING count(*) > 1""")
+def external_references(spark, sf_dir):
+    """Outside documents kept where more than one relation refers to them."""
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")).alias("to"))
+    made = orders.select(F.col("to").alias("id")).distinct().withColumn("external", F.lit(True))
+    return export.external_documents(made, orders).select("id")
+
+
+@_query("""SELECT sha256(CAST(p_partkey AS VARCHAR)) AS sha256, 'blobs/' || p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 5)""")
+def extension_data_gc(spark, sf_dir):
+    """Content-addressed files that nothing refers to."""
+    def digest(c):
+        return F.sha2(F.col(c).cast("string"), 256).alias("sha256")
+    files = table(spark, sf_dir, "part").select(digest("p_partkey"), F.concat(F.lit("blobs/"), F.col("p_partkey").cast("string")).alias("path"))
+    return export.unreferenced(files, table(spark, sf_dir, "lineitem").filter("l_quantity < 5").select(digest("l_partkey")))
+
+
+@_query(f"""WITH {CONCEPTS}, split AS (SELECT id, {_tok('title')} AS t, {_tok('description')} AS d, {_tok('body')} AS b FROM concepts),
+  rows AS (SELECT id, unnest(t) AS token, 18.0::DOUBLE AS w FROM split UNION ALL SELECT id, unnest(d), 4.0::DOUBLE FROM split UNION ALL SELECT id, unnest(b), 1.0::DOUBLE FROM split)
+SELECT token, id, sum(w) AS tf FROM rows GROUP BY token, id""")
+def lexical_index(spark, sf_dir):
+    """Weighted postings of the stored index (the keywords are the title's tokens, 10 + 8)."""
+    return stored.lexical_postings(_concepts(spark, sf_dir))
+
+
+@_query("""SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
+def watch_microbatch(spark, sf_dir):
+    """The state after folding the events in four micro-batches: each user's last event."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    state = events.limit(0)
+    for part in range(4):
+        state, _ = watch.fold_batch(state, events.filter(F.floor(F.col("event_id") / 700) % 4 == part), "user_id", "event_id")
+    return state
+
+
+@_query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def events_tumbling(spark, sf_dir):
+    """Hourly windows by type (an extra)."""
+    found = watch.tumbling(table(spark, sf_dir, "events"), "ts", "1 hour", "event_type")
+    return found.withColumn("total", F.round("total", 4))
+
+
 QUERIES, SQL = dict(_QUERIES), dict(_SQL)

@@ -97,6 +97,21 @@ def scan(spark: SparkSession, root: str, wanted=()) -> DataFrame:
     return sized.mapInPandas(run, BLOB).filter(F.col("media_type").isNull() | media_filter(F.col("media_type"), tuple(wanted)))
 
 
+def detect_files(files: DataFrame) -> DataFrame:
+    """path, media_type, is_text, warning of rows (path, name, content), whatever listed them."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, name, content in zip(batch["path"], batch["name"], batch["content"], strict=True):
+                kind, warning = detect(name, bytes(content))
+                rows.append((path, kind, is_text(kind, bytes(content)), warning))
+            yield pd.DataFrame(rows, columns=["path", "media_type", "is_text", "warning"])
+
+    return files.select("path", "name", "content").mapInPandas(run, "path string, media_type string, is_text boolean, warning string")
+
+
 # -- codecs ---------------------------------------------------------------------------------------
 
 

@@ -38,7 +38,8 @@ def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return found.filter(~ignored).withColumn("path", relative)
 
 
-def _parsed(scanned: DataFrame, permissive: bool) -> DataFrame:
+def parse_files(scanned: DataFrame, permissive: bool = False) -> DataFrame:
+    """Rows of (path, content, length) parsed, whatever listed them."""
     names = CONCEPT.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,7 +61,7 @@ def is_reserved(path):
 
 def parse(spark: SparkSession, root: str, permissive: bool = False) -> DataFrame:
     """Every Markdown file but the reserved ones: concepts, and files that are none with their warnings."""
-    return _parsed(files(spark, root, "*.md").filter(~is_reserved(F.col("path"))), permissive)
+    return parse_files(files(spark, root, "*.md").filter(~is_reserved(F.col("path"))), permissive)
 
 
 def concepts(parsed: DataFrame) -> DataFrame:
