@@ -209,26 +209,33 @@ def search(embeddings: DataFrame, every: int, k: int = 10, key: str = "vec_id",
                         )
 
     def near(_, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if len(data) and len(asked):
-            code = data["tab"].to_numpy() * 7**MOST_CELLS + data["bucket"].to_numpy()
-            order = np.argsort(code, kind="stable")
-            code, ids, x = code[order], data["vec_id"].to_numpy()[order], np.stack(data["vector"].to_numpy()[order])
+            code, ids = data["tab"].to_numpy() * 7**MOST_CELLS + data["bucket"].to_numpy(), data["vec_id"].to_numpy()
+            x = np.stack(data["vector"].to_numpy())
+            order = np.lexsort((x[:, 0], ids, code))
+            code, ids, x = code[order], ids[order], x[order]
+            once = np.ones(len(ids), bool)  # repeated rows of an id share a bucket, and so this shard
+            once[1:] = (ids[1:] != ids[:-1]) | (code[1:] != code[:-1])
+            code, ids, x = code[once], ids[once], x[once]
             for q, wants, vector in zip(asked["query_id"], asked["asked"], asked["query"], strict=True):
                 wants = np.sort(np.asarray(wants))
                 lows, highs = np.searchsorted(code, wants, "left"), np.searchsorted(code, wants, "right")
                 rows = np.concatenate([np.arange(a, b) for a, b in zip(lows, highs, strict=True)])
                 rows = rows[ids[rows] != q]
-                if not len(rows):
-                    continue
                 apart = x[rows] - vector
-                score = np.sqrt(np.einsum("nd,nd->n", apart, apart))
-                if len(rows) > 4 * k:  # ids may repeat in two tables of one shard
-                    keep = score <= np.partition(score, TABLES * k - 1)[TABLES * k - 1]
-                    rows, score = rows[keep], score[keep]
-                best = pd.DataFrame({"query_id": q, "vec_id": ids[rows], "score": score}).sort_values(["score", "vec_id"]).drop_duplicates("vec_id").head(k)
-                out.append(best)
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                square = np.einsum("nd,nd->n", apart, apart)
+                if len(rows) > TABLES * k:  # an id may stand in two tables' buckets of one shard
+                    keep = square <= np.partition(square, TABLES * k - 1)[TABLES * k - 1]
+                    rows, square = rows[keep], square[keep]
+                best = np.lexsort((ids[rows], square))
+                found, square = ids[rows[best]], square[best]
+                first = np.ones(len(found), bool)
+                first[1:] = found[1:] != found[:-1]  # repeats of an id tie, so they are neighbours
+                found, square = found[first][:k], square[first][:k]
+                parts.append((np.full(len(found), q), found, np.sqrt(square)))
+        query, found, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pd.DataFrame({"query_id": query, "vec_id": found, "score": score})
 
     data = placed.mapInArrow(deal, "shard bigint, tab int, bucket bigint, vec_id bigint, vector array<double>")
     queries = valid.filter(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])

@@ -61,6 +61,16 @@ def test_rows_that_take_no_part(spark):
     assert sorted(tuple(r) for r in again.collect()) == found
 
 
+def test_a_row_repeated_many_times_counts_once(spark):
+    draw = np.random.default_rng(2)
+    vectors = list(enumerate(draw.standard_normal((300, 4))))
+    plain = sorted(tuple(r) for r in ann.search(table(spark, vectors), 100).collect())
+    nearest = {q: v for q, r, v, _ in plain if r == 1}
+    repeated = vectors + [vectors[v] for v in nearest.values() for _ in range(200)]
+    found = sorted(tuple(r) for r in ann.search(table(spark, repeated), 100).collect())
+    assert len(found) == 30 and all(len({v for q, _, v, _ in found if q == a}) == 10 for a in nearest)
+
+
 def test_empty_tables(spark):
     assert ann.search(table(spark, []), 100).count() == 0
     assert ann.search(table(spark, [(1, [1.0, 2.0])]), 100).count() == 0
