@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgrid.llm import ann, bpe, chat_format, gif, language_id, shard_store, simhash, source_mix, toxicity, url_rules
-from corpusgrid.runtime import checkpoint_dir
+from corpusgrid.runtime import checkpoint_dir, spread
 from corpusgrid.sources.tables import table
 
 #: Fixed rules of the url query: verdict, host, path.
@@ -29,16 +29,21 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``documents`` for the operators in Python, over all cores also where it is one small file."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), keep_ids=False)
+    return bpe.encode_documents(_documents(spark, sf_dir, "doc_id", "text"), tokenizer_path(), keep_ids=False)
 
 
 def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.media_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return gif.media_digests(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash.classify(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +72,7 @@ FROM sized GROUP BY conv_id
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.classify(_documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +146,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return language_id.classify(_documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
