@@ -159,19 +159,23 @@ def shortest_path(edges: DataFrame, start, end, relations=(), longest: int = 100
     if start == end:
         return [start]
     step = _followed(edges, relations).select(F.col("from").alias("parent"), F.col("to").alias("id"), "seq")
-    frontier = _seed(edges, start).withColumn("place", F.lit(0).cast("long"))
+    kind = dict(edges.dtypes)["from"]
+    # a node's place is the list of (edge, node) that led to it; lists of one length compare in the
+    # order in which a queue would meet them, so no layer has to be ranked in one task
+    nowhere = F.array().cast(f"array<struct<seq:bigint,id:{kind}>>")
+    frontier = _seed(edges, start).withColumn("place", nowhere)
     seen, layers = frontier.select("id"), []
     for _ in range(longest):
         reached = frontier.withColumnRenamed("id", "parent").join(step, "parent")
         best = reached.groupBy("id").agg(F.min(F.struct("place", "seq", "parent")).alias("b")).join(seen, "id", "left_anti")
-        layer = cut(best.select("id", F.col("b.parent").alias("parent"), F.col("b.place").alias("above"), F.col("b.seq").alias("seq")))
+        place = F.concat("b.place", F.array(F.struct(F.col("b.seq").cast("bigint").alias("seq"), "id")))
+        layer = cut(best.select("id", F.col("b.parent").alias("parent"), place.alias("place")))
         if layer.isEmpty():
             return None
         layers.append(layer)
         if not layer.filter(F.col("id") == end).isEmpty():
             break
-        # a child's place orders it among its layer; only the order matters
-        frontier = cut(layer.select("id", F.dense_rank().over(W.orderBy("above", "seq", "id")).cast("long").alias("place")))
+        frontier = layer.select("id", "place")
         seen = seen.unionByName(layer.select("id"))
     else:
         return None
