@@ -60,3 +60,18 @@ def merged_report(reports: dict[str, DataFrame]) -> DataFrame:
     rows = tagged(reports)
     counts = [c for c, kind in rows.dtypes if kind in ("int", "bigint") and c != "source"]
     return rows.unionByName(rows.agg(*[F.sum(c).alias(c) for c in counts]).withColumn("source", F.lit("*")).select(*rows.columns))
+
+
+#: Columns of a source registry.
+REGISTRY = "alias string, path string, status string, generation bigint, last_synced bigint, content_hash string"
+
+
+def upsert_sources(registry: DataFrame, news: DataFrame) -> DataFrame:
+    """The registry with ``news`` in place of rows of the same alias, one generation on."""
+    was = registry.select("alias", F.col("generation").alias("_was"))
+    fresh = news.join(was, "alias", "left").withColumn("generation", F.coalesce(F.col("_was") + 1, F.lit(1).cast("bigint"))).select(*registry.columns)
+    return registry.join(news.select("alias"), "alias", "left_anti").select(*registry.columns).unionByName(fresh)
+
+
+def prune_sources(registry: DataFrame, keep: list[str]) -> DataFrame:
+    return registry.filter(F.col("alias").isin(*keep)) if keep else registry.limit(0)

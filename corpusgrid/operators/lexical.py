@@ -77,9 +77,11 @@ def contributions(counted: DataFrame, terms: Terms) -> DataFrame:
     return joined.select(*counted.columns, *[part(i).alias(f"c_{i}") for i in range(n)])
 
 
-def raw_scores(concepts: DataFrame, query: str, analyse=None, analyzer: Analyzer | None = None) -> DataFrame:
-    """id and raw score of all documents that hold a positive term and no excluded one."""
+def raw_scores(concepts: DataFrame, query: str, analyse=None, analyzer: Analyzer | None = None, aliases: tuple[str, ...] = ()) -> DataFrame:
+    """id and raw score of all documents that hold a positive term (or alias) and no excluded one;
+    aliases are keyed names that protected texts hold instead of their words."""
     terms = _analysed(parse_terms(query), analyzer)
+    terms = Terms(terms.positive + tuple((a,) for a in aliases), terms.negative)
     if not terms.positive:
         return concepts.select("id", F.lit(0.0).alias("raw_score")).limit(0)
     made = contributions(frequencies(concepts, terms, analyse), terms)

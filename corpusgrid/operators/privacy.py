@@ -13,6 +13,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusgrid.errors import GridError
 
@@ -161,3 +162,66 @@ def redacted(concepts: DataFrame, policy: str = "policy", allowed: str | None =
     if allowed:
         hidden = hidden & ~F.coalesce(F.col(allowed), F.lit(False))
     return concepts.withColumns({c: F.when(hidden, F.lit(None)).otherwise(F.col(c)) for c in ("body", "title", "description") if c in concepts.columns})
+
+
+_PIECES = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("text", "policy", "key_id")]))
+
+
+def _cut_up(body: str) -> list[tuple[str, str, str]]:
+    """The body in pieces: (text, policy, key_id), policy ``none`` outside protected stretches."""
+    out, at = [], 0
+    for policy, key_id, start, end in inline_spans(body)[0]:
+        out += [(body[at:start], "none", ""), (body[start:end], policy, key_id)]
+        at = end
+    return [*out, (body[at:], "none", "")]
+
+
+def protect_inline(body: Column, keys: dict[str, bytes]) -> Column:
+    """Protected stretches replaced: names and hashes by a vectorised function, encryption on the JVM.
+    Directives stay, so that ``reveal_inline`` finds the envelopes; unknown keys raise."""
+
+    def run(batch: pd.Series) -> pd.Series:
+        def one(text):
+            out = []
+            for piece, policy, key_id in _cut_up(text):
+                if policy != "none" and key_id not in keys:
+                    raise GridError("KEY_UNAVAILABLE", f"privacy key unavailable: {key_id}")
+                if policy == "tokenize":
+                    piece = tokenize_text(piece, keys[key_id])
+                elif policy == "hash":
+                    piece = named(HASH, keys[key_id], piece)
+                out.append({"text": piece, "policy": policy, "key_id": key_id})
+            return out
+
+        return batch.map(one, na_action="ignore")
+
+    run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+    pieces = F.pandas_udf(run, _PIECES)(body)
+    held = F.create_map(*[F.lit(x) for k, v in keys.items() for x in (k, v)])
+
+    def sealed(p: Column) -> Column:
+        box = F.base64(F.aes_encrypt(p["text"].cast("binary"), held[p["key_id"]], F.lit("GCM"), F.lit("DEFAULT")))
+        return F.when(p["policy"] == "encrypt", F.concat(F.lit(ENVELOPE), F.regexp_replace(box, r"\s", ""))).otherwise(p["text"])
+
+    return F.array_join(F.transform(pieces, sealed), "")
+
+
+def reveal_inline(body: Column, key: bytes) -> Column:
+    """Envelopes within a text opened with ``key``; those of other keys stay."""
+    pattern = F.lit(f"({ENVELOPE}[A-Za-z0-9+/=]+)")
+    boxes = F.array_distinct(F.regexp_extract_all(body, pattern, F.lit(1)))
+    return F.aggregate(boxes, body, lambda text, box: F.replace(text, box, F.coalesce(decrypt(box, key), box)))
+
+
+def protect(concepts: DataFrame, keys: dict[str, bytes]) -> DataFrame:
+    """Bodies by each concept's ``policy`` and ``key_id``: encrypted, tokenized, hashed, or inline only."""
+    made = protect_inline(F.when(F.coalesce("policy", F.lit("none")) == "none", F.col("body")), keys)
+    for key_id, key in keys.items():
+        mine = F.col("key_id") == key_id
+        made = (
+            F.when(mine & (F.col("policy") == "encrypt"), encrypt(F.col("body"), key))
+            .when(mine & (F.col("policy") == "tokenize"), tokenized(F.col("body"), key))
+            .when(mine & (F.col("policy") == "hash"), hashed(F.col("body"), key))
+            .otherwise(made)
+        )
+    return concepts.withColumn("body", made)

@@ -44,6 +44,11 @@ def build(concepts: DataFrame, folder: str) -> None:
     size.write.mode("overwrite").parquet(f"{folder}/size")
 
 
+def changed(old: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """Any of the frames after a sync: rows of ``gone`` ids out, those made from new and changed concepts in."""
+    return old.join(gone.select("id"), "id", "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+
+
 class Index:
     def __init__(self, spark: SparkSession, folder: str):
         read = spark.read.parquet

@@ -64,6 +64,21 @@ def parse(spark: SparkSession, root: str, permissive: bool = False) -> DataFrame
     return parse_files(files(spark, root, "*.md").filter(~is_reserved(F.col("path"))), permissive)
 
 
+def parse_cached(spark: SparkSession, root: str, snapshot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(parsed, snapshot to store): only files whose path, time or length changed since ``snapshot`` are
+    parsed again. The listing reads no content; contents of changed files only are fetched."""
+    found = files(spark, root, "*.md").filter(~is_reserved(F.col("path")))
+    if snapshot is None:
+        made = parse_files(found)
+    else:
+        same = snapshot.select("path", "modificationTime", F.col("size").alias("length"))
+        fresh = parse_files(found.join(same, ["path", "modificationTime", "length"], "left_anti"))
+        kept = snapshot.withColumnRenamed("size", "length").join(found.select("path", "modificationTime", "length"), ["path", "modificationTime", "length"], "left_semi")
+        made = kept.withColumnRenamed("length", "size").select(*CONCEPT.fieldNames()).unionByName(fresh)
+    times = found.select("path", "modificationTime")
+    return made, made.join(times, "path")
+
+
 def concepts(parsed: DataFrame) -> DataFrame:
     """The concepts with ``links`` resolved against each other, by one join of link targets and ids."""
     found = parsed.filter("is_concept").drop("is_concept")

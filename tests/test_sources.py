@@ -8,10 +8,13 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from corpusgrid import envelope
 from corpusgrid.engine import Engine
 from corpusgrid.errors import GridError
-from corpusgrid.operators import audit, enrich, export, privacy
-from corpusgrid.sources import assets, bundle, markdown
+from corpusgrid.operators import audit, enrich, export, federation, lexical, privacy
+from corpusgrid.plans import stored
+from corpusgrid.plans.postings import postings
+from corpusgrid.sources import assets, bundle, markdown, providers
 from corpusgrid.streaming import watch
 
 GOOD = """---
@@ -166,6 +169,57 @@ def test_privacy(spark):
     assert [r.body for r in hidden] == [None, "", None]
 
 
+def test_inline_protection(spark):
+    keys = {"k": bytes(32), "m": bytes(range(32))}
+    body = 'open {{private:encrypt key_id="k"}}my secret{{/private:encrypt}} and {{private:tokenize key_id="m"}}Word two{{/private:tokenize}} end'
+    df = spark.createDataFrame([("a", body, None, None), ("b", "whole text", "encrypt", "k"), ("c", "Whole Text", "hash", "m"), ("d", None, "none", None)], "id string, body string, policy string, key_id string")
+    made = privacy.protect(df, keys)
+    found = {r.id: r.body for r in made.collect()}
+    assert "my secret" not in found["a"] and "enc:v1:" in found["a"] and "Word" not in found["a"] and found["a"].startswith("open {{private:encrypt")
+    assert found["b"].startswith("enc:v1:") and found["c"] == privacy.named("hash", keys["m"], "whole text") and found["d"] is None
+    back = {r.id: r.body for r in made.select("id", privacy.reveal_inline(F.col("body"), keys["k"]).alias("body")).collect()}
+    assert "my secret" in back["a"] and back["b"] == "whole text"
+    names = privacy.query_aliases("word", {"m": keys["m"]})
+    concepts = made.select("id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("description"), F.array().cast("array<string>").alias("keywords"), "body")
+    assert [r.id for r in lexical.lexical_search(concepts, "word", aliases=tuple(names)).collect()] == ["a"]
+    with pytest.raises(Exception, match="KEY_UNAVAILABLE|key unavailable"):
+        privacy.protect(df.withColumn("body", F.lit('{{private:hash key_id="zz"}}x{{/private:hash}}')), keys).collect()
+
+
+def test_cached_parsing_and_index_delta(spark, folder):
+    _, snapshot = bundle.parse_cached(spark, str(folder), None)
+    rows = spark.createDataFrame(snapshot.collect(), snapshot.schema)
+    (folder / "fresh.md").write_text("---\ntype: x\n---\nnew words")
+    (folder / "loose.md").unlink()
+    again, _ = bundle.parse_cached(spark, str(folder), rows.withColumn("title", F.lit("kept")))
+    titles = {r.id: r.title for r in again.collect()}
+    assert set(titles) == {"alpha", "beta", "deep/gamma", "fresh"} and titles["alpha"] == "kept" and titles["fresh"] is None
+    old = postings(rows.filter("is_concept"))
+    new = stored.changed(old, spark.createDataFrame([("beta",)], "id string"), postings(again.filter("id = 'fresh'")))
+    assert {r.id for r in new.collect()} == {"alpha", "deep/gamma", "fresh"}
+
+
+def test_providers_and_registry(spark):
+    providers.register_provider("good", lambda root: {"documents": [{"id": "_g/a", "body": "x"}], "relations": [{"from": "_g/a", "to": "y", "kind": "imports"}], "consumed": ["a.md"], "artifacts": [{"path": "x.json", "media_type": "application/json", "content": {"b": 1}}]})
+    found = providers.materialize(spark, "good", "/r")
+    assert found["documents"].first().path == "_g/a.md" and found["relations"].first().kind == "imports" and found["artifacts"].first().content == '{"b": 1}'
+    for bad in ({"documents": [{"id": "a"}]}, {"relations": [{"from": "a", "to": "b", "kind": "Bad"}]}, {"consumed": ["../x"]}, {"documents": [{"id": "_a"}] * 1001}):
+        providers.register_provider("bad", lambda root, bad=bad: bad)
+        with pytest.raises(GridError):
+            providers.materialize(spark, "bad", "/r")
+    registry = spark.createDataFrame([("a", "/a", "ok", 3, 1, "h"), ("b", "/b", "ok", 1, 1, "h")], federation.REGISTRY)
+    news = spark.createDataFrame([("a", "/a2", "ok", None, 2, "i"), ("c", "/c", "ok", None, 2, "j")], federation.REGISTRY)
+    rows = {r.alias: (r.path, r.generation) for r in federation.upsert_sources(registry, news).collect()}
+    assert rows == {"a": ("/a2", 4), "b": ("/b", 1), "c": ("/c", 1)}
+    assert [r.alias for r in federation.prune_sources(registry, ["b"]).collect()] == ["b"] and federation.prune_sources(registry, []).count() == 0
+
+
+def test_envelopes(spark):
+    said = envelope.success(spark.range(5), 3)
+    assert said["ok"] and len(said["result"]["rows"]) == 3 and said["result"]["truncated"] and json.loads(envelope.text(said))
+    assert envelope.failure(GridError("X", "no"))["error"] == {"code": "X", "message": "no"} and envelope.failure(ValueError("v"))["error"]["code"] == "INTERNAL"
+
+
 def test_extensions(spark):
     concepts = spark.createDataFrame([("a", None, "", "Alpha body", ["One"], "a.md", "t", None), ("b", "Kept", "d", "x", None, "b.md", "t", None)],
                                      "id string, title string, description string, body string, keywords array<string>, path string, type string, status string")
