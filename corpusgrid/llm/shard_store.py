@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Runs that a merge needs and sizes within a tier; rows of an arriving shard at most; the least
-#: size that counts; bytes aimed at; merges at once.
-FANOUT, ARRIVAL_ROWS, LEAST, TARGET, MERGES = 4, 4000, 1 << 16, 128 << 20, 4
+#: size that counts; bytes aimed at; merges at once; shards that one merge takes at most.
+FANOUT, ARRIVAL_ROWS, LEAST, TARGET, MERGES, MOST = 4, 4000, 1 << 16, 128 << 20, 4, 4096
 
 
 @dataclass(frozen=True)
@@ -138,7 +138,12 @@ class ShardStore:
         for s in shards:
             if s.size <= target / 2:
                 tiers.setdefault(s.tier(), []).append(s)
-        return [sorted(group, key=lambda s: (s.size, s.path)) for _, group in sorted(tiers.items()) if len(group) >= FANOUT]
+        groups = []
+        for _, tier in sorted(tiers.items()):
+            tier.sort(key=lambda s: (s.size, s.path))
+            cut = [tier[i : i + MOST] for i in range(0, len(tier), MOST)]
+            groups += [g for g in cut if len(g) >= FANOUT]
+        return groups
 
     def _merge(self, schema: T.StructType, group: list[Shard], target: int) -> list[Shard]:
         df = self.spark.read.schema(schema).parquet(*[s.path for s in group])

@@ -72,3 +72,11 @@ def test_empty_and_clashing_columns(spark, tmp_path):
     store.append(documents(spark))
     assert set(documents(spark).columns) == set(store.read().columns)
     assert math.isclose(store.read().count(), 2 * documents(spark).count())
+
+
+def test_a_tier_is_merged_in_bounded_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shard_store, "MOST", 10)
+    store = ShardStore(spark, str(tmp_path / "store"))
+    groups = store.plan([Shard(f"s{i}", 1000 + i, 1) for i in range(23)])
+    assert [len(g) for g in groups] == [10, 10] and len({s.path for g in groups for s in g}) == 20
+    assert store.plan([Shard("a", 100 << 20, 1)] * 9) == []
