@@ -333,12 +333,12 @@ def embedding_space_stats(spark, sf_dir):
 
 
 @_query("""SELECT 'EMBEDDING_STALE' AS code, 'warning' AS severity, '' AS source, CAST(vec_id AS VARCHAR) AS concept, '' AS target, 'embedding is older than the document' AS message
-FROM embeddings JOIN documents ON vec_id = doc_id WHERE label % 2 = 1""")
+FROM embeddings JOIN documents ON vec_id = doc_id WHERE label >= 5""")
 def embedding_stale(spark, sf_dir):
-    """Embeddings whose recorded hash differs from the document's (odd labels stand for old hashes)."""
+    """Embeddings whose recorded hash differs from the document's (labels from 5 stand for old hashes)."""
     now = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), sync.content_hash("text").alias("content_hash"))
     made = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label").join(now, "id")
-    old = made.select("id", F.when(F.col("label") % 2 == 1, "old").otherwise(F.col("content_hash")).alias("content_hash"))
+    old = made.select("id", F.when(F.col("label") >= 5, "old").otherwise(F.col("content_hash")).alias("content_hash"))
     return audit.findings(audit.stale_embeddings(old, now))
 
 
@@ -482,17 +482,19 @@ def audit_summary(spark, sf_dir):
 
 # -- synchronisation, federation, metrics ---------------------------------------------------------
 
-_SIDES = """stored AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'old' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 7 <> 2),
-  scanned AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 11 <> 3),
+_SIDES = """stored AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'old' ELSE sha256(text) END AS h FROM documents JOIN labels USING (doc_id)),
+  scanned AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
   changes AS (SELECT coalesce(s.doc_id, n.doc_id) AS path, CASE WHEN s.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN s.h <> n.h THEN 'updated' ELSE 'skipped' END AS action
     FROM stored AS s FULL JOIN scanned AS n ON s.doc_id = n.doc_id)"""
 
 
 def _changes(spark, sf_dir) -> DataFrame:
-    """Two states of the table: some documents missing, some with an old hash, some gone."""
+    """Two states of the table: labelled documents are stored, those of low quality with another hash;
+    toxic ones are gone from the scan."""
     now = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), sync.content_hash("text").alias("content_hash"))
-    stored = now.filter("path % 7 <> 2").withColumn("content_hash", F.when(F.col("path") % 5 == 1, "old").otherwise(F.col("content_hash")))
-    return sync.diff(stored, now.filter("path % 11 <> 3"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"), "quality", "toxic")
+    stored = now.join(labels, "path").select("path", F.when(F.col("quality") == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"))
+    return sync.diff(stored, now.join(labels.filter("toxic = 1"), "path", "left_anti"))
 
 
 @_query(f"""WITH {_SIDES} SELECT path, action FROM changes""")
@@ -517,11 +519,11 @@ def _federated_part(lang: str) -> str:
     return f"(WITH {ctes} SELECT id, score, '{lang}' AS source FROM keyword)"
 
 
-@_query(f"""SELECT * FROM ({' UNION ALL '.join(map(_federated_part, ('de', 'en', 'fr')))}) ORDER BY score DESC, source, id LIMIT {TOP}""")
+@_query(f"""SELECT * FROM ({' UNION ALL '.join(map(_federated_part, ('de', 'en', 'es', 'fr')))}) ORDER BY score DESC, source, id LIMIT {TOP}""")
 def federated_search(spark, sf_dir):
     """Each language as a source of its own; the rankings merged."""
     concepts = _concepts(spark, sf_dir)
-    sources = {lang: concepts.filter(F.col("type") == lang) for lang in ("de", "en", "fr")}
+    sources = {lang: concepts.filter(F.col("type") == lang) for lang in ("de", "en", "es", "fr")}
     return federation.federated_search(sources, lambda c: keyword.keyword_search(c, "an", TOP).select("id", "score"), TOP)
 
 
@@ -594,11 +596,12 @@ def markdown_links(spark, sf_dir):
     return links.groupBy("id", "target").agg(F.count(F.lit(1)).alias("links"))
 
 
-@_query("""SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/gzip' ELSE 'text/plain' END AS media_type, page_id % 3 <> 1 AS is_text FROM pages""")
+@_query("""SELECT page_id AS id, CASE WHEN contains(url, 'example.com') THEN 'text/html' WHEN contains(url, 'example.net') THEN 'application/gzip' ELSE 'text/plain' END AS media_type,
+  contains(url, 'example.com') OR NOT contains(url, 'example.net') AS is_text FROM pages""")
 def media_types(spark, sf_dir):
     """Media types of pages as files: by extension, by first bytes, by content."""
     html = F.col("html").cast("binary")
-    kind = F.col("page_id") % 3
+    kind = F.when(F.contains("url", F.lit("example.com")), 0).when(F.contains("url", F.lit("example.net")), 1).otherwise(2)
     pages = table(spark, sf_dir, "pages")
     files = pages.select(
         F.col("page_id").cast("string").alias("path"), F.when(kind == 0, F.lit("x.html")).when(kind == 1, F.lit("x.bin")).otherwise(F.lit("x")).alias("name"),
@@ -664,11 +667,11 @@ def lexical_index(spark, sf_dir):
 
 @_query("""SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
 def watch_microbatch(spark, sf_dir):
-    """The state after folding the events in four micro-batches: each user's last event."""
+    """The state after folding the events in micro-batches, a type each: each user's last event."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     state = events.limit(0)
-    for part in range(4):
-        state, _ = watch.fold_batch(state, events.filter(F.floor(F.col("event_id") / 700) % 4 == part), "user_id", "event_id")
+    for kind in ("signup", "purchase", "click", "view", "error"):
+        state, _ = watch.fold_batch(state, events.filter(F.col("event_type") == kind), "user_id", "event_id")
     return state
 
 
