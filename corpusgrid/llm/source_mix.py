@@ -9,8 +9,8 @@ target may pass ``cap`` times its source's tokens, and what is over is shared ag
 fixed point is a water level: with sources by ``cap * size / weight``, the level is the largest
 ``(total - caps before) / (weights before taken off)``, and a target is ``min(cap * size, level * weight)``.
 
-The window that ranks sources runs over one row per source, not per document. The rates are
-broadcast only if there are at most ``BROADCAST_SOURCES`` of them; beyond that Spark joins by
+The window that ranks sources runs over one row per source, not per document. The rates are written
+to the shared checkpoint folder, so texts are counted once for the sums, and broadcast only if there are at most ``BROADCAST_SOURCES`` of them; beyond that Spark joins by
 shuffle, where adaptive execution splits a hot source.
 
 Defined results: a null text has size 0 and is never worth words; a null source is a source of its
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusgrid.runtime import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 10_000
 SEED = "mix-1"
@@ -69,7 +71,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
         F.col("source").alias("_mix_source"), F.col("source_size").alias("mix_source_size"),
         F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"),
     )
-    few = len(table.limit(BROADCAST_SOURCES + 1).select("_mix_source").collect()) <= BROADCAST_SOURCES
+    table = cut(table)  # one row per source: the sums are not made again for the join
+    few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     sized = docs.withColumn("mix_size", words(F.col("text")))
     joined = sized.join(F.broadcast(table) if few else table, sized["source"].eqNullSafe(table["_mix_source"])).drop("_mix_source")
     whole = F.floor("mix_rate")
