@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,7 +69,11 @@ def near(query: str, token: Column) -> Column:
 
     size, longest = F.length(token), int(len(query) / LEAST)
     distance = F.levenshtein(F.lit(query), token, int((1 - LEAST) * longest))
-    close = F.when((size <= longest) & (size >= int(len(query) * LEAST)) & (distance >= 0), 1 - distance.cast("double") / F.greatest(size, F.lit(len(query)))).otherwise(none)
+    larger = F.greatest(size, F.lit(len(query)))
+    # each letter of the query that the token lacks costs an edit at least
+    lacks = sum(((~F.contains(token, F.lit(c))).cast("int") * n for c, n in sorted(Counter(query).items())), F.lit(0))
+    worth = (size <= longest) & (size >= int(len(query) * LEAST)) & (lacks <= larger * (1 - LEAST) + 1e-9)
+    close = F.when(worth, F.when(distance >= 0, 1 - distance.cast("double") / larger).otherwise(none)).otherwise(none)
     distinct = sorted(set(grams))
     sets = (shared(distinct) * 2).cast("double") / (F.size(F.array_distinct(trigrams(token))) + len(distinct))
     sets = F.when(shared(distinct) > 0, sets).otherwise(none)
