@@ -9,6 +9,9 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "_corpusgrid_shipped"
+#: Bytes of one Arrow batch between the JVM and Python. Texts are long, and each task holds a batch on
+#: both sides, outside the JVM's heap.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def session(app: str = "corpusgrid", master: str = "local[*]", **conf: str) -> SparkSession:
@@ -31,6 +34,8 @@ def ship(spark: SparkSession) -> None:
     even where the driver found it through its own ``sys.path``.
     """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, None) is None:  # not set by the session
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     if getattr(sc, _SHIPPED, False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
