@@ -38,6 +38,8 @@ from corpusgrid.runtime import cut, ship
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Reference fingerprints; fingerprints of one key that a task takes; bytes of text taken at once.
 PIVOTS, CROWD, PIECE = 8, 16_384, 1 << 20
+#: Ids that may be broadcast; beyond that documents and ids meet in a shuffle join.
+BROADCAST_IDS = 1_000_000
 #: Neighbours compared at once for small keys; rows compared at once for larger ones.
 NEAR, ROWS = 16, 128
 
@@ -253,8 +255,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without an id cannot be told apart, so they stay.
     """
     classes = cut(classify(docs))
-    gone = classes.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(classes.filter("doc_id <> component_id").select("doc_id").distinct())
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = classes.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
         return kept

@@ -83,7 +83,9 @@ def test_pivots_only_discard(monkeypatch):
             assert label[i] == label[j]
 
 
-def test_table(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_table(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", most)
     found = simhash.classify(documents(spark)).collect()
     assert len(found) == len(TEXTS)
     by_id = {}
