@@ -3,7 +3,7 @@
 Two zstandard dictionaries are trained, one on ordinary text and one on toxic text. A window (a word
 with its spaces) is compressed with each; where the toxic dictionary makes it shorter, the window
 resembles toxic text. Thresholds are calibrated: a logistic curve over a document's largest and
-summed savings, fitted on labelled rows that the dictionaries did not see.
+summed savings and its numbers of windows with large savings, fitted on labelled rows that the dictionaries did not see.
 
 What makes small windows tell:
 
@@ -15,8 +15,8 @@ What makes small windows tell:
   part.
 * The toxic dictionary's own part holds the stretches of words that are typical of toxic documents:
   4-grams and 8-grams found in at least ``SUPPORT`` of them and ``RATIO`` times as often as in
-  ordinary ones. A window without any such gram has nothing that only one dictionary knows, so its
-  saving is 0 without compressing it; all others are compressed.
+  ordinary ones. The grams only choose what the dictionary holds: every window of a text is
+  compressed with both dictionaries, the same window once for each worker's memory of windows.
 
 The fit uses at most about ``SAMPLE`` labelled documents of either class; scoring takes whole texts.
 
@@ -45,6 +45,8 @@ SAMPLE, BACKGROUND, OWN = 1200, 60_000, 4_000
 #: Share of the toxic documents that a typical gram needs, and how much commoner it must be there;
 #: how much commoner a 5-gram of the toxic part is there if the background leaves it out.
 SUPPORT, RATIO, LEANING = 0.02, 20, 3
+#: Savings (bytes) from which windows are counted as features; windows that a worker remembers.
+LARGE, KNOWN = (8, 12, 16), 400_000
 #: Score from which a document counts as toxic; bytes of text taken at once.
 THRESHOLD, PIECE = 0.7, 1 << 20
 
@@ -94,57 +96,36 @@ def _compressor(content: bytes):
 
 @dataclass
 class Dictionaries:
-    """Contents of the two dictionaries and the toxic part's typical grams (sorted, by length)."""
+    """Contents of the two dictionaries."""
 
     ordinary: bytes
     toxic: bytes
-    typical: dict[int, np.ndarray]
 
     def open(self) -> Dictionaries:
-        self._slots = {n: np.zeros(1 << 16, bool) for n in self.typical}
-        for n, grams in self.typical.items():
-            self._slots[n][self._slot(grams)] = True
+        if hasattr(self, "_two"):  # by an earlier task of this worker
+            return self
         self._two = _compressor(self.ordinary), _compressor(self.toxic)
         self._known: dict[bytes, int] = {}
         return self
 
-    @staticmethod
-    def _slot(grams: np.ndarray) -> np.ndarray:
-        return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
-
     def _saving(self, window: bytes) -> int:
         spread = _spread(window)
         return len(self._two[0].compress(spread)) - len(self._two[1].compress(spread))
 
-    def _places(self, words: bytes) -> list[int]:
-        """Where typical grams stand, each by its second byte, which lies in a word."""
-        found = []
-        for n, grams in _grams(words).items():
-            typical = self.typical[n]
-            if len(typical):
-                at = np.flatnonzero(self._slots[n][self._slot(grams)])
-                mine = grams[at]
-                found.append(at[typical[np.minimum(np.searchsorted(typical, mine), len(typical) - 1)] == mine] + 1)
-        return np.unique(np.concatenate(found)).tolist() if found else []
-
-    def savings(self, words: bytes) -> tuple[list[int], int]:
-        """Savings of the windows that hold a typical gram, and the number of windows."""
-        out, end = [], -1
-        for i in self._places(words):
-            if i < end:
-                continue
-            start, end = words.rfind(b" ", 0, i), words.find(b" ", i) + 1
-            window = words[start:end]
-            known = self._known.get(window)
+    def savings(self, words: bytes) -> list[tuple[int, int]]:
+        """The saving of each distinct window, and how often the window stands there."""
+        out = []
+        for word, times in Counter(words.split()).items():
+            known = self._known.get(word)
             if known is None:
-                if len(self._known) >= 50_000:
+                if len(self._known) >= KNOWN:
                     self._known.clear()
-                known = self._known[window] = self._saving(window)
-            out.append(known)
-        return out, words.count(b" ") - 1
+                known = self._known[word] = self._saving(b" " + word + b" ")
+            out.append((known, times))
+        return out
 
     def features(self, text: str | None) -> list[float]:
-        most, total, count = 0, 0, 0
+        most, total, count, large = 0, 0, 0, [0] * len(LARGE)
         text = text or ""
         for at in range(0, max(1, len(text)), PIECE):
             # a piece starts at a space, so that no word is cut; a longer word stays whole
@@ -152,11 +133,14 @@ class Dictionaries:
             stop = text.rfind(" ", at, at + PIECE) if at + PIECE < len(text) else len(text)
             if start < 0 or stop < 0:
                 start, stop = at, min(len(text), at + PIECE)
-            saved, n = self.savings(words_of(text[start:stop]))
-            most = max([most, *saved])
-            total += sum(s for s in saved if s > 0)
-            count += n
-        return [most / 10, np.log1p(total) / 3, np.log1p(count) / 3]
+            for saved, times in self.savings(words_of(text[start:stop])):
+                count += times
+                if saved > 0:
+                    most = max(most, saved)
+                    total += saved * times
+                    for i, least in enumerate(LARGE):
+                        large[i] += times * (saved >= least)
+        return [most / 10, np.log1p(total) / 3, np.log1p(count) / 3, *np.log1p(large).tolist()]
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Dictionaries:
@@ -203,7 +187,7 @@ def train(toxic: list[str], ordinary: list[str]) -> Dictionaries:
             if size >= BACKGROUND + OWN:
                 break
     common = b"".join(reversed(parts))[-BACKGROUND - OWN :]
-    return Dictionaries(common, common[-BACKGROUND:] + own.rjust(OWN, b" "), typical)
+    return Dictionaries(common, common[-BACKGROUND:] + own.rjust(OWN, b" "))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.05) -> np.ndarray:
@@ -243,7 +227,7 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> Model:
             for texts, label in ((toxic[1 - half :: 2], 1.0), (ordinary[1 - half :: 2], 0.0)):
                 x += [trained.features(t) for t in texts]
                 y += [label] * len(texts)
-    weights = _logistic(np.array(x), np.array(y)) if len(set(y)) == 2 else np.array([2.0, 0.0, 0.0, -3.0])
+    weights = _logistic(np.array(x), np.array(y)) if len(set(y)) == 2 else np.array([2.0, 0.0, 0.0, *[0.0] * len(LARGE), -3.0])
     return Model(train(toxic, ordinary), weights, 0.0)
 
 

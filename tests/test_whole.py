@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusgrid.llm import chat_format
+from corpusgrid.llm import chat_format, toxicity
 from corpusgrid.queries import QUERIES
 
 MARKDOWN = {
@@ -39,3 +39,13 @@ def test_chat_digests_need_every_example_whole(spark, monkeypatch):
     monkeypatch.setattr(chat_format, "expand", without_context)
     found = {r.conv_id: r for r in chat_format.digests(formatted).collect()}
     assert found[1] == sound[1] and found[2].n_examples < 3 and found[2].loss_sha256 != sound[2].loss_sha256
+
+
+def test_every_window_is_compressed(monkeypatch):
+    toxic = [f"calm words and zuxif number{i}" for i in range(40)]
+    ordinary = [f"calm words and other number{i} things" for i in range(40)]
+    dictionaries = toxicity.train(toxic, ordinary).open()
+    seen, saving = [], toxicity.Dictionaries._saving
+    monkeypatch.setattr(toxicity.Dictionaries, "_saving", lambda self, window: seen.append(window) or saving(self, window))
+    dictionaries.features("unheard zuxifka calm qqq unheard")
+    assert sorted(seen) == [b" calm ", b" qqq ", b" unheard ", b" zuxifka "]
