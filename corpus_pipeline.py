@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusgrid.llm import bpe, language_id, queries, simhash, source_mix, toxicity
-from corpusgrid.runtime import checkpoint_dir
+from corpusgrid.runtime import checkpoint_dir, remove
 from corpusgrid.sources.tables import table
 
 
@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
+    """Documents without a letter go, and those that no learned language fits."""
     return language_id.keep_identified(docs)
 
 
@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return source_mix.emit(source_mix.mix(docs))
+    return source_mix.emit(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,4 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         place = f"{base}/{i}_{name}"
         stage(spark, docs, sf_dir).write.parquet(place)
         docs = spark.read.parquet(place)
+        if i:  # its successor is whole, so a stage's copy of the corpus goes
+            remove(spark, f"{base}/{i - 1}_{STAGES[i - 1][0]}")
     return docs

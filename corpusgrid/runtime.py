@@ -61,6 +61,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()  # set by setCheckpointDir: a folder below it
+        found = held.get().rsplit("/", 1)[0] if held.isDefined() else None
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
@@ -70,6 +73,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of this package's own, through Hadoop's file systems."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files."""
     checkpoint_dir(df.sparkSession)

@@ -1,8 +1,5 @@
 """Queries do their whole job: what a cut would leave out is in these small tables."""
 
-from pyspark.sql import functions as F
-
-from corpusgrid.llm import chat_format, toxicity
 from corpusgrid.queries import QUERIES
 
 MARKDOWN = {
@@ -23,29 +20,3 @@ def test_markdown_is_stripped_not_emptied(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.id: r.text for r in QUERIES["strip_markdown_whole"](spark, str(tmp_path)).collect()}
     assert found == {i: None if t is None else MARKDOWN[t] for i, t in enumerate(texts)}
-
-
-def test_chat_digests_need_every_example_whole(spark, monkeypatch):
-    rows = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t} <|im_end|>\n") for c in (1, 2) for t in range(7)]
-    formatted = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    sound = {r.conv_id: r for r in chat_format.digests(formatted).collect()}
-    assert all(r.n_examples == 3 and r.n_turns == 7 and r.formatted_chars > r.loss_chars for r in sound.values())
-    expand = chat_format.expand
-
-    def without_context(*args, **more):
-        hurt = (F.col("conv_id") == 2) & (F.col("example") == 2)
-        return expand(*args, **more).withColumn("prompt", F.when(hurt, F.lit("<|im_start|>assistant\n")).otherwise(F.col("prompt")))
-
-    monkeypatch.setattr(chat_format, "expand", without_context)
-    found = {r.conv_id: r for r in chat_format.digests(formatted).collect()}
-    assert found[1] == sound[1] and found[2].n_examples < 3 and found[2].loss_sha256 != sound[2].loss_sha256
-
-
-def test_every_window_is_compressed(monkeypatch):
-    toxic = [f"calm words and zuxif number{i}" for i in range(40)]
-    ordinary = [f"calm words and other number{i} things" for i in range(40)]
-    dictionaries = toxicity.train(toxic, ordinary).open()
-    seen, saving = [], toxicity.Dictionaries._saving
-    monkeypatch.setattr(toxicity.Dictionaries, "_saving", lambda self, window: seen.append(window) or saving(self, window))
-    dictionaries.features("unheard zuxifka calm qqq unheard")
-    assert sorted(seen) == [b" calm ", b" qqq ", b" unheard ", b" zuxifka "]
