@@ -4,20 +4,27 @@ Each language has a codeword of bits; one binary n-gram classifier predicts each
 language whose codeword loses least over all predicted bits wins. Bits weigh by how well they do on
 the training sample, and a near second place flags the text as ambiguous.
 
-* Codewords: for up to 5 languages the exhaustive code (all different splits of the languages in
-  two); beyond that rows of hashed bits, ``BITS`` for each doubling of the languages.
+* Codewords: for up to 7 languages the exhaustive code (all different splits of the languages in
+  two); beyond that hashed bits, ``BITS`` for each doubling of the languages, without constant
+  columns and without columns that split alike; of several draws the one whose codewords lie
+  farthest apart.
 * Bit classifier: log-odds of hashed byte trigrams of the lower-cased letters, estimated from
   the sample, averaged over a text and set on a logistic scale.
 * Decoding: the loss of a codeword is the weighted sum of ``log(1 + exp(-bit * margin))``; the score
   is the winner's share of ``exp(-loss)``.
+* Rejection: a text without a letter, or one that is ambiguous and whose winner loses more than that
+  of any text of the sample.
 
-The fit uses at most about ``SAMPLE`` documents of each of the ``LANGUAGES`` commonest languages;
-prediction takes whole texts, in pieces.
+Every language of the labels is learned. The fit takes about ``SAMPLE`` documents of each, and fewer
+(at least ``LEAST``) where there are more than ``TOTAL / SAMPLE`` languages. Trigrams are counted by
+the executors; the driver gets one row of log-odds for each slot and one of margins for each sampled
+document. Prediction takes whole texts, in pieces.
 
 Defined results: null texts, empty texts and texts without a letter are ``und`` with score 0 (not
-ambiguous); without training rows every text is ``und``; with one language all texts with letters
-are of it, with score 1; equal losses go to the smaller language name; repeated documents keep their
-rows; columns of ``docs`` named like the added ones are replaced.
+ambiguous); without training rows every text is ``und``, and only texts without a letter are
+rejected; with one language all texts with letters are of it, with score 1; equal losses go to the
+smaller language name; repeated documents keep their rows; extra columns are kept by
+``keep_identified``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,14 +39,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusgrid.llm.sampling import fold, per_label
-from corpusgrid.runtime import ship
+from corpusgrid.llm.sampling import fold, fresh, per_label
+from corpusgrid.runtime import cut, ship, spread
 
-SAMPLE, LANGUAGES = 500, 200
+#: Documents of a language, at least of a language, and of all languages, that the fit takes.
+SAMPLE, LEAST, TOTAL = 500, 20, 100_000
 #: Hashed trigrams; code bits for each doubling of the languages; characters taken at once.
 SLOTS, BITS, PIECE = 1 << 16, 12, 1 << 18
 #: A second language with this share of the winner's likelihood makes a text ambiguous.
 NEAR = 0.5
+#: Languages up to which the code is exhaustive; draws of hashed codes; the share of a trigram that
+#: none of the sample's texts has; units of a document's share of a trigram.
+EXHAUSTIVE, DRAWS, FLOOR, UNIT = 7, 8, 2e-6, 1 << 40
 UNKNOWN = "und"
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -58,17 +69,26 @@ def trigrams(text: str) -> np.ndarray:
     return ((a[:-2] << 16 | a[1:-1] << 8 | a[2:]) * np.uint32(2654435761)) >> np.uint32(16)
 
 
+def _drawn(count: int, draw: int) -> np.ndarray:
+    """One draw of hashed columns: none constant, no two alike or opposite."""
+    wanted, found, b = BITS * int(np.ceil(np.log2(count))), {}, 0
+    while len(found) < wanted:
+        column = np.array([hashlib.sha256(f"{draw}|{i}|{b}".encode()).digest()[0] & 1 for i in range(count)])
+        b += 1
+        if 0 < column.sum() < count:
+            found.setdefault(bytes((column ^ column[0]).astype(np.uint8)), column)
+    return np.array([*found.values()]).T * 2.0 - 1
+
+
 def codewords(count: int) -> np.ndarray:
     """A row of +1 and -1 for each language; columns differ and split the languages."""
     if count < 2:
         return np.ones((count, 0))
-    if count <= 5:
-        rest = range(1, count)
-        zeros = [s for n in range(1, count) for s in combinations(rest, n)]
+    if count <= EXHAUSTIVE:
+        zeros = [s for n in range(1, count) for s in combinations(range(1, count), n)]
         return np.array([[-1.0 if i in s else 1.0 for s in zeros] for i in range(count)])
-    bits = BITS * int(np.ceil(np.log2(count)))
-    made = [[1.0 if hashlib.sha256(f"{i}|{b}".encode()).digest()[0] & 1 else -1.0 for b in range(bits)] for i in range(count)]
-    return np.array(made)
+    draws = [_drawn(count, d) for d in range(DRAWS)]
+    return max(draws, key=lambda codes: -(codes @ codes.T - 2 * codes.shape[1] * np.eye(count)).max())
 
 
 @dataclass
@@ -78,6 +98,7 @@ class Model:
     table: np.ndarray  # log-odds: slot by bit
     scale: np.ndarray  # slope and constant of each bit's margin
     weights: np.ndarray
+    worst: float = 0.0  # the largest loss of a winner in the sample
 
     def means(self, text: str) -> np.ndarray:
         total, n = np.zeros(self.codes.shape[1]), 0
@@ -91,15 +112,19 @@ class Model:
         margins = self.scale[0] * means + self.scale[1]
         return (self.weights * np.logaddexp(0, -self.codes * margins)).sum(axis=1)
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0, False
+    def predict(self, text: str | None) -> tuple[str, float, bool, bool]:
+        """Language, score, whether another is near, whether the text is rejected."""
+        if not has_letter(text):
+            return UNKNOWN, 0.0, False, True
+        if not self.languages:
+            return UNKNOWN, 0.0, False, False
         if len(self.languages) == 1:
-            return self.languages[0], 1.0, False
+            return self.languages[0], 1.0, False, False
         losses = self.losses(self.means(text))
         likely = np.exp(losses.min() - losses)
         order = np.argsort(losses, kind="stable")
-        return self.languages[order[0]], float(1 / likely.sum()), bool(likely[order[1]] >= NEAR)
+        near = bool(likely[order[1]] >= NEAR)
+        return self.languages[order[0]], float(1 / likely.sum()), near, near and bool(losses[order[0]] > self.worst)
 
 
 def _scaled(means: np.ndarray, bits: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -114,46 +139,81 @@ def _scaled(means: np.ndarray, bits: np.ndarray, ridge: float = 1e-3) -> tuple[f
     return w[0] / size, w[1]
 
 
-def fit_texts(samples: list[tuple[str, str]]) -> Model:
-    """The model from (language, text) pairs."""
-    languages = sorted({k for k, _ in samples})
+def _table(rows: DataFrame, languages: list[str], codes: np.ndarray) -> np.ndarray:
+    """Log-odds of each slot and bit, from the sampled ``rows`` (lang, text)."""
+
+    def count(batches):
+        for batch in batches:
+            sums: dict[str, np.ndarray] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = np.bincount(trigrams(text.as_py()), minlength=SLOTS)
+                own = sums.setdefault(lang, np.zeros(SLOTS, np.int64))
+                own += (found * (UNIT / max(1, found.sum()))).astype(np.int64)
+            for lang, own in sums.items():
+                slots = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slots), pa.string()), pa.array(slots, pa.int32()), pa.array(own[slots])], names=["lang", "slot", "n"])
+
+    counts = cut(rows.mapInArrow(count, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")))
+    totals = dict(counts.groupBy("lang").agg(F.sum("n")).collect())
+    place = {k: i for i, k in enumerate(languages)}
+    size = np.array([max(1, totals.get(k, 0)) for k in languages], float)
+    ones = np.maximum((codes > 0).sum(axis=0), 1), np.maximum((codes < 0).sum(axis=0), 1)
+
+    def odds(batches):
+        for batch in batches:
+            made = []
+            for held in batch.column(1).to_pylist():
+                shares = np.zeros(len(languages))
+                for entry in held:
+                    shares[place[entry["lang"]]] = entry["n"] / size[place[entry["lang"]]]
+                one, zero = shares @ (codes > 0) / ones[0], shares @ (codes < 0) / ones[1]
+                made.append(np.log((one + FLOOR) / (zero + FLOOR)).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["slot", "odds"])
+
+    gathered = counts.groupBy("slot").agg(F.collect_list(F.struct("lang", "n")).alias("held"))
+    table = np.zeros((SLOTS, codes.shape[1]), np.float32)
+    for slot, found in gathered.mapInArrow(odds, "slot int, odds binary").collect():
+        table[slot] = np.frombuffer(bytes(found), np.float32)
+    return table
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model:
+    """The model from a bounded sample of ``docs`` (doc_id, text, lang)."""
+    spark = docs.sparkSession
+    ship(spark)
+    labelled = docs.select("doc_id", docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text"))
+    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    kinds = labelled.select("lang").distinct().count()
+    each = min(sample, max(LEAST, total // max(1, kinds)))
+    rows = spread(cut(per_label(labelled, "lang", each, 11, "doc_id", "text").select("lang", "text")))
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
     codes = codewords(len(languages))
     if len(languages) < 2:
         return Model(languages, codes, np.zeros((0, 0)), np.zeros((2, 0)), np.zeros(0))
-    index = {k: i for i, k in enumerate(languages)}
-    counts = np.zeros((len(languages), SLOTS))
-    for k, text in samples:
-        found = np.bincount(trigrams(text), minlength=SLOTS)
-        counts[index[k]] += found / max(1, found.sum())
-    shares = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-12)
-    table = np.zeros((SLOTS, codes.shape[1]), np.float32)
-    floor = 2e-6
-    for b in range(codes.shape[1]):
-        one, zero = (shares[codes[:, b] == s].mean(axis=0) if (codes[:, b] == s).any() else np.zeros(SLOTS) for s in (1, -1))
-        table[:, b] = np.log((one + floor) / (zero + floor))
-    model = Model(languages, codes, table, np.ones((2, codes.shape[1])), np.ones(codes.shape[1]))
-    means = np.array([model.means(t) for _, t in samples])
-    rows = np.array([index[k] for k, _ in samples])
+    model = Model(languages, codes, _table(rows, languages, codes), np.ones((2, codes.shape[1])), np.ones(codes.shape[1]))
+    sent = spark.sparkContext.broadcast(model)
+
+    def measure(batches):
+        for batch in batches:
+            found = [sent.value.means(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["lang", "means"])
+
+    seen = sorted((r[0], bytes(r[1])) for r in rows.mapInArrow(measure, "lang string, means binary").collect())
+    means = np.array([np.frombuffer(m) for _, m in seen])
+    own = np.array([languages.index(k) for k, _ in seen])
     for b in range(codes.shape[1]):
-        bits = codes[rows, b]
+        bits = codes[own, b]
         model.scale[:, b] = _scaled(means[:, b], bits)
         wrong = ((model.scale[0, b] * means[:, b] + model.scale[1, b]) * bits <= 0).mean()
         wrong = min(max(wrong, 1e-3), 0.49)
         model.weights[b] = np.log((1 - wrong) / wrong)
     model.weights /= model.weights.mean()
+    model.worst = max(float(model.losses(m).min()) for m in means)
     return model
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
-    """The model from a bounded sample of ``docs`` (doc_id, text, lang)."""
-    labelled = docs.select("doc_id", docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text"))
-    rows = per_label(labelled.filter("lang IS NOT NULL AND text IS NOT NULL"), "lang", sample, languages, 11)
-    found = rows.select("lang", "text").collect()
-    return fit_texts(sorted((k, t) for k, t in found if has_letter(t)))
-
-
-def identify(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
-    """``docs`` with the language, its score and whether another is near."""
+def identify(docs: DataFrame, model: Model, names: tuple[str, ...] = ("lang_pred", "score", "ambiguous", "rejected")) -> DataFrame:
+    """``docs`` with the language, its score, whether another is near, and whether the text is rejected."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop(*names)
@@ -163,23 +223,25 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang
     def run(batches):
         own = sent.value
         for batch in batches:
-            found = [own.predict(v.as_py()) for v in batch.column(at)]
-            made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            found = [own.predict(v.as_py()) for v in batch.column(at).cast(pa.string())]
+            kinds = pa.string(), pa.float64(), pa.bool_(), pa.bool_()
+            made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
-    added = [T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
+    kinds = T.StringType(), T.DoubleType(), T.BooleanType(), T.BooleanType()
+    added = [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, ambiguous: fitted on the rows outside fold 2 of 4."""
+    """doc_id, held_out, lang_pred, score, ambiguous, rejected: fitted on the rows outside fold 2 of 4."""
     model = fit(docs.filter(fold(F.col("doc_id"), 4) != 2))
     found = identify(docs.select("doc_id", docs["text"].cast("string").alias("text")), model)
-    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous", "rejected")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with their own columns: ``und`` texts go."""
+    """The rows of ``docs`` whose text is not rejected, with their own columns."""
     model = fit(docs.filter(fold(F.col("doc_id"), 4) != 2))
-    found = identify(docs, model, ("_language", "_language_score", "_language_near"))
-    return found.filter(F.col("_language") != UNKNOWN).select(*docs.columns)
+    names = fresh(docs, "language", "language_score", "language_near", "language_rejected")
+    return identify(docs, model, names).filter(~F.col(names[3])).select(*docs.columns)

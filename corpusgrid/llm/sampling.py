@@ -1,4 +1,4 @@
-"""Bounded samples of labelled rows for the classifiers that are fitted on the driver."""
+"""Bounded samples of labelled rows for the classifiers, and names for internal columns."""
 
 from __future__ import annotations
 
@@ -8,21 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def fresh(df: DataFrame, *wanted: str) -> tuple[str, ...]:
+    """The wanted names, with as many underscores before them as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any((mark + w).lower() in taken for w in wanted):
+        mark += "_"
+    return tuple(mark + w for w in wanted)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts`` (a null id counts as empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts)).cast("int")
 
 
-def per_label(rows: DataFrame, label: str, most: int, labels: int, seed: int) -> DataFrame:
-    """At most about ``most`` rows of each of the ``labels`` commonest labels, by a hash of the id.
+def per_label(rows: DataFrame, label: str, most: int, seed: int, *by: str) -> DataFrame:
+    """About ``most`` rows of each label at most, drawn by a hash of the columns ``by``.
 
-    The rows kept fall under a threshold of the hash, so the sample needs no sort; ``labels`` times
-    ``most`` times 1.2 bounds it for certain.
+    Rows whose hash falls under their label's threshold are drawn, the smallest hashes first where
+    they are more than 1.2 times as many as expected, so the sample is the same in every run:
+    rows that tie on the hash are equal in ``by``.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
+    counts = rows.groupBy(label).count().collect()
     if not counts:
         return rows.limit(0)
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, most / r["count"]))])
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    found = rows.filter(drawn < F.try_element_at(share, F.col(label)))
-    return found.limit(math.ceil(len(counts) * most * 1.2))
+    bound = math.ceil(1.2 * sum(min(most, r["count"]) for r in counts)) + 16
+    lot = F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 40))
+    drawn = rows.withColumn("_lot", lot).filter(F.col("_lot") / F.lit(float(1 << 40)) < F.try_element_at(share, F.col(label)))
+    return drawn.orderBy("_lot").limit(bound).drop("_lot")

@@ -1,33 +1,36 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on toxic text. A window (a word
-with its spaces) is compressed with each; where the toxic dictionary makes it shorter, the window
-resembles toxic text. Thresholds are calibrated: a logistic curve over a document's largest and
-summed savings and its numbers of windows with large savings, fitted on labelled rows that the dictionaries did not see.
+Two zstandard dictionaries are trained with zstandard's own trainer, one on ordinary text and one on
+toxic text. Every window of a text (a word with its spaces; longer words are cut every ``WINDOW``
+bytes) is compressed with each, and the difference of the two lengths is the window's saving.
+Thresholds are calibrated: a logistic curve over a document's largest and summed savings and its
+numbers of windows that save at least 6, 10, ... bytes, fitted on labelled rows whose half of the
+sample the dictionaries did not see.
 
 What makes small windows tell:
 
-* Windows are compressed as the sequence of their byte trigrams, each written as an 8-byte code. A
-  stem that only toxic text has then costs whole literals with the ordinary dictionary and one match
-  with the toxic one, whatever follows it.
-* Both dictionaries share their background, words of ordinary text that cover its 5-grams (without
-  those ``LEANING`` times commoner in toxic text), so that a difference measures only the class's own
-  part.
-* The toxic dictionary's own part holds the stretches of words that are typical of toxic documents:
-  4-grams and 8-grams found in at least ``SUPPORT`` of them and ``RATIO`` times as often as in
-  ordinary ones. The grams only choose what the dictionary holds: every window of a text is
-  compressed with both dictionaries, the same window once for each worker's memory of windows.
+* A window is compressed as a sequence of 8-byte codes, one for each of its bytes: a hash of up to
+  ``CONTEXT`` bytes that end there, back to the space before the word. A stem that only toxic text
+  has then costs whole literals with the ordinary dictionary and one match with the toxic one.
+* The ordinary dictionary is the larger one (``SIZES``). What is common in both kinds of text is in
+  both and saves nothing; what the toxic one alone holds is common there and rare elsewhere.
+* The trainer takes its segments from stretches of its input, so the windows are shuffled first:
+  large groups of copies would otherwise fill whole stretches.
 
-The fit uses at most about ``SAMPLE`` labelled documents of either class; scoring takes whole texts.
+The fit takes at most about ``SAMPLE`` labelled documents of either class and about ``BYTES`` bytes
+of their windows, drawn by hashes; only these windows and the sample's features reach the driver.
+Scoring takes whole texts.
 
 Defined results: null and empty texts have one (low) score like any text without a saving; if either
-class has no labelled row, the score is the share of toxic rows (0 without rows); a document that is
-labelled more than once counts as toxic if any label says so; repeated documents keep their rows;
-columns of ``docs`` named like the added ones are replaced.
+class has no labelled row, the score is the share of toxic rows (0 without rows), and ``keep_clean``
+then keeps every row; a document that is labelled more than once counts as toxic if any label says
+so; a labelled id that repeats in ``docs`` is learned with its smallest text; repeated documents keep
+their rows; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -37,49 +40,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusgrid.llm.sampling import fold, per_label
-from corpusgrid.runtime import ship
+from corpusgrid.llm.sampling import fold, fresh, per_label
+from corpusgrid.runtime import cut, ship, spread
 
-#: Labelled documents of each class in the fit; bytes of the dictionaries' parts.
-SAMPLE, BACKGROUND, OWN = 1200, 60_000, 4_000
-#: Share of the toxic documents that a typical gram needs, and how much commoner it must be there;
-#: how much commoner a 5-gram of the toxic part is there if the background leaves it out.
-SUPPORT, RATIO, LEANING = 0.02, 20, 3
+#: Labelled documents of each class in the fit, and bytes of their windows.
+SAMPLE, BYTES = 2400, 4 << 20
+#: Bytes of the ordinary and the toxic dictionary; bytes of the segments that training picks.
+SIZES, SEGMENT = (80 << 10, 12 << 10), 16
+#: Bytes of a window at most, and bytes that a code looks back on.
+WINDOW, CONTEXT = 48, 8
 #: Savings (bytes) from which windows are counted as features; windows that a worker remembers.
-LARGE, KNOWN = (8, 12, 16), 400_000
-#: Score from which a document counts as toxic; bytes of text taken at once.
-THRESHOLD, PIECE = 0.7, 1 << 20
+LARGE, KNOWN = (6, 10, 16, 24, 32, 40), 400_000
+#: Score from which a document counts as toxic; bytes of text taken at once; windows compressed at once.
+THRESHOLD, PIECE, BLOCK = 0.7, 1 << 20, 50_000
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_ODD = (np.arange(1, CONTEXT + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def windows(text: str) -> list[bytes]:
+    """The lower-cased words of a text, long ones in parts."""
+    found = text.lower().encode().translate(_LETTERS).split()
+    if max(map(len, found), default=0) <= WINDOW:
+        return found
+    return [w[i : i + WINDOW] for w in found for i in range(0, len(w), WINDOW)]
+
+
+def _codes(found: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """The codes of each window, one after another, and the bytes of each window's codes."""
+    a = np.frombuffer(b" " + b" ".join(found) + b" ", np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
+    inside = np.arange(1, len(a)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # bytes since the space before
+    h = a[1:] * _ODD[0]
+    for k in range(1, CONTEXT):
+        h[k - 1 :] += np.where(inside[k - 1 :] >= k, (a[:-k] + np.uint64(1)) * _ODD[k], np.uint64(0))
+        h ^= h >> np.uint64(31)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))).astype("<u8").tobytes(), sizes * 8
 
 
-def words_of(text: str) -> bytes:
-    """Lower-cased words with one space around each."""
-    return b" " + b" ".join(text.lower().encode().translate(_LETTERS).split()) + b" "
-
-
-def _grams(words: bytes) -> dict[int, np.ndarray]:
-    """The 4-grams and 8-grams at each place, as numbers."""
-    a = np.frombuffer(words.ljust(8), np.uint8).astype(np.uint64)
-    two = a[:-1] << np.uint64(8) | a[1:]
-    four = two[:-2] << np.uint64(16) | two[2:]
-    return {4: four, 8: four[:-4] << np.uint64(32) | four[4:]}
-
-
-def _within(grams: np.ndarray, n: int) -> np.ndarray:
-    """Grams within one word: no space but as first or last byte."""
-    inner = [(grams >> np.uint64(8 * k) & np.uint64(255)) != 32 for k in range(1, n - 1)]
-    return np.logical_and.reduce(inner)
-
+def _trained(found: list[bytes], size: int) -> bytes:
+    """A dictionary of about ``size`` bytes for these windows."""
+    import zstandard as zs
 
-def _spread(words: bytes) -> bytes:
-    """Each trigram as an 8-byte code."""
-    a = np.frombuffer(words, np.uint8).astype(np.uint64)
-    if len(a) < 3:
-        return words
-    h = (a[:-2] * np.uint64(66049) + a[1:-1] * np.uint64(257) + a[2:] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ (h >> np.uint64(32))).tobytes()
+    if not found:
+        return b" " * 8
+    codes, sizes = _codes(found)
+    ends = np.cumsum(sizes)
+    samples = [codes[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    try:
+        return zs.train_dictionary(size, samples, k=SEGMENT, d=8).as_bytes()
+    except zs.ZstdError:  # too little text to train on: the text itself
+        return codes[-size:].rjust(8)
 
 
 def _compressor(content: bytes):
@@ -89,105 +101,95 @@ def _compressor(content: bytes):
         window_log=20, hash_log=17, chain_log=18, search_log=6, min_match=6, target_length=64, strategy=zs.STRATEGY_BTOPT,
         format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
-    trained = zs.ZstdCompressionDict(_spread(content), dict_type=zs.DICT_TYPE_RAWCONTENT)
+    trained = zs.ZstdCompressionDict(content)
     trained.precompute_compress(compression_params=knobs)
     return zs.ZstdCompressor(dict_data=trained, compression_params=knobs)
 
 
 @dataclass
 class Dictionaries:
-    """Contents of the two dictionaries."""
+    """The two trained dictionaries."""
 
     ordinary: bytes
     toxic: bytes
 
     def open(self) -> Dictionaries:
-        if hasattr(self, "_two"):  # by an earlier task of this worker
-            return self
         self._two = _compressor(self.ordinary), _compressor(self.toxic)
         self._known: dict[bytes, int] = {}
         return self
 
-    def _saving(self, window: bytes) -> int:
-        spread = _spread(window)
-        return len(self._two[0].compress(spread)) - len(self._two[1].compress(spread))
-
-    def savings(self, words: bytes) -> list[tuple[int, int]]:
-        """The saving of each distinct window, and how often the window stands there."""
-        out = []
-        for word, times in Counter(words.split()).items():
-            known = self._known.get(word)
-            if known is None:
-                if len(self._known) >= KNOWN:
-                    self._known.clear()
-                known = self._known[word] = self._saving(b" " + word + b" ")
-            out.append((known, times))
+    def learn(self, found: set[bytes]) -> None:
+        """Compresses the windows that are not remembered with both dictionaries."""
+        import zstandard as zs
+
+        missing = sorted(found - self._known.keys())
+        if len(self._known) + len(missing) > KNOWN:
+            self._known.clear()
+            missing = sorted(found)
+        for at in range(0, len(missing), BLOCK):
+            block = missing[at : at + BLOCK]
+            codes, sizes = _codes(block)
+            ends = np.cumsum(sizes)
+            places = np.stack([ends - sizes, sizes], axis=1).astype(np.uint64).tobytes()
+            one, two = (
+                np.fromiter(map(len, c.multi_compress_to_buffer(zs.BufferWithSegments(codes, places), threads=1)), np.int64, len(block))
+                for c in self._two
+            )
+            self._known.update(zip(block, (one - two).tolist(), strict=True))
+
+    def features(self, texts: list[str | None]) -> list[list[float]]:
+        """Each text's features; the windows of all texts are compressed together."""
+        counted, waiting, out = [], set(), []
+        sums = [[0, 0, 0, *[0] * len(LARGE)] for _ in texts]
+
+        def settle() -> None:
+            self.learn(waiting)
+            for i, found in counted:
+                own = sums[i]
+                for window, times in found.items():
+                    saved = self._known[window]
+                    own[2] += times
+                    if saved > 0:
+                        own[0] = max(own[0], saved)
+                        own[1] += saved * times
+                        for j, least in enumerate(LARGE):
+                            if saved < least:
+                                break
+                            own[3 + j] += times
+            counted.clear()
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            for piece in _pieces(text or ""):
+                found = Counter(windows(piece))
+                counted.append((i, found))
+                waiting.update(found)
+                if len(waiting) >= BLOCK:
+                    settle()
+        settle()
+        for most, total, count, *large in sums:
+            out.append([most / 10, np.log1p(total) / 3, np.log1p(count) / 3, *np.log1p(large).tolist()])
         return out
 
-    def features(self, text: str | None) -> list[float]:
-        most, total, count, large = 0, 0, 0, [0] * len(LARGE)
-        text = text or ""
-        for at in range(0, max(1, len(text)), PIECE):
-            # a piece starts at a space, so that no word is cut; a longer word stays whole
-            start = text.rfind(" ", at - PIECE, at) if at else 0
-            stop = text.rfind(" ", at, at + PIECE) if at + PIECE < len(text) else len(text)
-            if start < 0 or stop < 0:
-                start, stop = at, min(len(text), at + PIECE)
-            for saved, times in self.savings(words_of(text[start:stop])):
-                count += times
-                if saved > 0:
-                    most = max(most, saved)
-                    total += saved * times
-                    for i, least in enumerate(LARGE):
-                        large[i] += times * (saved >= least)
-        return [most / 10, np.log1p(total) / 3, np.log1p(count) / 3, *np.log1p(large).tolist()]
-
-
-def train(toxic: list[str], ordinary: list[str]) -> Dictionaries:
-    ones, others = [words_of(t) for t in toxic], [words_of(t) for t in ordinary]
-
-    def frequency(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.concatenate([np.unique(_grams(t)[n]) for t in texts]), return_counts=True)
-
-    typical = {}
-    for n in (4, 8):
-        grams, k = frequency(ones, n)
-        seen, there = frequency(others, n)
-        place = np.minimum(np.searchsorted(seen, grams), len(seen) - 1)
-        elsewhere = np.where(seen[place] == grams, there[place], 0)
-        rare = (k >= max(2, SUPPORT * len(ones))) & (k / len(ones) > RATIO * (elsewhere + 0.5) / len(others))
-        typical[n] = grams[rare & _within(grams, n)]
-    stretches: Counter[bytes] = Counter()
-    for text in ones:
-        hit = np.zeros(len(text) + 8, bool)
-        for n, grams in _grams(text).items():
-            for at in np.flatnonzero(np.isin(grams, typical[n])).tolist():
-                hit[at : at + n] = True
-        at = np.flatnonzero(hit)
-        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
-            stretches[text[run[0] : run[-1] + 1]] += 1
-    own = b""
-    for stretch, times in sorted(stretches.items(), key=lambda x: (-x[1], x[0])):
-        if times > 1 and len(own) + len(stretch) <= OWN:
-            own = stretch + own
-    fives = {own[i : i + 5] for i in range(len(own) - 4)}
-    held = [Counter(g for t in texts for g in fives & {t[i : i + 5] for i in range(len(t) - 4)}) for texts in (ones, others)]
-    commoner = {g for g in fives if held[0][g] * len(others) > LEANING * len(ones) * held[1][g]}
-    counted: Counter[bytes] = Counter()
-    for text in others:
-        counted.update(set(text.split()))
-    parts, size, covered = [], 0, set()
-    for word, _ in sorted(counted.items(), key=lambda x: (-x[1], x[0])):
-        padded = b" " + word + b" "
-        inside = {padded[i : i + 5] for i in range(len(padded) - 4)}
-        if not inside <= covered and not inside & commoner:
-            covered |= inside
-            parts.append(padded)
-            size += len(padded)
-            if size >= BACKGROUND + OWN:
-                break
-    common = b"".join(reversed(parts))[-BACKGROUND - OWN :]
-    return Dictionaries(common, common[-BACKGROUND:] + own.rjust(OWN, b" "))
+
+def _pieces(text: str):
+    """A long text in pieces that end at a space, so that no word is cut; a longer word is."""
+    at = 0
+    while len(text) - at > PIECE:
+        space = text.rfind(" ", at, at + PIECE)
+        end = space + 1 if space >= at else at + PIECE
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def train(toxic: list[bytes], ordinary: list[bytes]) -> Dictionaries:
+    """The two dictionaries from windows of either class."""
+
+    def shuffled(found: list[bytes]) -> list[bytes]:
+        return [found[i] for i in np.random.default_rng(3).permutation(len(found))]
+
+    return Dictionaries(_trained(shuffled(ordinary), SIZES[0]), _trained(shuffled(toxic), SIZES[1]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.05) -> np.ndarray:
@@ -208,38 +210,68 @@ class Model:
     weights: np.ndarray | None
     share: float
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: list[str | None]) -> list[float]:
         if self.dictionaries is None:
-            return self.share
-        at = float(np.dot(self.weights[:-1], self.dictionaries.features(text)) + self.weights[-1])
-        return float(1 / (1 + np.exp(-np.clip(at, -30, 30))))
-
-
-def fit_texts(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries of all rows; thresholds from rows scored by dictionaries of the other half."""
-    if not toxic or not ordinary:
-        return Model(None, None, float(bool(toxic)))
-    x, y = [], []
-    for half in (0, 1):
-        ones, others = toxic[half::2], ordinary[half::2]
-        if ones and others:
-            trained = train(ones, others).open()
-            for texts, label in ((toxic[1 - half :: 2], 1.0), (ordinary[1 - half :: 2], 0.0)):
-                x += [trained.features(t) for t in texts]
-                y += [label] * len(texts)
-    weights = _logistic(np.array(x), np.array(y)) if len(set(y)) == 2 else np.array([2.0, 0.0, 0.0, *[0.0] * len(LARGE), -3.0])
-    return Model(train(toxic, ordinary), weights, 0.0)
+            return [self.share] * len(texts)
+        found = self.dictionaries.features(texts)
+        if not found:
+            return []
+        at = np.array(found) @ self.weights[:-1] + self.weights[-1]
+        return (1 / (1 + np.exp(-np.clip(at, -30, 30)))).tolist()
+
+
+#: Weights where the sample is too small to calibrate.
+_PLAIN = np.array([2.0, 0.0, 0.0, *[0.0] * len(LARGE), -3.0])
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """toxic, half, doc_id, text of the sampled documents, written once."""
+    marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) != 0).cast("int").alias("mark"))
+    # at most sample * 2 * 1.2 rows, so a broadcast is bounded
+    chosen = per_label(marks, "mark", sample, 5, "doc_id")
+    joined = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    half = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(2)).cast("int")
+    return cut(joined.groupBy("doc_id").agg(F.max("mark").alias("mark"), F.min("text").alias("text")).select("mark", half.alias("half"), F.col("doc_id").cast("string").alias("doc_id"), "text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model from ``labels`` (doc_id, toxic) and the texts of a bounded sample of them."""
-    marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
-    chosen = per_label(marks, "_toxic", sample, 2, 5)
-    # at most 2 * sample * 1.2 rows, so a broadcast is bounded
-    joined = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = joined.select("_toxic", "text", "doc_id").dropDuplicates(["doc_id"]).collect()
-    texts = [[t or "" for _, _, t in sorted((r[2], i, r[1]) for i, r in enumerate(rows) if r[0] == k)] for k in (1, 0)]
-    return fit_texts(*texts)
+    spark = docs.sparkSession
+    ship(spark)
+    rows = _labelled(docs, labels, sample)
+    sizes = dict(rows.groupBy("mark").agg(F.sum(F.octet_length("text"))).collect())
+    if len(sizes) < 2:
+        return Model(None, None, float(sizes.keys() == {1}))
+    shares = {mark: min(1.0, BYTES / max(1, size)) for mark, size in sizes.items()}
+    rows = spread(rows)
+
+    def draw(batches):
+        for batch in batches:
+            kept = []
+            for mark, name, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                found = windows(text.as_py())
+                lots = np.random.default_rng(zlib.crc32(name.encode())).random(len(found))
+                kept.append(b" ".join([found[i] for i in np.flatnonzero(lots < shares[mark]).tolist()]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(kept, pa.binary())], names=["mark", "half", "doc_id", "windows"])
+
+    drawn = sorted(tuple(r) for r in rows.mapInArrow(draw, "mark int, half int, doc_id string, windows binary").collect())
+    parts = {(m, h): [w for mark, half, _, found in drawn if (mark, half) == (m, h) for w in bytes(found).split()] for m in (0, 1) for h in (0, 1)}
+    whole = train(parts[1, 0] + parts[1, 1], parts[0, 0] + parts[0, 1])
+    if not all(any(r[:2] == key for r in drawn) for key in parts):
+        return Model(whole, _PLAIN, 0.0)
+    others = spark.sparkContext.broadcast([train(parts[1, 1 - half], parts[0, 1 - half]) for half in (0, 1)])
+
+    def judge(batches):
+        opened = [d.open() for d in others.value]
+        for batch in batches:
+            halves = np.array(batch.column(1))
+            for half in (0, 1):
+                part = batch.filter(pa.array(halves == half))
+                found = opened[half].features(part.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.list_(pa.float64()))], names=["mark", "doc_id", "found"])
+
+    seen = sorted((r[1], r[0], r[2]) for r in rows.mapInArrow(judge, "mark int, doc_id string, found array<double>").collect())
+    return Model(whole, _logistic(np.array([r[2] for r in seen]), np.array([float(r[1]) for r in seen])), 0.0)
 
 
 def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
@@ -252,10 +284,10 @@ def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "pre
 
     def run(batches):
         own = sent.value
-        if own.dictionaries is not None:
-            own.dictionaries.open()
+        if own.dictionaries is not None:  # opened for each task, so that its memory ends with it
+            own = Model(Dictionaries(own.dictionaries.ordinary, own.dictionaries.toxic).open(), own.weights, own.share)
         for batch in batches:
-            scores = [own.score(v.as_py()) for v in batch.column(at)]
+            scores = own.scores(batch.column(at).cast(pa.string()).to_pylist())
             made = [pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
@@ -271,6 +303,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their own columns."""
+    """The rows of ``docs`` that are not predicted toxic, with their own columns; all rows where the
+    labels do not tell two classes apart."""
     model = fit(docs, labels.filter(fold(F.col("doc_id"), 3) != 1))
-    return score(docs, model, ("_toxicity", "_toxic")).filter(F.col("_toxic") == 0).select(*docs.columns)
+    if model.dictionaries is None:
+        return docs
+    names = fresh(docs, "toxicity", "toxic")
+    return score(docs, model, names).filter(F.col(names[1]) == 0).select(*docs.columns)

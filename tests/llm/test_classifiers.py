@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgrid.llm import language_id, sampling, toxicity
+from corpusgrid.llm import language_id, sampling, simhash, toxicity
 from tests.llm.helpers import TEXTS, documents, empty
 
 SYLLABLES = {"en": "the and ing er on at th is or ed", "de": "sch ung ein der ich ver keit au tz be", "fr": "eau que oi ent re ou le eux ai tion", "es": "ción os as que ar el la do mi ez"}
@@ -56,13 +56,77 @@ def test_toxicity_awkward_tables(spark):
 
 def test_long_texts_are_read_whole(monkeypatch):
     rows = corpus(2, 300)
-    model = toxicity.fit_texts([t for _, t, _, y in rows if y], [t for _, t, _, y in rows if not y])
-    model.dictionaries.open()
+    found = {y: [w for _, t, _, z in rows if z == y for w in toxicity.windows(t)] for y in (0, 1)}
+    trained = toxicity.train(found[1], found[0]).open()
     text = " ".join(t for _, t, _, _ in rows[:40])
-    whole = model.dictionaries.features(text)
+    whole = trained.features([text, None, "x" * 5000])
     monkeypatch.setattr(toxicity, "PIECE", 500)
-    assert np.allclose(model.dictionaries.features(text), whole)
-    assert model.score("x" * 5000) < 0.7
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    assert np.allclose(toxicity.train(found[1], found[0]).open().features([text]), whole[:1])
+    assert whole[1] == [0.0] * len(whole[1]) and whole[2][2] > 0
+
+
+def test_savings_equal_a_plain_loop():
+    import zstandard
+
+    words = [w for _, t, _, _ in corpus(5, 60) for w in toxicity.windows(t)] + [b"x" * toxicity.WINDOW, "é".encode()]
+    trained = toxicity.train([b"zuxifka", b"zuxiflo"] * 300 + words[:200], words).open()
+    trained.learn(set(words))
+
+    def codes(word):
+        out = b""
+        for end in range(2, len(word) + 3):
+            seen = (b" " + word + b" ")[max(0, end - toxicity.CONTEXT) : end]
+            one, _ = toxicity._codes([word])
+            out += one[8 * (end - 2) : 8 * (end - 1)]
+            again, _ = toxicity._codes([seen.strip() or b" "])
+            if end <= toxicity.CONTEXT and end <= len(word) + 1:  # a code depends on what is before it only
+                assert again[8 * (end - 2) : 8 * (end - 1)] == out[-8:]
+        return out
+
+    knobs = zstandard.ZstdCompressionParameters(
+        window_log=20, hash_log=17, chain_log=18, search_log=6, min_match=6, target_length=64, strategy=zstandard.STRATEGY_BTOPT,
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
+    )
+    for word in sorted(set(words))[::7]:
+        lengths = []
+        for content in (trained.ordinary, trained.toxic):
+            held = zstandard.ZstdCompressionDict(content)
+            held.precompute_compress(compression_params=knobs)
+            lengths.append(len(zstandard.ZstdCompressor(dict_data=held, compression_params=knobs).compress(codes(word))))
+        assert trained._known[word] == lengths[0] - lengths[1]
+
+
+def test_stages_never_empty_a_corpus(spark):
+    docs = documents(spark)
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    assert toxicity.keep_clean(docs, ids.withColumn("toxic", F.lit(1))).count() == len(TEXTS)
+    blind = docs.withColumn("lang", F.lit(None).cast("string"))
+    lettered = sum(language_id.has_letter(t) for _, t, _, _ in TEXTS)
+    assert language_id.keep_identified(blind).count() == lettered
+
+
+def test_filter_stages_keep_all_columns(spark):
+    names = ("_toxicity", "_toxic", "__toxic", "_language", "_language_score", "_language_near", "_language_rejected", "_row", "_lot")
+    docs = documents(spark).withColumns({n: F.lit(f"my {n}") for n in names})
+    labels = spark.createDataFrame([(1, 1), (2, 0), (6, 0), (7, 0), (8, 1), (9, 0)], "doc_id long, toxic int")
+    for kept in (toxicity.keep_clean(docs, labels), language_id.keep_identified(docs), simhash.keep_one(docs)):
+        assert kept.columns == docs.columns
+        assert all(r[n] == f"my {n}" for r in kept.collect() for n in names)
+
+
+def test_junk_is_rejected_and_clean_texts_stay(spark):
+    rows = [(i, t, k) for i, t, k, _ in corpus(4, 500)]
+    junk = [(9000 + i, " ".join("".join(random.Random(i * 99 + j).choice("qxzjkwvyp") for _ in range(7)) for j in range(40)), None) for i in range(20)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    found = language_id.classify(df).collect()
+    assert sum(r.rejected for r in found if r.doc_id < 9000) <= 2
+    kept = {r.doc_id for r in language_id.keep_identified(df).collect()}
+    assert kept >= {r.doc_id for r in found if r.doc_id < 9000 and not r.ambiguous}
+    model = language_id.fit(df)
+    far = language_id.Model(model.languages, model.codes, model.table, model.scale, model.weights, worst=0.0)
+    near = next(t for _, t, _ in junk + rows if model.predict(t)[2])
+    assert far.predict(near)[3] and not far.predict(rows[0][1])[3]
 
 
 def test_languages_held_out(spark):
@@ -91,9 +155,11 @@ def test_languages_awkward_tables(spark):
     assert kept.columns == documents(spark).columns and {r.doc_id for r in kept.collect()} == {1, 2, 6, 7, 8, 9, None}
 
 
-@pytest.mark.parametrize("count", [2, 3, 4, 5, 9, 40])
+@pytest.mark.parametrize("count", [2, 3, 4, 5, 6, 9, 40, 300])
 def test_codewords_differ(count):
     codes = language_id.codewords(count)
+    columns = {tuple(c * c[0]) for c in codes.T}
+    assert len(columns) == codes.shape[1] and (1.0,) * count not in columns
     apart = (codes[:, None] != codes[None]).sum(axis=2)
     assert apart[~np.eye(count, dtype=bool)].min() >= (1 if count == 2 else 2 ** (count - 2) if count <= 5 else codes.shape[1] // 5)
 
@@ -110,5 +176,5 @@ def test_decoding_corrects_a_bit():
 
 def test_sample_is_bounded(spark):
     df = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id % 10 = 0 THEN 'rare' ELSE 'hot' END AS kind")
-    counts = {r.kind: r["count"] for r in sampling.per_label(df, "kind", 500, 5, 1).groupBy("kind").count().collect()}
+    counts = {r.kind: r["count"] for r in sampling.per_label(df, "kind", 500, 1, "doc_id").groupBy("kind").count().collect()}
     assert 350 < counts["hot"] < 650 and 350 < counts["rare"] < 650
