@@ -20,7 +20,8 @@ someone is within 1 bit are connected. That costs 2081 rows for each such finger
 Defined results: texts with one or two words have one shingle, their words; null, empty and blank
 texts have fingerprint zero and link like any other; repeated documents keep their rows; documents
 without an id take the smallest id of their component (null if it has none); an empty table gives an
-empty result; extra columns are ignored by ``classify`` and kept by ``keep_one``.
+empty result; extra columns are ignored by ``classify`` and kept by ``keep_one``, which tells rows
+apart by all their columns: ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -31,15 +32,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusgrid.llm.components import stars
+from corpusgrid.llm.sampling import fresh
 from corpusgrid.runtime import cut, ship
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Reference fingerprints; fingerprints of one key that a task takes; bytes of text taken at once.
 PIVOTS, CROWD, PIECE = 8, 16_384, 1 << 20
-#: Ids that may be broadcast; beyond that documents and ids meet in a shuffle join.
-BROADCAST_IDS = 1_000_000
+#: Row keys that may be broadcast; beyond that documents and keys meet in a shuffle join.
+BROADCAST_IDS = 500_000
 #: Neighbours compared at once for small keys; rows compared at once for larger ones.
 NEAR, ROWS = 16, 128
 
@@ -103,17 +106,18 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed number) of whole texts."""
+def fingerprints(docs: DataFrame, *names: Column) -> DataFrame:
+    """``names`` (doc_id if none are given) and fp, the fingerprint of the whole text as a signed number."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(v.as_py()) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            found = [fingerprint(v.as_py()) for v in batch.column(batch.num_columns - 1)]
+            own = [*batch.columns[:-1], pa.array(np.array(found, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(own, names=[*batch.schema.names[:-1], "fp"])
 
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    read = docs.select(*(names or ["doc_id"]), docs["text"].cast("string").alias("text"))
+    return read.mapInArrow(run, T.StructType([*read.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def _settle(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -232,9 +236,9 @@ def links(nodes: DataFrame) -> DataFrame:
     return _swept(rows.join(crowds, ["part", "key"], "left_anti")).unionByName(_around(cut(crowded)))
 
 
-def components(prints: DataFrame) -> DataFrame:
-    """fp and component_id of each distinct fingerprint of ``prints`` (doc_id, fp)."""
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def components(prints: DataFrame, name: str = "doc_id") -> DataFrame:
+    """fp and component_id (the smallest ``name``) of each distinct fingerprint of ``prints``."""
+    nodes = cut(prints.groupBy("fp").agg(F.min(name).alias("least")))
     found = stars(links(nodes.select("fp")))
     member = nodes.join(found.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
     rooted = member.withColumn("root", F.coalesce("root", "fp"))
@@ -249,16 +253,33 @@ def classify(docs: DataFrame) -> DataFrame:
     return prints.join(components(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, one row for each id.
+def row_name(docs: DataFrame) -> Column:
+    """What tells a row from others: its id (nulls last) and 128 bits of hash over all its columns."""
+    parts = []
+    for field in docs.schema.fields:
+        value = F.col(f"`{field.name}`")
+        plain = isinstance(field.dataType, T.AtomicType)
+        parts += [value.isNull(), value if plain else F.to_json(F.struct(value))]
+    return F.struct(
+        F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"),
+        F.xxhash64(F.lit(1), *parts).alias("one"), F.xxhash64(F.lit(2), *parts).alias("two"),
+    )
+
 
-    Rows without an id cannot be told apart, so they stay.
-    """
-    classes = cut(classify(docs))
-    gone = cut(classes.filter("doc_id <> component_id").select("doc_id").distinct())
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``: the one with the smallest id, rows without an id last,
+    ties by a hash over all columns. Rows equal in every column are one row."""
+    (name,) = fresh(docs, "row")
+    hashes = [F.col(f"name.{c}").alias(c) for c in ("one", "two")]
+    prints = cut(fingerprints(docs, row_name(docs).alias("name")))
+    classes = cut(prints.join(components(prints, "name"), "fp").select("name", F.col("component_id").alias("first")))
+    gone = cut(classes.filter("name <> first").select(*hashes).distinct())
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = classes.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    named = docs.withColumn(name, row_name(docs))
+    kept = named.join(F.broadcast(gone) if few else gone, [named[name][c] == gone[c] for c in ("one", "two")], "left_anti")
+    again = cut(classes.filter("name = first").groupBy("name").count().filter("count > 1").select(*hashes))
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    both = [kept[name][c] == again[c] for c in ("one", "two")]
+    repeated = kept.join(again, both, "left_semi").dropDuplicates([name])
+    return kept.join(again, both, "left_anti").unionByName(repeated).select(*docs.columns)

@@ -105,3 +105,16 @@ def test_stars_of_chains_and_loops(spark):
     found = {r.u: r.v for r in components.stars(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(1, 201)} | {501: 500, 502: 500}
     assert components.stars(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_are_told_apart_by_all_columns(spark):
+    words = ["alpha beta gamma delta", "one two three four", "red green blue white", "north south east west"]
+    rows = [(1, words[0]), (5, words[1]), (5, words[2]), (7, words[3]), (7, words[3] + " more words follow here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(df).collect())) == sorted(rows)
+    equal = spark.createDataFrame([(None, words[0]), (None, words[0]), (3, words[0])], "doc_id long, text string")
+    assert [tuple(r) for r in simhash.keep_one(equal).collect()] == [(3, words[0])]
+    unnamed = spark.createDataFrame([(None, words[0])] * 3 + [(None, words[1])], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.keep_one(unnamed).collect()) == sorted(words[:2])
+    held = spark.createDataFrame([(1, words[0], {"a": [1]}), (1, words[0], {"a": [2]}), (1, words[0], {"a": [1]})], "doc_id long, text string, more map<string, array<int>>")
+    assert simhash.keep_one(held).count() == 1
