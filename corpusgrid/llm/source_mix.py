@@ -15,7 +15,8 @@ shuffle, where adaptive execution splits a hot source.
 
 Defined results: a null text has size 0 and is never worth words; a null source is a source of its
 own; a null id hashes as the empty string; sources without words have target and rate 0; an empty
-table gives an empty result; columns named like the added ``mix_`` columns are replaced.
+table gives an empty result; ``mix`` replaces columns named like those it
+adds, ``emit`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusgrid.llm.sampling import fresh
 from corpusgrid.runtime import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,23 +66,27 @@ def rates(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = SEED) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target, mix_rate and mix_copies."""
-    docs = docs.drop(*ADDED)
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = SEED, names: tuple[str, ...] = ADDED) -> DataFrame:
+    """``docs`` with its size, its source's size, target and rate, and its copies, under ``names``;
+    columns of ``docs`` with these names are replaced."""
+    docs = docs.drop(*names)
+    size, source_size, target, rate, copies = names
+    (source,) = fresh(docs, "source")
     table = rates(docs, weights, cap).select(
-        F.col("source").alias("_mix_source"), F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"),
+        F.col("source").alias(source), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("rate").alias(rate)
     )
     table = cut(table)  # one row per source: the sums are not made again for the join
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    sized = docs.withColumn("mix_size", words(F.col("text")))
-    joined = sized.join(F.broadcast(table) if few else table, sized["source"].eqNullSafe(table["_mix_source"])).drop("_mix_source")
-    whole = F.floor("mix_rate")
-    extra = (draw(F.col("doc_id"), F.col("source"), seed) < F.col("mix_rate") - whole).cast("long")
-    return joined.withColumn("mix_copies", whole + extra)
-
-
-def emit(mixed: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it, without the added columns."""
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))
-    return mixed.filter("mix_copies > 0").withColumn("mix_copies", copies).drop(*ADDED)
+    sized = docs.withColumn(size, words(F.col("text")))
+    joined = sized.join(F.broadcast(table) if few else table, sized["source"].eqNullSafe(table[source])).drop(source)
+    whole = F.floor(rate)
+    extra = (draw(F.col("doc_id"), F.col("source"), seed) < F.col(rate) - whole).cast("long")
+    return joined.withColumn(copies, whole + extra)
+
+
+def emit(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = SEED) -> DataFrame:
+    """Each document of ``docs`` as often as the mix takes it, with its own columns."""
+    names = fresh(docs, *ADDED)
+    mixed = mix(docs, weights, cap, seed, names)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(names[-1])))
+    return mixed.filter(F.col(names[-1]) > 0).withColumn(names[-1], copies).select(*docs.columns)

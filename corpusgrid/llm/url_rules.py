@@ -14,12 +14,15 @@ The longest match (characters of host and path, then of path) over the second sw
 A sweep is a window over points and interval boundaries in key order. A boundary carries the stack
 that holds from there on (known from the rules alone, by an equi-join on key prefixes), so a point
 takes the last stack at or before it. Windows run for each (range, salt): ranges come from a sample
-of at most ``SAMPLE`` keys, each range has as many salts as its share of the sample asks for (so a
-hot url is split), and a range starts with the stacks of the intervals that reach into it.
+of about ``SAMPLE`` keys (drawn by a hash from a known count, their first ``PREFIX`` bytes), each range has as many salts as its share of the sample asks for (so a
+hot url is split), and a range starts with the stacks of the intervals that reach into it. The urls with their
+numbers, and what the first sweep finds, are written to the shared checkpoint folder: a number stays a
+row's own if an executor is lost, and nothing is swept twice.
 
 Defined results: a null url, or one without ``://``, has empty host and path and fits no rule; a
 url without a rule gets the default verdict; repeated urls and ids keep their rows; an empty table
-gives an empty result; extra columns are ignored. Rules must be unique in (host, path).
+gives an empty result; extra columns are ignored. A rule without a host fits every host. Rules must be unique in
+(host, path).
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Keys sampled for ranges, ranges, and groups that the ranges' salts make in all.
-SAMPLE, RANGES, GROUPS = 4096, 32, 512
+from corpusgrid.runtime import cut
+
+#: Keys sampled for ranges and their bytes, ranges, and groups that the ranges' salts make in all.
+SAMPLE, PREFIX, RANGES, GROUPS = 4096, 64, 32, 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,7 +71,9 @@ def _mark(code: str) -> Column:
 def _stacks(intervals: DataFrame) -> DataFrame:
     """Each interval with the stack of all that enclose it, itself last: key, depth, stack."""
     named = intervals.select("key", "value")
-    cuts = F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substr(F.col("key"), F.lit(1), n))
+    sizes = sorted(r[0] for r in intervals.select(F.length("key")).distinct().collect())  # at most the longest key's bytes
+    inside = F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length("key")) if sizes else F.array().cast("array<int>")
+    cuts = F.transform(inside, lambda n: F.substr(F.col("key"), F.lit(1), n))
     prefixes = named.select("key", F.explode(cuts).alias("prefix"))
     outer = named.select(F.col("key").alias("prefix"), F.struct(F.length("key").alias("n"), F.col("value")).alias("entry"))
     found = prefixes.join(outer, "prefix").groupBy("key").agg(F.sort_array(F.collect_list("entry")).alias("stack"))
@@ -74,9 +81,10 @@ def _stacks(intervals: DataFrame) -> DataFrame:
 
 
 def _splits(points: DataFrame, ranges: int, groups: int) -> tuple[list[bytes], list[int]]:
-    """At most ``ranges - 1`` split keys and each range's salts, from the ``SAMPLE`` rows of smallest
+    """At most ``ranges - 1`` split keys and each range's salts, from about ``SAMPLE`` rows drawn by a
     hash."""
-    sample = points.select("key", F.xxhash64("key", "uid").alias("h")).orderBy("h").limit(SAMPLE).select("key").collect()
+    lot = F.pmod(F.xxhash64("key", "uid"), F.lit(max(1, points.count())))
+    sample = points.filter(lot < SAMPLE).select(F.substring("key", 1, PREFIX)).limit(4 * SAMPLE).collect()
     keys = sorted(bytes(r[0]) for r in sample)
     cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
     edges = [0, *(bisect_left(keys, c) for c in cuts), len(keys)]
@@ -126,17 +134,18 @@ def sweep(points: DataFrame, intervals: DataFrame, ranges: int = RANGES, groups:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict for each row of ``pages`` (page_id, url)."""
     host, path = host_and_path(F.col("url").cast("string"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("uid"))
+    urls = cut(pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("uid")))
     paths = rules.select("path").distinct().select(F.col("path").cast("binary").alias("key"), F.col("path").alias("value"))
     first = sweep(urls.withColumn("key", F.col("path").cast("binary")), paths)
-    asked = first.select("page_id", "host", "path", "uid", F.explode_outer("stack").alias("at")).withColumn(
+    asked = cut(first.select("page_id", "host", "path", "uid", F.explode_outer("stack").alias("at")).withColumn(
         "key", _bytes(F.coalesce("at", F.lit("")), _mark("FE"), host_key(F.col("host")))
-    )
+    ))
     entry = F.struct(
         (F.length("host") + F.length("path")).alias("n"), F.length("path").alias("path_n"),
         F.concat("host", "path").alias("rule"), F.col("verdict"),
     )
-    keyed = rules.select(_bytes(F.col("path"), _mark("FE"), host_key(F.col("host"))).alias("key"), entry.alias("value"))
+    labels = F.when(F.col("host") == "", "").otherwise(host_key(F.col("host")))
+    keyed = rules.select(_bytes(F.col("path"), _mark("FE"), labels).alias("key"), entry.alias("value"))
     second = sweep(asked.drop("at"), keyed)
     top = F.when(F.size("stack") > 0, F.element_at("stack", -1))
     best = second.withColumn("top", top).groupBy("uid").agg(

@@ -87,6 +87,13 @@ def test_mix_targets_and_copies(spark):
         assert abs(taken - targets[s]) < 0.35 * targets[s] + 20
 
 
+def test_emit_keeps_all_columns(spark):
+    docs = documents(spark).withColumn("mix_copies", F.lit("mine")).withColumn("_mix_size", F.lit(7)).withColumn("_source", F.lit("own"))
+    found = source_mix.emit(docs)
+    assert found.columns == docs.columns
+    assert {(r.mix_size, r.mix_copies, r["_mix_size"], r["_source"]) for r in found.collect()} == {(1, "mine", 7, "own")}
+
+
 def test_mix_awkward_tables(spark):
     assert source_mix.mix(empty(spark)).count() == 0
     found = source_mix.mix(documents(spark)).collect()
@@ -97,7 +104,7 @@ def test_mix_awkward_tables(spark):
 
 
 def brute_rule(rules, host, path):
-    fits = [(len(h) + len(p), len(p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(len(h) + len(p), len(p), h + p, v) for v, h, p in rules if (not h or host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[2:] if fits else (None, "allow")
 
 
@@ -127,10 +134,7 @@ def test_url_rules(spark, rules):
     for r in found.collect():
         host, path = brute_split(urls[r.page_id])
         assert (r.host, r.path) == (host, path)
-        if rules[0][1]:
-            assert (r.rule, r.verdict) == brute_rule(rules, host, path), urls[r.page_id]
-        else:
-            assert (r.rule, r.verdict) == brute_rule([x for x in rules if x[1]], host, path) or r.rule == "/"
+        assert (r.rule, r.verdict) == brute_rule(rules, host, path), urls[r.page_id]
     assert found.count() == len(urls)
     assert "Python" not in found._jdf.queryExecution().toString()
 
