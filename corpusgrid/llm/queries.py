@@ -111,7 +111,7 @@ def op7_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = shard_store.ShardStore(spark, root)
     store.append(table(spark, sf_dir, "documents"))
     store.compact()
-    store.vacuum()
+    store.vacuum(lease=0)  # nobody else writes here
     text = F.col("text")
     return store.read().select("doc_id", "lang", "source", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
 

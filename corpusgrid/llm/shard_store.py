@@ -9,8 +9,13 @@ committed.
 A version is one manifest file that names its shards with their sizes, rows and tiers. It is written
 under a temporary name and renamed to ``manifest/v<number>.json``; the rename fails if that version
 exists, so of two writers one commits and the other starts again from the new version. Readers see
-whole versions only. Shards that no version names are left-overs of lost or replaced work;
-``vacuum`` removes what the versions kept do not name.
+whole versions only.
+
+A writer names the folder it is about to write in a record under ``pending`` and removes the record once
+its version is committed or given up. ``vacuum`` removes what the versions kept do not name, but no
+folder with a record younger than ``LEASE``: what a writer is writing, or has written and not yet
+committed, stays. Records older than that are a lost writer's; a writer that outlives its lease
+finds its record gone and fails before it commits.
 
 All files are reached through Spark and Hadoop's file systems, and belong in a folder that all
 executors share. Spark's own committer deals with lost executors while shards are written.
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
@@ -35,6 +41,8 @@ from pyspark.sql import types as T
 #: Runs that a merge needs and sizes within a tier; rows of an arriving shard at most; the least
 #: size that counts; bytes aimed at; merges at once; shards that one merge takes at most.
 FANOUT, ARRIVAL_ROWS, LEAST, TARGET, MERGES, MOST = 4, 4000, 1 << 16, 128 << 20, 4, 4096
+#: Seconds for which a writer's record keeps its folder.
+LEASE = 24 * 3600
 
 
 @dataclass(frozen=True)
@@ -43,6 +51,9 @@ class Shard:
     size: int
     rows: int
 
+    def folder(self) -> str:
+        return self.path.rsplit("/", 2)[-2]
+
     def tier(self) -> int:
         return max(0, int(math.log(max(self.size, 1) / LEAST, FANOUT))) if self.size > LEAST else 0
 
@@ -60,7 +71,8 @@ class ShardStore:
         self._fs = self._path(self.root).getFileSystem(conf)
         where = self._fs.makeQualified(self._path(self.root)).toUri()
         self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(where, conf)
-        self._fs.mkdirs(self._path(f"{self.root}/manifest"))
+        for name in ("manifest", "pending"):
+            self._fs.mkdirs(self._path(f"{self.root}/{name}"))
 
     # -- manifest ---------------------------------------------------------------------------------
 
@@ -84,8 +96,10 @@ class ShardStore:
     def _manifest(self, version: int) -> str:
         return f"{self.root}/manifest/v{version:09d}.json"
 
-    def commit(self, base: int, schema: T.StructType, shards: list[Shard]) -> int:
-        """Version ``base + 1`` with these shards; ``Conflict`` if it exists."""
+    def commit(self, base: int, schema: T.StructType, shards: list[Shard], new: list[Shard] = ()) -> int:
+        """Version ``base + 1`` with these shards; ``Conflict`` if it exists. ``new`` are this writer's own."""
+        if not all(self._fs.exists(self._path(self._record(f))) for f in {s.folder() for s in new}):
+            raise RuntimeError("the lease ran out before the commit")
         said = json.dumps({"schema": schema.jsonValue(), "shards": [asdict(s) for s in sorted(shards, key=lambda s: s.path)]})
         temporary = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
         stream = self._fs.create(temporary, False)
@@ -103,6 +117,14 @@ class ShardStore:
 
     # -- shards -----------------------------------------------------------------------------------
 
+    def _record(self, folder: str) -> str:
+        return f"{self.root}/pending/{folder}"
+
+    def _release(self, shards: list[Shard]) -> None:
+        """The records of committed or abandoned shards go."""
+        for folder in {s.folder() for s in shards}:
+            self._fs.delete(self._path(self._record(folder)), False)
+
     def _written(self, folder: str) -> list[Shard]:
         sizes = {}
         for status in self._fs.listStatus(self._path(folder)):
@@ -115,10 +137,19 @@ class ShardStore:
         return [Shard(f"{folder}/{n}", s, rows[n]) for n, s in sorted(sizes.items()) if rows.get(n)]
 
     def _write(self, df: DataFrame, rows: int | None = None) -> list[Shard]:
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        writer = df.write.option("maxRecordsPerFile", rows) if rows else df.write
-        writer.parquet(folder)
-        return self._written(folder)
+        name = uuid.uuid4().hex
+        record, folder = self._path(self._record(name)), f"{self.root}/data/{name}"
+        self._fs.create(record, False).close()
+        try:
+            writer = df.write.option("maxRecordsPerFile", rows) if rows else df.write
+            writer.parquet(folder)
+            made = self._written(folder)
+        except Exception:
+            self._fs.delete(record, False)
+            raise
+        if not made:
+            self._fs.delete(record, False)
+        return made
 
     def append(self, df: DataFrame, rows: int = ARRIVAL_ROWS) -> int:
         """Arrivals as new shards; the version that holds them."""
@@ -128,9 +159,11 @@ class ShardStore:
             if schema is not None and schema.jsonValue() != df.schema.jsonValue():
                 schema = self.read().unionByName(df.limit(0), allowMissingColumns=True).schema
             try:
-                return self.commit(base, schema or df.schema, shards + new)
+                version = self.commit(base, schema or df.schema, shards + new, new)
             except Conflict:
                 continue
+            self._release(new)
+            return version
 
     def plan(self, shards: list[Shard], target: int = TARGET) -> list[list[Shard]]:
         """Groups of similarly sized shards to merge; shards of over half the target are done."""
@@ -150,6 +183,7 @@ class ShardStore:
         files = max(1, math.ceil(sum(s.size for s in group) / target))
         made = self._write(df.coalesce(files))
         if sum(s.rows for s in made) != sum(s.rows for s in group):
+            self._release(made)
             raise RuntimeError("a merge lost rows")
         return made
 
@@ -162,11 +196,13 @@ class ShardStore:
                 return base
             with ThreadPoolExecutor(MERGES) as pool:
                 made = list(pool.map(lambda g: self._merge(schema, g, target), groups))
-            replaced = {s.path for g in groups for s in g}
+            replaced, new = {s.path for g in groups for s in g}, [s for m in made for s in m]
             try:
-                self.commit(base, schema, [s for s in shards if s.path not in replaced] + [s for m in made for s in m])
+                self.commit(base, schema, [s for s in shards if s.path not in replaced] + new, new)
             except Conflict:
-                continue
+                pass  # merged again from the new version
+            finally:
+                self._release(new)
 
     def read(self, version: int | None = None) -> DataFrame:
         _, schema, shards = self.manifest(version)
@@ -174,14 +210,29 @@ class ShardStore:
             return self.spark.createDataFrame([], schema or T.StructType())
         return self.spark.read.schema(schema).parquet(*[s.path for s in shards])
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Removes manifests but the last ``keep``, and shards that those do not name; the count of files."""
+    def vacuum(self, keep: int = 1, lease: float = LEASE) -> int:
+        """Removes manifests but the last ``keep``, and shards that those do not name; the count of files.
+
+        The folders are listed first, then the records, then the versions: a folder without a live
+        record by then is either named by a version that is read afterwards, or nobody's.
+        """
+        data, pending = self._path(f"{self.root}/data"), self._path(f"{self.root}/pending")
+        folders = list(self._fs.listStatus(data)) if self._fs.exists(data) else []
+        since = (time.time() - lease) * 1000
+        writing = set()
+        for record in self._fs.listStatus(pending):
+            if record.getModificationTime() >= since:
+                writing.add(record.getPath().getName())
+            else:  # its writer, if it still runs, must not commit what goes now
+                self._fs.delete(record.getPath(), False)
         versions = self.versions()
         named = {s.path for v in versions[-keep:] for s in self.manifest(v)[2]}
         for v in versions[:-keep]:
             self._fs.delete(self._path(self._manifest(v)), False)
-        gone, data = 0, self._path(f"{self.root}/data")
-        for folder in self._fs.listStatus(data) if self._fs.exists(data) else ():
+        gone = 0
+        for folder in folders:
+            if folder.getPath().getName() in writing:
+                continue
             files = [f for f in self._fs.listStatus(folder.getPath()) if f.getPath().getName().endswith(".parquet")]
             unnamed = [f for f in files if f"{self.root}/data/{folder.getPath().getName()}/{f.getPath().getName()}" not in named]
             gone += len(unnamed)

@@ -80,3 +80,32 @@ def test_a_tier_is_merged_in_bounded_groups(spark, tmp_path, monkeypatch):
     groups = store.plan([Shard(f"s{i}", 1000 + i, 1) for i in range(23)])
     assert [len(g) for g in groups] == [10, 10] and len({s.path for g in groups for s in g}) == 20
     assert store.plan([Shard("a", 100 << 20, 1)] * 9) == []
+
+
+def test_vacuum_leaves_what_another_writer_has_not_committed(spark, tmp_path, monkeypatch):
+    one, two = (ShardStore(spark, str(tmp_path / "store")) for _ in range(2))
+    one.append(documents(spark))
+    base, schema, shards = two.manifest()
+    written = two._written
+
+    def during(folder):  # Spark has written the folder, nobody has named it
+        one.vacuum()
+        return written(folder)
+
+    monkeypatch.setattr(two, "_written", during)
+    new = two._write(documents(spark))
+    assert one.vacuum() == 0
+    assert two.commit(base, schema, shards + new, new) == 2
+    two._release(new)
+    assert one.vacuum() == 0 and rows(one.read()) == rows(documents(spark).union(documents(spark)))
+
+
+def test_a_writer_that_outlives_its_lease_does_not_commit(spark, tmp_path):
+    one, two = (ShardStore(spark, str(tmp_path / "store")) for _ in range(2))
+    one.append(documents(spark))
+    base, schema, shards = two.manifest()
+    new = two._write(documents(spark))
+    assert one.vacuum(lease=-1) >= 1
+    with pytest.raises(RuntimeError):
+        two.commit(base, schema, shards + new, new)
+    assert rows(one.read()) == rows(documents(spark)) and two.versions() == [1]
