@@ -3,11 +3,13 @@
 A merge can only ever make a token of the vocabulary. So where two neighbouring bytes occur side by
 side inside no token, no merge crosses, and the text can be cut there for certain. ``Codec`` cuts at
 the pre-tokenizer's word boundaries and at every such byte pair, encodes each fragment by itself
-(lowest merge rank first, leftmost on ties) and joins the ids. Fragments and words recur, so both
-are remembered in bounded dictionaries of each worker.
+(lowest merge rank first, leftmost on ties) and joins the ids. Fragments and words recur, so short ones
+are remembered in bounded dictionaries of each worker. In a long fragment all places of one rank
+merge at once: a rule joins tokens that only rules of earlier ranks make (checked when the file is
+read), so no merge opens one of an earlier rank, and the work grows with n log n.
 
-Normalization and pre-tokenization are done here only for texts in ``PLAIN`` characters, where the
-rules are simple (lower case, letters, digits, the rest); other texts go through the tokenizer file's
+The file must hold a byte-level BPE without a decoder, as checked when it is read. and pre-tokenization are done here only if the file states the rules named below, and for texts in
+``PLAIN`` characters, where these are simple (lower case, letters, digits, the rest); other texts go through the tokenizer file's
 own normalizer and pre-tokenizer, and their words are then encoded in the same way.
 
 Long texts are taken in pieces that end at white space, so memory is bounded by ``PIECE`` characters
@@ -21,11 +23,13 @@ rows; empty tables give empty results; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -33,6 +37,8 @@ from corpusgrid.runtime import ship
 
 #: Words and fragments remembered by a worker; characters taken at once.
 WORDS, FRAGMENTS, PIECE = 300_000, 100_000, 1 << 20
+#: Bytes of a word or fragment that is remembered at most; bytes from which merges run rank by rank.
+SHORT, LONG = 64, 200
 
 #: The characters for which ``_PLAIN_WORD`` equals the tokenizer's own rules, and the
 #: contractions that its pattern takes first.
@@ -41,6 +47,10 @@ _L, _N = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
 _PLAIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
 _SPACE = re.compile("[\t\n\x0b\x0c\r ]")
 
+#: The normalizer and the pattern of words for which ``PLAIN`` and ``_PLAIN_WORD`` hold.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+
 
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -56,6 +66,8 @@ class _Words(dict):
         self.make, self.most = make, most
 
     def __missing__(self, word):
+        if len(word) > SHORT:  # rare, and large
+            return self.make(word)
         if len(self) >= self.most:
             self.clear()
         self[word] = found = self.make(word)
@@ -69,6 +81,12 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [spec["pre_tokenizer"]])
+        if model["type"] != "BPE" or model["continuing_subword_prefix"] or model["dropout"] or model["byte_fallback"] or spec["decoder"]:
+            raise ValueError("not a byte-level BPE file without a decoder")
+        if not any(s and s["type"] == "ByteLevel" and not s["add_prefix_space"] for s in steps):
+            raise ValueError("words are not spelled in bytes")
+        self.plain = (spec["normalizer"] or {}).get("normalizers") == _NORMALIZER and [s.get("pattern") for s in steps] == [_PATTERN, None]
         self.library = Tokenizer.from_file(path)
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         chars = byte_characters()
@@ -77,6 +95,16 @@ class Codec:
         self.final = [vocab[c + suffix] for c in chars]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {(vocab[a] << 20) | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in reversed([*enumerate(merges)])}
+        self.rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        keys = np.array([a << 20 | b for a, b, _ in self.rules], np.int64)
+        order = np.lexsort((np.arange(len(keys)), keys))
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[order][1:] != keys[order][:-1]
+        self.keys, self.rank_of = keys[order][first], order[first]
+        made: dict[int, int] = {}
+        for rank, (a, b, new) in enumerate(self.rules):
+            made[new] = rank
+        self.ordered = all(made.get(a, -1) < rank and made.get(b, -1) < rank for rank, (a, b, _) in enumerate(self.rules))
         self.joined = bytearray(1 << 16)
         for token in vocab:
             body = token.removesuffix(suffix) if suffix else token
@@ -102,6 +130,8 @@ class Codec:
         ids = [self.inner[b] for b in code]
         if is_final:
             ids[-1] = self.final[code[-1]]
+        if len(ids) > LONG and self.ordered:
+            return self._by_rank(np.array(ids, np.int64)).astype("<u4").tobytes()
         ranks, none = self.ranks, (1 << 30, 0)
         pairs = [ranks.get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
         while pairs:
@@ -117,12 +147,54 @@ class Codec:
                 pairs[at] = ranks.get(ids[at] << 20 | ids[at + 1], none)
         return array("I", ids).tobytes()
 
+    def _by_rank(self, ids: np.ndarray) -> np.ndarray:
+        """The merges of one fragment, the places of each rank together and from left to right."""
+        count = len(ids)
+        left, right, alive = np.arange(-1, count - 1), np.arange(1, count + 1), np.ones(count, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def put(places: np.ndarray, others: np.ndarray) -> None:
+            wanted = ids[places] << 20 | ids[others]
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            known = self.keys[at] == wanted
+            places, ranks = places[known], self.rank_of[at[known]]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            starts = np.flatnonzero(np.diff(ranks, prepend=-1))
+            for rank, own in zip(ranks[starts].tolist(), np.split(places, starts[1:]), strict=True) if len(starts) else ():
+                if rank not in waiting:
+                    heapq.heappush(queue, rank)
+                waiting.setdefault(rank, []).append(own)
+
+        put(np.arange(count - 1), np.arange(1, count))
+        while queue:
+            rank = heapq.heappop(queue)
+            a, b, new = self.rules[rank]
+            places = np.unique(np.concatenate(waiting.pop(rank)))
+            places = places[alive[places] & (ids[places] == a) & (right[places] < count)]
+            places = places[ids[right[places]] == b]
+            if a == b:  # a run of one token: every second place
+                kept, taken = [], -1
+                for place, other in zip(places.tolist(), right[places].tolist(), strict=True):
+                    if place != taken:
+                        kept.append(place)
+                        taken = other
+                places = np.array(kept, np.int64)
+            others = right[places]
+            after = right[others]
+            ids[places], alive[others], right[places] = new, False, after
+            inner = after < count
+            left[after[inner]] = places[inner]
+            before = left[places]
+            put(before[before >= 0], places[before >= 0])
+            put(places[inner], after[inner])
+        return ids[alive]
+
     def _ids(self, word: bytes) -> bytes:
-        if len(word) > 64:  # long runs of one symbol: the heap of candidates would be all of it
-            edges = [0, *self.cuts(word), len(word)]
-            return b"".join(self._merged((word[a:b], b == len(word))) for a, b in zip(edges, edges[1:], strict=False))
         edges = [0, *self.cuts(word), len(word)]
-        return b"".join([self.fragments[word[a:b], b == len(word)] for a, b in zip(edges, edges[1:], strict=False)])
+        parts = [(word[a:b], b == len(word)) for a, b in zip(edges, edges[1:], strict=False)]
+        return b"".join([self.fragments[p] if len(p[0]) <= SHORT else self._merged(p) for p in parts])
 
     def _word(self, word: str) -> bytes:
         return self._ids(word.encode())
@@ -152,7 +224,7 @@ class Codec:
             for found in [*self.special.finditer(piece), None]:
                 part = piece[at : found.start()] if found else piece[at:]
                 if part:
-                    yield self._other(part) if PLAIN.search(part) else self._plain(part)
+                    yield self._plain(part) if self.plain and not PLAIN.search(part) else self._other(part)
                 if found:
                     yield self.special_ids[found[0]]
                     at = found.end()

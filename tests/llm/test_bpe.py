@@ -64,3 +64,36 @@ def test_table(spark):
     assert sorted((str(r.doc_id), r.ids_sha256) for r in found) == expected
     assert all(len(r.ids) == 4 * r.n_tokens for r in found)
     assert bpe.encode_documents(empty(spark), PATH).count() == 0
+
+
+def test_long_fragments_equal_the_library(codec):
+    import time
+
+    library = Tokenizer.from_file(PATH)
+    draw = random.Random(8)
+    texts = ["".join(draw.choice(pool) for _ in range(n)) for pool, n in (("abcdefghijklmnopqrstuvwxyz", 40_000), ("a", 5_001), ("ab", 3_000), ("the", 2_000), ("aeiou", 777), ("0123456789abcdef/+", 20_000))]
+    assert codec.ordered and codec.plain
+    for text in texts:
+        assert ids_of(codec, text) == library.encode(text, add_special_tokens=False).ids
+    text = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    start = time.time()
+    found = ids_of(codec, text)
+    assert time.time() - start < 8 and found == library.encode(text, add_special_tokens=False).ids
+    assert all(len(w) <= bpe.SHORT for w in codec.words)
+
+
+def test_other_files_are_refused_or_read_by_their_own_rules(tmp_path):
+    import json
+
+    with pytest.raises(ValueError):
+        bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]
+    other = str(tmp_path / "cased.json")
+    with open(other, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    cased, library = bpe.Codec(other), Tokenizer.from_file(other)
+    assert not cased.plain
+    for text in samples()[:60] + ["Mixed CASE Words"]:
+        assert ids_of(cased, text) == library.encode(text, add_special_tokens=False).ids
