@@ -252,15 +252,24 @@ def render(width: int, height: int, frames: Iterator[Frame]) -> Iterator[tuple[i
 
 def histogram(rgba: np.ndarray) -> np.ndarray:
     """Counts of the opaque pixels in ``BINS`` bins for each of red, green and blue."""
-    colours = rgba[rgba[..., 3] > 0][:, :3] // (256 // BINS)
-    return np.concatenate([np.bincount(colours[:, c], minlength=BINS) for c in range(3)])
+    seen = rgba[rgba[..., 3] > 0]
+    counts = [np.bincount(seen[:, c], minlength=256).reshape(BINS, -1).sum(axis=1) for c in range(3)]
+    return np.concatenate(counts)
 
 
-def _grey_histogram(f: Frame) -> np.ndarray:
-    """``histogram`` of a frame drawn whole on an empty canvas, from its samples' counts."""
-    counts = np.bincount(f.samples.ravel(), minlength=256)[: len(f.palette)]
-    bins = f.palette // (256 // BINS)
-    return np.concatenate([np.bincount(bins[:, c], weights=counts, minlength=BINS) for c in range(3)]).astype(np.int64)
+def timed_frames(media: bytes, each=lambda frame: None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(start, delay, RGBA canvas, histogram) of each rendered frame; ``each`` sees the stored frames."""
+
+    def read() -> Iterator[Frame]:
+        for frame in frames:
+            each(frame)
+            yield frame
+
+    width, height, frames = decode(media)
+    start = 0
+    for delay, canvas in render(width, height, read()):
+        yield start, delay, canvas, histogram(canvas)
+        start += delay
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -272,30 +281,37 @@ def digest(text: str | None) -> tuple:
     """Stores one text and reads it back; the values of ``media_digests`` but the id."""
     n_bytes, payload = payload_of(text)
     media = encode(payload)
-    size, sha, tail, count, duration, colours = 0, hashlib.sha256(), b"", 0, 0, np.zeros(3 * BINS, np.int64)
-    for f in decode(media)[2]:
-        read = f.samples.tobytes()
-        size, tail, count, duration = size + len(read), (tail + read)[-16:], count + 1, duration + f.delay
-        sha.update(read)
-        colours += _grey_histogram(f)
-    feature = f"frames={count};centiseconds={duration};rgb{BINS}=" + ",".join(map(str, colours.tolist()))
-    return n_bytes, size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature
+    size, sha, tail = 0, hashlib.sha256(), b""
+
+    def read(frame: Frame) -> None:
+        nonlocal size, tail
+        stored = frame.samples.tobytes()
+        size, tail = size + len(stored), (tail + stored)[-16:]
+        sha.update(stored)
+
+    frames = [(start, delay, seen.tolist()) for start, delay, _, seen in timed_frames(media, read)]
+    colours = [sum(column) for column in zip(*(seen for _, _, seen in frames), strict=True)]
+    feature = f"frames={len(frames)};centiseconds={sum(d for _, d, _ in frames)};rgb{BINS}=" + ",".join(map(str, colours))
+    told = [dict(zip(("start_cs", "delay_cs", "histogram"), f, strict=True)) for f in frames]
+    return n_bytes, size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, told
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Each document's text stored as GIF and read back, as digests."""
+    """Each document's text stored as GIF and read back, as digests, and its rendered frames' times and
+    histograms; the feature sums them up."""
     ship(docs.sparkSession)
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"]
+    frame = pa.struct([("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("histogram", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             rows = [digest(value.as_py()) for value in batch.column(1)]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(frame)]
             made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", *names])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, frames array<struct<start_cs: bigint, delay_cs: int, histogram: array<bigint>>>"
     return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -325,12 +341,9 @@ def frame_table(media: DataFrame, key: str, column: str = "media") -> DataFrame:
             for k, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if not value.is_valid:
                     continue
-                width, height, frames = decode(value.as_py())
-                start = 0
-                for i, (delay, canvas) in enumerate(render(width, height, frames)):
-                    row = {key: k, "frame": i, "start_cs": start, "delay_cs": delay, "width": width, "height": height,
-                           "rgba": canvas.tobytes(), "histogram": histogram(canvas).tolist()}
-                    start += delay
+                for i, (start, delay, canvas, seen) in enumerate(timed_frames(value.as_py())):
+                    row = {key: k, "frame": i, "start_cs": start, "delay_cs": delay, "width": canvas.shape[1], "height": canvas.shape[0],
+                           "rgba": canvas.tobytes(), "histogram": seen.tolist()}
                     yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema

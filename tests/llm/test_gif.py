@@ -131,4 +131,17 @@ def test_long_texts_take_several_frames():
     _, _, frames = gif.decode(gif.encode(payload))
     found = list(frames)
     assert len(found) == 3 and b"".join(f.samples.tobytes() for f in found) == payload
-    assert np.array_equal(gif._grey_histogram(found[0]), gif.histogram(next(gif.render(192, 256, iter(found[:1])))[1]))
+
+
+def test_features_come_from_rendered_frames():
+    text = "abc é " * 15_000
+    _, payload = gif.payload_of(text)
+    told = gif.digest(text)
+    rows = len(payload) // gif.WIDTH
+    canvas, expected = np.zeros((gif.ROWS, gif.WIDTH), int), []
+    for top in range(0, rows, gif.ROWS):  # a shorter last frame leaves what the frame before drew
+        part = np.frombuffer(payload[top * gif.WIDTH : (top + gif.ROWS) * gif.WIDTH], np.uint8).reshape(-1, gif.WIDTH)
+        canvas[: len(part)] = part
+        expected.append(np.bincount(canvas.ravel() // 64, minlength=4).tolist() * 3)
+    assert [f["histogram"] for f in told[-1]] == expected and [f["start_cs"] for f in told[-1]] == [4 * i for i in range(len(expected))]
+    assert told[-2].endswith(",".join(str(sum(c)) for c in zip(*expected, strict=True)))
