@@ -75,3 +75,42 @@ def test_empty_tables(spark):
     assert ann.search(table(spark, []), 100).count() == 0
     assert ann.search(table(spark, [(1, [1.0, 2.0])]), 100).count() == 0
     assert ann.search(table(spark, [(100, [1.0, 2.0])]), 100).count() == 0
+
+
+def test_lengths_are_searched_by_themselves(spark):
+    draw = np.random.default_rng(4)
+    short, long = draw.standard_normal((40, 3)), draw.standard_normal((60, 5))
+    vectors = [(i, v) for i, v in enumerate(short)] + [(100 + i, v) for i, v in enumerate(long)]
+    found = {}
+    for r in ann.search(table(spark, vectors), 20).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(found) == {0, 20, 100, 120, 140} and all(len(v) == 10 for v in found.values())
+    assert all((v < 100) == (q < 100) for q, near in found.items() for v in near)
+
+
+def test_the_visited_share_falls_as_rows_grow():
+    draw = np.random.default_rng(6)
+    shares = []
+    for rows in (2_000, 30_000):
+        x = draw.standard_normal((rows, 16))
+        index = ann.build(x[:2000])
+        probes = x[:60]
+        apart = ((probes[:, None] - x[None]) ** 2).sum(axis=2)
+        near = np.argsort(apart, axis=1, kind="stable")[:, 1:11]
+        ann.calibrate(index, probes, [x[n] for n in near])
+        held = [ann.Shard(index, t, np.arange(rows), x, 10) for t in range(ann.TABLES)]
+        seen = hits = 0
+        for q in range(60, 160):
+            chances = index.chances(x[q : q + 1])[0]
+            visited = set(np.concatenate([h.ids[h.visited(chances[t])] for t, h in enumerate(held)]).tolist())
+            true = np.argsort(((x[q] - x) ** 2).sum(axis=1), kind="stable")[1:11]
+            seen, hits = seen + len(visited), hits + len(visited & set(true.tolist()))
+        assert hits / 1000 >= 0.9
+        shares.append(seen / 100 / rows)
+    assert shares[1] < shares[0] and shares[1] < 0.2
+
+
+def test_hot_buckets_are_split_into_bounded_shards():
+    place, tables = ann._plan([(0, 3, 200_000), (0, 5, 10), (1, 3, 200_010)], 200_010)
+    assert len(tables) == sum(p for _, p in {v for v in place.values()}) and place[0, 3][1] == -(-200_000 // int(max(ann.SHARD, 200_010 * 2 / 64)))
+    assert [t for t in tables] == sorted(tables)
