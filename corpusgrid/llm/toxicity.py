@@ -3,9 +3,9 @@
 Two zstandard dictionaries are trained with zstandard's own trainer, one on ordinary text and one on
 toxic text. Every window of a text (a word with its spaces; longer words are cut every ``WINDOW``
 bytes) is compressed with each, and the difference of the two lengths is the window's saving.
-Thresholds are calibrated: a logistic curve over a document's largest and summed savings and its
-numbers of windows that save at least 6, 10, ... bytes, fitted on labelled rows whose half of the
-sample the dictionaries did not see.
+Thresholds are calibrated: a logistic curve over a document's largest saving, its number of windows and
+its numbers of windows that save at least 6, 10, ... bytes, as such and against its length, fitted on
+labelled rows whose half of the sample the dictionaries did not see.
 
 What makes small windows tell:
 
@@ -15,7 +15,8 @@ What makes small windows tell:
 * The ordinary dictionary is the larger one (``SIZES``). What is common in both kinds of text is in
   both and saves nothing; what the toxic one alone holds is common there and rare elsewhere.
 * The trainer takes its segments from stretches of its input, so the windows are shuffled first:
-  large groups of copies would otherwise fill whole stretches.
+  large groups of copies would otherwise fill whole stretches. What it picks still hangs on the order,
+  so ``PAIRS`` pairs are trained on different orders, and a window's saving is their mean.
 
 The fit takes at most about ``SAMPLE`` labelled documents of either class and about ``BYTES`` bytes
 of their windows, drawn by hashes; only these windows and the sample's features reach the driver.
@@ -47,6 +48,8 @@ from corpusgrid.runtime import cut, ship, spread
 SAMPLE, BYTES = 2400, 4 << 20
 #: Bytes of the ordinary and the toxic dictionary; bytes of the segments that training picks.
 SIZES, SEGMENT = (80 << 10, 12 << 10), 16
+#: Pairs of dictionaries.
+PAIRS = 2
 #: Bytes of a window at most, and bytes that a code looks back on.
 WINDOW, CONTEXT = 48, 8
 #: Savings (bytes) from which windows are counted as features; windows that a worker remembers.
@@ -108,14 +111,14 @@ def _compressor(content: bytes):
 
 @dataclass
 class Dictionaries:
-    """The two trained dictionaries."""
+    """The trained dictionaries of each pair."""
 
-    ordinary: bytes
-    toxic: bytes
+    ordinary: list[bytes]
+    toxic: list[bytes]
 
     def open(self) -> Dictionaries:
-        self._two = _compressor(self.ordinary), _compressor(self.toxic)
-        self._known: dict[bytes, int] = {}
+        self._compressors = [_compressor(d) for d in self.ordinary], [_compressor(d) for d in self.toxic]
+        self._known: dict[bytes, float] = {}
         return self
 
     def learn(self, found: set[bytes]) -> None:
@@ -132,15 +135,15 @@ class Dictionaries:
             ends = np.cumsum(sizes)
             places = np.stack([ends - sizes, sizes], axis=1).astype(np.uint64).tobytes()
             one, two = (
-                np.fromiter(map(len, c.multi_compress_to_buffer(zs.BufferWithSegments(codes, places), threads=1)), np.int64, len(block))
-                for c in self._two
+                sum(np.fromiter(map(len, c.multi_compress_to_buffer(zs.BufferWithSegments(codes, places), threads=1)), np.int64, len(block)) for c in kind)
+                for kind in self._compressors
             )
-            self._known.update(zip(block, (one - two).tolist(), strict=True))
+            self._known.update(zip(block, ((one - two) / len(self.toxic)).tolist(), strict=True))
 
     def features(self, texts: list[str | None]) -> list[list[float]]:
         """Each text's features; the windows of all texts are compressed together."""
         counted, waiting, out = [], set(), []
-        sums = [[0, 0, 0, *[0] * len(LARGE)] for _ in texts]
+        sums = [[0.0, 0, *[0] * len(LARGE)] for _ in texts]
 
         def settle() -> None:
             self.learn(waiting)
@@ -148,14 +151,13 @@ class Dictionaries:
                 own = sums[i]
                 for window, times in found.items():
                     saved = self._known[window]
-                    own[2] += times
+                    own[1] += times
                     if saved > 0:
                         own[0] = max(own[0], saved)
-                        own[1] += saved * times
                         for j, least in enumerate(LARGE):
                             if saved < least:
                                 break
-                            own[3 + j] += times
+                            own[2 + j] += times
             counted.clear()
             waiting.clear()
 
@@ -167,8 +169,9 @@ class Dictionaries:
                 if len(waiting) >= BLOCK:
                     settle()
         settle()
-        for most, total, count, *large in sums:
-            out.append([most / 10, np.log1p(total) / 3, np.log1p(count) / 3, *np.log1p(large).tolist()])
+        for most, count, *large in sums:
+            dense = (np.array(large) / np.sqrt(count + 20)).tolist()
+            out.append([most / 10, float(np.log1p(count)) / 3, *np.log1p(large).tolist(), *dense])
         return out
 
 
@@ -184,15 +187,16 @@ def _pieces(text: str):
 
 
 def train(toxic: list[bytes], ordinary: list[bytes]) -> Dictionaries:
-    """The two dictionaries from windows of either class."""
+    """The dictionaries from windows of either class."""
 
-    def shuffled(found: list[bytes]) -> list[bytes]:
-        return [found[i] for i in np.random.default_rng(3).permutation(len(found))]
+    def trained(found: list[bytes], size: int) -> list[bytes]:
+        orders = (np.random.default_rng(3 + pair).permutation(len(found)).tolist() for pair in range(PAIRS))
+        return [_trained([found[i] for i in order], size) for order in orders]
 
-    return Dictionaries(_trained(shuffled(ordinary), SIZES[0]), _trained(shuffled(toxic), SIZES[1]))
+    return Dictionaries(trained(ordinary, SIZES[0]), trained(toxic, SIZES[1]))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.05) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.02) -> np.ndarray:
     """Weights (last: constant) by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -221,7 +225,7 @@ class Model:
 
 
 #: Weights where the sample is too small to calibrate.
-_PLAIN = np.array([2.0, 0.0, 0.0, *[0.0] * len(LARGE), -3.0])
+_PLAIN = np.array([2.0, 0.0, *[0.0] * (2 * len(LARGE)), -3.0])
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
