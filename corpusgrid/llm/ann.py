@@ -49,7 +49,7 @@ TABLES, SAMPLE, PROBES, AIM, SEED = 2, 2000, 100, 0.96, 17
 #: the projections, outermost cells of coarse buckets and of buckets.
 DIRECTIONS, LEADING, CELL, COARSE, EDGE = 24, 5, 1.6, 3, 15
 #: Rows of a shard at least and at most; queries taken at once; directions that narrow at once.
-SHARD, LARGEST, BLOCK, STEP = 4096, 65_536, 64, 7
+SHARD, LARGEST, BLOCK, STEP = 8192, 65_536, 64, 7
 
 
 @dataclass

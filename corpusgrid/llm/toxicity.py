@@ -53,9 +53,9 @@ PAIRS = 2
 #: Bytes of a window at most, and bytes that a code looks back on.
 WINDOW, CONTEXT = 48, 8
 #: Savings (bytes) from which windows are counted as features; windows that a worker remembers.
-LARGE, KNOWN = (6, 10, 16, 24, 32, 40), 400_000
+LARGE, KNOWN = (6, 10, 16, 24, 32, 40), 200_000
 #: Score from which a document counts as toxic; bytes of text taken at once; windows compressed at once.
-THRESHOLD, PIECE, BLOCK = 0.7, 1 << 20, 50_000
+THRESHOLD, PIECE, BLOCK = 0.7, 1 << 20, 20_000
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ODD = (np.arange(1, CONTEXT + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -88,13 +88,15 @@ def _trained(found: list[bytes], size: int) -> bytes:
 
     if not found:
         return b" " * 8
-    codes, sizes = _codes(found)
-    ends = np.cumsum(sizes)
-    samples = [codes[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    samples = []
+    for at in range(0, len(found), BLOCK):
+        codes, sizes = _codes(found[at : at + BLOCK])
+        ends = np.cumsum(sizes)
+        samples += [codes[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
     try:
         return zs.train_dictionary(size, samples, k=SEGMENT, d=8).as_bytes()
     except zs.ZstdError:  # too little text to train on: the text itself
-        return codes[-size:].rjust(8)
+        return b"".join(samples)[-size:].rjust(8)
 
 
 def _compressor(content: bytes):
