@@ -46,6 +46,13 @@ class Engine:
         """Replaces this collection's partition of the store."""
         rows = self.concepts.withColumn("bundle_root", F.lit(self.root))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bundle_root").parquet(f"{store}/concepts")
+        edges = graph.stored_edges(self.concepts, self.relations).withColumn("bundle_root", F.lit(self.root))
+        edges.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bundle_root").parquet(f"{store}/edges")
+
+    @staticmethod
+    def load_edges(spark: SparkSession, store: str, root: str) -> DataFrame:
+        """The edges that ``ingest`` stored, dangling ones marked."""
+        return spark.read.parquet(f"{store}/edges").filter(F.col("bundle_root") == root).drop("bundle_root")
 
     def sync(self, store: str) -> dict:
         """Brings the stored collection up to this one's content; counts of what changed."""
@@ -68,6 +75,11 @@ class Engine:
     def nodes(self) -> DataFrame:
         return graph.degrees(self.concepts.select("id", "path", "type", F.coalesce("title", "id").alias("title"), "keywords", "status", "tags"), self.edges)
 
+    @property
+    def stats(self) -> DataFrame:
+        """One row: nodes, orphans, edges and edges by kind."""
+        return graph.counts(self.concepts, self.edges)
+
     @property
     def dangling(self) -> DataFrame:
         return graph.dangling(self.concepts)
@@ -84,7 +96,7 @@ class Engine:
     def show(self, target: str) -> DataFrame:
         target = navigation.normalize_target(target, self.root)
         navigation.require(self.concepts, target)
-        return navigation.show(self.concepts, target, "policy")
+        return navigation.show(self.concepts, target, "policy", self.edges)
 
     def backlinks(self, target: str) -> DataFrame:
         navigation.require(self.concepts, target)
@@ -120,13 +132,16 @@ class Engine:
             case "semantic":
                 if self.embeddings is None or vector is None:
                     raise GridError("INVALID_REQUEST", "semantic search needs embeddings and a query vector")
-                return semantic.knn(self.embeddings, vector, top_k)
+                hits = semantic.knn(self.embeddings, vector, top_k)
+                shown = navigation.visible(titled, "lexical").select("id", "title", "path", "type")
+                return shown.join(F.broadcast(hits), "id").select("id", "title", "path", "type", "score").orderBy(F.desc("score"), "id")  # at most 100 rows
         raise GridError("INVALID_MODE", f"mode must be one of {', '.join(MODES)}")
 
     def explain(self, query: str, target: str, mode: str) -> DataFrame:
         navigation.require(self.concepts, target)
         titled = self.concepts.withColumn("title", F.coalesce("title", "id"))
-        calls = {"keyword": explain.explain_keyword, "fuzzy": explain.explain_fuzzy, "bm25": explain.explain_lexical, "hybrid_bm25": explain.explain_hybrid}
+        calls = {"keyword": explain.explain_keyword, "fuzzy": explain.explain_fuzzy, "bm25": explain.explain_lexical, "hybrid_bm25": explain.explain_hybrid,
+                 "hybrid_keyword": explain.explain_hybrid_keyword, "bm25_total": explain.explain_lexical_total}
         if mode not in calls:
             raise GridError("INVALID_MODE", f"explain knows {', '.join(calls)}")
         return calls[mode](self.concepts if mode in ("keyword", "bm25") else titled, query, target)

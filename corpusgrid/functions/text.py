@@ -1,11 +1,11 @@
-"""Tokens, rounding and snippets as built-in expressions; Markdown stripping as a vectorised function."""
+"""Tokens, rounding, snippets and Markdown stripping as built-in expressions."""
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A token is a run of letters and numbers.
 SEPARATOR = r"[^\p{L}\p{N}]+"
@@ -36,50 +36,31 @@ def snippet(body: Column, terms: Column) -> Column:
     return F.when(first.isNotNull(), F.concat(head, F.when(end < whole, F.lit("…")).otherwise(F.lit(""))))
 
 
+def marks(begin: str = "(?m:^)", end: str = r"\Z") -> str:
+    """Markdown's marks as one pattern; its three groups are what stays of a match: the text of a fence,
+    the label of a link or image, the rest of an autolink that is not closed. Alternatives are tried in
+    this order at each place, so a scan from left to right needs no state."""
+    return "|".join([
+        rf"```[^\n]*\n((?s:.*?))(?:```(?:[^\n]*\n)?|{end})",
+        rf"```[^\n]*{end}",
+        r"!?\[([^\]]*)\]\([^)]*\)",
+        r"<https?://[^>]*>",
+        r"<(https?://)",
+        begin + "#{1,6} ",
+        r"[*_~`]",
+    ])
+
+
+_MARKS = re.compile(marks())
+
+
 def plain_text(body: str) -> str:
     """Markdown without its marks: fence lines, link targets, autolinks, heading and emphasis signs go;
     fenced text, labels and everything else stay."""
-    out: list[str] = []
-    at, size = 0, len(body)
-    while at < size:
-        char = body[at]
-        if body.startswith("```", at):
-            line = body.find("\n", at)
-            if line < 0:
-                break
-            close = body.find("```", line + 1)
-            if close < 0:
-                out.append(body[line + 1 :])
-                break
-            out.append(body[line + 1 : close])
-            line = body.find("\n", close + 3)
-            at = line + 1 if line >= 0 else close + 3
-            continue
-        if char == "[" or body.startswith("![", at):
-            label = at + (2 if char == "!" else 1)
-            close = body.find("]", label)
-            paren = body.find(")", close + 2) if close >= 0 and body.startswith("(", close + 1) else -1
-            if paren >= 0:
-                out.append(body[label:close])
-                at = paren + 1
-                continue
-        elif char == "<" and body.startswith(("<http://", "<https://"), at):
-            close = body.find(">", at)
-            at = close + 1 if close >= 0 else at + 1
-            continue
-        elif char == "#" and (at == 0 or body[at - 1] == "\n"):
-            marks = at
-            while marks < size and body[marks] == "#":
-                marks += 1
-            if marks - at <= 6 and body.startswith(" ", marks):
-                at = marks + 1
-                continue
-        if char not in "*_~`":
-            out.append(char)
-        at += 1
-    return "".join(out)
-
-
-@F.pandas_udf(T.StringType())
-def strip_markdown(body: pd.Series) -> pd.Series:
-    return body.map(plain_text, na_action="ignore")
+    return _MARKS.sub(lambda m: "".join(filter(None, m.groups())), body)
+
+
+def strip_markdown(body: Column) -> Column:
+    """``plain_text`` as a built-in expression."""
+    plain = F.regexp_replace(body, F.lit(marks("(?dm:^)", r"\z")), F.lit("$1$2$3"))
+    return F.when(body.rlike(r"[\[<#*_~`]"), plain).otherwise(body)

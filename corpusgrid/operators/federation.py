@@ -6,8 +6,9 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusgrid.errors import GridError, check_top_k
 
@@ -38,6 +39,14 @@ def federated_search(sources: dict[str, DataFrame], search: Callable[[DataFrame]
     return hits.orderBy(F.desc("score"), "source", "id").limit(check_top_k(top_k))
 
 
+def federated_by(hits: DataFrame, source: Column, top_k: int = 10) -> DataFrame:
+    """``federated_search`` where one table holds all sources: ``hits`` (id, score, ...) are each source's
+    own scores from one scan, the top of each source is taken, and these are merged."""
+    own = W.partitionBy("source").orderBy(F.desc("score"), "id")
+    ranked = hits.withColumn("source", F.coalesce(source, F.lit(""))).withColumn("_rank", F.row_number().over(own))
+    return ranked.filter(F.col("_rank") <= check_top_k(top_k)).drop("_rank").orderBy(F.desc("score"), "source", "id").limit(top_k)
+
+
 def federated_list(sources: dict[str, DataFrame], listed: Callable[[DataFrame], DataFrame], limit: int = 20) -> DataFrame:
     return tagged({alias: listed(df) for alias, df in sources.items()}).orderBy("source", "id").limit(limit)
 

@@ -10,7 +10,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from corpusgrid.errors import GridError
 from corpusgrid.runtime import cut
@@ -21,9 +20,11 @@ DEEPEST = 5
 
 
 def first_edges(candidates: DataFrame) -> DataFrame:
-    """One edge for each (from, to, source), the first by ``seq``."""
-    order = W.partitionBy("from", "to", "source").orderBy("seq")
-    return candidates.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    """One edge for each (from, to, source), the first by ``seq`` (then by its other columns)."""
+    keys = ("from", "to", "source")
+    rest = ["seq", *(c for c in candidates.columns if c not in (*keys, "seq"))]
+    first = candidates.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_first"))
+    return first.select(*[F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in candidates.columns])
 
 
 def _link_rows(concepts: DataFrame) -> DataFrame:
@@ -81,6 +82,26 @@ def dangling(concepts: DataFrame) -> DataFrame:
     return loose.unionByName(entries.select("id", F.col("entry").alias("raw"), F.col("entry").alias("target"), F.lit(None).cast("string").alias("resolved")))
 
 
+def stored_edges(concepts: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """What a store keeps: every edge, and every link or entry that is none, marked ``dangling`` (its
+    ``to`` is the path it resolves to, else what is written)."""
+    made = build_edges(concepts, relations).select("from", "to", "source", "raw", F.lit(False).alias("dangling"))
+    loose = dangling(concepts).select(
+        F.col("id").alias("from"), F.coalesce("resolved", "target").alias("to"), F.lit("link").alias("source"), "raw", F.lit(True).alias("dangling")
+    )
+    return made.unionByName(loose.distinct())
+
+
+def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, orphans, and edges by kind (a map)."""
+    kinds = edges.groupBy("source").count().agg(
+        F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("edges"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "count")))).alias("kinds")
+    )
+    whole = nodes.agg(F.count(F.lit(1)).alias("nodes"))
+    alone = orphans(nodes, edges).agg(F.count(F.lit(1)).alias("orphans"))
+    return whole.crossJoin(alone).crossJoin(kinds)  # one row each
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` (id, ...) with in_degree and out_degree: one shuffle for both ends."""
     ends = edges.select(F.explode(F.array(
@@ -107,9 +128,8 @@ def _followed(edges: DataFrame, relations) -> DataFrame:
 
 def backlinks(edges: DataFrame, nodes: DataFrame, target) -> DataFrame:
     """Concepts with an edge of any kind to ``target``, once each: id, title, source."""
-    order = W.partitionBy("from").orderBy("seq", "source")
-    first = edges.filter(F.col("to") == target).withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    return first.select(F.col("from").alias("id"), "source").join(nodes.select("id", "title"), "id")
+    first = edges.filter(F.col("to") == target).groupBy(F.col("from").alias("id")).agg(F.min(F.struct("seq", "source")).alias("_first"))
+    return first.select("id", F.col("_first.source").alias("source")).join(nodes.select("id", "title"), "id")
 
 
 def neighbors(edges: DataFrame, target, relations=()) -> DataFrame:
@@ -153,7 +173,7 @@ def relate(edges: DataFrame, root, direction: str = "both", depth: int = 1, rela
     return nodes, first.select("from", "to", "source", "raw", "depth")
 
 
-def shortest_path(edges: DataFrame, start, end, relations=(), longest: int = 1000) -> list | None:
+def shortest_path(edges: DataFrame, start, end, relations=()) -> list | None:
     """Ids from ``start`` to ``end`` along directed edges, or None. Among shortest paths each node
     keeps its first parent: by the parent's place in the search, then by edge ``seq``."""
     if start == end:
@@ -165,7 +185,7 @@ def shortest_path(edges: DataFrame, start, end, relations=(), longest: int = 100
     nowhere = F.array().cast(f"array<struct<seq:bigint,id:{kind}>>")
     frontier = _seed(edges, start).withColumn("place", nowhere)
     seen, layers = frontier.select("id"), []
-    for _ in range(longest):
+    while True:  # each layer is new nodes only, so the search ends
         reached = frontier.withColumnRenamed("id", "parent").join(step, "parent")
         best = reached.groupBy("id").agg(F.min(F.struct("place", "seq", "parent")).alias("b")).join(seen, "id", "left_anti")
         place = F.concat("b.place", F.array(F.struct(F.col("b.seq").cast("bigint").alias("seq"), "id")))
@@ -177,8 +197,6 @@ def shortest_path(edges: DataFrame, start, end, relations=(), longest: int = 100
             break
         frontier = layer.select("id", "place")
         seen = seen.unionByName(layer.select("id"))
-    else:
-        return None
     path = [end]
     for layer in reversed(layers):
         path.append(layer.filter(F.col("id") == path[-1]).first()["parent"])

@@ -2,15 +2,17 @@
 
 A document's term frequency is the weighted sum over its fields; its length counts the tokens of all
 fields; ``idf = ln((N - n + 0.5) / (n + 0.5))`` with a floor. Terms are known on the driver, so each
-document's frequencies come from one pass over its token arrays, without exploding any posting; the
-shuffle carries one row of statistics.
+document's frequencies come from one pass over its token arrays, without exploding any posting. The
+same pass observes the statistics of all documents (counts and a sum, which reach the driver as one
+row) and writes a few numbers for each document that holds a term; the others are not written.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusgrid.errors import check_top_k
@@ -60,21 +62,27 @@ def frequencies(concepts: DataFrame, terms: Terms, analyse: Callable[[Column], C
     return held.select("id", length.cast("double").alias("tokens"), *shown, *where, excluded.alias("excluded"))
 
 
-def contributions(counted: DataFrame, terms: Terms) -> DataFrame:
-    """``counted`` with c_i, what each term adds; statistics cover all documents."""
+def contributions(counted: DataFrame, terms: Terms, also: Column | None = None) -> DataFrame:
+    """The documents of ``counted`` that hold a positive term (and those that are ``also`` wanted) with
+    c_i, what each term adds; statistics cover all documents."""
     n = len(terms.positive)
-    # a few numbers for each document, written once: the texts are tokenized in one pass only
-    counted = cut(counted)
-    stats = counted.agg(
-        F.count(F.lit(1)).cast("double").alias("_n"), F.avg("tokens").alias("_mean"), *[F.sum((F.col(f"tf_{i}") > 0).cast("double")).alias(f"_df_{i}") for i in range(n)]
+    held = [F.col(f"tf_{i}") > 0 for i in range(n)]
+    seen = Observation()
+    watched = counted.observe(
+        seen, F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), *[F.sum(h.cast("long")).alias(f"df_{i}") for i, h in enumerate(held)]
     )
-    joined = counted.crossJoin(F.broadcast(stats))  # one row
+    wanted = also if also is not None else F.lit(False)
+    for h in held:
+        wanted = wanted | h
+    kept = cut(watched.filter(wanted))
+    stats = seen.get
+    count, mean = float(stats["n"]), (stats["tokens"] or 0.0) / max(1, stats["n"])
     def part(i):
-        df, tf = F.col(f"_df_{i}"), F.col(f"tf_{i}")
-        idf = F.log((F.col("_n") - df + 0.5) / (df + 0.5))
-        idf = F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf)
-        return F.when(tf > 0, idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("tokens") / F.col("_mean")))).otherwise(F.lit(0.0))
-    return joined.select(*counted.columns, *[part(i).alias(f"c_{i}") for i in range(n)])
+        df, tf = float(stats[f"df_{i}"] or 0), F.col(f"tf_{i}")
+        idf = math.log((count - df + 0.5) / (df + 0.5))
+        idf = FLOOR if idf <= 0 else idf
+        return F.when(tf > 0, F.lit(idf) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("tokens") / (mean or 1.0)))).otherwise(F.lit(0.0))
+    return kept.select(*counted.columns, *[part(i).alias(f"c_{i}") for i in range(n)])
 
 
 def raw_scores(concepts: DataFrame, query: str, analyse=None, analyzer: Analyzer | None = None, aliases: tuple[str, ...] = ()) -> DataFrame:

@@ -23,12 +23,22 @@ def list_concepts(concepts: DataFrame, types=(), tags=(), status: str | None = N
     return found.select("id", "title", "path", "type", "status", "tags").orderBy("id").limit(limit if limit > 0 else LISTED)
 
 
-def show(concepts: DataFrame, target, policy: str | None = None) -> DataFrame:
-    """One concept; the body of a protected one (column ``policy``) is withheld."""
+def show(concepts: DataFrame, target, policy: str | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """One concept. The body of a protected one (column ``policy``) is withheld, and ``privacy_state`` says
+    so; links keep raw, target and whether they resolve; with ``edges``, ``backlinks`` lists the concepts
+    that point here, once each, by their first edge."""
     found = concepts.filter(F.col("id") == target)
     if policy and policy in concepts.columns:
-        protected = F.col(policy) != "none"
+        protected = F.coalesce(F.col(policy), F.lit("none")) != "none"
         found = found.withColumn("body", F.when(protected, F.lit(None)).otherwise(F.col("body")))
+        found = found.withColumn("privacy_state", F.when(protected, "withheld").otherwise("clear"))
+    if "links" in concepts.columns:
+        shown = F.transform("links", lambda x: F.struct(x["raw"].alias("raw"), x["target"].alias("target"), x["resolves_in_bundle"].alias("resolves_in_bundle")))
+        found = found.withColumn("links", shown)
+    if edges is not None:
+        first = edges.filter(F.col("to") == target).groupBy("from").agg(F.min("seq").alias("seq"))
+        held = first.agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "from"))), lambda x: x["from"]).alias("backlinks"))
+        found = found.crossJoin(F.broadcast(held))  # one row each
     return found
 
 

@@ -8,6 +8,7 @@ import hmac
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusgrid.errors import GridError
+from corpusgrid.sources.markdown import fences
 
 #: The envelope's prefix, the prefixes of keyed names, policies.
 ENVELOPE, TOKEN, HASH = "enc:v1:", "tok", "hash"
@@ -118,40 +120,50 @@ def query_aliases(query: str, keys: dict[str, bytes]) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-#: An inline directive: ``{{private:POLICY key_id="K"}}...{{/private:POLICY}}`` within a line.
-_OPEN = re.compile(r"\{\{private:([a-z]+)((?:\s+[a-z_]+=\"[^\"]*\")*)\s*\}\}")
+#: The word that an inline directive begins with: ``{{private:POLICY key_id="K"}}...{{/private:POLICY}}``.
+MARKER = "private"
+_ATTRIBUTE = re.compile(r'\s+([a-z_]+)="([^"]*)"')
 
 
-def inline_spans(body: str) -> tuple[list[tuple[str, str, int, int]], list[str]]:
+@lru_cache
+def _tags(marker: str) -> re.Pattern:
+    return re.compile(rf"\{{\{{(?P<ends>/?){marker}:(?P<policy>[a-z]+)(?P<attributes>(?:\s+[a-z_]+=\"[^\"]*\")*)\s*\}}\}}")
+
+
+def inline_spans(body: str, marker: str = MARKER) -> tuple[list[tuple[str, str, int, int]], list[str]]:
     """(policy, key_id, start, end) of the protected stretches, and warnings. Fenced lines and inline
-    code are text; a directive opens and closes on one line and does not nest."""
-    spans, warnings, fence, base = [], [], "", 0
-    for line in body.splitlines(keepends=True):
-        bare = line.strip()
-        if fence:
-            fence = "" if bare.startswith(fence) else fence
-        elif bare.startswith(("```", "~~~")):
-            fence = bare[:3]
-        else:
-            at = 0
-            while match := _OPEN.search(line, at):
-                at = match.end()
-                if line.count("`", 0, match.start()) % 2:
-                    continue
-                policy, attributes = match[1], dict(re.findall(r'([a-z_]+)="([^"]*)"', match[2]))
-                close = f"{{{{/private:{policy}}}}}"
-                end = line.find(close, at)
-                if policy not in POLICIES[1:] or not attributes.get("key_id"):
-                    warnings.append(f"invalid directive {policy}")
-                elif end < 0:
-                    warnings.append(f"unclosed directive {policy}")
-                elif _OPEN.search(line, at, end):
-                    warnings.append(f"nested directive {policy}")
-                    at = end + len(close)
-                else:
-                    spans.append((policy, attributes["key_id"], base + at, base + end))
-                    at = end + len(close)
-        base += len(line)
+    code are text; a directive opens and closes on one line and does not nest.
+
+    All tags are found first; tags of one line, outside fences, are then paired: an opening one with the
+    closing one that stands next after it.
+    """
+    blocked = iter([*fences(body, r"[^\S\n]*", "```|~~~"), (len(body) + 1,) * 2])
+    begin, end = next(blocked)
+    lines: dict[int, list[re.Match]] = {}
+    for tag in _tags(marker).finditer(body):
+        while tag.start() >= end:
+            begin, end = next(blocked)
+        if tag.start() < begin and "\n" not in tag[0]:
+            lines.setdefault(body.rfind("\n", 0, tag.start()) + 1, []).append(tag)
+    spans, warnings = [], []
+    for line, tags in lines.items():
+        done = line  # where the search for opening tags goes on
+        for i, tag in enumerate(tags):
+            if tag["ends"] or tag.start() < done or body.count("`", line, tag.start()) % 2:
+                continue
+            policy, key_id = tag["policy"], dict(_ATTRIBUTE.findall(tag["attributes"])).get("key_id")
+            if policy not in POLICIES[1:] or not key_id:
+                warnings.append(f"invalid directive {policy}")
+                continue
+            closing = next((t for t in tags[i + 1 :] if t["ends"]), None)
+            if closing is None or closing["policy"] != policy:
+                warnings.append(f"unclosed directive {policy}")
+                continue
+            done = closing.end()
+            if tags[i + 1] is closing:
+                spans.append((policy, key_id, tag.end(), closing.start()))
+            else:
+                warnings.append(f"nested directive {policy}")
     return spans, warnings
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgrid.functions.text import tokens
+from corpusgrid.functions.text import strip_markdown, tokens
 
 #: Weights of the fields in fuzzy and lexical ranking.
 FUZZY_WEIGHTS = {"title": 1.0, "description": 0.6, "body": 0.3}
@@ -17,7 +17,9 @@ LEXICAL_WEIGHTS = {"title": 10.0, "keywords": 8.0, "description": 4.0, "body": 1
 
 
 def field_tokens(concepts: DataFrame, field: str):
-    """A field's tokens in order; keyword lists are joined by spaces."""
+    """A field's tokens in order; keyword lists are joined by spaces, bodies are read without Markdown's marks."""
+    if field == "body":
+        return tokens(strip_markdown(F.col(field)))
     if dict(concepts.dtypes)[field].startswith("array"):
         return tokens(F.array_join(F.col(field), " "))
     return tokens(F.col(field))

@@ -1,8 +1,8 @@
 """Stored inverted frames: what a repeated query needs, without the texts.
 
-``build`` writes, below one folder, postings of fuzzy fields, tokens of keywords, weighted lexical
-postings and document lengths, sorted by token, so a query's tokens prune row groups; ``Index`` answers
-from them. Phrases and exclusions of phrases need token order and go to the texts.
+``build`` writes, below one folder, postings of fuzzy fields and their vocabulary, tokens of keywords,
+weighted lexical postings and document lengths, sorted by token, so a query's tokens prune row groups;
+``Index`` answers from them. Phrases and exclusions of phrases need token order and go to the texts.
 """
 
 from __future__ import annotations
@@ -14,34 +14,49 @@ from corpusgrid.errors import GridError, check_top_k
 from corpusgrid.functions.text import round4
 from corpusgrid.operators import fuzzy, hybrid, keyword
 from corpusgrid.operators.lexical import B, FLOOR, K1
-from corpusgrid.plans.postings import LEXICAL_WEIGHTS, field_tokens, keyword_tokens, postings
+from corpusgrid.plans.postings import FUZZY_WEIGHTS, LEXICAL_WEIGHTS, field_tokens, keyword_tokens, vocabulary
 from corpusgrid.plans.query_text import parse_terms, required_tokens
+from corpusgrid.runtime import remove
 
 
-def lexical_postings(concepts: DataFrame) -> DataFrame:
-    """token, id, tf (weighted over fields)."""
-    weights = F.create_map(*[F.lit(x) for f, w in LEXICAL_WEIGHTS.items() for x in (f, w)])
-    each = F.array(*[F.struct(F.lit(f).alias("field"), field_tokens(concepts, f).alias("tokens")) for f in LEXICAL_WEIGHTS])
-    rows = concepts.select("id", F.inline(each)).select("id", weights[F.col("field")].alias("w"), F.explode("tokens").alias("token"))
-    return rows.groupBy("token", "id").agg(F.sum("w").alias("tf"))
+def split(concepts: DataFrame) -> DataFrame:
+    """id, each field's tokens in order, and the document's length: what all frames derive from."""
+    fields = [field_tokens(concepts, f).alias(f) for f in LEXICAL_WEIGHTS]
+    held = concepts.select("id", *fields)
+    return held.withColumn("tokens", sum((F.size(f) for f in LEXICAL_WEIGHTS), F.lit(0)).cast("double"))
 
 
-def lengths(concepts: DataFrame) -> DataFrame:
-    """id, tokens of all fields."""
-    return concepts.select("id", sum((F.size(field_tokens(concepts, f)) for f in LEXICAL_WEIGHTS), F.lit(0)).cast("double").alias("tokens"))
+def weighted(held: DataFrame) -> DataFrame:
+    """token, id, tf (weighted over fields), tokens (the document's length)."""
+    each = F.array(*[F.struct(F.lit(w).alias("w"), F.col(f).alias("held")) for f, w in LEXICAL_WEIGHTS.items()])
+    rows = held.select("id", "tokens", F.inline(each)).select("id", "tokens", "w", F.explode("held").alias("token"))
+    return rows.groupBy("token", "id").agg(F.sum("w").alias("tf"), F.first("tokens").alias("tokens"))
+
+
+def lexical_postings(concepts: DataFrame) -> DataFrame:
+    """token, id, tf (weighted over fields)."""
+    return weighted(split(concepts)).drop("tokens")
 
 
 def build(concepts: DataFrame, folder: str) -> None:
-    """Writes the frames, each sorted by token within range partitions."""
-    def put(df: DataFrame, name: str, *keys: str) -> None:
+    """Writes the frames, each sorted by token within range partitions. The texts are tokenized once:
+    their tokens are written first, and all frames derive from them."""
+    spark = concepts.sparkSession
+    split(concepts).write.mode("overwrite").parquet(f"{folder}/split")
+    held = spark.read.parquet(f"{folder}/split")
+
+    def put(df: DataFrame, name: str, *keys: str) -> DataFrame:
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
 
-    put(postings(concepts), "postings", "field", "token")
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(f).alias("held")) for f in FUZZY_WEIGHTS])
+    posted = put(held.select("id", F.inline(each)).select("field", F.explode("held").alias("token"), "id"), "postings", "field", "token")
+    put(vocabulary(posted), "vocabulary", "field", "token")
     put(keyword_tokens(concepts), "keywords", "token")
-    lexical = lexical_postings(concepts).join(lengths(concepts), "id")
-    put(lexical, "lexical", "token")
-    size = lengths(concepts).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("tokens").alias("mean"))
+    put(weighted(held), "lexical", "token")
+    size = held.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("tokens").alias("mean"))
     size.write.mode("overwrite").parquet(f"{folder}/size")
+    remove(spark, f"{folder}/split")
 
 
 def changed(old: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
@@ -53,6 +68,7 @@ class Index:
     def __init__(self, spark: SparkSession, folder: str):
         read = spark.read.parquet
         self.postings, self.keywords, self.lexical, self.size = (read(f"{folder}/{n}") for n in ("postings", "keywords", "lexical", "size"))
+        self.vocabulary = read(f"{folder}/vocabulary")
 
     def keyword(self, query: str, top_k: int = 10) -> DataFrame:
         """id, score and matched keywords; only tokens that a query token begins are read."""
@@ -64,7 +80,7 @@ class Index:
 
     def fuzzy(self, query: str, top_k: int = 10) -> DataFrame:
         """id, score and matched fields."""
-        found = fuzzy.scores(self.postings, query, True).drop("terms")
+        found = fuzzy.scores(self.postings, query, self.vocabulary).drop("terms")
         return found.orderBy(F.desc("score"), "id").limit(check_top_k(top_k))
 
     def bm25(self, query: str, top_k: int = 10) -> DataFrame:

@@ -5,6 +5,7 @@ Each query runs an operator over whole tables; the SQL states the same result in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,18 +14,20 @@ from pyspark.sql import Window as W
 
 from corpusgrid.functions import porter
 from corpusgrid.functions.similarity import similarity
-from corpusgrid.functions.text import round4, strip_markdown, tokens
+from corpusgrid.functions.text import marks, round4, strip_markdown, tokens
 from corpusgrid.operators import audit, explain, export, federation, fuzzy, graph, hybrid, keyword, lexical, metrics, navigation, privacy, semantic, sync
 from corpusgrid.plans import stored
 from corpusgrid.plans.concepts import from_documents
 from corpusgrid.plans.postings import postings, vocabulary
-from corpusgrid.runtime import ship, spread
+from corpusgrid.runtime import checkpoint_dir, ship, spread
 from corpusgrid.sources import assets, bundle, keyed, web
 from corpusgrid.sources.tables import table
 from corpusgrid.streaming import watch
 
 KEYWORDS, PREFIXES, FUZZY, LEXICAL, PHRASE, WITHOUT = "the and", "th an", "worthles statin", "worthless atte", '"of the" idiot', "the -and idiot"
 TARGET, TOP, SECRET = 7, 10, bytes(range(32))
+#: A query whose tokens are like some of the explained document's.
+LIKE = "erntr anous"
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -55,10 +58,13 @@ def _r4(x: str) -> str:
     return f"round(({x}) * 10000) / 10000"
 
 
-CONCEPTS = """concepts AS (
+#: Bodies without Markdown's marks.
+_PLAIN_BODY = f"regexp_replace(text, '{marks('(?m:^)', chr(92) + 'z')}', '{chr(92)}1{chr(92)}2{chr(92)}3', 'g')"
+
+CONCEPTS = f"""concepts AS (
   SELECT doc_id AS id, lang AS type, source, n_chars, text AS body, substr(split_part(text, chr(10), 1), 1, 60) AS title,
     substr(split_part(text, chr(10), 2), 1, 120) AS description,
-    CASE WHEN n_chars < 500 THEN 'draft' WHEN n_chars < 5000 THEN 'stable' END AS status
+    CASE WHEN n_chars < 500 THEN 'draft' WHEN n_chars < 5000 THEN 'stable' END AS status, {_PLAIN_BODY} AS plain
   FROM documents)"""
 
 #: Letters outside ASCII as single bytes, for an edit distance that counts bytes.
@@ -80,6 +86,12 @@ def _similarity(q: str, t: str) -> str:
       ELSE greatest({edit}, CASE WHEN {ascii} THEN {listed} ELSE {sets} END) END"""
 
 
+#: Each field's distinct tokens, bodies without Markdown's marks.
+_FIELDS = " UNION ALL ".join(
+    f"SELECT id, '{f}' AS field, unnest(list_distinct({_tok(c)})) AS token FROM concepts" for f, c in (("title", "title"), ("description", "description"), ("body", "plain"))
+)
+
+
 def _asked(query: str) -> str:
     rows = ", ".join(f"({i}, '{t}')" for i, t in enumerate(query.split()))
     return f"asked(pos, q) AS (VALUES {rows})"
@@ -97,10 +109,9 @@ def _keyword_sql(query: str) -> str:
 
 def _fuzzy_sql(query: str) -> str:
     n = len(query.split())
-    fields = " UNION ALL ".join(f"SELECT id, '{f}' AS field, unnest(list_distinct({_tok(f)})) AS token FROM concepts" for f in ("title", "description", "body"))
     def mean(f):
         return f"coalesce(sum(score) FILTER (WHERE field = '{f}'), 0.0) / {n}"
-    return f"""{_asked(query)}, posted AS ({fields}),
+    return f"""{_asked(query)}, posted AS ({_FIELDS}),
   near AS (SELECT field, token, pos, s FROM (SELECT field, token, pos, q, {_similarity('q', 'token')} AS s FROM (SELECT DISTINCT field, token FROM posted) AS v, asked)
     WHERE s >= 0.55 AND (length(q) >= 3 OR starts_with(token, q))),
   ranked AS (SELECT id, field, pos, token, s AS score, row_number() OVER (PARTITION BY id, field, pos ORDER BY s DESC, token) AS rn
@@ -133,7 +144,7 @@ def _lexical_sql(positive: list[str], negative: list[str] = []) -> str:  # noqa:
         idf = f"CASE WHEN ln((n - df_{i} + 0.5) / (df_{i} + 0.5)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df_{i} + 0.5) / (df_{i} + 0.5)) END"
         parts.append(f"CASE WHEN tf_{i} > 0 THEN {idf} * (tf_{i} * 2.2::DOUBLE) / (tf_{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / mean)) ELSE 0.0::DOUBLE END AS c_{i}")
     total = " + ".join(f"c_{i}" for i in range(len(positive)))
-    return f"""split AS (SELECT id, {_tok('title')} AS tt, {_tok("array_to_string(" + _tok('title') + ", ' ')")} AS tt2, {_tok('description')} AS td, {_tok('body')} AS tb FROM concepts),
+    return f"""split AS (SELECT id, {_tok('title')} AS tt, {_tok("array_to_string(" + _tok('title') + ", ' ')")} AS tt2, {_tok('description')} AS td, {_tok('plain')} AS tb FROM concepts),
   counted AS (SELECT id, CAST(len(tt) + len(tt2) + len(td) + len(tb) AS DOUBLE) AS d, {excluded} AS excluded{shown} FROM split),
   stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(d) AS mean{stats} FROM counted),
   made AS (SELECT counted.*, {', '.join(parts)} FROM counted, stats),
@@ -189,9 +200,6 @@ def doc_tokens_stats(spark, sf_dir):
     return sizes.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"), F.max("n").alias("longest"), F.sum("d").alias("distinct_tokens"))
 
 
-_FIELDS = " UNION ALL ".join(f"SELECT id, '{f}' AS field, unnest(list_distinct({_tok(f)})) AS token FROM concepts" for f in ("title", "description", "body"))
-
-
 @_query(f"""WITH {CONCEPTS}, posted AS ({_FIELDS}) SELECT field, token, count(*) AS documents FROM posted GROUP BY field, token""")
 def vocab_df(spark, sf_dir):
     """Document frequencies of the whole vocabulary, by field."""
@@ -214,11 +222,11 @@ def keyword_explain(spark, sf_dir):
     return explain.explain_keyword(_concepts(spark, sf_dir), PREFIXES, TARGET)
 
 
-@_query(f"""WITH {CONCEPTS}, {_asked(FUZZY)}, words AS (SELECT DISTINCT unnest({_tok('title')}) AS token FROM concepts)
+@_query(f"""WITH {CONCEPTS}, {_asked(FUZZY)}, posted AS ({_FIELDS}), words AS (SELECT DISTINCT token FROM posted)
 SELECT q AS query_token, token, {_r4(_similarity('q', 'token'))} AS similarity FROM words, asked""")
 def token_similarity(spark, sf_dir):
-    """Every title token against each query token."""
-    words = _concepts(spark, sf_dir).select(F.explode(tokens(F.col("title"))).alias("token")).distinct()
+    """Every token of the whole vocabulary against each query token."""
+    words = postings(_concepts(spark, sf_dir)).select("token").distinct()
     each = F.array(*[F.struct(F.lit(q).alias("query_token"), round4(similarity(F.lit(q), F.col("token"))).alias("similarity")) for q in FUZZY.split()])
     return words.select("token", F.inline(each))
 
@@ -228,11 +236,11 @@ def fuzzy_search(spark, sf_dir):
     return _lists(fuzzy.fuzzy_search(_concepts(spark, sf_dir), FUZZY, TOP).select("id", "score", "matched_fields"))
 
 
-@_query(f"""WITH {CONCEPTS}, {_fuzzy_sql(FUZZY)}
+@_query(f"""WITH {CONCEPTS}, {_fuzzy_sql(LIKE)}
 SELECT pos, field, token, score AS similarity, score * CASE field WHEN 'title' THEN 1.0::DOUBLE WHEN 'description' THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END / 2 / 1.9::DOUBLE AS contribution
 FROM best WHERE id = {TARGET}""")
 def fuzzy_explain(spark, sf_dir):
-    return explain.explain_fuzzy(_concepts(spark, sf_dir), FUZZY, TARGET)
+    return explain.explain_fuzzy(_concepts(spark, sf_dir), LIKE, TARGET)
 
 
 @_query(f"""WITH {CONCEPTS}, {_lexical_sql(LEXICAL.split())} SELECT id, raw_score, score FROM lexical""")
@@ -257,6 +265,22 @@ def bm25_explain(spark, sf_dir):
     return explain.explain_lexical(_concepts(spark, sf_dir), PHRASE, TARGET).drop("fields")
 
 
+def _held(phrases: list[str]) -> str:
+    """Fields that hold a term."""
+    columns = {"title": "tt", "keywords": "tt2", "description": "td", "body": "tb"}
+    return "[" + ", ".join("CASE WHEN " + " OR ".join(f"{_count(c, x)} > 0" for x in phrases) + f" THEN '{f}' END" for f, c in columns.items()) + "]"
+
+
+@_query(f"""WITH {CONCEPTS}, {_lexical_sql(['of the', 'idiot'])}, best AS (SELECT max(raw_score) AS best FROM raw),
+  ranks AS (SELECT id, row_number() OVER (ORDER BY raw_score DESC, id) AS rank FROM raw)
+SELECT m.id, CAST(c_0 + c_1 AS DOUBLE) AS raw_score, CAST(coalesce(r.rank, 0) AS INTEGER) AS rank, coalesce({_r4('(c_0 + c_1) / best')}, 0.0) AS score,
+  array_to_string(list_sort(list_filter({_held(['of the', 'idiot'])}, lambda f: f IS NOT NULL)), ',') AS fields
+FROM made AS m JOIN split USING (id) LEFT JOIN ranks AS r ON r.id = m.id, best WHERE m.id = {TARGET}""")
+def bm25_explain_total(spark, sf_dir):
+    """Raw score, rank and fields of one document, also outside the top."""
+    return _lists(explain.explain_lexical_total(_concepts(spark, sf_dir), PHRASE, TARGET, TOP))
+
+
 @_query()
 def bm25_stemmed(spark, sf_dir):
     """BM25 over stemmed and folded tokens (a vectorised function; compared with an own index in tests)."""
@@ -281,6 +305,14 @@ def hybrid_explain(spark, sf_dir):
     return explain.explain_hybrid(_concepts(spark, sf_dir), LEXICAL, TARGET, TOP)
 
 
+@_query(f"""WITH {_keyword_sql("the")}, {_fuzzy_sql("the").replace("asked(", "asked2(").replace("AS v, asked", "AS v, asked2").replace("best ", "best2 ")}
+SELECT c.id, coalesce(k.score, 0.0) AS keyword_score, coalesce(f.score, 0.0) AS fuzzy_score, 0.5::DOUBLE AS keyword_weight, 0.5::DOUBLE AS fuzzy_weight,
+  {_r4('0.5 * coalesce(k.score, 0.0) + 0.5 * coalesce(f.score, 0.0)')} AS total_score
+FROM concepts AS c LEFT JOIN keyword AS k ON c.id = k.id LEFT JOIN fuzzy AS f ON c.id = f.id WHERE c.id = {TARGET}""")
+def hybrid_keyword_explain(spark, sf_dir):
+    return explain.explain_hybrid_keyword(_concepts(spark, sf_dir), "the", TARGET, TOP)
+
+
 def _blend_sql(weight: str) -> str:
     final = _r4(f"(1 - {weight}) * f.score + {weight} * coalesce(l.quality, 0)::DOUBLE")
     return f"""WITH {CONCEPTS}, {_fuzzy_sql(FUZZY)}
@@ -304,6 +336,18 @@ def scorer_blend(spark, sf_dir):
     return hybrid.blend(hits, _given(spark, sf_dir), 0.25, TOP)
 
 
+@_query(f"""WITH {CONCEPTS}, {_fuzzy_sql(FUZZY)}, core AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS core_rank FROM fuzzy),
+  blended AS (SELECT core.*, coalesce(l.quality, 0)::DOUBLE AS given_score, {_r4('0.75::DOUBLE * score + 0.25::DOUBLE * coalesce(l.quality, 0)::DOUBLE')} AS final_score FROM core LEFT JOIN labels AS l ON id = l.doc_id),
+  placed AS (SELECT *, row_number() OVER (ORDER BY final_score DESC, id) AS final_rank FROM blended)
+SELECT id, score AS core_score, given_score, 0.75::DOUBLE AS core_weight, 0.25::DOUBLE AS given_weight, final_score, CAST(core_rank AS INTEGER) AS core_rank, CAST(final_rank AS INTEGER) AS final_rank
+FROM placed WHERE core_rank = 2""")
+def scorer_explain(spark, sf_dir):
+    """The second of a fuzzy ranking: its own score, the given one, and its ranks before and after."""
+    hits = fuzzy.top(_concepts(spark, sf_dir), FUZZY, TOP).select("id", "score")
+    second = hits.orderBy(F.desc("score"), "id").limit(2).collect()[-1]["id"]
+    return explain.explain_blend(hits, _given(spark, sf_dir), second, 0.25)
+
+
 # -- vectors --------------------------------------------------------------------------------------
 
 _KNN = "[0.25::DOUBLE, -0.5::DOUBLE" + ", 0.125::DOUBLE" * 62 + "]"
@@ -333,13 +377,13 @@ def embedding_space_stats(spark, sf_dir):
 
 
 @_query("""SELECT 'EMBEDDING_STALE' AS code, 'warning' AS severity, '' AS source, CAST(vec_id AS VARCHAR) AS concept, '' AS target, 'embedding is older than the document' AS message
-FROM embeddings JOIN documents ON vec_id = doc_id WHERE label >= 5""")
+FROM embeddings JOIN documents AS now ON vec_id = now.doc_id JOIN documents AS made ON made.doc_id = vec_id - label % 2 WHERE sha256(now.text) <> sha256(made.text)""")
 def embedding_stale(spark, sf_dir):
-    """Embeddings whose recorded hash differs from the document's (labels from 5 stand for old hashes)."""
+    """Embeddings whose recorded hash differs from the document's. Each was made from the document with its
+    own id, or (odd labels) from the one before, whose text may be equal."""
     now = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), sync.content_hash("text").alias("content_hash"))
-    made = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label").join(now, "id")
-    old = made.select("id", F.when(F.col("label") >= 5, "old").otherwise(F.col("content_hash")).alias("content_hash"))
-    return audit.findings(audit.stale_embeddings(old, now))
+    made = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") - F.col("label") % 2).alias("id")).join(now, "id")
+    return audit.findings(audit.stale_embeddings(made.select(F.col("vec_id").alias("id"), "content_hash"), now))
 
 
 # -- graphs ---------------------------------------------------------------------------------------
@@ -347,7 +391,7 @@ def embedding_stale(spark, sf_dir):
 PAGES = """page_concepts AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g') AS id,
     regexp_extract_all(html, 'href="([^"]*)"', 1) AS targets FROM pages),
   rows AS (SELECT page_id, id, unnest(targets) AS target, generate_subscripts(targets, 1) - 1 AS seq FROM page_concepts),
-  aimed AS (SELECT *, CASE WHEN NOT (regexp_matches(target, '^[a-zA-Z][a-zA-Z0-9+.-]*:') OR starts_with(target, '#')) THEN
+  aimed AS (SELECT *, CASE WHEN NOT (regexp_matches(target, '^[a-z][a-z0-9+.-]*:') OR starts_with(target, '#')) THEN
     nullif(regexp_replace(regexp_replace(target, '[#?].*$', ''), '^/+|/+$', '', 'g'), '') END AS resolved FROM rows),
   links AS (SELECT *, resolved IS NOT NULL AND resolved IN (SELECT id FROM page_concepts) AS resolves_in_bundle FROM aimed)"""
 EDGES = """edges("from", "to", source, seq) AS (
@@ -381,15 +425,22 @@ def graph_degrees(spark, sf_dir):
     return graph.degrees(keyed.trade_nodes(spark, sf_dir), keyed.trade_edges(spark, sf_dir))
 
 
-@_query("""SELECT 'customer/' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+@_query("""SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
 def graph_orphans(spark, sf_dir):
-    """Customers that no order refers to."""
-    nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("id"))
-    edges = table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("from"), F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")).alias("to"))
+    """Documents that no label refers to."""
+    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    edges = table(spark, sf_dir, "labels").select((-F.col("doc_id") - 1).alias("from"), F.col("doc_id").alias("to"))
     return graph.orphans(nodes, edges)
 
 
+@_query(f"""WITH {EDGES} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT "from" FROM edges UNION SELECT "to" FROM edges)) AS orphans,
+  (SELECT count(*) FROM edges) AS edges, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT source || '=' || count(*) AS k FROM edges GROUP BY source)) AS kinds""")
+def graph_counts(spark, sf_dir):
+    """Nodes, orphans, edges and edges by kind."""
+    found = graph.counts(keyed.trade_nodes(spark, sf_dir), graph.first_edges(keyed.trade_edges(spark, sf_dir)))
+    return found.withColumn("kinds", F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
+
+
 @_query(f"""WITH {EDGES} SELECT e."from" AS id, e.source, n.title FROM edges AS e JOIN nodes AS n ON n.id = e."from" WHERE e."to" = 'nation/3'""")
 def graph_backlinks(spark, sf_dir):
     return graph.backlinks(keyed.trade_edges(spark, sf_dir), keyed.trade_nodes(spark, sf_dir), "nation/3")
@@ -514,17 +565,14 @@ def hash_alias(spark, sf_dir):
         F.col("doc_id").alias("id"), sync.content_hash("text").alias("content_hash"), F.concat(F.lit("src-"), F.substr(F.sha2("source", 256), F.lit(1), F.lit(16))).alias("source_id"))
 
 
-def _federated_part(lang: str) -> str:
-    ctes = _keyword_sql("an").replace("FROM documents)", f"FROM documents WHERE lang = '{lang}')")
-    return f"(WITH {ctes} SELECT id, score, '{lang}' AS source FROM keyword)"
-
-
-@_query(f"""SELECT * FROM ({' UNION ALL '.join(map(_federated_part, ('de', 'en', 'es', 'fr')))}) ORDER BY score DESC, source, id LIMIT {TOP}""")
+@_query(f"""WITH {_keyword_sql("an").replace(f"ORDER BY score DESC, id LIMIT {TOP})", ")")},
+  ranked AS (SELECT k.id, k.score, coalesce(c.source, '') AS source, row_number() OVER (PARTITION BY coalesce(c.source, '') ORDER BY k.score DESC, k.id) AS rn FROM keyword AS k JOIN concepts AS c ON c.id = k.id)
+SELECT id, score, source FROM ranked WHERE rn <= {TOP} ORDER BY score DESC, source, id LIMIT {TOP}""")
 def federated_search(spark, sf_dir):
-    """Each language as a source of its own; the rankings merged."""
+    """Each of the table's sources by itself (null is one of them); the rankings merged."""
     concepts = _concepts(spark, sf_dir)
-    sources = {lang: concepts.filter(F.col("type") == lang) for lang in ("de", "en", "es", "fr")}
-    return federation.federated_search(sources, lambda c: keyword.keyword_search(c, "an", TOP).select("id", "score"), TOP)
+    hits = keyword.scores(concepts, "an").select("id", "score").join(concepts.select("id", "tags"), "id")
+    return federation.federated_by(hits, F.get("tags", 0), TOP).select("id", "score", "source")
 
 
 _METRICS = f"""graded AS (SELECT source AS query, doc_id AS id, quality + 2 * toxic AS grade FROM labels JOIN documents USING (doc_id)),
@@ -562,18 +610,9 @@ def privacy_tokenize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), privacy.tokenized(F.col("text"), SECRET).alias("tokens"), privacy.hashed(F.col("text"), SECRET).alias("hash"))
 
 
-@_query(r"""SELECT doc_id AS id, regexp_replace(text, '[*_~`]', '', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '[\[#<]|```')
-UNION ALL SELECT doc_id, '' FROM documents WHERE regexp_matches(text, '[\[#<]|```')""")
+@_query(f"""SELECT doc_id AS id, {_PLAIN_BODY} AS text FROM documents""")
 def strip_markdown_text(spark, sf_dir):
-    """Texts without emphasis marks; those with other marks are emptied here and compared in tests."""
-    docs = table(spark, sf_dir, "documents")
-    plain = strip_markdown(F.col("text"))
-    return docs.select(F.col("doc_id").alias("id"), F.when(F.col("text").rlike(r"[\[#<]|```"), F.lit("")).otherwise(plain).alias("text"))
-
-
-@_query()
-def strip_markdown_whole(spark, sf_dir):
-    """Every text without its Markdown marks, whole (SQL has no form for the scanner; held against known strings in tests)."""
+    """Every text without its Markdown marks, whole."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), strip_markdown(F.col("text")).alias("text"))
 
 
@@ -590,28 +629,34 @@ def parse_frontmatter(spark, sf_dir):
     return _lists(bundle.parse_files(files).select("id", "type", "keywords", "title", "body", "content_hash"))
 
 
-@_query("""WITH rows AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"() ]+)"', 1)) AS target FROM pages)
+@_query("""WITH rows AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages)
 SELECT page_id AS id, target, count(*) AS links FROM rows GROUP BY 1, 2""")
 def markdown_links(spark, sf_dir):
     """Links of pages written as Markdown and read again by the link scanner."""
-    hrefs = F.regexp_extract_all("html", F.lit('href="([^"() ]+)"'), F.lit(1))
-    body = F.array_join(F.transform(hrefs, lambda h: F.concat(F.lit("[x]("), h, F.lit(") `[no](code)`"))), " ")
+    hrefs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    body = F.array_join(F.transform(hrefs, lambda h: F.concat(F.lit("[x](<"), h, F.lit(">) `[no](code)`"))), " ")
     pages = table(spark, sf_dir, "pages").select("page_id", body.alias("body"))
     files = pages.select(F.col("page_id").cast("string").alias("path"), F.concat(F.lit("---\n---\n"), "body").cast("binary").alias("content")).withColumn("length", F.octet_length("content"))
     links = bundle.parse_files(files).select(F.col("id").cast("bigint").alias("id"), F.explode("links.target").alias("target"))
     return links.groupBy("id", "target").agg(F.count(F.lit(1)).alias("links"))
 
 
-@_query("""SELECT page_id AS id, CASE WHEN contains(url, 'example.com') THEN 'text/html' WHEN contains(url, 'example.net') THEN 'application/gzip' ELSE 'text/plain' END AS media_type,
-  contains(url, 'example.com') OR NOT contains(url, 'example.net') AS is_text FROM pages""")
+#: Names of files, first bytes put before a page, and what they are: every extension, names without one,
+#: and contents that contradict the name.
+_FILES = [(f"x.{e}", "", kind if assets.text_like(kind) else "text/html", True) for e, kind in sorted(assets.EXTENSIONS.items())] + [
+    ("x", "", "text/html", True), ("x.unknown", "", "text/html", True), (".hidden.PNG", "89504E470D0A1A0A00", "image/png", False), ("x.jpg", "FFD8FF", "image/jpeg", False),
+    ("x.gif", "474946383961", "image/gif", True), ("x.pdf", "255044462D", "application/pdf", True), ("x.png", "1F8B08", "application/x-gzip", False), ("x.json", "00", "application/octet-stream", False),
+    ("x", "504B0304", "application/zip", True), ("x.py", "FF", "application/octet-stream", False), ("x.webp", "52494646000000005745425056503820", "image/webp", False), ("x.csv", "0061736D", "application/wasm", False),
+]
+_FILE_ROWS = ", ".join(f"({i}, '{kind}', {str(text).lower()})" for i, (_, _, kind, text) in enumerate(_FILES))
+
+
+@_query(f"""SELECT page_id AS id, kinds.media_type, kinds.is_text FROM pages JOIN (VALUES {_FILE_ROWS}) AS kinds(k, media_type, is_text) ON page_id % {len(_FILES)} = k""")
 def media_types(spark, sf_dir):
     """Media types of pages as files: by extension, by first bytes, by content."""
-    html = F.col("html").cast("binary")
-    kind = F.when(F.contains("url", F.lit("example.com")), 0).when(F.contains("url", F.lit("example.net")), 1).otherwise(2)
-    pages = table(spark, sf_dir, "pages")
-    files = pages.select(
-        F.col("page_id").cast("string").alias("path"), F.when(kind == 0, F.lit("x.html")).when(kind == 1, F.lit("x.bin")).otherwise(F.lit("x")).alias("name"),
-        F.when(kind == 1, F.concat(F.unhex(F.lit("1F8B00")), html)).otherwise(html).alias("content"))
+    case = F.get(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(b).alias("first")) for n, b, _, _ in _FILES]), (F.col("page_id") % len(_FILES)).cast("int"))
+    pages = table(spark, sf_dir, "pages").withColumn("case", case)
+    files = pages.select(F.col("page_id").cast("string").alias("path"), "case.name", F.concat(F.unhex("case.first"), F.col("html").cast("binary")).alias("content"))
     return assets.detect_files(files).select(F.col("path").cast("bigint").alias("id"), "media_type", "is_text")
 
 
@@ -654,16 +699,15 @@ def external_references(spark, sf_dir):
     return export.external_documents(made, orders).select("id")
 
 
-@_query("""SELECT sha256(CAST(p_partkey AS VARCHAR)) AS sha256, 'blobs/' || p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 5)""")
+@_query("""SELECT sha256(text) AS sha256, 'blobs/' || doc_id AS path FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))""")
 def extension_data_gc(spark, sf_dir):
-    """Content-addressed files that nothing refers to."""
-    def digest(c):
-        return F.sha2(F.col(c).cast("string"), 256).alias("sha256")
-    files = table(spark, sf_dir, "part").select(digest("p_partkey"), F.concat(F.lit("blobs/"), F.col("p_partkey").cast("string")).alias("path"))
-    return export.unreferenced(files, table(spark, sf_dir, "lineitem").filter("l_quantity < 5").select(digest("l_partkey")))
+    """Content-addressed files (every text) that nothing refers to: labels refer to their texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    files = docs.select("sha256", F.concat(F.lit("blobs/"), F.col("doc_id").cast("string")).alias("path"))
+    return export.unreferenced(files, docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("sha256"))
 
 
-@_query(f"""WITH {CONCEPTS}, split AS (SELECT id, {_tok('title')} AS t, {_tok('description')} AS d, {_tok('body')} AS b FROM concepts),
+@_query(f"""WITH {CONCEPTS}, split AS (SELECT id, {_tok('title')} AS t, {_tok('description')} AS d, {_tok('plain')} AS b FROM concepts),
   rows AS (SELECT id, unnest(t) AS token, 18.0::DOUBLE AS w FROM split UNION ALL SELECT id, unnest(d), 4.0::DOUBLE FROM split UNION ALL SELECT id, unnest(b), 1.0::DOUBLE FROM split)
 SELECT token, id, sum(w) AS tf FROM rows GROUP BY token, id""")
 def lexical_index(spark, sf_dir):
@@ -671,13 +715,44 @@ def lexical_index(spark, sf_dir):
     return stored.lexical_postings(_concepts(spark, sf_dir))
 
 
+def _index(spark, sf_dir) -> stored.Index:
+    """A stored index of all documents, built below the shared checkpoint folder."""
+    place = f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    stored.build(_concepts(spark, sf_dir), place)
+    return stored.Index(spark, place)
+
+
+@_query(f"""WITH {_keyword_sql(PREFIXES)} SELECT id, score, {_text('matched_keywords')} AS matched_keywords FROM keyword""")
+def stored_keyword(spark, sf_dir):
+    return _lists(_index(spark, sf_dir).keyword(PREFIXES, TOP))
+
+
+@_query(f"""WITH {CONCEPTS}, {_fuzzy_sql(FUZZY)} SELECT id, score, {_text('matched_fields')} AS matched_fields FROM fuzzy""")
+def stored_fuzzy(spark, sf_dir):
+    return _lists(_index(spark, sf_dir).fuzzy(FUZZY, TOP))
+
+
+@_query(f"""WITH {CONCEPTS}, {_lexical_sql(LEXICAL.split())} SELECT id, raw_score, score FROM lexical""")
+def stored_bm25(spark, sf_dir):
+    return _index(spark, sf_dir).bm25(LEXICAL, TOP)
+
+
+@_query(f"""WITH {_BOTH}
+SELECT coalesce(k.id, f.id) AS id, coalesce(k.score, 0.0) AS lexical_score, coalesce(f.score, 0.0) AS fuzzy_score,
+  {_r4('0.5 * coalesce(k.score, 0.0) + 0.5 * coalesce(f.score, 0.0)')} AS total_score, {_text('matched_fields')} AS matched_fields
+FROM lexical AS k FULL JOIN fuzzy AS f ON k.id = f.id ORDER BY total_score DESC, lexical_score DESC, fuzzy_score DESC, id LIMIT {TOP}""")
+def stored_hybrid(spark, sf_dir):
+    return _lists(_index(spark, sf_dir).hybrid_bm25(LEXICAL, TOP))
+
+
 @_query("""SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
 def watch_microbatch(spark, sf_dir):
     """The state after folding the events in micro-batches, a type each: each user's last event."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     state = events.limit(0)
-    for kind in ("signup", "purchase", "click", "view", "error"):
-        state, _ = watch.fold_batch(state, events.filter(F.col("event_type") == kind), "user_id", "event_id")
+    kinds = sorted((r[0] for r in events.select("event_type").distinct().collect()), key=lambda k: (k is None, k))
+    for kind in kinds:
+        state, _ = watch.fold_batch(state, events.filter(F.col("event_type").eqNullSafe(kind)), "user_id", "event_id")
     return state
 
 

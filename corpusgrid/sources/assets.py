@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,49 +14,94 @@ from corpusgrid.errors import GridError
 from corpusgrid.runtime import ship
 from corpusgrid.sources import bundle
 
-#: Bytes of one file and of all files at most; the share of printable characters of a text.
-LARGEST, TOTAL, PRINTABLE = 32 << 20, 1 << 30, 0.9
-#: Media types by extension, and first bytes of common formats.
+#: Bytes of one file and of all files at most; the share of printable characters of a text; bytes that
+#: tell a file's type.
+LARGEST, TOTAL, PRINTABLE, TELLING = 32 << 20, 1 << 30, 0.9, 512
+#: Media types by extension.
 EXTENSIONS = {
-    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml", "pdf": "application/pdf",
-    "json": "application/json", "yaml": "application/yaml", "yml": "application/yaml", "toml": "application/toml", "xml": "application/xml", "html": "text/html",
-    "css": "text/css", "csv": "text/csv", "txt": "text/plain", "js": "text/javascript", "ts": "text/typescript", "py": "text/x-python", "go": "text/x-go",
-    "rs": "text/x-rust", "java": "text/x-java", "c": "text/x-c", "cpp": "text/x-c++", "sh": "text/x-shellscript", "sql": "application/sql",
-    "mp3": "audio/mpeg", "wav": "audio/wav", "mp4": "video/mp4", "zip": "application/zip", "gz": "application/gzip", "zst": "application/zstd", "wasm": "application/wasm",
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "pdf": "application/pdf",
+    "txt": "text/plain", "log": "text/plain", "md": "text/plain", "ini": "text/plain", "csv": "text/csv", "json": "application/json", "xml": "application/xml",
+    "yaml": "application/x-yaml", "yml": "application/x-yaml", "toml": "application/toml", "html": "text/html", "htm": "text/html", "css": "text/css",
+    "js": "application/javascript", "jsx": "text/jsx", "ts": "text/x-typescript", "tsx": "text/x-typescript", "go": "text/x-go", "py": "text/x-python",
+    "rs": "text/x-rust", "c": "text/x-c", "h": "text/x-c", "cc": "text/x-c++", "cpp": "text/x-c++", "cxx": "text/x-c++", "hpp": "text/x-c++", "hh": "text/x-c++",
+    "hxx": "text/x-c++", "java": "text/x-java", "scala": "text/x-scala", "sc": "text/x-scala", "dart": "text/x-dart", "zig": "text/x-zig",
+    "sh": "text/x-shellscript", "sql": "text/x-sql",
 }
-MAGIC = {
-    b"\x89PNG\r\n\x1a\n": "image/png", b"\xff\xd8\xff": "image/jpeg", b"GIF87a": "image/gif", b"GIF89a": "image/gif", b"%PDF-": "application/pdf",
-    b"PK\x03\x04": "application/zip", b"\x1f\x8b": "application/gzip", b"\x28\xb5\x2f\xfd": "application/zstd", b"\0asm": "application/wasm",
-}
-TEXT_LIKE = ("application/json", "application/yaml", "application/toml", "application/xml", "application/sql", "image/svg+xml")
+#: Types beside ``text/`` that are text.
+TEXT_LIKE = ("application/json", "application/xml", "application/javascript", "application/x-yaml", "application/toml")
+#: Fixed values of the public MIME sniffing standard: tags that begin HTML, first bytes of formats (a dot
+#: stands for any byte), and the bytes that no text holds.
+TAGS = (
+    b"<!doctype html", b"<html", b"<head", b"<script", b"<iframe", b"<h1", b"<div", b"<font", b"<table", b"<a", b"<style", b"<title", b"<b", b"<body", b"<br", b"<p", b"<!--",
+)
+MAGIC = [
+    (rb"%PDF-", "application/pdf"), (rb"%!PS-Adobe-", "application/postscript"), (rb"\xfe\xff..|\xff\xfe..|\xef\xbb\xbf.", "text/plain"),
+    (rb"\x00\x00\x01\x00|\x00\x00\x02\x00", "image/x-icon"), (rb"BM", "image/bmp"), (rb"GIF87a|GIF89a", "image/gif"), (rb"RIFF....WEBPVP", "image/webp"),
+    (rb"\x89PNG\r\n\x1a\n", "image/png"), (rb"\xff\xd8\xff", "image/jpeg"), (rb"FORM....AIFF", "audio/aiff"), (rb"ID3", "audio/mpeg"),
+    (rb"OggS\x00", "application/ogg"), (rb"MThd\x00\x00\x00\x06", "audio/midi"), (rb"RIFF....AVI ", "video/avi"), (rb"RIFF....WAVE", "audio/wave"),
+    (rb"....ftypmp4", "video/mp4"), (rb"\x1a\x45\xdf\xa3", "video/webm"), (rb"\x00\x01\x00\x00", "font/ttf"), (rb"OTTO", "font/otf"), (rb"ttcf", "font/collection"),
+    (rb"wOFF", "font/woff"), (rb"wOF2", "font/woff2"), (rb"\x1f\x8b\x08", "application/x-gzip"), (rb"PK\x03\x04", "application/zip"),
+    (rb"Rar!\x1a\x07\x00|Rar!\x1a\x07\x01\x00", "application/x-rar-compressed"), (rb"\x00asm", "application/wasm"),
+]
+_MAGIC = [(re.compile(first, re.DOTALL), kind) for first, kind in MAGIC]
+_HTML = re.compile(rb"(?i)[\t\n\x0c\r ]*(?:" + b"|".join(map(re.escape, TAGS)) + rb")[ >]|[\t\n\x0c\r ]*<!--")
+_XML = re.compile(rb"[\t\n\x0c\r ]*<\?xml")
+_BINARY = re.compile(rb"[\x00-\x08\x0b\x0e-\x1a\x1c-\x1f]")
+UNKNOWN = "application/octet-stream"
 
 
 def text_like(media_type: str) -> bool:
     return media_type.startswith("text/") or media_type in TEXT_LIKE
 
 
+def _decoded(data: bytes) -> str | None:
+    """UTF-8 without a zero byte, or None."""
+    try:
+        return None if b"\0" in data else data.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 def is_text(media_type: str, data: bytes) -> bool:
     """Valid UTF-8 without a zero byte, of a text-like type or nearly all printable."""
-    if b"\0" in data:
+    text = _decoded(data)
+    if text is None:
         return False
+    return text_like(media_type) or sum(c >= " " or c in "\t\n\r" for c in text) >= PRINTABLE * len(text)
+
+
+def sniffed(data: bytes) -> str:
+    """The type that the first bytes tell."""
+    head = data[:TELLING]
+    if _HTML.match(head):
+        return "text/html"
+    if _XML.match(head):
+        return "text/xml"
+    kind = next((kind for first, kind in _MAGIC if first.match(head)), None)
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        kind = "image/webp"
+    if kind is None:
+        kind = UNKNOWN if _BINARY.search(head) else "text/plain"
     try:
-        text = data.decode()
+        return kind if kind != "text/plain" or data.decode() is not None else kind
     except UnicodeDecodeError:
-        return False
-    return text_like(media_type) or not text or sum(c.isprintable() or c in "\t\n\r" for c in text) >= PRINTABLE * len(text)
+        return UNKNOWN
 
 
 def detect(path: str, data: bytes) -> tuple[str, str | None]:
-    """(media type, warning): a text-like extension wins for texts, then first bytes, then the extension."""
-    named = EXTENSIONS.get(path.rpartition(".")[2].lower()) if "." in path.rpartition("/")[2] else None
-    if named and text_like(named) and is_text(named, data):
+    """(media type, warning): a text-like extension wins for texts; else what the bytes tell, with a
+    warning where the extension names another type; else the extension."""
+    name = path.rpartition("/")[2]
+    named = EXTENSIONS.get(name.rpartition(".")[2].lower()) if "." in name else None
+    textual = named is not None and text_like(named)
+    if textual and _decoded(data) is not None:
+        return named, None
+    seen = sniffed(data)
+    if named is None or textual:
+        return seen, None
+    if seen in (UNKNOWN, named):
         return named, None
-    seen = next((kind for first, kind in MAGIC.items() if data.startswith(first)), None)
-    if seen is None and data[:4] == b"RIFF":
-        seen = {b"WEBP": "image/webp", b"WAVE": "audio/wav"}.get(data[8:12])
-    if seen and named and seen != named:
-        return seen, f"media type mismatch: {named} named, {seen} found"
-    return seen or named or ("text/plain" if is_text("", data) else "application/octet-stream"), None
+    return seen, f"media type mismatch: {named} named, {seen} found"
 
 
 def media_filter(media_type: Column, wanted) -> Column:
@@ -76,9 +122,13 @@ BLOB = T.StructType([
 
 
 def scan(spark: SparkSession, root: str, wanted=()) -> DataFrame:
-    """Files that are not Markdown, of the media types wanted; too large ones carry a warning and no content."""
+    """Files that are not Markdown, of the media types wanted; too large ones carry a warning and no content.
+    A collection whose files pass ``TOTAL`` bytes raises."""
     ship(spark)
     found = bundle.files(spark, root).filter(~F.col("path").rlike(r"(?i)\.(md|tmp|swp)$") & ~F.endswith("path", F.lit("~")))
+    whole = found.filter(F.col("length") <= LARGEST).agg(F.sum("length")).first()[0] or 0  # from the listing
+    if whole > TOTAL:
+        raise GridError("BUNDLE_TOO_LARGE", f"assets hold {whole} bytes, more than {TOTAL}")
     sized = found.select("path", F.col("length").cast("long").alias("size"), F.when(F.col("length") <= LARGEST, F.col("content")).alias("content"), F.sha2("content", 256).alias("content_hash"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

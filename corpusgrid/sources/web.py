@@ -18,7 +18,7 @@ def page_concepts(pages: DataFrame) -> DataFrame:
 def page_links(concepts: DataFrame) -> DataFrame:
     """page_id, id, seq, raw, target, resolved, resolves_in_bundle for each link of each page."""
     rows = concepts.select("page_id", "id", F.posexplode("targets").alias("seq", "target"))
-    outside = F.col("target").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:") | F.startswith("target", F.lit("#"))
+    outside = F.col("target").rlike("^[a-z][a-z0-9+.-]*:") | F.startswith("target", F.lit("#"))
     inside = F.regexp_replace(F.regexp_replace("target", "[#?].*$", ""), "^/+|/+$", "")
     found = rows.withColumn("resolved", F.when(~outside & (inside != ""), inside))
     ids = concepts.select(F.col("id").alias("resolved")).distinct().withColumn("_in", F.lit(True))

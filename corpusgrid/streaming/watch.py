@@ -13,10 +13,10 @@ from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusgrid.operators import sync
+from corpusgrid.runtime import remove
 from corpusgrid.sources import bundle
 
 #: Fixed value: the pace of a watcher.
@@ -39,15 +39,23 @@ def tick(spark: SparkSession, root: str, stored: DataFrame) -> tuple[DataFrame,
 def watch_folder(spark: SparkSession, root: str, checkpoint: str, emit: Callable[[dict, DataFrame], None], pace: str = PACE) -> StreamingQuery:
     """Calls ``emit`` with an event and its changes for each micro-batch that has some; errors are
     reported as events and the watch goes on. One sync covers all edits of a tick."""
-    state: dict[str, list] = {"stored": [tuple(r) for r in listing(spark, root).collect()]}
+    base = f"{checkpoint.rstrip('/')}/listings"
+
+    def store(number: int) -> str:
+        """The listing as a table: it stays off the driver."""
+        listing(spark, root).write.mode("overwrite").parquet(f"{base}/{number}")
+        return f"{base}/{number}"
+
+    state = {"place": store(0), "number": 0}
 
     def each(_: DataFrame, __: int) -> None:
         try:
-            stored = spark.createDataFrame(state["stored"], "path string, content_hash string")
-            changes, event = tick(spark, root, stored)
+            changes, event = tick(spark, root, spark.read.parquet(state["place"]))
             if event["added"] + event["updated"] + event["removed"]:
                 emit(event, changes)
-                state["stored"] = [tuple(r) for r in listing(spark, root).collect()]
+                was, state["number"] = state["place"], state["number"] + 1
+                state["place"] = store(state["number"])
+                remove(spark, was)
         except Exception as error:  # the next tick tries again
             emit({"event": "sync", "at": datetime.now(UTC).isoformat(timespec="seconds"), "errors": 1, "message": str(error)[:500]}, None)
 
@@ -60,9 +68,10 @@ def event_line(event: dict) -> str:
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    newest = W.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+    """The last row of each key (of rows that tie, the one with the largest other columns)."""
+    rest = [order, *(c for c in rows.columns if c not in (key, order))]
+    last = rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("_last"))
+    return last.select(*[F.col(c) if c == key else F.col("_last")[c].alias(c) for c in rows.columns])
 
 
 def fold_batch(state: DataFrame, batch: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
@@ -77,13 +86,15 @@ def apply_stream(stream: DataFrame, key: str, order: str, state_path: str, check
     """Keeps the last row of each key at ``state_path``/<batch>; the latest complete batch is the state.
 
     Batches are written whole under their own number, so a batch that is run again after a failure
-    writes the same folder again.
+    writes the same folder again; older folders than the one that it reads go.
     """
     spark = stream.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
         was = spark.read.parquet(f"{state_path}/{number - 1}") if number else batch.limit(0)
         fold_batch(was, batch, key, order)[0].write.mode("overwrite").parquet(f"{state_path}/{number}")
+        if number > 1:
+            remove(spark, f"{state_path}/{number - 2}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

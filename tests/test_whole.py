@@ -18,5 +18,5 @@ MARKDOWN = {
 def test_markdown_is_stripped_not_emptied(spark, tmp_path):
     texts = [*MARKDOWN, None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r.id: r.text for r in QUERIES["strip_markdown_whole"](spark, str(tmp_path)).collect()}
+    found = {r.id: r.text for r in QUERIES["strip_markdown_text"](spark, str(tmp_path)).collect()}
     assert found == {i: None if t is None else MARKDOWN[t] for i, t in enumerate(texts)}
