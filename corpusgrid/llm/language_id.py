@@ -12,8 +12,8 @@ the training sample, and a near second place flags the text as ambiguous.
   the sample, averaged over a text and set on a logistic scale.
 * Decoding: the loss of a codeword is the weighted sum of ``log(1 + exp(-bit * margin))``; the score
   is the winner's share of ``exp(-loss)``.
-* Rejection: a text without a letter, or one that is ambiguous and whose winner loses more than that
-  of any text of the sample.
+* Rejection: a text without a letter, or one that is ambiguous and whose winner loses more than
+  ``SLACK`` times as much as that of any text of the sample.
 
 Every language of the labels is learned. The fit takes about ``SAMPLE`` documents of each, and fewer
 (at least ``LEAST``) where there are more than ``TOTAL / SAMPLE`` languages. Trigrams are counted by
@@ -48,6 +48,8 @@ SAMPLE, LEAST, TOTAL = 500, 20, 100_000
 SLOTS, BITS, PIECE = 1 << 16, 12, 1 << 18
 #: A second language with this share of the winner's likelihood makes a text ambiguous.
 NEAR = 0.5
+#: How much more than the sample's worst winner an ambiguous text may lose and stay.
+SLACK = 1.25
 #: Languages up to which the code is exhaustive; draws of hashed codes; the share of a trigram that
 #: none of the sample's texts has; units of a document's share of a trigram.
 EXHAUSTIVE, DRAWS, FLOOR, UNIT = 7, 8, 2e-6, 1 << 40
@@ -124,7 +126,7 @@ class Model:
         likely = np.exp(losses.min() - losses)
         order = np.argsort(losses, kind="stable")
         near = bool(likely[order[1]] >= NEAR)
-        return self.languages[order[0]], float(1 / likely.sum()), near, near and bool(losses[order[0]] > self.worst)
+        return self.languages[order[0]], float(1 / likely.sum()), near, near and bool(losses[order[0]] > SLACK * self.worst)
 
 
 def _scaled(means: np.ndarray, bits: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
