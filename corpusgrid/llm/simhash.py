@@ -12,10 +12,10 @@ coordinates differ by more than ``RADIUS`` anywhere is discarded; survivors are
 A batch of sorted rows passes on at most one link for each row (to the smallest fingerprint that it
 is connected to there), never all pairs.
 
-A key shared by more than ``CROWD`` fingerprints does not go to one task: its fingerprints take
-another exact way. Two differ in at most 3 bits if and only if some point lies within 1 bit of one
-and 2 bits of the other, so each names the points around it, and all that meet at a point where
-someone is within 1 bit are connected. That costs 2081 rows for each such fingerprint, however many.
+A key shared by more than ``CROWD`` fingerprints does not go to one task. What its fingerprints do not
+share, about 32 bits, is cut in 6 blocks once more, and they are dealt by the key and 3 of these blocks,
+on the same argument. Such a group shares 46 bits at least, so it has at most ``2 ** 18`` fingerprints,
+and goes the same way over the pivot table.
 
 Defined results: texts with one or two words have one shingle, their words; null, empty and blank
 texts have fingerprint zero and link like any other; repeated documents keep their rows; documents
@@ -43,18 +43,18 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 PIVOTS, CROWD, PIECE = 8, 16_384, 1 << 20
 #: Row keys that may be broadcast; beyond that documents and keys meet in a shuffle join.
 BROADCAST_IDS = 500_000
-#: Neighbours compared at once for small keys; rows compared at once for larger ones.
-NEAR, ROWS = 16, 128
+#: Neighbours compared at once for small keys; rows, and pairs, compared at once for larger ones.
+NEAR, ROWS, CELLS = 16, 128, 1 << 22
 
-_WIDTHS = (11, 11, 11, 11, 10, 10)
-
-
-def _masks() -> list[int]:
-    """The bits of each key: three of six blocks."""
+def _masks(bits: int = (1 << 64) - 1) -> list[int]:
+    """Three of six blocks of the bits set in ``bits``, each way."""
+    places = [i for i in range(64) if bits >> i & 1]
+    size, over = divmod(len(places), 6)
     blocks, at = [], 0
-    for width in _WIDTHS:
-        blocks.append(((1 << width) - 1) << at)
-        at += width
+    for n in range(6):
+        end = at + size + (n < over)
+        blocks.append(sum(1 << i for i in places[at:end]))
+        at = end
     return [a | b | c for a, b, c in combinations(blocks, 3)]
 
 
@@ -160,9 +160,10 @@ def _links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = start + np.argsort(table[start : start + size, 0], kind="stable")
         coordinate = table[order, 0]
         label = np.arange(size)
-        for at in range(0, size, ROWS):
-            rows = order[at : at + ROWS]
-            end = int(np.searchsorted(coordinate, coordinate[min(at + ROWS, size) - 1] + RADIUS, side="right"))
+        step = max(8, min(ROWS, CELLS // size))
+        for at in range(0, size, step):
+            rows = order[at : at + step]
+            end = int(np.searchsorted(coordinate, coordinate[min(at + step, size) - 1] + RADIUS, side="right"))
             others = order[at:end]
             apart = np.abs(table[rows, 1][:, None] - table[others, 1][None]) <= RADIUS
             for p in range(2, PIVOTS):
@@ -210,30 +211,25 @@ def _swept(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def _around(fps: DataFrame) -> DataFrame:
-    """Links among ``fps`` by the points around them: the exact way for crowded keys."""
-    bits = [_signed(1 << i) for i in range(64)]
-    one = F.array(*map(F.lit, bits))
-    two = F.array(*[F.lit(_signed((1 << i) ^ (1 << j))) for i, j in combinations(range(64), 2)])
-
-    def moved(flips: Column, close: bool) -> DataFrame:
-        return fps.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "fp", F.lit(close).alias("close"))
-
-    met = moved(F.concat(F.array(F.lit(0).cast("bigint")), one), True).unionByName(moved(two, False))
-    heads = met.groupBy("point").agg(F.min("fp").alias("b"), F.max("close").alias("close"), F.count(F.lit(1)).alias("n")).filter("close AND n > 1")
-    return met.join(heads.select("point", "b"), "point").select(F.col("fp").alias("a"), "b").filter("a <> b").distinct()
-
-
 def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) that connect just the fingerprints within RADIUS of each other; ``nodes``: distinct fp."""
-    masks = [_signed(m) for m in _masks()]
-    keys = F.array(*[F.struct(F.lit(i).cast("bigint").alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
+    masks = _masks()
+
+    def dealt(part: int, mask: int) -> Column:
+        return F.struct(F.lit(part).cast("bigint").alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key"))
+
+    keys = F.array(*[dealt(i, m) for i, m in enumerate(masks)])
     rows = nodes.select(F.explode(keys).alias("k"), "fp").select("k.part", "k.key", "fp")
     crowds = cut(rows.groupBy("part", "key").count().filter(F.col("count") > CROWD).select("part", "key"))
     if crowds.isEmpty():
         return _swept(rows)
-    crowded = rows.join(crowds, ["part", "key"], "left_semi").select("fp").distinct()
-    return _swept(rows.join(crowds, ["part", "key"], "left_anti")).unionByName(_around(cut(crowded)))
+    crowded = rows.join(crowds, ["part", "key"], "left_semi").select("part", "fp")
+    again = F.lit(None)
+    for i, m in enumerate(masks):
+        inner = [dealt((i + 1) * len(masks) + n, m | x) for n, x in enumerate(_masks(m ^ ((1 << 64) - 1)))]
+        again = F.when(F.col("part") == i, F.array(*inner)).otherwise(again)
+    finer = crowded.select(F.explode(again).alias("k"), "fp").select("k.part", "k.key", "fp")
+    return _swept(rows.join(crowds, ["part", "key"], "left_anti").unionByName(finer))
 
 
 def components(prints: DataFrame, name: str = "doc_id") -> DataFrame:

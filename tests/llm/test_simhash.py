@@ -118,3 +118,19 @@ def test_rows_are_told_apart_by_all_columns(spark):
     assert sorted(r.text for r in simhash.keep_one(unnamed).collect()) == sorted(words[:2])
     held = spark.createDataFrame([(1, words[0], {"a": [1]}), (1, words[0], {"a": [2]}), (1, words[0], {"a": [1]})], "doc_id long, text string, more map<string, array<int>>")
     assert simhash.keep_one(held).count() == 1
+
+
+def test_any_three_blocks_cover_links():
+    masks = simhash._masks()
+    assert len(masks) == 20 and all(30 <= m.bit_count() <= 34 for m in masks)
+    draw = np.random.default_rng(9)
+    for _ in range(300):
+        x = int(draw.integers(0, 1 << 63))
+        y = x
+        for b in draw.choice(64, 3, replace=False):
+            y ^= 1 << int(b)
+        shared = [m for m in masks if x & m == y & m]
+        assert shared
+        for m in shared:
+            inner = simhash._masks(m ^ ((1 << 64) - 1))
+            assert all(n & m == 0 and (m | n).bit_count() >= 46 for n in inner) and any((x ^ y) & n == 0 for n in inner)
