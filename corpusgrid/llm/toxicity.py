@@ -52,7 +52,8 @@ SIZES, SEGMENT = (80 << 10, 12 << 10), 16
 PAIRS = 2
 #: Bytes of a window at most, and bytes that a code looks back on.
 WINDOW, CONTEXT = 48, 8
-#: Savings (bytes) from which windows are counted as features; windows that a worker remembers.
+#: Savings (bytes) from which windows are counted as features; windows of a generation that a
+#: worker remembers.
 LARGE, KNOWN = (6, 10, 16, 24, 32, 40), 200_000
 #: Score from which a document counts as toxic; bytes of text taken at once; windows compressed at once.
 THRESHOLD, PIECE, BLOCK = 0.7, 1 << 20, 20_000
@@ -121,16 +122,20 @@ class Dictionaries:
     def open(self) -> Dictionaries:
         self._compressors = [_compressor(d) for d in self.ordinary], [_compressor(d) for d in self.toxic]
         self._known: dict[bytes, float] = {}
+        self._older: dict[bytes, float] = {}
         return self
 
     def learn(self, found: set[bytes]) -> None:
-        """Compresses the windows that are not remembered with both dictionaries."""
+        """Compresses the windows that are not remembered with both dictionaries. Of two generations the
+        older one goes when the younger is full, so windows that recur stay."""
         import zstandard as zs
 
-        missing = sorted(found - self._known.keys())
-        if len(self._known) + len(missing) > KNOWN:
-            self._known.clear()
-            missing = sorted(found)
+        if len(self._known) + len(found) > KNOWN:
+            self._older, self._known = self._known, {}
+        missing = found - self._known.keys()
+        again = missing & self._older.keys()
+        self._known.update({window: self._older[window] for window in again})
+        missing = sorted(missing - again)
         for at in range(0, len(missing), BLOCK):
             block = missing[at : at + BLOCK]
             codes, sizes = _codes(block)
