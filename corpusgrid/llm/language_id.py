@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusgrid.llm.sampling import fold, fresh, per_label
+from corpusgrid.llm.sampling import fold, fresh, logistic, per_label
 from corpusgrid.runtime import cut, ship, spread
 
 #: Documents of a language, at least of a language, and of all languages, that the fit takes.
@@ -132,13 +132,8 @@ class Model:
 def _scaled(means: np.ndarray, bits: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
     """Slope and constant of a logistic curve over one bit's means."""
     size = np.abs(means).mean() or 1.0
-    x = np.stack([means / size, np.ones(len(means))], axis=1)
-    y, w = (bits > 0).astype(float), np.array([1.0, 0.0])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + len(x) * ridge * np.eye(2), x.T @ (p - y) + len(x) * ridge * w)
-        w -= np.clip(step, -3, 3)
-    return w[0] / size, w[1]
+    slope, constant = logistic((means / size)[:, None], (bits > 0).astype(float), len(means) * ridge, len(means) * ridge)
+    return slope / size, constant
 
 
 def _table(rows: DataFrame, languages: list[str], codes: np.ndarray) -> np.ndarray:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusgrid.llm.sampling import fold, fresh, per_label
+from corpusgrid.llm.sampling import fold, fresh, logistic, per_label
 from corpusgrid.runtime import cut, ship, spread
 
 #: Labelled documents of each class in the fit, and bytes of their windows.
@@ -203,18 +203,6 @@ def train(toxic: list[bytes], ordinary: list[bytes]) -> Dictionaries:
     return Dictionaries(trained(ordinary, SIZES[0]), trained(toxic, SIZES[1]))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.02) -> np.ndarray:
-    """Weights (last: constant) by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
-        w -= np.clip(step, -5, 5)
-    return w
-
-
 @dataclass
 class Model:
     dictionaries: Dictionaries | None
@@ -282,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.list_(pa.float64()))], names=["mark", "doc_id", "found"])
 
     seen = sorted((r[1], r[0], r[2]) for r in rows.mapInArrow(judge, "mark int, doc_id string, found array<double>").collect())
-    return Model(whole, _logistic(np.array([r[2] for r in seen]), np.array([float(r[1]) for r in seen])), 0.0)
+    return Model(whole, logistic(np.array([r[2] for r in seen]), np.array([float(r[1]) for r in seen])), 0.0)
 
 
 def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

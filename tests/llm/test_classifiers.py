@@ -178,3 +178,15 @@ def test_sample_is_bounded(spark):
     df = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id % 10 = 0 THEN 'rare' ELSE 'hot' END AS kind")
     counts = {r.kind: r["count"] for r in sampling.per_label(df, "kind", 500, 1, "doc_id").groupBy("kind").count().collect()}
     assert 350 < counts["hot"] < 650 and 350 < counts["rare"] < 650
+
+
+@pytest.mark.parametrize("clean", [True, False])
+def test_calibration_settles(clean):
+    draw = np.random.default_rng(12)
+    y = (draw.random(400) < 0.1).astype(float)
+    x = np.hstack([y[:, None] * 6 + draw.random((400, 1)) * (1 if clean else 9), draw.random((400, 5)) * 20, (y * 3)[:, None] * draw.random((400, 1)) ** 8])
+    w = sampling.logistic(x, y)
+    full = np.hstack([x, np.ones((400, 1))])
+    p = 1 / (1 + np.exp(-full @ w))
+    assert np.abs(full.T @ (p - y) + np.array([0.02] * 7 + [1e-6]) * w).max() < 1e-2
+    assert abs(p.sum() - y.sum()) < 1 and (not clean or ((p >= 0.7) == y).all())
