@@ -230,3 +230,35 @@ def test_near_is_similarity_from_the_threshold(spark):
         for r in df.select("t", near(q, F.col("t")).alias("s")).collect():
             true = brute_similarity(q, r.t) if len(q) >= 3 or r.t.startswith(q) else 0.0
             assert abs(r.s - true) < 1e-12 if true >= 0.55 else r.s < 0.55, (q, r.t)
+
+
+def test_bodies_are_searched_without_marks(spark):
+    from corpusgrid.plans import stored
+    from corpusgrid.plans.postings import postings
+
+    rows = [(1, "a", "", [], "see [label](hidden/target.md) and snake_case <https://auto.link/x> *bold*"), (2, "b", "", [], "plain words and bold")]
+    df = spark.createDataFrame(rows, "id long, title string, description string, keywords array<string>, body string")
+    held = {r.token for r in postings(df).filter("field = 'body' AND id = 1").collect()}
+    assert held == {"see", "label", "and", "snakecase", "bold"}
+    assert {r.token for r in stored.lexical_postings(df).filter("id = 1 AND token <> 'a'").collect()} == held
+    assert [r.id for r in lexical.lexical_search(df, "target").collect()] == [] and {r.id for r in lexical.lexical_search(df, "bold").collect()} == {1, 2}
+    hit = fuzzy.fuzzy_search(df, "snakecase").collect()
+    assert [(r.id, r.snippet) for r in hit] == [(1, "see label and snakecase  bold")]
+
+
+def test_federation_holds_every_source(spark):
+    from corpusgrid.operators import federation
+
+    hits = spark.createDataFrame([(i, 1.0 - i / 100, s) for i, s in enumerate(["x"] * 5 + [None] * 5 + ["y"])], "id long, score double, origin string")
+    found = federation.federated_by(hits, F.col("origin"), 3).collect()
+    assert [(r.source, r.id) for r in found] == [("x", 0), ("x", 1), ("x", 2)]
+    assert {r.source for r in federation.federated_by(hits, F.col("origin"), 11).collect()} == {"", "x", "y"}
+
+
+def test_explanations_outside_the_top(spark, concepts):
+    rows = explain.explain_lexical_total(concepts, "graph", "concepts/graph", 1).collect()
+    assert len(rows) == 1 and rows[0]["rank"] in (0, 1) and rows[0].raw_score > 0 and "keywords" in rows[0].fields
+    hits = spark.createDataFrame([(1, 0.9), (2, 0.5)], "id long, score double")
+    given = spark.createDataFrame([(2, 1.0)], "id long, given_score double")
+    row = explain.explain_blend(hits, given, 2, 0.75).first()
+    assert (row.core_score, row.given_score, row.final_score, row.core_rank, row.final_rank) == (0.5, 1.0, 0.875, 2, 1)

@@ -320,3 +320,61 @@ def test_bundle_of_nothing(spark, tmp_path):
     assert Engine.parse(spark, str(tmp_path)).concepts.count() == 0
     entries, warnings = bundle.index(spark, str(tmp_path))
     assert entries.count() == 0 and warnings == ["empty bundle: no concept files found"]
+
+
+def test_show_counts_and_stored_edges(spark, folder, tmp_path_factory):
+    engine = Engine.parse(spark, str(folder))
+    row = engine.show("beta").first()
+    assert row.backlinks == ["alpha"] and row.privacy_state == "clear" and [(x.target, x.resolves_in_bundle) for x in row.links] == [("alpha.md", True)]
+    sealed = Engine(spark, engine.concepts.withColumn("policy", F.lit("hash")), str(folder))
+    assert sealed.show("beta").first().body is None and sealed.show("beta").first().privacy_state == "withheld"
+    stats = engine.stats.first()
+    assert (stats.nodes, stats.edges, stats.orphans, stats.kinds) == (3, 5, 0, {"link": 3, "related": 2})
+    store = str(tmp_path_factory.mktemp("edges"))
+    engine.ingest(store)
+    kept = [(r["from"], r["to"], r.dangling) for r in Engine.load_edges(spark, store, str(folder)).collect()]
+    assert ("alpha", "beta", False) in kept and ("alpha", "nope.md", True) in kept and ("alpha", "gone", True) in kept
+    vectors = spark.createDataFrame([("alpha", [1.0, 0.0]), ("beta", [1.0, 1.0]), ("gone", [1.0, 0.1])], "id string, vector array<double>")
+    hits = Engine(spark, engine.concepts, str(folder), embeddings=vectors).search("", "semantic", 3, [1.0, 0.0]).collect()
+    assert [(r.id, r.title, r.score) for r in hits] == [("alpha", "Alpha", 1.0), ("beta", "beta", 0.7071)]
+
+
+@pytest.mark.parametrize("name, data, expected", [
+    ("a.yaml", b"a: 1", "application/x-yaml"), ("a.JS", b"x", "application/javascript"), ("a.h", b"x", "text/x-c"), ("a.log", b"", "text/plain"), ("a.png", b"\x89PNG\r\n\x1a\n", "image/png"),
+    ("a", b"  <!DOCTYPE HTML><p>", "text/html"), ("a", b"<?xml version='1.0'?>", "text/xml"), ("a", b"plain", "text/plain"), ("a", b"\xff\x00\x01", "application/octet-stream"),
+    ("a.bin", b"ID3\x04", "audio/mpeg"), ("a.pdf", b"\x01\x02", "application/pdf"), ("a.py", b"\xff", "application/octet-stream"), (".gitignore", b"x", "text/plain"), ("a.svg", b"<svg>", "text/plain")])
+def test_media_types_by_name_and_bytes(name, data, expected):
+    assert assets.detect(name, data)[0] == expected
+
+
+def test_assets_are_bounded(spark, folder, monkeypatch):
+    monkeypatch.setattr(assets, "TOTAL", 10)
+    with pytest.raises(GridError):
+        assets.scan(spark, str(folder))
+
+
+def test_inline_directives_pair_up():
+    def tag(policy, text="", close=True):
+        return f'{{{{private:{policy} key_id="k"}}}}{text}' + (f"{{{{/private:{policy}}}}}" if close else "")
+
+    body = f"{tag('hash', 'one')} {tag('tokenize', 'two')}\n{tag('hash', 'out ' + tag('hash', 'in', False))} {tag('hash', 'three')}\n  ~~~\n{tag('hash', 'no')}\n  ~~~\n{tag('encrypt', 'a', False)}{{{{/private:hash}}}}\n"
+    spans, warnings = privacy.inline_spans(body)
+    assert [body[a:b] for _, _, a, b in spans] == ["one", "two", "three"]
+    assert warnings == ["nested directive hash", "unclosed directive encrypt"]
+    other = body.replace("private:", "secret:")
+    assert privacy.inline_spans(other)[0] == [] and len(privacy.inline_spans(other, "secret")[0]) == 3
+
+
+def test_a_watcher_keeps_its_listing_in_a_table(spark, folder, tmp_path):
+    seen = []
+    query = watch.watch_folder(spark, str(folder), str(tmp_path / "watch"), lambda event, changes: seen.append((event, changes and sorted(map(tuple, changes.collect())))))
+    try:
+        time.sleep(3)
+        (folder / "new.md").write_text("---\ntype: New\n---\n")
+        for _ in range(60):
+            if seen:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert seen and seen[0][0]["added"] == 1 and seen[0][1] == [("new.md", "added")]
