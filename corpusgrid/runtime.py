@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED = "_corpusgrid_shipped"
 #: Bytes of one Arrow batch between the JVM and Python. Texts are long, and each task holds a batch on
 #: both sides, outside the JVM's heap.
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def session(app: str = "corpusgrid", master: str = "local[*]", **conf: str) -> SparkSession:
@@ -52,6 +52,22 @@ def ship(spark: SparkSession) -> None:
     setattr(sc, _SHIPPED, True)
 
 
+def release() -> None:
+    """Gives memory that a finished task of a Python worker holds back to the system: workers live on, and
+    their next task may need it elsewhere."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
