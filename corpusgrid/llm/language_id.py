@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusgrid.llm.sampling import fold, fresh, logistic, per_label
-from corpusgrid.runtime import cut, ship, spread
+from corpusgrid.runtime import cut, release, ship, spread
 
 #: Documents of a language, at least of a language, and of all languages, that the fit takes.
 SAMPLE, LEAST, TOTAL = 500, 20, 100_000
@@ -224,6 +224,7 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, ...] = ("lang_pred
             kinds = pa.string(), pa.float64(), pa.bool_(), pa.bool_()
             made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
+        release()
 
     kinds = T.StringType(), T.DoubleType(), T.BooleanType(), T.BooleanType()
     added = [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]

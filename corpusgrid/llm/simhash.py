@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from corpusgrid.llm.components import stars
 from corpusgrid.llm.sampling import fresh
-from corpusgrid.runtime import cut, ship
+from corpusgrid.runtime import cut, release, ship
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Reference fingerprints; fingerprints of one key that a task takes; bytes of text taken at once.
@@ -115,6 +115,7 @@ def fingerprints(docs: DataFrame, *names: Column) -> DataFrame:
             found = [fingerprint(v.as_py()) for v in batch.column(batch.num_columns - 1)]
             own = [*batch.columns[:-1], pa.array(np.array(found, np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays(own, names=[*batch.schema.names[:-1], "fp"])
+        release()
 
     read = docs.select(*(names or ["doc_id"]), docs["text"].cast("string").alias("text"))
     return read.mapInArrow(run, T.StructType([*read.schema.fields[:-1], T.StructField("fp", T.LongType())]))

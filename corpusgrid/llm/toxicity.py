@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusgrid.llm.sampling import fold, fresh, logistic, per_label
-from corpusgrid.runtime import cut, ship, spread
+from corpusgrid.runtime import cut, release, ship, spread
 
 #: Labelled documents of each class in the fit, and bytes of their windows.
 SAMPLE, BYTES = 2400, 4 << 20
@@ -149,7 +149,7 @@ class Dictionaries:
 
     def features(self, texts: list[str | None]) -> list[list[float]]:
         """Each text's features; the windows of all texts are compressed together."""
-        counted, waiting, out = [], set(), []
+        counted, waiting, out, held = [], set(), [], 0
         sums = [[0.0, 0, *[0] * len(LARGE)] for _ in texts]
 
         def settle() -> None:
@@ -173,8 +173,10 @@ class Dictionaries:
                 found = Counter(windows(piece))
                 counted.append((i, found))
                 waiting.update(found)
-                if len(waiting) >= BLOCK:
+                held += len(found)
+                if len(waiting) >= BLOCK or held >= 4 * BLOCK:  # texts that share their windows are held too
                     settle()
+                    held = 0
         settle()
         for most, count, *large in sums:
             dense = (np.array(large) / np.sqrt(count + 20)).tolist()
@@ -289,6 +291,8 @@ def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "pre
             scores = own.scores(batch.column(at).cast(pa.string()).to_pylist())
             made = [pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
+        del own
+        release()
 
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     return docs.mapInArrow(run, schema)
