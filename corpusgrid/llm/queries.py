@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrid.llm import ann, bpe, chat_format, gif, language_id, shard_store, simhash, source_mix, toxicity, url_rules
-from corpusgrid.runtime import checkpoint_dir, spread
+from corpusgrid.llm import ann, bpe, branch_merge, chat_format, gif, language_id, secrets, shard_store, simhash, source_mix, spelling, toxicity, url_rules
+from corpusgrid.runtime import checkpoint_dir, cut, spread
 from corpusgrid.sources.tables import table
 
 #: Fixed rules of the url query: verdict, host, path.
@@ -149,6 +149,101 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify(_documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(_documents(spark, sf_dir, "doc_id", "text")))
+
+
+#: CRC-32 in SQL: each byte's share depends on how many bytes follow it, so a text's code is the XOR of shares.
+#: ``crc_share(after, byte, share)`` and ``crc_start(size, share)`` serve texts of up to 400 bytes.
+_CRC_SQL = """
+bits AS (SELECT b.byte, list_reduce(list_prepend(b.byte, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS share
+  FROM range(256) AS b(byte)),
+crc_share(after, byte, share) AS (
+  SELECT CAST(0 AS BIGINT), byte, share FROM bits
+  UNION ALL SELECT s.after + 1, s.byte, xor(s.share >> 8, bits.share) FROM crc_share AS s JOIN bits ON bits.byte = s.share & 255 WHERE s.after < 400),
+crc_start(size, share) AS (
+  SELECT CAST(0 AS BIGINT), 4294967295 UNION ALL SELECT s.size + 1, xor(s.share >> 8, bits.share) FROM crc_start AS s JOIN bits ON bits.byte = s.share & 255 WHERE s.size < 400)
+"""
+
+
+def _crc_sql(name: str, said: str) -> str:
+    """A view ``name`` (said, crc) of the texts of the view ``said``."""
+    return f"""{name}_bytes AS (SELECT said, strlen(said) AS size, unnest(range(strlen(said))) AS place, hex(encode(said)) AS hexed FROM (SELECT DISTINCT said FROM {said})),
+{name} AS (SELECT b.said, xor(xor(bit_xor(s.share), any_value(i.share)), 4294967295) AS crc FROM {name}_bytes AS b
+  JOIN crc_share AS s ON s.after = b.size - b.place - 1 AND s.byte = CAST('0x' || substr(b.hexed, CAST(2 * b.place + 1 AS INTEGER), 2) AS BIGINT)
+  JOIN crc_start AS i ON i.size = b.size GROUP BY b.said)"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = cut(spelling.vocabulary(spelling.occurrences(_documents(spark, sf_dir, "doc_id", "text"), slips=199)))
+    return spelling.variants(words)
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {_CRC_SQL},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+told AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS said, run FROM runs WHERE length(run) >= 6),
+{_crc_sql('hashed', 'told')},
+slipped AS (SELECT CASE WHEN crc % 199 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word FROM told JOIN hashed USING (said)),
+words AS (SELECT word, count(*) AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+cuts AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS place, substr(word, 1, place - 1) || substr(word, place + 1) AS rest FROM words),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cuts AS a JOIN cuts AS b ON a.place = b.place AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts AS a JOIN words AS b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts AS a JOIN words AS b ON a.rest = b.word),
+near AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS best, max(m) AS best_n FROM pairs GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n
+  FROM words AS w LEFT JOIN near USING (word)),
+leads(word, root) AS (SELECT word, word FROM forms UNION ALL SELECT l.word, f.form FROM leads AS l JOIN forms AS f ON f.word = l.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n FROM forms AS f JOIN leads AS l USING (word) JOIN forms AS last ON last.word = l.root AND last.form IS NULL
+"""
+
+
+def op13_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return branch_merge.digests(branch_merge.merge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {_CRC_SQL},
+docs AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+lines AS (SELECT uid, key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM docs),
+branches(branch) AS (VALUES ('L'), ('R')),
+names AS (SELECT uid, key, name FROM docs, (VALUES ('row'), ('lang'), ('source')) AS t(name) UNION ALL SELECT uid, key, CAST(place AS VARCHAR) FROM lines),
+told AS (SELECT uid, name, branch, branch || ':' || key || ':' || name AS said FROM names, branches),
+{_crc_sql('hashed', 'told')},
+codes AS (SELECT uid, name, max(crc % 7) FILTER (WHERE branch = 'L') AS l, max(crc % 7) FILTER (WHERE branch = 'R') AS r FROM told JOIN hashed USING (said) GROUP BY uid, name),
+whole AS (SELECT d.*, c.l AS lrow, c.r AS rrow FROM docs AS d JOIN codes AS c ON c.uid = d.uid AND c.name = 'row'),
+states AS (
+  SELECT w.uid, c.name, CASE c.name WHEN 'lang' THEN w.lang ELSE w.source END AS base,
+    CASE WHEN lrow = 0 THEN 6 ELSE c.l END AS l, CASE WHEN rrow = 0 THEN 6 ELSE c.r END AS r FROM whole AS w JOIN codes AS c ON c.uid = w.uid AND c.name IN ('lang', 'source')),
+valued AS (SELECT uid, name, base, CASE l WHEN 0 THEN '' WHEN 1 THEN base || '!' WHEN 2 THEN base || '?' ELSE base END AS lv,
+    CASE r WHEN 0 THEN '' WHEN 1 THEN base || '!' WHEN 2 THEN base || '?' ELSE base END AS rv FROM states),
+columns_ AS (SELECT uid, max(CASE WHEN rv <> base THEN rv ELSE lv END) FILTER (WHERE name = 'lang') AS lang, max(CASE WHEN rv <> base THEN rv ELSE lv END) FILTER (WHERE name = 'source') AS source,
+    count(*) FILTER (WHERE lv <> base AND rv <> base AND lv <> rv) AS clashes, count(*) FILTER (WHERE (lv <> base OR rv <> base) AND NOT (lv <> base AND rv <> base AND lv <> rv)) AS clean
+  FROM valued GROUP BY uid),
+units AS (SELECT n.uid, n.place, n.line, CASE WHEN lrow = 0 THEN 6 ELSE c.l END AS l, CASE WHEN rrow = 0 THEN 6 ELSE c.r END AS r
+  FROM lines AS n JOIN codes AS c ON c.uid = n.uid AND c.name = CAST(n.place AS VARCHAR) JOIN whole AS w ON w.uid = n.uid),
+parts AS (
+  SELECT uid, place, 0 AS k, CASE CASE WHEN r < 3 THEN r ELSE l END WHEN 0 THEN NULL WHEN 1 THEN line || '!' WHEN 2 THEN line || '?' ELSE line END AS piece,
+    l < 3 AND r < 3 AND l <> r AND least(l, r) = 0 AS ed, l < 3 AND r < 3 AND l <> r AND least(l, r) > 0 AS ee, false AS ii, (l < 3 OR r < 3) AND NOT (l < 3 AND r < 3 AND l <> r) AS ok FROM units
+  UNION ALL
+  SELECT uid, place, 1, CASE WHEN r IN (3, 4) THEN CASE r WHEN 3 THEN '!' ELSE '?' END WHEN l IN (3, 4) THEN CASE l WHEN 3 THEN '!' ELSE '?' END END,
+    false, false, l IN (3, 4) AND r IN (3, 4) AND l <> r, (l IN (3, 4) OR r IN (3, 4)) AND NOT (l IN (3, 4) AND r IN (3, 4) AND l <> r) FROM units),
+texts AS (SELECT uid, coalesce(string_agg(piece, chr(10) ORDER BY place, k), '') AS text, count(*) FILTER (WHERE ed) AS ed, count(*) FILTER (WHERE ee) AS ee, count(*) FILTER (WHERE ii) AS ii,
+    count(*) FILTER (WHERE ok) AS ok FROM parts GROUP BY uid),
+merged AS (SELECT w.doc_id, c.lang, c.source, t.text, lrow = 0 AS lgone, rrow = 0 AS rgone, c.clean + t.ok AS clean, c.clashes + t.ee AS ee, t.ed, t.ii
+  FROM whole AS w JOIN columns_ AS c USING (uid) JOIN texts AS t USING (uid))
+SELECT doc_id, CASE WHEN NOT gone THEN lang END AS lang, CASE WHEN NOT gone THEN source END AS source, CASE WHEN NOT gone THEN sha256(text) END AS text_sha256,
+  CASE WHEN NOT (lgone OR rgone) THEN clean WHEN lgone AND rgone OR clean = 0 THEN 1 ELSE 0 END AS n_clean, CASE WHEN lgone OR rgone THEN 0 ELSE ee END AS n_edit_edit,
+  CASE WHEN NOT (lgone OR rgone) THEN ed WHEN lgone AND rgone OR clean = 0 THEN 0 ELSE 1 END AS n_edit_delete, CASE WHEN lgone OR rgone THEN 0 ELSE ii END AS n_insert_insert
+FROM (SELECT *, rgone OR (lgone AND clean = 0) AS gone FROM merged)
+UNION ALL
+SELECT -1 - doc_id, lang, source, sha256(CASE CASE WHEN rrow IN (3, 4) THEN rrow ELSE lrow END WHEN 3 THEN '!' ELSE '?' END),
+  CASE WHEN lrow IN (3, 4) AND rrow IN (3, 4) AND lrow <> rrow THEN 0 ELSE 1 END, 0, 0, CASE WHEN lrow IN (3, 4) AND rrow IN (3, 4) AND lrow <> rrow THEN 1 ELSE 0 END
+FROM whole WHERE lrow IN (3, 4) OR rrow IN (3, 4)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_gif": op2_gif,
@@ -160,6 +255,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_ann": op9_ann,
     "op10_language_id": op10_language_id,
+    "op11_secrets": op11_secrets,
+    "op12_spelling": op12_spelling,
+    "op13_branch_merge": op13_branch_merge,
 }
 
-SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op6_source_mix": OP6_SQL, "op7_shard_store": OP7_SQL, "op8_url_rules": OP8_SQL}
+SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op6_source_mix": OP6_SQL, "op7_shard_store": OP7_SQL, "op8_url_rules": OP8_SQL,
+                      "op12_spelling": OP12_SQL, "op13_branch_merge": OP13_SQL}
