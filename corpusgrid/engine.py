@@ -1,7 +1,6 @@
 """One object for a collection: parse, search, navigate, audit, store and synchronise.
 
-Frames are lazy; a stored collection is read from Parquet partitioned by its root, so a query of one
-collection reads no other.
+Frames are lazy; a stored collection has a folder of its own, so a query of one collection reads no other.
 """
 
 from __future__ import annotations
@@ -12,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgrid.errors import GridError
-from corpusgrid.operators import audit, explain, fuzzy, graph, hybrid, keyword, lexical, navigation, semantic, sync
+from corpusgrid.operators import audit, explain, fuzzy, graph, hybrid, keyword, lexical, navigation, semantic
 from corpusgrid.plans import stored
 from corpusgrid.plans.postings import postings
-from corpusgrid.runtime import cut, ship
+from corpusgrid.runtime import ship
 from corpusgrid.sources import bundle
+from corpusgrid.storage.collection import Collection
 
 MODES = ("keyword", "fuzzy", "bm25", "hybrid_keyword", "hybrid_bm25", "semantic")
 
@@ -35,35 +35,33 @@ class Engine:
         return cls(spark, bundle.concepts(parsed), root, parsed, permissive)
 
     @classmethod
-    def load(cls, spark: SparkSession, store: str, root: str) -> Engine:
-        """A collection that ``ingest`` stored."""
-        rows = spark.read.parquet(f"{store}/concepts").filter(F.col("bundle_root") == root).drop("bundle_root")
-        return cls(spark, rows, root)
+    def load(cls, spark: SparkSession, store: str, root: str, version: int | None = None) -> Engine:
+        """A collection that ``ingest`` stored, as of one version."""
+        kept = Collection(spark, store, root)
+        record = kept.snapshot(version)
+        relations = kept.read("relations", record) if kept.has("relations", record) else None
+        return cls(spark, kept.read("concepts", record), root, relations=relations)
 
     # -- storing ----------------------------------------------------------------------------------
 
-    def ingest(self, store: str) -> None:
-        """Replaces this collection's partition of the store."""
-        rows = self.concepts.withColumn("bundle_root", F.lit(self.root))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bundle_root").parquet(f"{store}/concepts")
-        edges = graph.stored_edges(self.concepts, self.relations).withColumn("bundle_root", F.lit(self.root))
-        edges.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bundle_root").parquet(f"{store}/edges")
+    def ingest(self, store: str, artifacts: DataFrame | None = None, indexed: bool = True) -> int:
+        """Stores this collection whole, with its edges, relations and index; the version."""
+        return Collection(self.spark, store, self.root, indexed).ingest(self.concepts, self.relations, artifacts)
 
     @staticmethod
     def load_edges(spark: SparkSession, store: str, root: str) -> DataFrame:
         """The edges that ``ingest`` stored, dangling ones marked."""
-        return spark.read.parquet(f"{store}/edges").filter(F.col("bundle_root") == root).drop("bundle_root")
-
-    def sync(self, store: str) -> dict:
-        """Brings the stored collection up to this one's content; counts of what changed."""
-        stored = Engine.load(self.spark, store, self.root).concepts
-        changes = cut(sync.diff(stored, self.concepts))
-        counts = sync.report(changes).first().asDict()
-        if counts["added"] + counts["updated"] + counts["removed"]:
-            # a partition cannot be overwritten while it is read
-            merged = cut(sync.apply(stored, self.concepts, changes))
-            Engine(self.spark, merged.select(*stored.columns), self.root).ingest(store)
-        return counts
+        return Collection(spark, store, root).read("edges")
+
+    @staticmethod
+    def load_index(spark: SparkSession, store: str, root: str) -> stored.Index:
+        """The stored collection's search index."""
+        return Collection(spark, store, root).index()
+
+    def sync(self, store: str, artifacts: DataFrame | None = None) -> dict:
+        """Brings the stored collection up to this one's content; counts of what changed. Relations stay as
+        stored where this engine has none."""
+        return Collection(self.spark, store, self.root).sync(self.concepts, self.relations, artifacts)
 
     # -- reading ----------------------------------------------------------------------------------
 

@@ -43,6 +43,11 @@ def field_scores(posted: DataFrame, asked: list[str], known: DataFrame | None =
         found = posted.join(similar, ["field", "token"])
     else:
         found = similar_tokens(posted, asked)
+    return best_tokens(found)
+
+
+def best_tokens(found: DataFrame) -> DataFrame:
+    """id, field, pos, score, token: of similar tokens (id, field, pos, score, token) the best of each field."""
     best = F.min(F.struct((-F.col("score")).alias("behind"), "token"))
     return found.groupBy("id", "field", "pos").agg(best.alias("best")).select("id", "field", "pos", (-F.col("best.behind")).alias("score"), "best.token")
 
@@ -50,12 +55,16 @@ def field_scores(posted: DataFrame, asked: list[str], known: DataFrame | None =
 def scores(posted: DataFrame, query: str, known: DataFrame | None = None) -> DataFrame:
     """id, score, matched_fields and the body's matched tokens of all documents."""
     asked = required_tokens(query)
-    best = field_scores(posted, asked, known)
+    return ranked(field_scores(posted, asked, known), len(asked))
+
+
+def ranked(best: DataFrame, asked: int) -> DataFrame:
+    """``scores`` from the best tokens; ``asked`` is the number of query tokens."""
     means = best.groupBy("id").agg(
         *[F.coalesce(F.sum(F.when(F.col("field") == f, F.col("score"))), F.lit(0.0)).alias(f"_{f}") for f in FUZZY_WEIGHTS],
         F.array_sort(F.collect_set(F.when(F.col("field") == "body", F.col("token")))).alias("terms"),
     )
-    parts = {f: F.col(f"_{f}") / len(asked) * w for f, w in FUZZY_WEIGHTS.items()}
+    parts = {f: F.col(f"_{f}") / asked * w for f, w in FUZZY_WEIGHTS.items()}
     total = (parts["title"] + parts["description"] + parts["body"]) / WEIGHTS
     named = F.array_sort(F.filter(F.array(*[F.when(p / WEIGHTS > MATCHED, F.lit(f)) for f, p in parts.items()]), lambda f: f.isNotNull()))
     return means.select("id", round4(total).alias("score"), named.alias("matched_fields"), "terms").filter("score > 0")

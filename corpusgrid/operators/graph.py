@@ -40,24 +40,36 @@ def related_rows(concepts: DataFrame) -> DataFrame:
     return rows.select("id", "seq", "entry", F.filter(F.array(beside, plain), lambda c: c.isNotNull()).alias("candidates"))
 
 
-def resolve_related(concepts: DataFrame) -> DataFrame:
-    """related_rows with ``target``: the first candidate that is a concept, or null."""
+def resolve_related(concepts: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """related_rows with ``target``: the first candidate that is a concept (one of ``ids``, if given), or null."""
     rows = related_rows(concepts)
-    known = concepts.select(F.col("id").alias("candidate"))
+    known = (concepts if ids is None else ids).select(F.col("id").alias("candidate"))
     found = rows.select("id", "seq", F.posexplode("candidates").alias("rank", "candidate")).join(known, "candidate")
     best = found.groupBy("id", "seq").agg(F.min(F.struct("rank", "candidate")).alias("best")).select("id", "seq", F.col("best.candidate").alias("target"))
     return rows.join(best, ["id", "seq"], "left")
 
 
-def build_edges(concepts: DataFrame, relations: DataFrame | None = None) -> DataFrame:
-    """Edges from links, ``related`` entries and given relations (id, to, kind, raw, seq)."""
-    ids = concepts.select(F.col("id").alias("to"))
+def references(concepts: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """target, id: every id that a concept's links, entries or relations may lead to, whether it exists or not."""
+    links = _link_rows(concepts).filter("resolved IS NOT NULL").select(F.regexp_replace("resolved", r"\.md$", "").alias("target"), "id")
+    if "related" in concepts.columns:
+        links = links.unionByName(related_rows(concepts).select(F.explode("candidates").alias("target"), "id"))
+    if relations is not None:
+        links = links.unionByName(relations.select(F.col("to").alias("target"), "id"))
+    return links.distinct()
+
+
+def build_edges(concepts: DataFrame, relations: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """Edges from links, ``related`` entries and given relations (id, to, kind, raw, seq); they lead to
+    ``concepts``, or to any of ``ids`` (id) where the edges of some concepts only are asked for."""
+    whole = concepts if ids is None else ids
+    ids = whole.select(F.col("id").alias("to"))
     links = _link_rows(concepts).filter("resolves_in_bundle AND resolved IS NOT NULL").select(
         F.col("id").alias("from"), F.regexp_replace("resolved", r"\.md$", "").alias("to"), F.lit("link").alias("source"), "raw", F.col("seq").cast("long").alias("seq")
     ).join(ids, "to", "left_semi")
     parts = [links]
     if "related" in concepts.columns:
-        parts.append(resolve_related(concepts).filter("target IS NOT NULL").select(
+        parts.append(resolve_related(concepts, whole).filter("target IS NOT NULL").select(
             F.col("id").alias("from"), F.col("target").alias("to"), F.lit("related").alias("source"), F.lit(None).cast("string").alias("raw"),
             (F.col("seq") + F.lit(1 << 31)).alias("seq"),
         ))
@@ -70,23 +82,24 @@ def build_edges(concepts: DataFrame, relations: DataFrame | None = None) -> Data
     return first_edges(reduce(DataFrame.unionByName, [p.select(*columns) for p in parts]))
 
 
-def dangling(concepts: DataFrame) -> DataFrame:
+def dangling(concepts: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Links and ``related`` entries that are not edges: id, raw, target, resolved."""
-    ids = concepts.select(F.col("id").alias("_id"))
+    whole = concepts if ids is None else ids
+    ids = whole.select(F.col("id").alias("_id"))
     links = _link_rows(concepts)
     aimed = links.withColumn("_id", F.when(F.col("resolves_in_bundle"), F.regexp_replace("resolved", r"\.md$", "")))
     loose = aimed.join(ids, "_id", "left_anti").select("id", "raw", "target", "resolved")
     if "related" not in concepts.columns:
         return loose
-    entries = resolve_related(concepts).filter("target IS NULL")
+    entries = resolve_related(concepts, whole).filter("target IS NULL")
     return loose.unionByName(entries.select("id", F.col("entry").alias("raw"), F.col("entry").alias("target"), F.lit(None).cast("string").alias("resolved")))
 
 
-def stored_edges(concepts: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+def stored_edges(concepts: DataFrame, relations: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
     """What a store keeps: every edge, and every link or entry that is none, marked ``dangling`` (its
     ``to`` is the path it resolves to, else what is written)."""
-    made = build_edges(concepts, relations).select("from", "to", "source", "raw", F.lit(False).alias("dangling"))
-    loose = dangling(concepts).select(
+    made = build_edges(concepts, relations, ids).select("from", "to", "source", "raw", F.lit(False).alias("dangling"))
+    loose = dangling(concepts, ids).select(
         F.col("id").alias("from"), F.coalesce("resolved", "target").alias("to"), F.lit("link").alias("source"), "raw", F.lit(True).alias("dangling")
     )
     return made.unionByName(loose.distinct())

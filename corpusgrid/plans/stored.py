@@ -1,108 +1,296 @@
-"""Stored inverted frames: what a repeated query needs, without the texts.
+"""Stored inverted tables: what a repeated query needs, without the texts.
 
-``build`` writes, below one folder, postings of fuzzy fields and their vocabulary, tokens of keywords,
-weighted lexical postings and document lengths, sorted by token, so a query's tokens prune row groups;
-``Index`` answers from them. Phrases and exclusions of phrases need token order and go to the texts.
+``postings`` holds for each token and document the places of the token in each field, the weighted frequency
+and the document's length, so single terms, phrases and excluded phrases are answered from it. ``tokens`` is the
+vocabulary of the fuzzy fields, ``grams`` leads from numbered letter pairs to its tokens, ``keywords`` to keywords. All
+are sorted by what a query looks up, so it reads few row groups. The statistics (documents and
+their tokens) stand in the version record.
+
+A change (``change``) adds segments with the rows of new and changed documents and tombstones for what they
+replace; statistics are added up from what the change itself holds. ``storage.versions`` makes it visible at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections import Counter
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgrid.errors import GridError, check_top_k
+from corpusgrid.functions.similarity import LEAST
 from corpusgrid.functions.text import round4
 from corpusgrid.operators import fuzzy, hybrid, keyword
 from corpusgrid.operators.lexical import B, FLOOR, K1
-from corpusgrid.plans.postings import FUZZY_WEIGHTS, LEXICAL_WEIGHTS, field_tokens, keyword_tokens, vocabulary
+from corpusgrid.plans.postings import FUZZY_WEIGHTS, LEXICAL_WEIGHTS, field_tokens, keyword_tokens
 from corpusgrid.plans.query_text import parse_terms, required_tokens
-from corpusgrid.runtime import remove
+from corpusgrid.runtime import remove, together
+from corpusgrid.storage import versions
+from corpusgrid.storage.versions import Transaction, Versions
+
+SPACES = {"postings": "content", "lengths": "content", "keywords": "content", "tokens": "vocabulary", "grams": "vocabulary"}
+ORDER = {"postings": ("token",), "keywords": ("token",), "tokens": ("token",), "grams": ("gram",)}
+versions.ORDER.update(ORDER)
+#: Similar tokens share at least this many numbered letter pairs: d edits spoil at most 2 d of the n + 1 pairs of
+#: a padded token, and d is at most 0.45 n; a shared trigram holds two.
+SHARED = 2
 
 
 def split(concepts: DataFrame) -> DataFrame:
-    """id, each field's tokens in order, and the document's length: what all frames derive from."""
+    """id, each field's tokens in order, and the document's length: what all tables derive from."""
     fields = [field_tokens(concepts, f).alias(f) for f in LEXICAL_WEIGHTS]
     held = concepts.select("id", *fields)
     return held.withColumn("tokens", sum((F.size(f) for f in LEXICAL_WEIGHTS), F.lit(0)).cast("double"))
 
 
-def weighted(held: DataFrame) -> DataFrame:
-    """token, id, tf (weighted over fields), tokens (the document's length)."""
-    each = F.array(*[F.struct(F.lit(w).alias("w"), F.col(f).alias("held")) for f, w in LEXICAL_WEIGHTS.items()])
-    rows = held.select("id", "tokens", F.inline(each)).select("id", "tokens", "w", F.explode("held").alias("token"))
-    return rows.groupBy("token", "id").agg(F.sum("w").alias("tf"), F.first("tokens").alias("tokens"))
+def positional(held: DataFrame) -> DataFrame:
+    """token, id, tf (weighted over fields), tokens (the document's length), and the token's places by field
+    (null where it has none), ascending."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in LEXICAL_WEIGHTS])
+    rows = held.select("id", "tokens", F.inline(each)).select("id", "tokens", "field", F.posexplode("words").alias("place", "token"))
+    weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in LEXICAL_WEIGHTS.items()])
+    def places(field):
+        found = F.array_sort(F.collect_list(F.when(F.col("field") == field, F.col("place"))))
+        return F.when(F.size(found) > 0, found).alias(field)
+    return rows.groupBy("token", "id").agg(F.sum(weight).alias("tf"), F.first("tokens").alias("tokens"), *map(places, LEXICAL_WEIGHTS))
 
 
 def lexical_postings(concepts: DataFrame) -> DataFrame:
     """token, id, tf (weighted over fields)."""
-    return weighted(split(concepts)).drop("tokens")
+    held = split(concepts)
+    each = F.array(*[F.struct(F.lit(w).alias("w"), F.col(f).alias("held")) for f, w in LEXICAL_WEIGHTS.items()])
+    rows = held.select("id", F.inline(each)).select("id", "w", F.explode("held").alias("token"))
+    return rows.groupBy("token", "id").agg(F.sum("w").alias("tf"))
+
+
+def _pairs(token: Column) -> Column:
+    """The letter pairs of ``#token#``, each with how many like it came before."""
+    padded = F.concat(F.lit("#"), token, F.lit("#"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substr(padded, i, F.lit(2)))
+    return F.transform(pairs, lambda p, i: F.concat(p, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda q: q == p)).cast("string")))
+
+
+def numbered_pairs(token: str) -> list[str]:
+    """``_pairs`` of a query token."""
+    seen: Counter = Counter()
+    out = []
+    for i in range(len(token) + 1):
+        pair = f"#{token}#"[i : i + 2]
+        out.append(f"{pair}{seen[pair]}")
+        seen[pair] += 1
+    return out
+
+
+def sizes(token: str) -> tuple[int, int]:
+    """The least and greatest length of a plain token that may be similar to a plain query token. Each trigram of
+    the query counts once for every time it has it, so tokens may be shorter the more it repeats one."""
+    repeats = max(Counter(f"#{token}#"[i : i + 3] for i in range(len(token))).values())
+    return int(len(token) * LEAST / (2 * repeats - LEAST)), int(len(token) * (2 - LEAST) / LEAST) + 1
+
+
+def gram_rows(tokens: DataFrame) -> DataFrame:
+    """gram, size, plain (its trigrams count with repeats), token, for tokens of three characters and more."""
+    plain = (F.octet_length("token") == F.length("token")) & (F.length("token") <= 62)
+    return tokens.filter(F.length("token") >= 3).select(F.explode(_pairs(F.col("token"))).alias("gram"), F.length("token").alias("size"), plain.alias("plain"), "token")
+
+
+# -- writing --------------------------------------------------------------------------------------
+
+
+def opened(spark: SparkSession, folder: str) -> Versions:
+    return Versions(spark, folder, SPACES)
+
+
+def _sorted(df: DataFrame, table: str) -> DataFrame:
+    keys = ORDER[table]
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def fill(changes: Transaction, concepts: DataFrame) -> dict:
+    """Adds the rows of ``concepts`` to a transaction's index tables; the facts (documents, tokens) that they
+    change. The texts are tokenized once: their tokens are written first, and go when all tables have been made."""
+    facts = changes.base["facts"]
+    if concepts.isEmpty() and "postings" in changes.tables:
+        return facts
+    spark, scratch = concepts.sparkSession, f"{changes.versions.root}/scratch/{uuid.uuid4().hex}"
+    split(concepts).write.parquet(scratch)
+    held = spark.read.parquet(scratch)
+    words = held.select(F.explode(F.array_distinct(F.concat(*FUZZY_WEIGHTS))).alias("token")).distinct()
+    if "tokens" in changes.tables:  # only tokens that no segment has; tokens that lost their last document do no harm
+        words = words.join(changes.rows("tokens"), "token", "left_anti")
+
+    def vocabulary():
+        new = changes.put("tokens", _sorted(words, "tokens"))
+        changes.put("grams", _sorted(gram_rows(changes.versions._open(new)), "grams"))
+
+    together(
+        lambda: changes.put("postings", _sorted(positional(held), "postings")), lambda: changes.put("lengths", held.select("id", "tokens")),
+        lambda: changes.put("keywords", _sorted(keyword_tokens(concepts), "keywords")), vocabulary,
+    )
+    size = held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0.0)).alias("t")).first()
+    remove(spark, scratch)
+    return {"documents": facts.get("documents", 0) + size["n"], "tokens": facts.get("tokens", 0.0) + size["t"]}
+
+
+def bury(changes: Transaction, gone: DataFrame) -> dict:
+    """Takes documents (id) out of a transaction's index tables; the facts without them."""
+    facts = changes.base["facts"]
+    if "lengths" not in changes.tables:
+        return facts
+    lost = changes.rows("lengths").join(gone, "id", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0.0)).alias("t")).first()
+    changes.bury("content", gone)
+    return {"documents": facts.get("documents", 0) - lost["n"], "tokens": facts.get("tokens", 0.0) - lost["t"]}
 
 
 def build(concepts: DataFrame, folder: str) -> None:
-    """Writes the frames, each sorted by token within range partitions. The texts are tokenized once:
-    their tokens are written first, and all frames derive from them."""
-    spark = concepts.sparkSession
-    split(concepts).write.mode("overwrite").parquet(f"{folder}/split")
-    held = spark.read.parquet(f"{folder}/split")
+    """Writes all tables anew as one version."""
+    found = opened(concepts.sparkSession, folder)
+    changes = found.begin()
+    changes.tables, changes.graves = {}, {}
+    changes.base["facts"].update(documents=0, tokens=0.0)
+    changes.commit(**fill(changes, concepts))
 
-    def put(df: DataFrame, name: str, *keys: str) -> DataFrame:
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
 
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(f).alias("held")) for f in FUZZY_WEIGHTS])
-    posted = put(held.select("id", F.inline(each)).select("field", F.explode("held").alias("token"), "id"), "postings", "field", "token")
-    put(vocabulary(posted), "vocabulary", "field", "token")
-    put(keyword_tokens(concepts), "keywords", "token")
-    put(weighted(held), "lexical", "token")
-    size = held.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("tokens").alias("mean"))
-    size.write.mode("overwrite").parquet(f"{folder}/size")
-    remove(spark, f"{folder}/split")
+def change(spark: SparkSession, folder: str, gone: DataFrame, fresh: DataFrame) -> int:
+    """Brings an index up to a change: ``gone`` (id) are removed or replaced, ``fresh`` are concepts that are new or
+    changed. Writes their rows only; the version reached."""
+    changes = opened(spark, folder).begin()
+    changes.base["facts"].update(bury(changes, gone))
+    return changes.commit(**fill(changes, fresh))
 
 
-def changed(old: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
-    """Any of the frames after a sync: rows of ``gone`` ids out, those made from new and changed concepts in."""
-    return old.join(gone.select("id"), "id", "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+# -- asking ---------------------------------------------------------------------------------------
 
 
 class Index:
-    def __init__(self, spark: SparkSession, folder: str):
-        read = spark.read.parquet
-        self.postings, self.keywords, self.lexical, self.size = (read(f"{folder}/{n}") for n in ("postings", "keywords", "lexical", "size"))
-        self.vocabulary = read(f"{folder}/vocabulary")
+    """Answers from one version; later ones do not change its answers."""
+
+    def __init__(self, spark: SparkSession, folder: str, version: int | None = None, store: Versions | None = None):
+        self.store = store or opened(spark, folder)
+        self.spark, self.record = spark, self.store.record(version)
+        if not self.store.has(self.record, "postings"):
+            raise GridError("STORE_NOT_FOUND", f"no index in {folder!r}")
+        self.documents, self.tokens = float(self.record["facts"]["documents"]), float(self.record["facts"]["tokens"])
+
+    def table(self, name: str) -> DataFrame:
+        return self.store.read(self.record, name)
 
     def keyword(self, query: str, top_k: int = 10) -> DataFrame:
         """id, score and matched keywords; only tokens that a query token begins are read."""
         asked = required_tokens(query)
-        wanted = None
-        for q in asked:
-            wanted = F.startswith("token", F.lit(q)) if wanted is None else wanted | F.startswith("token", F.lit(q))
-        return keyword.ranked(self.keywords.filter(wanted), asked).orderBy(F.desc("score"), "id").limit(check_top_k(top_k))
+        wanted = reduce(Column.__or__, [F.startswith("token", F.lit(q)) for q in asked])
+        return keyword.ranked(self.table("keywords").filter(wanted), asked).orderBy(F.desc("score"), "id").limit(check_top_k(top_k))
+
+    def candidates(self, asked: list[str]) -> DataFrame:
+        """Tokens that may be similar to a query token: a short one by what it begins, others by the letter pairs
+        they share with it (read from the pair's list, not from the vocabulary) and by their lengths."""
+        short, long = [q for q in asked if len(q) < 3], [q for q in asked if len(q) >= 3]
+        parts = []
+        if short:
+            parts.append(self.table("tokens").filter(reduce(Column.__or__, [F.startswith("token", F.lit(q)) for q in short])))
+        for q in dict.fromkeys(long):
+            listed = q.isascii() and len(q) <= 62
+            near = F.col("size").between(*sizes(q))
+            rows = self.table("grams").filter(F.col("gram").isin(*numbered_pairs(q)))
+            rows = rows.filter(near | ~F.col("plain")) if listed else rows
+            parts.append(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHARED).select("token"))
+        begun = sorted({q[:k] for q in long for k in (1, 2)})
+        if begun:  # tokens of one or two characters that begin a query token
+            parts.append(self.table("tokens").filter(F.col("token").isin(*begun)))
+        return reduce(DataFrame.unionByName, parts).distinct()
 
     def fuzzy(self, query: str, top_k: int = 10) -> DataFrame:
         """id, score and matched fields."""
-        found = fuzzy.scores(self.postings, query, self.vocabulary).drop("terms")
-        return found.orderBy(F.desc("score"), "id").limit(check_top_k(top_k))
+        asked = required_tokens(query)
+        similar = fuzzy.similar_tokens(self.candidates(asked), asked)
+        rows = similar.limit(fuzzy.NAMED + 1).collect()
+        posted = self.table("postings")
+        if len(rows) <= fuzzy.NAMED:
+            similar = F.broadcast(self.spark.createDataFrame(rows, similar.schema))
+            posted = posted.filter(F.col("token").isin(sorted({r["token"] for r in rows})))
+        fields = F.filter(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in FUZZY_WEIGHTS]), lambda f: f.isNotNull())
+        found = posted.select("token", "id", F.explode(fields).alias("field")).join(similar, "token")
+        return fuzzy.ranked(fuzzy.best_tokens(found), len(asked)).drop("terms").orderBy(F.desc("score"), "id").limit(check_top_k(top_k))
 
-    def bm25(self, query: str, top_k: int = 10) -> DataFrame:
-        """id, raw_score, score for queries of single tokens."""
+    def _terms(self, query: str) -> tuple[DataFrame, list[str]]:
+        """id, tokens, tf_i of each positive term and ``excluded``, of documents that hold a token of the query."""
         terms = parse_terms(query)
-        if any(len(p) > 1 for p in terms.positive + terms.negative):
-            raise GridError("INVALID_REQUEST", "phrases need the texts")
-        asked, without = [p[0] for p in terms.positive], [p[0] for p in terms.negative]
-        rows = self.lexical.filter(F.col("token").isin(*asked)) if asked else self.lexical.limit(0)
-        # one row per query token, so the broadcasts are bounded by the query
-        df = rows.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("df"))
-        times = F.create_map(*[F.lit(x) for t in dict.fromkeys(asked) for x in (t, float(asked.count(t)))]) if asked else F.create_map(F.lit(""), F.lit(0.0))
-        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("tokens") / F.col("mean")))
-        joined = rows.join(F.broadcast(df), "token").crossJoin(F.broadcast(self.size))
-        raw = joined.groupBy("id").agg(F.sum(part * times[F.col("token")]).alias("raw_score"))
-        if without:
-            raw = raw.join(self.lexical.filter(F.col("token").isin(*without)).select("id").distinct(), "id", "left_anti")
+        tokens = sorted({t for p in terms.positive + terms.negative for t in p})
+        phrases = any(len(p) > 1 for p in terms.positive + terms.negative)
+        rows = self.table("postings")
+        rows = rows.filter(F.col("token").isin(*tokens)) if tokens else rows.limit(0)
+        name = {t: f"t{i}" for i, t in enumerate(tokens)}
+
+        def of(token, what):
+            return F.max(F.when(F.col("token") == token, what))  # one row for each token and document
+
+        held = [of(t, F.col("tf")).alias(f"{name[t]}_tf") for t in tokens]
+        if phrases:
+            within = {t for p in terms.positive + terms.negative if len(p) > 1 for t in p}
+            held += [of(t, F.col(f)).alias(f"{name[t]}_{f}") for t in sorted(within) for f in LEXICAL_WEIGHTS]
+        grouped = rows.groupBy("id").agg(F.max("tokens").alias("tokens"), *held) if held else rows.select("id", "tokens")
+
+        def frequency(phrase):
+            if len(phrase) == 1:
+                return F.coalesce(F.col(f"{name[phrase[0]]}_tf"), F.lit(0.0))
+            def start(token, field, k):
+                return F.transform(F.col(f"{name[token]}_{field}"), lambda x: x - k)
+            def often(field):  # places where each token stands as far on as it does in the phrase
+                starts = [start(t, field, k) for k, t in enumerate(phrase)]
+                return F.coalesce(F.size(reduce(F.array_intersect, starts)), F.lit(0))
+            return sum((F.greatest(often(f), F.lit(0)) * F.lit(w) for f, w in LEXICAL_WEIGHTS.items()), F.lit(0.0))
+
+        shown = [frequency(p).alias(f"tf_{i}") for i, p in enumerate(terms.positive)]
+        excluded = reduce(Column.__or__, [frequency(p) > 0 for p in terms.negative], F.lit(False))
+        return grouped.select("id", "tokens", *shown, excluded.alias("excluded")), [" ".join(p) for p in terms.positive]
+
+    def contributions(self, query: str) -> tuple[DataFrame, list[str]]:
+        """id, excluded and c_i, what each positive term adds to a document, and the terms."""
+        counted, terms = self._terms(query)
+        n = len(terms)
+        # one row of counts, bounded by the query
+        df = counted.agg(*[F.count_if(F.col(f"tf_{i}") > 0).cast("double").alias(f"df_{i}") for i in range(n)]) if n else None
+        mean = self.tokens / self.documents if self.documents and self.tokens else 1.0
+
+        def part(i):
+            tf, seen = F.col(f"tf_{i}"), F.col(f"df_{i}")
+            idf = F.log((F.lit(self.documents) - seen + 0.5) / (seen + 0.5))
+            worth = F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf)
+            return F.when(tf > 0, worth * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("tokens") / F.lit(mean)))).otherwise(F.lit(0.0))
+
+        joined = counted.crossJoin(F.broadcast(df)) if n else counted
+        return joined.select("id", "excluded", *[part(i).alias(f"c_{i}") for i in range(n)]), terms
+
+    def bm25(self, query: str, top_k: int = 10) -> DataFrame:
+        """id, raw_score, score; phrases and exclusions are answered from the places of their tokens."""
+        made, terms = self.contributions(query)
+        total = sum((F.col(f"c_{i}") for i in range(len(terms))), F.lit(0.0))
+        raw = made.filter("NOT excluded").select("id", total.alias("raw_score")).filter("raw_score > 0")
         top = raw.orderBy(F.desc("raw_score"), "id").limit(check_top_k(top_k))
         best = top.agg(F.max("raw_score").alias("_best"))
         return top.crossJoin(F.broadcast(best)).select("id", "raw_score", round4(F.col("raw_score") / F.col("_best")).alias("score"))
 
+    def explain_bm25(self, query: str, target) -> DataFrame:
+        """pos, query_token, matched and contribution of each positive term in one document."""
+        made, terms = self.contributions(query)
+        if not terms:
+            raise GridError("EMPTY_QUERY", "the query has no positive term")
+        asked = self.spark.range(1).select(F.posexplode(F.array(*map(F.lit, terms))).alias("pos", "query_token"))
+        rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.col(f"c_{i}").alias("contribution")) for i in range(len(terms))])
+        found = made.filter(F.col("id") == target).select(F.inline(rows))
+        return asked.join(F.broadcast(found), "pos", "left").select("pos", "query_token", (F.coalesce("contribution", F.lit(0.0)) > 0).alias("matched"), F.coalesce("contribution", F.lit(0.0)).alias("contribution"))
+
+    def explain_fuzzy(self, query: str, target) -> DataFrame:
+        """pos, field, token, similarity and contribution in one document, from its postings."""
+        asked = required_tokens(query)
+        posted = self.table("postings").filter(F.col("id") == target)
+        fields = F.filter(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in FUZZY_WEIGHTS]), lambda f: f.isNotNull())
+        best = fuzzy.best_tokens(fuzzy.similar_tokens(posted.select("token", "id", F.explode(fields).alias("field")), asked))
+        weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in FUZZY_WEIGHTS.items()])
+        return best.select("pos", "field", "token", F.col("score").alias("similarity"), (F.col("score") * weight / len(asked) / fuzzy.WEIGHTS).alias("contribution"))
+
     def hybrid_keyword(self, query: str, top_k: int = 10) -> DataFrame:
         return hybrid.fuse_keyword_fuzzy(self.keyword(query, top_k), self.fuzzy(query, top_k), top_k)
 

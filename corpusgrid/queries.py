@@ -19,9 +19,10 @@ from corpusgrid.operators import audit, explain, export, federation, fuzzy, grap
 from corpusgrid.plans import stored
 from corpusgrid.plans.concepts import from_documents
 from corpusgrid.plans.postings import postings, vocabulary
-from corpusgrid.runtime import checkpoint_dir, ship, spread
+from corpusgrid.runtime import checkpoint_dir, cut, ship, spread
 from corpusgrid.sources import assets, bundle, keyed, web
 from corpusgrid.sources.tables import table
+from corpusgrid.storage.collection import Collection
 from corpusgrid.streaming import watch
 
 KEYWORDS, PREFIXES, FUZZY, LEXICAL, PHRASE, WITHOUT = "the and", "th an", "worthles statin", "worthless atte", '"of the" idiot', "the -and idiot"
@@ -715,9 +716,14 @@ def lexical_index(spark, sf_dir):
     return stored.lexical_postings(_concepts(spark, sf_dir))
 
 
+def _folder(spark, name: str) -> str:
+    """A folder of its own below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _index(spark, sf_dir) -> stored.Index:
-    """A stored index of all documents, built below the shared checkpoint folder."""
-    place = f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    """A stored index of all documents."""
+    place = _folder(spark, "index")
     stored.build(_concepts(spark, sf_dir), place)
     return stored.Index(spark, place)
 
@@ -745,6 +751,83 @@ def stored_hybrid(spark, sf_dir):
     return _lists(_index(spark, sf_dir).hybrid_bm25(LEXICAL, TOP))
 
 
+@_query(f"""WITH {CONCEPTS}, {_lexical_sql(['of the', 'idiot'])} SELECT id, raw_score, score FROM lexical""")
+def stored_phrase(spark, sf_dir):
+    """A phrase, answered from the places of its tokens."""
+    return _index(spark, sf_dir).bm25(PHRASE, TOP)
+
+
+@_query(f"""WITH {CONCEPTS}, {_lexical_sql(['the', 'idiot'], ['and', 'of the'])} SELECT id, raw_score, score FROM lexical""")
+def stored_negative(spark, sf_dir):
+    """An excluded token and an excluded phrase."""
+    return _index(spark, sf_dir).bm25(f'{WITHOUT} -"of the"', TOP)
+
+
+#: A later state of the documents: those of low quality have other texts, toxic ones are gone, others came.
+_LATER = """later AS (SELECT d.doc_id, CASE WHEN l.quality = 0 THEN text || ' of the idiot' ELSE text END AS text, lang, source, n_chars
+  FROM documents AS d LEFT JOIN labels AS l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0)"""
+
+
+def _states(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The documents before and after: first there are labelled ones only, later _LATER holds."""
+    docs, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
+    joined = docs.join(labels, "doc_id", "left")
+    other = F.when(F.col("quality") == 0, F.concat("text", F.lit(" of the idiot"))).otherwise(F.col("text"))
+    later = joined.filter("coalesce(toxic, 0) = 0").withColumn("text", other).select(*docs.columns)
+    return joined.filter("toxic IS NOT NULL OR quality IS NOT NULL").select(*docs.columns), later
+
+
+@_query(f"""WITH {_LATER}, {CONCEPTS.replace("FROM documents", "FROM later")}, {_lexical_sql(['of the', 'idiot'])} SELECT id, raw_score, score FROM lexical""")
+def stored_delta(spark, sf_dir):
+    """An index of the labelled documents brought up to the later state by a change of its segments."""
+    before, after = map(from_documents, _states(spark, sf_dir))
+    place = _folder(spark, "index")
+    stored.build(before, place)
+    changes = sync.diff(before.select("id", F.sha2("body", 256).alias("content_hash")), after.select("id", F.sha2("body", 256).alias("content_hash")), "id")
+    changes = cut(changes.filter("action <> 'skipped'"))
+    stored.change(spark, place, changes.filter("action <> 'added'").select("id"), after.join(changes.filter("action <> 'removed'").select("id"), "id", "left_semi"))
+    return stored.Index(spark, place).bm25(PHRASE, TOP)
+
+
+def _linked(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Documents as scanned concepts: each links to the next one and to a third of its own id, and names twice its id."""
+    n = F.col("doc_id")
+    def name(x):
+        return F.concat(F.lit("doc-"), x.cast("string"))
+    aims = docs.select(n, F.posexplode(F.array(name(n + 1), name(F.floor(n / 3)))).alias("seq", "aim"))
+    ids = known.select(name(F.col("doc_id")).alias("aim"), F.lit(True).alias("known"))
+    link = F.struct(F.concat(F.lit("["), "aim", F.lit("]")).alias("raw"), F.concat("aim", F.lit(".md")).alias("target"), F.concat("aim", F.lit(".md")).alias("resolved"),
+                    F.coalesce("known", F.lit(False)).alias("resolves_in_bundle"))
+    links = aims.join(ids, "aim", "left").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", link.alias("link")))), lambda x: x["link"]).alias("links"))
+    return docs.join(links, "doc_id").select(
+        name(n).alias("id"), F.concat(name(n), F.lit(".md")).alias("path"), F.col("lang").alias("type"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("description"),
+        F.array("source").alias("keywords"), F.col("text").alias("body"), F.array(name(n * 2)).alias("related"), F.sha2("text", 256).alias("content_hash"), "links")
+
+
+@_query(f"""WITH {_LATER}, ids AS (SELECT doc_id FROM later), relations AS (SELECT doc_id, doc_id + 5 AS aim FROM labels WHERE doc_id IN (SELECT doc_id FROM ids) AND doc_id + 5 IN (SELECT doc_id FROM ids)),
+  aims AS (SELECT doc_id, doc_id + 1 AS aim FROM later UNION SELECT doc_id, doc_id // 3 FROM later), known AS (SELECT *, aim IN (SELECT doc_id FROM ids) AS held FROM aims),
+  named AS (SELECT doc_id, doc_id * 2 AS aim, doc_id * 2 IN (SELECT doc_id FROM ids) AS held FROM later),
+  edges AS (SELECT doc_id, aim, 'link' AS kind, NOT held AS dangling FROM known UNION ALL SELECT doc_id, aim, CASE WHEN held THEN 'related' ELSE 'link' END, NOT held FROM named
+    UNION ALL SELECT DISTINCT doc_id, aim, 'imports', false FROM relations)
+SELECT 'doc-' || l.doc_id AS id, sha256(l.text) AS content_hash, count(*) FILTER (WHERE NOT dangling) AS edges, count(*) FILTER (WHERE dangling) AS dangling, count(*) FILTER (WHERE kind = 'imports') AS imports
+FROM later AS l JOIN edges AS e ON e.doc_id = l.doc_id GROUP BY l.doc_id, l.text""")
+def sync_store(spark, sf_dir):
+    """A stored collection after adding, changing and removing documents, after removing all, and after the rest came
+    back: each one's hash and edges. The relations were given once."""
+    before, later = _states(spark, sf_dir)
+    kept = Collection(spark, _folder(spark, "store"), "documents", indexed=False)
+    def name(x):
+        return F.concat(F.lit("doc-"), x.cast("string"))
+    given = table(spark, sf_dir, "labels").select(name(F.col("doc_id")).alias("id"), name(F.col("doc_id") + 5).alias("to"), F.lit("imports").alias("kind"), F.lit(None).cast("string").alias("raw"), F.lit(0).cast("long").alias("seq"))
+    kept.ingest(_linked(before, before), given)
+    after = cut(_linked(later, later))
+    kept.sync(after)
+    kept.sync(after.limit(0), given)
+    kept.sync(after)
+    return kept.read("concepts").select("id", "content_hash").join(
+        kept.read("edges").groupBy(F.col("from").alias("id")).agg(F.count_if(~F.col("dangling")).alias("edges"), F.count_if("dangling").alias("dangling"), F.count_if(F.col("source") == "imports").alias("imports")), "id")
+
+
 @_query("""SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
 def watch_microbatch(spark, sf_dir):
     """The state after folding the events in micro-batches, a type each: each user's last event."""

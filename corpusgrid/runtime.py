@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -101,6 +103,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def together(*jobs: Callable[[], object]) -> None:
+    """Runs independent jobs at the same time: one that has few tasks left does not keep the others waiting."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for running in [pool.submit(j) for j in jobs]:
+            running.result()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files are too few to keep them busy (one small file, say);
     inputs of many files stay as they are read."""

@@ -211,15 +211,18 @@ def test_stored_index_answers_alike(spark, tmp_path):
     index = stored.Index(spark, str(tmp_path / "index"))
     def rows(found, *columns):
         return [tuple(r[c] if not isinstance(r[c], float) else round(r[c], 9) for c in columns) for r in found.collect()]
-    for query in ("alpha", "alpha gamma", "rotat", "caf bet"):
+    for query in ("alpha gamma", "rotat", "caf bet"):
         assert rows(index.keyword(query), "id", "score", "matched_keywords") == rows(keyword.keyword_search(df, query), "id", "score", "matched_keywords")
         assert rows(index.fuzzy(query), "id", "score", "matched_fields") == rows(fuzzy.fuzzy_search(df, query), "id", "score", "matched_fields")
-    for query in ("alpha", "alpha gamma -delta", "alpha alpha beta", "zzz"):
+    for query in ("alpha", "alpha gamma -delta", "alpha alpha beta", "-alpha", '"beta alpha" gamma', 'alpha -"alpha beta"', "graph-engine", '"x x x" token'):
         assert rows(index.bm25(query), "id", "raw_score", "score") == rows(lexical.lexical_search(df, query), "id", "raw_score", "score")
     assert rows(index.hybrid_bm25("alpha gamma"), "id", "total_score") == rows(hybrid.hybrid_lexical(df, "alpha gamma"), "id", "total_score")
     assert rows(index.hybrid_keyword("alpha"), "id", "total_score") == rows(hybrid.hybrid_keyword(df, "alpha"), "id", "total_score")
-    with pytest.raises(GridError):
-        index.bm25('"alpha beta"')
+    for query in ('"alpha beta" graph', "alpha zzz"):
+        told = explain.explain_lexical(df, query, "concepts/graph").drop("fields")
+        assert rows(index.explain_bm25(query, "concepts/graph"), "pos", "query_token", "matched", "contribution") == rows(told.orderBy("pos"), "pos", "query_token", "matched", "contribution")
+    told = rows(explain.explain_fuzzy(df, "graf tokn", "concepts/graph"), "pos", "field", "token", "similarity", "contribution")
+    assert told and sorted(rows(index.explain_fuzzy("graf tokn", "concepts/graph"), "pos", "field", "token", "similarity", "contribution")) == sorted(told)
 
 
 def test_near_is_similarity_from_the_threshold(spark):

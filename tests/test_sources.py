@@ -13,7 +13,6 @@ from corpusgrid.engine import Engine
 from corpusgrid.errors import GridError
 from corpusgrid.operators import audit, enrich, export, federation, lexical, privacy
 from corpusgrid.plans import stored
-from corpusgrid.plans.postings import postings
 from corpusgrid.sources import assets, bundle, markdown, providers
 from corpusgrid.streaming import watch
 
@@ -186,7 +185,7 @@ def test_inline_protection(spark):
         privacy.protect(df.withColumn("body", F.lit('{{private:hash key_id="zz"}}x{{/private:hash}}')), keys).collect()
 
 
-def test_cached_parsing_and_index_delta(spark, folder):
+def test_cached_parsing_and_index_delta(spark, folder, tmp_path_factory):
     _, snapshot = bundle.parse_cached(spark, str(folder), None)
     rows = spark.createDataFrame(snapshot.collect(), snapshot.schema)
     (folder / "fresh.md").write_text("---\ntype: x\n---\nnew words")
@@ -194,9 +193,10 @@ def test_cached_parsing_and_index_delta(spark, folder):
     again, _ = bundle.parse_cached(spark, str(folder), rows.withColumn("title", F.lit("kept")))
     titles = {r.id: r.title for r in again.collect()}
     assert set(titles) == {"alpha", "beta", "deep/gamma", "fresh"} and titles["alpha"] == "kept" and titles["fresh"] is None
-    old = postings(rows.filter("is_concept"))
-    new = stored.changed(old, spark.createDataFrame([("beta",)], "id string"), postings(again.filter("id = 'fresh'")))
-    assert {r.id for r in new.collect()} == {"alpha", "deep/gamma", "fresh"}
+    place = str(tmp_path_factory.mktemp("index"))
+    stored.build(rows.filter("is_concept"), place)
+    stored.change(spark, place, spark.createDataFrame([("beta",)], "id string"), again.filter("id = 'fresh'"))
+    assert {r.id for r in stored.Index(spark, place).table("postings").collect()} == {"alpha", "deep/gamma", "fresh"}
 
 
 def test_providers_and_registry(spark):
