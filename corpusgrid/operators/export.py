@@ -1,8 +1,8 @@
 """Export of a collection as files, and the life of extension data.
 
 Documents are written by the executors through Spark, one Parquet or JSON part per task, or rendered
-as Markdown rows that ``write_files`` puts one by one through Hadoop's file system from the tasks'
-rows; the manifest goes last, so a reader that finds it finds everything.
+as Markdown rows that ``write_files`` lets the tasks put as files; the manifest goes last, so a reader that
+finds it finds everything.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from corpusgrid.errors import GridError
 from corpusgrid.operators import privacy
 from corpusgrid.runtime import ship
+from corpusgrid.sources import files
 
 
 def yaml_value(value) -> str:
@@ -50,30 +51,17 @@ def rendered(concepts: DataFrame, key: bytes | None = None, key_id: str | None =
 
 
 def write_files(spark: SparkSession, rows: DataFrame, root: str, manifest: dict) -> int:
-    """Files of (path, text) below ``root``, streamed to the driver partition by partition and written
-    through Hadoop's file system, then ``manifest.json``; the number of files.
-
-    For collections too large for one writer use ``rows.write.parquet``.
-    """
-    jvm = spark.sparkContext._jvm
-    path_of = jvm.org.apache.hadoop.fs.Path
-    fs = path_of(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    count = 0
-
-    def put(name: str, text: str) -> None:
-        stream = fs.create(path_of(f"{root.rstrip('/')}/{name}"), True)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-
-    for row in rows.toLocalIterator():
-        if row["path"].startswith("/") or ".." in row["path"].split("/"):
-            raise GridError("INVALID_PATH", f"{row['path']!r} leaves the folder")
-        put(row["path"], row["text"])
-        count += 1
-    put("manifest.json", json.dumps(manifest | {"files": count}, sort_keys=True))
-    return count
+    """Files of (path, text) below ``root``, written by the tasks that hold the rows (``sources.files``), then
+    ``manifest.json``; the number of files. A job that fails leaves no file of its own."""
+    ship(spark)
+    spark.dataSource.register(files.FileSink)
+    try:
+        rows.select("path", "text").write.format(files.FileSink.name()).mode("append").option("manifest", json.dumps(manifest, sort_keys=True)).save(root)
+    except Exception as error:
+        if files.REFUSED in str(error):
+            raise GridError("INVALID_PATH", "a path leaves the folder") from error
+        raise
+    return files.counted(root)
 
 
 def index_text(concepts: DataFrame) -> DataFrame:

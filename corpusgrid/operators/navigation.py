@@ -9,6 +9,8 @@ from corpusgrid.errors import GridError
 
 #: Fixed value: rows listed where no limit is given.
 LISTED = 20
+#: Backlinks that stand with a concept.
+SHOWN = 1000
 
 
 def list_concepts(concepts: DataFrame, types=(), tags=(), status: str | None = None, limit: int = LISTED) -> DataFrame:
@@ -26,7 +28,8 @@ def list_concepts(concepts: DataFrame, types=(), tags=(), status: str | None = N
 def show(concepts: DataFrame, target, policy: str | None = None, edges: DataFrame | None = None) -> DataFrame:
     """One concept. The body of a protected one (column ``policy``) is withheld, and ``privacy_state`` says
     so; links keep raw, target and whether they resolve; with ``edges``, ``backlinks`` lists the concepts
-    that point here, once each, by their first edge."""
+    that point here, once each, by their first edge, ``SHOWN`` of them at most (``graph.backlinks`` is a frame
+    of all), and ``backlink_count`` says how many there are."""
     found = concepts.filter(F.col("id") == target)
     if policy and policy in concepts.columns:
         protected = F.coalesce(F.col(policy), F.lit("none")) != "none"
@@ -37,8 +40,10 @@ def show(concepts: DataFrame, target, policy: str | None = None, edges: DataFram
         found = found.withColumn("links", shown)
     if edges is not None:
         first = edges.filter(F.col("to") == target).groupBy("from").agg(F.min("seq").alias("seq"))
-        held = first.agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "from"))), lambda x: x["from"]).alias("backlinks"))
-        found = found.crossJoin(F.broadcast(held))  # one row each
+        some = first.orderBy("seq", "from").limit(SHOWN)  # of a hub no task gets all
+        held = some.agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "from"))), lambda x: x["from"]).alias("backlinks"))
+        whole = first.agg(F.count(F.lit(1)).alias("backlink_count"))
+        found = found.crossJoin(F.broadcast(held)).crossJoin(F.broadcast(whole))  # one bounded row each
     return found
 
 

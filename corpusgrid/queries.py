@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from corpusgrid.functions import porter
 from corpusgrid.functions.similarity import similarity
-from corpusgrid.functions.text import marks, round4, strip_markdown, tokens
+from corpusgrid.functions.text import round4, strip_markdown, tokens
 from corpusgrid.operators import audit, explain, export, federation, fuzzy, graph, hybrid, keyword, lexical, metrics, navigation, privacy, semantic, sync
 from corpusgrid.plans import stored
 from corpusgrid.plans.concepts import from_documents
@@ -59,8 +59,10 @@ def _r4(x: str) -> str:
     return f"round(({x}) * 10000) / 10000"
 
 
-#: Bodies without Markdown's marks.
-_PLAIN_BODY = f"regexp_replace(text, '{marks('(?m:^)', chr(92) + 'z')}', '{chr(92)}1{chr(92)}2{chr(92)}3', 'g')"
+#: Bodies without Markdown's marks, step by step: fences, links and images, autolinks (closed or not), headings, emphasis.
+_PLAIN_BODY = r"""translate(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+    '(?s)```[^\n]*(\n(.*?)(```([^\n]*\n)?|\z)|\z)', '\2', 'g'), '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<https?://[^>]*>', '', 'g'), '<(https?://)', '\1', 'g'),
+    '(?m)^#{1,6} ', '', 'g'), '*_~`', '')"""
 
 CONCEPTS = f"""concepts AS (
   SELECT doc_id AS id, lang AS type, source, n_chars, text AS body, substr(split_part(text, chr(10), 1), 1, 60) AS title,
@@ -642,9 +644,17 @@ def markdown_links(spark, sf_dir):
     return links.groupBy("id", "target").agg(F.count(F.lit(1)).alias("links"))
 
 
-#: Names of files, first bytes put before a page, and what they are: every extension, names without one,
-#: and contents that contradict the name.
-_FILES = [(f"x.{e}", "", kind if assets.text_like(kind) else "text/html", True) for e, kind in sorted(assets.EXTENSIONS.items())] + [
+#: Names of files, first bytes put before a page, what they are and whether they are text: stated by hand, not by the
+#: tables of ``sources.assets``. A page is HTML, so a picture's name on it is contradicted by its content.
+_FILES = [
+    ("x.png", "", "text/html", True), ("x.jpg", "", "text/html", True), ("x.jpeg", "", "text/html", True), ("x.gif", "", "text/html", True), ("x.webp", "", "text/html", True), ("x.pdf", "", "text/html", True),
+    ("x.txt", "", "text/plain", True), ("x.log", "", "text/plain", True), ("x.md", "", "text/plain", True), ("x.ini", "", "text/plain", True), ("x.csv", "", "text/csv", True),
+    ("x.json", "", "application/json", True), ("x.xml", "", "application/xml", True), ("x.yaml", "", "application/x-yaml", True), ("x.yml", "", "application/x-yaml", True), ("x.toml", "", "application/toml", True),
+    ("x.html", "", "text/html", True), ("x.htm", "", "text/html", True), ("x.css", "", "text/css", True), ("x.js", "", "application/javascript", True), ("x.jsx", "", "text/jsx", True),
+    ("x.ts", "", "text/x-typescript", True), ("x.tsx", "", "text/x-typescript", True), ("x.go", "", "text/x-go", True), ("x.py", "", "text/x-python", True), ("x.rs", "", "text/x-rust", True),
+    ("x.c", "", "text/x-c", True), ("x.h", "", "text/x-c", True), ("x.cc", "", "text/x-c++", True), ("x.cpp", "", "text/x-c++", True), ("x.cxx", "", "text/x-c++", True), ("x.hpp", "", "text/x-c++", True),
+    ("x.hh", "", "text/x-c++", True), ("x.hxx", "", "text/x-c++", True), ("x.java", "", "text/x-java", True), ("x.scala", "", "text/x-scala", True), ("x.sc", "", "text/x-scala", True),
+    ("x.dart", "", "text/x-dart", True), ("x.zig", "", "text/x-zig", True), ("x.sh", "", "text/x-shellscript", True), ("x.sql", "", "text/x-sql", True),
     ("x", "", "text/html", True), ("x.unknown", "", "text/html", True), (".hidden.PNG", "89504E470D0A1A0A00", "image/png", False), ("x.jpg", "FFD8FF", "image/jpeg", False),
     ("x.gif", "474946383961", "image/gif", True), ("x.pdf", "255044462D", "application/pdf", True), ("x.png", "1F8B08", "application/x-gzip", False), ("x.json", "00", "application/octet-stream", False),
     ("x", "504B0304", "application/zip", True), ("x.py", "FF", "application/octet-stream", False), ("x.webp", "52494646000000005745425056503820", "image/webp", False), ("x.csv", "0061736D", "application/wasm", False),

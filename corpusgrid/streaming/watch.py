@@ -1,8 +1,8 @@
 """Watching a folder, and keeping a table in step with a stream of changes.
 
-A file source only reports new files, so ``watch_folder`` uses a clock stream: each micro-batch lists
-the folder, compares hashes with the stored table and rewrites what changed. ``apply_stream`` folds
-a stream of rows into the latest state by key.
+A file source only reports new files, so ``watch_folder`` uses a clock stream: each micro-batch writes a
+listing of the folder if it differs from the last one, and tells the difference of the two. ``apply_stream``
+folds a stream of rows into the latest state by key.
 """
 
 from __future__ import annotations
@@ -23,46 +23,141 @@ from corpusgrid.sources import bundle
 PACE = "500 milliseconds"
 
 
+LISTING = "path string, modificationTime timestamp, length long, content_hash string"
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path, modificationTime and length of the Markdown files that count, reserved ones left out; no content is read."""
+    files = bundle.files(spark, root, "*.md")
+    return files.filter(~bundle.is_reserved(F.col("path"))).select("path", "modificationTime", "length")
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path and content_hash of the Markdown files that count, reserved ones left out."""
+    """path and content_hash of these files."""
+    return whole_listing(spark, root).select("path", "content_hash")
+
+
+def whole_listing(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
+    """A listing (LISTING). Files that ``known``, an earlier one, has with the same time and length keep its hash;
+    contents are read from the oldest of the others on (a filter that the scan takes), so a tick without
+    changes reads none."""
+    marks = ["path", "modificationTime", "length"]
+    def hashed(files):
+        kept = files.filter(~bundle.is_reserved(F.col("path")))
+        return kept.select(*marks, F.sha2("content", 256).alias("content_hash"))
     files = bundle.files(spark, root, "*.md")
-    return files.filter(~bundle.is_reserved(F.col("path"))).select("path", F.sha2("content", 256).alias("content_hash"))
+    if known is None:
+        return hashed(files)
+    now = listed(spark, root)
+    fresh = now.join(known, marks, "left_anti")
+    oldest = fresh.agg(F.min("modificationTime")).first()[0]
+    same = known.join(now, marks, "left_semi").select(*marks, "content_hash")
+    if oldest is None:
+        return same
+    # a file that was touched again meanwhile is listed as it is now
+    read = hashed(files.filter(F.col("modificationTime") >= F.lit(oldest))).join(same.select("path"), "path", "left_anti")
+    return same.unionByName(read)
+
+
+def event_of(changes: DataFrame) -> dict:
+    counts = dict(changes.groupBy("action").count().collect())
+    return {"event": "sync", "at": datetime.now(UTC).isoformat(timespec="seconds"), **{k: counts.get(k, 0) for k in ("added", "updated", "removed")}, "errors": 0}
 
 
 def tick(spark: SparkSession, root: str, stored: DataFrame) -> tuple[DataFrame, dict]:
     """The changes against ``stored`` (path, content_hash) and their event."""
     changes = sync.diff(stored, listing(spark, root)).filter("action <> 'skipped'")
-    counts = dict(changes.groupBy("action").count().collect())
-    return changes, {"event": "sync", "at": datetime.now(UTC).isoformat(timespec="seconds"), **{k: counts.get(k, 0) for k in ("added", "updated", "removed")}, "errors": 0}
+    return changes, event_of(changes)
+
+
+class Listings:
+    """Listings as tables below one folder, numbered by micro-batch. Each is written whole before anything is told
+    of it, and what is told is the difference of two written ones: an edit between them is in the later
+    one or in the next, whenever it happens."""
+
+    def __init__(self, spark: SparkSession, root: str, folder: str):
+        self.spark, self.root, self.folder = spark, root, folder.rstrip("/")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def numbers(self) -> list[int]:
+        """Those written whole."""
+        if not self._fs.exists(self._path(self.folder)):
+            return []
+        found = [s.getPath() for s in self._fs.listStatus(self._path(self.folder))]
+        return sorted(int(p.getName()) for p in found if self._fs.exists(self._path(p, "_SUCCESS")))
+
+    def read(self, number: int) -> DataFrame:
+        return self.spark.read.schema(LISTING).parquet(f"{self.folder}/{number}")
+
+    def start(self) -> None:
+        """The first listing, if there is none: what it holds counts as known."""
+        if not self.numbers():
+            whole_listing(self.spark, self.root).write.mode("overwrite").parquet(f"{self.folder}/0")
+
+    def take(self, number: int) -> DataFrame | None:
+        """The changes of a micro-batch, or None. A batch that runs again tells what it told; one without changes
+        leaves no listing."""
+        known = self.numbers()
+        before = max(n for n in known if n < number)
+        if number not in known:
+            marks = ["path", "modificationTime", "length"]
+            now, was = listed(self.spark, self.root), self.read(before)
+            same = now.join(was, marks, "left_anti").isEmpty() and was.join(now, "path", "left_anti").isEmpty()
+            if same:
+                return None
+            whole_listing(self.spark, self.root, was).write.mode("overwrite").parquet(f"{self.folder}/{number}")
+        changes = sync.diff(self.read(before), self.read(number)).filter("action <> 'skipped'")
+        return None if changes.isEmpty() else changes
+
+    def forget(self, number: int) -> None:
+        """A batch's listing, where its changes could not be told: they are found again."""
+        remove(self.spark, f"{self.folder}/{number}")
+
+    def settle(self, number: int) -> None:
+        """Listings before the one that a batch was compared with go."""
+        before = max((n for n in self.numbers() if n < number), default=0)
+        for n in self.numbers():
+            if n < before:
+                remove(self.spark, f"{self.folder}/{n}")
 
 
 def watch_folder(spark: SparkSession, root: str, checkpoint: str, emit: Callable[[dict, DataFrame], None], pace: str = PACE) -> StreamingQuery:
-    """Calls ``emit`` with an event and its changes for each micro-batch that has some; errors are
-    reported as events and the watch goes on. One sync covers all edits of a tick."""
-    base = f"{checkpoint.rstrip('/')}/listings"
-
-    def store(number: int) -> str:
-        """The listing as a table: it stays off the driver."""
-        listing(spark, root).write.mode("overwrite").parquet(f"{base}/{number}")
-        return f"{base}/{number}"
-
-    state = {"place": store(0), "number": 0}
-
-    def each(_: DataFrame, __: int) -> None:
+    """Calls ``emit`` with an event and its changes for each micro-batch that has some; one sync covers all edits
+    of a tick. A watch that starts again on its checkpoint goes on from its last listing, so changes made
+    meanwhile are told. An error, of the listing or of ``emit``, is an event itself; the changes come again."""
+    listings = Listings(spark, root, f"{checkpoint.rstrip('/')}/listings")
+    listings.start()
+
+    def each(_: DataFrame, batch: int) -> None:
+        number = batch + 1
         try:
-            changes, event = tick(spark, root, spark.read.parquet(state["place"]))
-            if event["added"] + event["updated"] + event["removed"]:
-                emit(event, changes)
-                was, state["number"] = state["place"], state["number"] + 1
-                state["place"] = store(state["number"])
-                remove(spark, was)
+            changes = listings.take(number)
+            if changes is not None:
+                emit(event_of(changes), changes)
+            listings.settle(number)
         except Exception as error:  # the next tick tries again
+            listings.forget(number)
             emit({"event": "sync", "at": datetime.now(UTC).isoformat(timespec="seconds"), "errors": 1, "message": str(error)[:500]}, None)
 
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return clock.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=pace).start()
 
 
+def keep_synced(spark: SparkSession, root: str, store: str, checkpoint: str, told: Callable[[dict], None] = lambda report: None, pace: str = PACE) -> StreamingQuery:
+    """A stored collection that follows its folder: synced at the start, and whenever a tick finds changes.
+    ``told`` gets each sync's counts, or an error's event."""
+    from corpusgrid.engine import Engine
+
+    def follow(event: dict, changes: DataFrame | None) -> None:
+        told(event if changes is None else Engine.parse(spark, root).sync(store))
+
+    # the listing is older than the sync, so an edit during it is found by the first tick
+    Listings(spark, root, f"{checkpoint.rstrip('/')}/listings").start()
+    told(Engine.parse(spark, root).sync(store))
+    return watch_folder(spark, root, checkpoint, follow, pace)
+
+
 def event_line(event: dict) -> str:
     return json.dumps(event, sort_keys=True)
 

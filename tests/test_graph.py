@@ -160,3 +160,14 @@ def test_federation(spark):
     reports = {"a": spark.range(1).select(F.lit(1).alias("added"), F.lit(2).alias("edges")), "b": spark.range(1).select(F.lit(3).alias("added"), F.lit(4).alias("edges"))}
     total = {r.source: (r.added, r.edges) for r in federation.merged_report(reports).collect()}
     assert total == {"a": (1, 2), "b": (3, 4), "*": (4, 6)}
+
+
+def test_a_hub_is_shown_with_a_bounded_list(spark):
+    from pyspark.sql import functions as F
+
+    from corpusgrid.operators import navigation
+
+    concepts = spark.range(1500).select(F.col("id").cast("string").alias("id"))
+    edges = spark.range(1500).select(F.col("id").cast("string").alias("from"), F.lit("0").alias("to"), F.col("id").alias("seq"))
+    row = navigation.show(concepts, "0", edges=edges).first()
+    assert row.backlink_count == 1500 and row.backlinks == [str(i) for i in range(navigation.SHOWN)]
