@@ -105,13 +105,22 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+#: Waves in which the documents arrive at the store, and runs of a wave at least.
+WAVES, RUNS = 4, 4
+
+
 def op7_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores all documents as shards, compacts them, and reads the committed version back."""
+    """All documents arrive in waves of small shards, each compacted as it comes, so merged runs of the waves
+    meet in a higher tier and merge again; the committed version is read back."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
     store = shard_store.ShardStore(spark, root)
-    store.append(table(spark, sf_dir, "documents"))
-    store.compact()
-    store.vacuum(lease=0)  # nobody else writes here
+    docs = table(spark, sf_dir, "documents")
+    wave = F.pmod(F.xxhash64("doc_id"), F.lit(WAVES))
+    rows = min(shard_store.ARRIVAL_ROWS, max(1, docs.count() // (WAVES * RUNS + WAVES)))
+    for w in range(WAVES):
+        store.append(docs.filter(wave == w), rows)
+        store.compact()
+        store.vacuum(lease=0)  # nobody else writes here
     text = F.col("text")
     return store.read().select("doc_id", "lang", "source", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
 

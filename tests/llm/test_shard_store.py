@@ -1,8 +1,9 @@
 import math
+import os
 
 import pytest
 
-from corpusgrid.llm import shard_store
+from corpusgrid.llm import queries, shard_store
 from corpusgrid.llm.shard_store import Conflict, Shard, ShardStore
 from tests.llm.helpers import documents, empty
 
@@ -109,3 +110,21 @@ def test_a_writer_that_outlives_its_lease_does_not_commit(spark, tmp_path):
     with pytest.raises(RuntimeError):
         two.commit(base, schema, shards + new, new)
     assert rows(one.read()) == rows(documents(spark)) and two.versions() == [1]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_the_query_merges_over_two_tiers(spark, monkeypatch):
+    groups, made, merge = [], set(), ShardStore._merge
+
+    def seen(self, schema, group, target):
+        groups.append(({s.tier() for s in group}, len(group), any(s.path in made for s in group)))
+        new = merge(self, schema, group, target)
+        made.update(s.path for s in new)
+        return new
+
+    monkeypatch.setattr(shard_store, "LEAST", 1 << 13)  # tiers as small as this table's runs
+    monkeypatch.setattr(ShardStore, "_merge", seen)
+    found = queries.op7_shard_store(spark, "/root/testdata/sf0.001")
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert all(n >= shard_store.FANOUT for _, n, _ in groups) and len(groups) >= queries.WAVES
+    assert any(again for *_, again in groups) and len({t for tiers, *_ in groups for t in tiers}) > 1  # merged runs merged again
