@@ -12,8 +12,9 @@ the training sample, and a near second place flags the text as ambiguous.
   the sample, averaged over a text and set on a logistic scale.
 * Decoding: the loss of a codeword is the weighted sum of ``log(1 + exp(-bit * margin))``; the score
   is the winner's share of ``exp(-loss)``.
-* Rejection: a text without a letter, or one that is ambiguous and whose winner loses more than
-  ``SLACK`` times as much as that of any text of the sample.
+* Rejection: a text without a letter, or one whose winner loses more than a limit that the fit
+  sets: what random letters of the sample's alphabet lose at least (all but ``MISSED`` of ``MADE`` made
+  texts), or all but ``CLEAN`` of the sample's texts at most, whichever is more.
 
 Every language of the labels is learned. The fit takes about ``SAMPLE`` documents of each, and fewer
 (at least ``LEAST``) where there are more than ``TOTAL / SAMPLE`` languages. Trigrams are counted by
@@ -48,8 +49,9 @@ SAMPLE, LEAST, TOTAL = 500, 20, 100_000
 SLOTS, BITS, PIECE = 1 << 16, 12, 1 << 18
 #: A second language with this share of the winner's likelihood makes a text ambiguous.
 NEAR = 0.5
-#: How much more than the sample's worst winner an ambiguous text may lose and stay.
-SLACK = 1.25
+#: Texts of random letters, and their letters; the share of them that may pass; the share of the sample's own
+#: texts that may lose more than the limit, where random letters lose less than they do.
+MADE, LETTERS, MISSED, CLEAN = 200, 300, 0.01, 0.002
 #: Languages up to which the code is exhaustive; draws of hashed codes; the share of a trigram that
 #: none of the sample's texts has; units of a document's share of a trigram.
 EXHAUSTIVE, DRAWS, FLOOR, UNIT = 7, 8, 2e-6, 1 << 40
@@ -100,7 +102,7 @@ class Model:
     table: np.ndarray  # log-odds: slot by bit
     scale: np.ndarray  # slope and constant of each bit's margin
     weights: np.ndarray
-    worst: float = 0.0  # the largest loss of a winner in the sample
+    limit: float = np.inf  # the loss above which a winner is rejected
 
     def means(self, text: str) -> np.ndarray:
         total, n = np.zeros(self.codes.shape[1]), 0
@@ -126,7 +128,7 @@ class Model:
         likely = np.exp(losses.min() - losses)
         order = np.argsort(losses, kind="stable")
         near = bool(likely[order[1]] >= NEAR)
-        return self.languages[order[0]], float(1 / likely.sum()), near, near and bool(losses[order[0]] > SLACK * self.worst)
+        return self.languages[order[0]], float(1 / likely.sum()), near, bool(losses[order[0]] > self.limit)
 
 
 def _scaled(means: np.ndarray, bits: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -205,10 +207,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model:
         wrong = min(max(wrong, 1e-3), 0.49)
         model.weights[b] = np.log((1 - wrong) / wrong)
     model.weights /= model.weights.mean()
-    model.worst = max(float(model.losses(m).min()) for m in means)
+    model.limit = _limit(model, means)
     return model
 
 
+def _limit(model: Model, means: np.ndarray) -> float:
+    """The loss above which a text is no more like any language than random letters are."""
+    draw = np.random.default_rng(7)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    made = []
+    for i in range(MADE):
+        drawn = draw.choice(letters, LETTERS)
+        if i % 2:  # every other one in words
+            drawn[draw.random(LETTERS) < 0.15] = " "
+        made.append(float(model.losses(model.means("".join(drawn))).min()))
+    return float(max(np.quantile(made, MISSED), np.quantile([model.losses(m).min() for m in means], 1 - CLEAN)))
+
+
 def identify(docs: DataFrame, model: Model, names: tuple[str, ...] = ("lang_pred", "score", "ambiguous", "rejected")) -> DataFrame:
     """``docs`` with the language, its score, whether another is near, and whether the text is rejected."""
     spark = docs.sparkSession
