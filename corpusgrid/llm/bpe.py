@@ -8,9 +8,10 @@ are remembered in bounded dictionaries of each worker. In a long fragment all pl
 merge at once: a rule joins tokens that only rules of earlier ranks make (checked when the file is
 read), so no merge opens one of an earlier rank, and the work grows with n log n.
 
-The file must hold a byte-level BPE without a decoder, as checked when it is read. and pre-tokenization are done here only if the file states the rules named below, and for texts in
-``PLAIN`` characters, where these are simple (lower case, letters, digits, the rest); other texts go through the tokenizer file's
-own normalizer and pre-tokenizer, and their words are then encoded in the same way.
+The file must hold a byte-level BPE without a decoder, as checked when it is read. Normalization and
+pre-tokenization are done here only if the file states the rules named below, and for texts in ``PLAIN``
+characters, where these are simple (lower case, letters, digits, the rest); other texts go through the tokenizer
+file's own normalizer and pre-tokenizer, and their words are then encoded in the same way.
 
 Long texts are taken in pieces that end at white space, so memory is bounded by ``PIECE`` characters
 and the longest run without white space.
