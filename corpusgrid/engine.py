@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgrid.errors import GridError
-from corpusgrid.operators import audit, explain, fuzzy, graph, hybrid, keyword, lexical, navigation, semantic
+from corpusgrid.operators import audit, enrich, explain, export, fuzzy, graph, hybrid, keyword, lexical, navigation, rerank, semantic
 from corpusgrid.plans import stored
 from corpusgrid.plans.postings import postings
 from corpusgrid.runtime import ship
@@ -112,8 +112,44 @@ class Engine:
             raise GridError("NO_PATH", f"no path from {start!r} to {end!r}")
         return found
 
-    def search(self, query: str, mode: str, top_k: int = 10, vector: list[float] | None = None, **options) -> DataFrame:
-        """A ranking; the mode is always named."""
+    def rescored(self, query: str, mode: str, top_k: int = 10, scorer: str | None = None, reranker: str | None = None, weight: float = rerank.WEIGHT,
+                 candidate_k: int | None = None, **options) -> DataFrame:
+        """A search whose first ``candidate_k`` hits an extension scores: id, score, rank, given_score, final_score, warning."""
+        hits = self.search(query, mode, rerank.candidate_count(top_k, candidate_k), **options)
+        score = "total_score" if mode.startswith("hybrid") else "score"
+        return rerank.rerank(hits.select("id", F.col(score).alias("score")), self.concepts, query, top_k, scorer, reranker, weight)
+
+    def export(self, root: str, key: bytes | None = None, key_id: str | None = None) -> int:
+        """Writes the concepts as Markdown files below ``root``, bodies encrypted with a key; the number of files."""
+        kind = "encrypted" if key else "raw"
+        return export.write_files(self.spark, export.rendered(self.concepts, key, key_id), root, {"kind": kind, "root": self.root})
+
+    def spaces(self) -> DataFrame:
+        """The embedding spaces, with their rows, those that fit, and those older than their document."""
+        if self.embeddings is None:
+            raise GridError("INVALID_REQUEST", "the collection has no embeddings")
+        rows = self.embeddings.withColumn("_same", F.lit(None).cast("boolean"))
+        if "content_hash" in self.embeddings.columns and "content_hash" in self.concepts.columns:
+            now = self.concepts.select("id", F.col("content_hash").alias("_now"))
+            rows = self.embeddings.join(now, "id", "left").withColumn("_same", F.col("content_hash") == F.col("_now"))
+        vector, dim = F.col("vector"), F.col("dim") if "dim" in self.embeddings.columns else F.size("vector")
+        return rows.groupBy("model", dim.alias("dim")).agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.size(vector) == dim).alias("valid_rows"), F.count_if(~F.coalesce("_same", F.lit(True))).alias("stale_rows"))
+
+    def embedded(self, embedder: str, model: str, dim: int) -> Engine:
+        """This collection with the embeddings of a space made anew (others stay)."""
+        made = enrich.embed(self.concepts, embedder, model, dim).filter("warning IS NULL").drop("warning")
+        rest = None if self.embeddings is None else self.embeddings.filter((F.col("model") != model) | (F.col("dim") != dim))
+        rows = made if rest is None else rest.unionByName(made, allowMissingColumns=True)
+        return Engine(self.spark, self.concepts, self.root, self.parsed, self.permissive, self.relations, rows)
+
+    def without_space(self, model: str, dim: int) -> Engine:
+        """This collection without a space of embeddings."""
+        rest = None if self.embeddings is None else self.embeddings.filter((F.col("model") != model) | (F.col("dim") != dim))
+        return Engine(self.spark, self.concepts, self.root, self.parsed, self.permissive, self.relations, rest)
+
+    def search(self, query: str, mode: str, top_k: int = 10, vector: list[float] | None = None, embedder: str | None = None, **options) -> DataFrame:
+        """A ranking; the mode is always named. A semantic search takes a vector, or an embedder for the query's text."""
         titled = self.concepts.withColumn("title", F.coalesce("title", "id"))
         match mode:
             case "keyword":
@@ -128,6 +164,8 @@ class Engine:
                 words = lexical.lexical_search(navigation.visible(self.concepts, "lexical"), query, top_k, **options)
                 return hybrid.fuse_lexical_fuzzy(words, fuzzy.top(navigation.visible(titled, "fuzzy"), query, top_k), top_k)
             case "semantic":
+                if embedder is not None and vector is None:
+                    vector = [float(x) for x in enrich.registered("embedder", embedder)(query)]
                 if self.embeddings is None or vector is None:
                     raise GridError("INVALID_REQUEST", "semantic search needs embeddings and a query vector")
                 hits = semantic.knn(self.embeddings, vector, top_k)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusgrid.errors import GridError, check_top_k
+from corpusgrid.runtime import cut
 
 _ALIAS = re.compile(r"[a-z0-9][a-z0-9._-]*")
 
@@ -51,6 +53,48 @@ def federated_list(sources: dict[str, DataFrame], listed: Callable[[DataFrame],
     return tagged({alias: listed(df) for alias, df in sources.items()}).orderBy("source", "id").limit(limit)
 
 
+def isolated(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], run: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame]:
+    """(rows of all sources that could be read, status of each). Sources are opened and run side by side, each
+    written by itself, so one that fails is ``degraded``, with what it said, and the others go on; the rows are None
+    if none could be read."""
+    def one(alias: str) -> tuple[str, DataFrame | None, str | None]:
+        try:
+            return alias, cut(run(sources[alias]())), None
+        except Exception as error:
+            return alias, None, f"{type(error).__name__}: {error}"[:500]
+
+    with ThreadPoolExecutor(max(1, min(8, len(sources)))) as pool:
+        done = list(pool.map(one, sorted(sources)))
+    status = spark.createDataFrame([(a, "ok" if df is not None else "degraded", said) for a, df, said in done], "source string, status string, message string")
+    found = {a: df for a, df, _ in done if df is not None}
+    return (tagged(found) if found else None), status
+
+
+def search_isolated(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], search: Callable[[DataFrame], DataFrame], top_k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(the merged ranking of the sources that could be read, status of each)."""
+    hits, status = isolated(spark, sources, search)
+    if hits is None:
+        raise GridError("SOURCE_UNAVAILABLE", "no source could be read")
+    return hits.orderBy(F.desc("score"), "source", "id").limit(check_top_k(top_k)), status
+
+
+def explain_first(sources: dict[str, DataFrame], search: Callable[[DataFrame], DataFrame], explain: Callable[[DataFrame, object], DataFrame], target: str | None = None) -> DataFrame:
+    """The explanation of one document, with its source: of ``alias:id``, or of the first hit of the merged ranking."""
+    alias, given, rest = (target or "").partition(":")
+    if given and alias in sources:
+        return explain(sources[alias], rest).withColumn("source", F.lit(alias))
+    first = federated_search(sources, search, 1).first()
+    if first is None:
+        raise GridError("CONCEPT_NOT_FOUND", "no result for the query")
+    return explain(sources[first["source"]], first["id"]).withColumn("source", F.lit(first["source"]))
+
+
+def degraded(registry: DataFrame, status: DataFrame) -> DataFrame:
+    """The registry with the status of each source that ``isolated`` ran; sources that it does not hold are left out."""
+    said = status.select(F.col("source").alias("alias"), F.col("status").alias("_now"))
+    return registry.join(said, "alias", "left").withColumn("status", F.coalesce("_now", "status")).select(*registry.columns)
+
+
 def find_target(sources: dict[str, DataFrame], target: str) -> tuple[str, str]:
     """(alias, id) of ``alias:id``, or of an id that exactly one source holds."""
     alias, given, rest = target.partition(":")

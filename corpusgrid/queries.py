@@ -597,6 +597,13 @@ def relevance_ndcg(spark, sf_dir):
     return metrics.relevance(ranked, grades).select("query", round4(F.col("ndcg")).alias("ndcg"), round4(F.col("mrr")).alias("mrr"))
 
 
+@_query("""WITH ranked AS (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) AS rank, count(*) OVER () AS n FROM lineitem WHERE l_extendedprice IS NOT NULL)
+SELECT f AS fraction, n, CAST(x AS DOUBLE) AS value FROM ranked, (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) AS fractions(f) WHERE rank = greatest(1, ceil(f * n - 1e-9))""")
+def price_percentiles(spark, sf_dir):
+    """Exact percentiles of all lines' prices by nearest rank."""
+    return metrics.nearest_ranks(table(spark, sf_dir, "lineitem"), "l_extendedprice", [0.5, 0.95, 0.99])
+
+
 # -- privacy and text -----------------------------------------------------------------------------
 
 
