@@ -122,15 +122,20 @@ def query_aliases(query: str, keys: dict[str, bytes]) -> list[str]:
 
 #: The word that an inline directive begins with: ``{{private:POLICY key_id="K"}}...{{/private:POLICY}}``.
 MARKER = "private"
-_ATTRIBUTE = re.compile(r'\s+([a-z_]+)="([^"]*)"')
+_ATTRIBUTE = re.compile(r'\s+([a-z_]+)\s*=\s*"([^"]*)"')
+
+
+#: What tags stand in: braces, or a comment of HTML (``<!-- private:POLICY key_id="K" -->...<!-- /private:POLICY -->``).
+STYLES = {"braces": (r"\{\{", r"\}\}"), "comment": (r"<!--\s*", "-->")}
 
 
 @lru_cache
-def _tags(marker: str) -> re.Pattern:
-    return re.compile(rf"\{{\{{(?P<ends>/?){marker}:(?P<policy>[a-z]+)(?P<attributes>(?:\s+[a-z_]+=\"[^\"]*\")*)\s*\}}\}}")
+def _tags(marker: str, style: str = "braces") -> re.Pattern:
+    begin, end = STYLES[style]
+    return re.compile(rf"{begin}(?P<ends>/?){re.escape(marker)}:(?P<policy>[a-z]+)(?P<attributes>(?:\s+[a-z_]+\s*=\s*\"[^\"]*\")*)\s*{end}")
 
 
-def inline_spans(body: str, marker: str = MARKER) -> tuple[list[tuple[str, str, int, int]], list[str]]:
+def inline_spans(body: str, marker: str = MARKER, style: str = "braces") -> tuple[list[tuple[str, str, int, int]], list[str]]:
     """(policy, key_id, start, end) of the protected stretches, and warnings. Fenced lines and inline
     code are text; a directive opens and closes on one line and does not nest.
 
@@ -140,7 +145,7 @@ def inline_spans(body: str, marker: str = MARKER) -> tuple[list[tuple[str, str,
     blocked = iter([*fences(body, r"[^\S\n]*", "```|~~~"), (len(body) + 1,) * 2])
     begin, end = next(blocked)
     lines: dict[int, list[re.Match]] = {}
-    for tag in _tags(marker).finditer(body):
+    for tag in _tags(marker, style).finditer(body):
         while tag.start() >= end:
             begin, end = next(blocked)
         if tag.start() < begin and "\n" not in tag[0]:
@@ -179,23 +184,23 @@ def redacted(concepts: DataFrame, policy: str = "policy", allowed: str | None =
 _PIECES = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("text", "policy", "key_id")]))
 
 
-def _cut_up(body: str) -> list[tuple[str, str, str]]:
+def _cut_up(body: str, marker: str = MARKER, style: str = "braces") -> list[tuple[str, str, str]]:
     """The body in pieces: (text, policy, key_id), policy ``none`` outside protected stretches."""
     out, at = [], 0
-    for policy, key_id, start, end in inline_spans(body)[0]:
+    for policy, key_id, start, end in inline_spans(body, marker, style)[0]:
         out += [(body[at:start], "none", ""), (body[start:end], policy, key_id)]
         at = end
     return [*out, (body[at:], "none", "")]
 
 
-def protect_inline(body: Column, keys: dict[str, bytes]) -> Column:
+def protect_inline(body: Column, keys: dict[str, bytes], marker: str = MARKER, style: str = "braces") -> Column:
     """Protected stretches replaced: names and hashes by a vectorised function, encryption on the JVM.
     Directives stay, so that ``reveal_inline`` finds the envelopes; unknown keys raise."""
 
     def run(batch: pd.Series) -> pd.Series:
         def one(text):
             out = []
-            for piece, policy, key_id in _cut_up(text):
+            for piece, policy, key_id in _cut_up(text, marker, style):
                 if policy != "none" and key_id not in keys:
                     raise GridError("KEY_UNAVAILABLE", f"privacy key unavailable: {key_id}")
                 if policy == "tokenize":
