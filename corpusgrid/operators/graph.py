@@ -105,6 +105,16 @@ def stored_edges(concepts: DataFrame, relations: DataFrame | None = None, ids: D
     return made.unionByName(loose.distinct())
 
 
+def ordered_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes by id."""
+    return nodes.orderBy("id")
+
+
+def ordered_edges(edges: DataFrame) -> DataFrame:
+    """Edges by from, to and kind."""
+    return edges.orderBy("from", "to", "source")
+
+
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, orphans, and edges by kind (a map)."""
     kinds = edges.groupBy("source").count().agg(

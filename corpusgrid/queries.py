@@ -22,6 +22,7 @@ from corpusgrid.plans.postings import postings, vocabulary
 from corpusgrid.runtime import checkpoint_dir, cut, ship, spread
 from corpusgrid.sources import assets, bundle, keyed, web
 from corpusgrid.sources.tables import table
+from corpusgrid.storage import extension_data
 from corpusgrid.storage.collection import Collection
 from corpusgrid.streaming import watch
 
@@ -162,6 +163,19 @@ def _concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_documents(spread(table(spark, sf_dir, "documents")))
 
 
+def placed(ordered: DataFrame) -> DataFrame:
+    """A sorted frame with each row's place from 1, counted without one task for all: rows are numbered within their
+    partitions, which hold ranges, and the partitions' sizes (one number each) are added up."""
+    kept = cut(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id() % (1 << 33)))
+    sizes = {r["_part"]: r["count"] for r in kept.groupBy("_part").count().collect()}
+    before, starts = 0, []
+    for part in sorted(sizes):
+        starts += [F.lit(part), F.lit(before)]
+        before += sizes[part]
+    start = F.create_map(*starts)[F.col("_part")] if starts else F.lit(0)
+    return kept.withColumn("place", (start + F.col("_row") + 1).cast("long")).drop("_part", "_row")
+
+
 def _lists(df: DataFrame) -> DataFrame:
     """Lists as text, for comparing."""
     return df.withColumns({c: F.array_join(c, ",") for c, kind in df.dtypes if kind == "array<string>"})
@@ -428,6 +442,13 @@ def graph_degrees(spark, sf_dir):
     return graph.degrees(keyed.trade_nodes(spark, sf_dir), keyed.trade_edges(spark, sf_dir))
 
 
+@_query(f"""WITH {EDGES} SELECT "from", "to", source, CAST(row_number() OVER (ORDER BY "from", "to", source) AS BIGINT) AS place FROM edges""")
+def graph_edges_ordered(spark, sf_dir):
+    """The typed graph's edges in their order, each with its place."""
+    ordered = graph.ordered_edges(graph.first_edges(keyed.trade_edges(spark, sf_dir)).select("from", "to", "source"))
+    return placed(ordered)
+
+
 @_query("""SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
 def graph_orphans(spark, sf_dir):
     """Documents that no label refers to."""
@@ -845,6 +866,25 @@ def sync_store(spark, sf_dir):
         kept.read("edges").groupBy(F.col("from").alias("id")).agg(F.count_if(~F.col("dangling")).alias("edges"), F.count_if("dangling").alias("dangling"), F.count_if(F.col("source") == "imports").alias("imports")), "id")
 
 
+@_query("""SELECT 'text' AS extension, doc_id AS id, 'body' AS key, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size, 'text/plain' AS media_type, lang AS metadata, sha256(text) AS read_sha256
+FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 UNION ALL
+SELECT 'title', doc_id, 'first', sha256(split_part(text, chr(10), 1)), CAST(strlen(split_part(text, chr(10), 1)) AS BIGINT), 'text/plain', lang, sha256(split_part(text, chr(10), 1)) FROM documents JOIN labels USING (doc_id)""")
+def extension_data_store(spark, sf_dir):
+    """Two extensions' data of labelled documents stored, the toxic ones' texts replaced by nothing and swept, the rest read
+    back by their digests."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").filter("toxic IS NOT NULL")
+    first = F.substring_index("text", "\n", 1)
+    def items(extension, key, text):
+        return docs.select(F.lit(extension).alias("extension"), F.col("doc_id").alias("id"), F.lit(key).alias("key"), F.lit("text/plain").alias("media_type"), F.col("lang").alias("metadata"), text.cast("binary").alias("content"), "toxic")
+    kept = Collection(spark, _folder(spark, "data"), "documents", indexed=False)
+    extension_data.put(kept, items("text", "body", F.col("text")).unionByName(items("title", "first", first)).drop("toxic"))
+    gone = items("text", "body", F.col("text")).filter("toxic = 1").drop("toxic")
+    extension_data.remove(kept, gone.select("extension", "id"))
+    extension_data.collect_garbage(kept)
+    back = extension_data.fetched(kept, extension_data.listed(kept)).filter("warning IS NULL")
+    return back.select(*extension_data.COLUMNS, F.sha2("content", 256).alias("read_sha256"))
+
+
 @_query("""SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
 def watch_microbatch(spark, sf_dir):
     """The state after folding the events in micro-batches, a type each: each user's last event."""

@@ -19,8 +19,8 @@ from corpusgrid.plans import stored
 from corpusgrid.runtime import cut, together
 from corpusgrid.storage.versions import Conflict, Transaction, Versions
 
-SPACES = {"concepts": "graph", "edges": "graph", "references": "graph", "relations": "relations", "artifacts": "artifacts", **stored.SPACES}
-KEYS = {"edges": "from"}
+SPACES = {"concepts": "graph", "edges": "graph", "references": "graph", "relations": "relations", "artifacts": "artifacts", "data": "data", "blobs": "blobs", **stored.SPACES}
+KEYS = {"edges": "from", "data": "owner", "blobs": "sha256"}
 
 
 def place(store: str, root: str) -> str:
@@ -74,7 +74,8 @@ class Collection:
         """Replaces the whole collection; the version. ``artifacts`` have an id and any columns."""
         while True:
             changes = self.versions.begin()
-            changes.tables, changes.graves = {}, {}
+            held = {t: changes.tables[t] for t in ("data", "blobs") if t in changes.tables}  # extension data is not made from a scan
+            changes.tables, changes.graves = held, {s: g for s, g in changes.graves.items() if s in ("data", "blobs")}
             changes.base["facts"] = {}
             if relations is not None:
                 changes.put("relations", relations)
@@ -134,6 +135,8 @@ class Collection:
         for table in ("relations", "artifacts"):
             if table in changes.tables and counts["removed"]:
                 changes.bury(table, lost)
+        if "data" in changes.tables and counts["removed"]:
+            changes.bury("data", changes.rows("data").join(lost, "id", "left_semi").select("owner"))
         if self.indexed and "postings" in changes.tables and changed:
             changes.base["facts"].update(stored.bury(changes, gone))
             changes.base["facts"].update(stored.fill(changes, self._searched(rewritten.join(new, "id", "left_semi"))))
