@@ -71,7 +71,7 @@ class Engine:
 
     @property
     def nodes(self) -> DataFrame:
-        return graph.degrees(self.concepts.select("id", "path", "type", F.coalesce("title", "id").alias("title"), "keywords", "status", "tags"), self.edges)
+        return graph.degrees(self.concepts.select("id", "path", "type", F.coalesce("title", F.col("id").cast("string")).alias("title"), "keywords", "status", "tags"), self.edges)
 
     @property
     def stats(self) -> DataFrame:
@@ -150,7 +150,7 @@ class Engine:
 
     def search(self, query: str, mode: str, top_k: int = 10, vector: list[float] | None = None, embedder: str | None = None, **options) -> DataFrame:
         """A ranking; the mode is always named. A semantic search takes a vector, or an embedder for the query's text."""
-        titled = self.concepts.withColumn("title", F.coalesce("title", "id"))
+        titled = self.concepts.withColumn("title", F.coalesce("title", F.col("id").cast("string")))
         match mode:
             case "keyword":
                 return keyword.keyword_search(navigation.visible(self.concepts, "keyword"), query, top_k)
@@ -175,7 +175,7 @@ class Engine:
 
     def explain(self, query: str, target: str, mode: str) -> DataFrame:
         navigation.require(self.concepts, target)
-        titled = self.concepts.withColumn("title", F.coalesce("title", "id"))
+        titled = self.concepts.withColumn("title", F.coalesce("title", F.col("id").cast("string")))
         calls = {"keyword": explain.explain_keyword, "fuzzy": explain.explain_fuzzy, "bm25": explain.explain_lexical, "hybrid_bm25": explain.explain_hybrid,
                  "hybrid_keyword": explain.explain_hybrid_keyword, "bm25_total": explain.explain_lexical_total}
         if mode not in calls:
@@ -184,7 +184,7 @@ class Engine:
 
     def index(self, path: str, titled: bool = True) -> None:
         """Writes the inverted frames; ``plans.stored.Index`` answers from them."""
-        stored.build(self.concepts.withColumn("title", F.coalesce("title", "id")) if titled else self.concepts, path)
+        stored.build(self.concepts.withColumn("title", F.coalesce("title", F.col("id").cast("string"))) if titled else self.concepts, path)
 
     def postings(self) -> DataFrame:
         return postings(self.concepts)

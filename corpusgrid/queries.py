@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusgrid.engine import Engine
 from corpusgrid.functions import porter
 from corpusgrid.functions.similarity import similarity
 from corpusgrid.functions.text import round4, strip_markdown, tokens
-from corpusgrid.operators import audit, explain, export, federation, fuzzy, graph, hybrid, keyword, lexical, metrics, navigation, privacy, semantic, sync
+from corpusgrid.operators import audit, enrich, explain, export, federation, fuzzy, graph, hybrid, keyword, lexical, metrics, navigation, privacy, semantic, sync
 from corpusgrid.plans import stored
 from corpusgrid.plans.concepts import from_documents
 from corpusgrid.plans.postings import postings, vocabulary
@@ -759,11 +760,18 @@ def _folder(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the indexes that this application has built, by its id and the tables' folder.
+_BUILT: dict[tuple[str, str], str] = {}
+
+
 def _index(spark, sf_dir) -> stored.Index:
-    """A stored index of all documents."""
-    place = _folder(spark, "index")
-    stored.build(_concepts(spark, sf_dir), place)
-    return stored.Index(spark, place)
+    """A stored index of all documents, built by the first query that asks it and kept for the others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        place = _folder(spark, "index")
+        stored.build(_concepts(spark, sf_dir), place)
+        _BUILT[key] = place
+    return stored.Index(spark, _BUILT[key])
 
 
 @_query(f"""WITH {_keyword_sql(PREFIXES)} SELECT id, score, {_text('matched_keywords')} AS matched_keywords FROM keyword""")
@@ -903,4 +911,206 @@ def events_tumbling(spark, sf_dir):
     return found.withColumn("total", F.round("total", 4))
 
 
+# -- what searches show, hide and keep ------------------------------------------------------------
+
+
+@_query(f"""WITH {_BOTH.replace(_fuzzy_sql(LEXICAL), _fuzzy_sql(FUZZY))}, terms AS (SELECT id, list(DISTINCT token) AS t FROM best WHERE field = 'body' GROUP BY id),
+  placed AS (SELECT f.id, f.score, c.title, plain, list_min(list_filter(list_transform(t, lambda x: instr(lower(plain), x)), lambda p: p > 0)) AS first, length(plain) AS whole
+    FROM fuzzy AS f JOIN concepts AS c USING (id) LEFT JOIN terms USING (id)),
+  cut AS (SELECT *, greatest(first - 41, 0) AS s, least(greatest(first - 41, 0) + 120, whole) AS e FROM placed)
+SELECT id, title, score, CASE WHEN first IS NOT NULL THEN CASE WHEN s > 0 THEN '…' || substr(plain, s + 2, e - s - 1) ELSE substr(plain, 1, e) END || CASE WHEN e < whole THEN '…' ELSE '' END END AS snippet FROM cut""")
+def search_snippets(spark, sf_dir):
+    """A fuzzy ranking with titles and the text around its first match."""
+    return fuzzy.fuzzy_search(_concepts(spark, sf_dir), FUZZY, TOP).select("id", "title", "score", "snippet")
+
+
+@_query(f"""WITH {CONCEPTS}, {_lexical_sql(['of the', 'idiot'])}
+SELECT 0 AS pos, 'of the' AS query_token, c_0 > 0 AS matched, c_0 AS contribution FROM made WHERE id = {TARGET}
+UNION ALL SELECT 1, 'idiot', c_1 > 0, c_1 FROM made WHERE id = {TARGET}""")
+def stored_bm25_explain(spark, sf_dir):
+    """One document's terms, from the stored index."""
+    return _index(spark, sf_dir).explain_bm25(PHRASE, TARGET)
+
+
+@_query(f"""WITH {CONCEPTS}, {_fuzzy_sql(LIKE)}
+SELECT pos, field, token, score AS similarity, score * CASE field WHEN 'title' THEN 1.0::DOUBLE WHEN 'description' THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END / 2 / 1.9::DOUBLE AS contribution
+FROM best WHERE id = {TARGET}""")
+def stored_fuzzy_explain(spark, sf_dir):
+    """One document's similar tokens, from the stored index."""
+    return _index(spark, sf_dir).explain_fuzzy(LIKE, TARGET)
+
+
+@_query(f"""WITH {CONCEPTS}, hits AS ({_knn_sql("")}) SELECT c.id, c.title, 'doc-' || c.id || '.md' AS path, c.type, h.score FROM hits AS h JOIN concepts AS c ON c.id = h.vec_id""")
+def semantic_documents(spark, sf_dir):
+    """The nearest embeddings with their documents."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return Engine(spark, _concepts(spark, sf_dir), embeddings=vectors).search("", "semantic", TOP, VECTOR)
+
+
+@_query(f"""WITH {CONCEPTS}, whole AS (SELECT id, concat_ws(chr(10), title, description, body) AS t FROM concepts),
+  ends AS (SELECT id, t, list_max(list_filter(range(0, least(length(t), 8192) + 1), lambda n: strlen(substr(t, 1, n)) <= 8192)) AS n FROM whole WHERE strlen(t) > 8192)
+SELECT id, sha256(t) AS text_sha256, CAST(strlen(t) AS BIGINT) AS bytes FROM (SELECT id, t FROM whole WHERE strlen(t) <= 8192 UNION ALL SELECT id, substr(t, 1, n) FROM ends)""")
+def embedding_texts(spark, sf_dir):
+    """What an embedder is given of every document: its first 8 KiB, no character cut in two."""
+    text = F.col("text")
+    return semantic.embedding_text(_concepts(spark, sf_dir)).select("id", F.sha2(text, 256).alias("text_sha256"), F.octet_length(text).cast("long").alias("bytes"))
+
+
+#: Each language's documents under another policy.
+_POLICY = "CASE lang WHEN 'de' THEN 'encrypt' WHEN 'fr' THEN 'tokenize' WHEN 'es' THEN 'hash' ELSE 'none' END"
+
+
+@_query(f"""WITH held AS (SELECT doc_id, {_POLICY} AS policy FROM documents)
+SELECT 'keyword' AS ranking, doc_id AS id FROM held WHERE policy <> 'encrypt' UNION ALL SELECT 'lexical', doc_id FROM held WHERE policy <> 'encrypt' UNION ALL SELECT 'fuzzy', doc_id FROM held WHERE policy = 'none'""")
+def privacy_visible(spark, sf_dir):
+    """The documents that each ranking may index."""
+    held = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(_POLICY).alias("policy"))
+    parts = [navigation.visible(held, r).select(F.lit(r).alias("ranking"), "id") for r in ("keyword", "lexical", "fuzzy")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query(f"""WITH {CONCEPTS}, held AS (SELECT *, {_POLICY.replace("lang", "type")} <> 'none' AND id % 3 <> 0 AS hidden FROM concepts)
+SELECT id, CASE WHEN NOT hidden THEN title END AS title, CASE WHEN NOT hidden THEN description END AS description, CASE WHEN NOT hidden THEN sha256(body) END AS body_sha256 FROM held""")
+def redacted_documents(spark, sf_dir):
+    """Protected documents withheld from extensions, but where they allow it."""
+    held = _concepts(spark, sf_dir).withColumn("policy", F.expr(_POLICY.replace("lang", "type"))).withColumn("allowed", F.col("id") % 3 == 0)
+    return privacy.redacted(held, "policy", "allowed").select("id", "title", "description", F.sha2("body", 256).alias("body_sha256"))
+
+
+@_query(f"""WITH {CONCEPTS}, lists AS (SELECT id, {_tok('title')} AS declared, list_concat([' '], list_transform({_tok('description')}, lambda t: ' ' || translate(t, 'aeiou', 'AEIOU'))) AS inferred FROM concepts),
+  merged AS (SELECT id, list_concat(declared, list_filter(list_transform(inferred, lambda k: trim(k)), lambda k: k <> '' AND length(k) <= 128)) AS b FROM lists),
+  low AS (SELECT id, b, list_transform(b, lambda k: lower(k)) AS l FROM merged)
+SELECT id, coalesce(array_to_string(list_slice(list_filter(b, lambda k, i: list_position(l, lower(k)) = i), 1, 32), ','), '') AS keywords FROM low""")
+def enriched_keywords(spark, sf_dir):
+    """Declared keywords (the title's tokens) with inferred ones (the description's, in another case)."""
+    other = F.transform(tokens(F.col("description")), lambda t: F.concat(F.lit(" "), F.translate(t, "aeiou", "AEIOU")))
+    made = enrich.merge_keywords(F.col("keywords"), F.concat(F.array(F.lit(" ")), other))
+    return _lists(_concepts(spark, sf_dir).select("id", made.alias("keywords")))
+
+
+@_query("""SELECT vec_id AS id, label, sha256(made.text) AS content_hash FROM embeddings JOIN documents AS made ON made.doc_id = vec_id - label % 2
+WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))""")
+def carried_embeddings(spark, sf_dir):
+    """Embeddings after the toxic documents are gone: the others stay, stale ones with their old hash."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash"))
+    made = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "label", (F.col("vec_id") - F.col("label") % 2).alias("id")).join(docs, "id")
+    left = docs.join(table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_anti")
+    return sync.carried(made.select(F.col("key").alias("id"), "label", "content_hash"), left)
+
+
+# -- parsing and findings of every kind -------------------------------------------------------------
+
+#: Frontmatter of the documents by their id modulo six: fields of other kinds than expected.
+_FRONTS = ["type: Note\ntags: [a, 2]\nkeywords: [x, y]\ntitle: 7\nstatus: stable", "type: [no]\ntags: one\nkeywords: [x, 3]\nstatus: odd\ndescription: true", "keywords: [x, ' ']\ntags: {a: 1}",
+           "type: ''\nkeywords: word\nrelated: [u, 3, '']", "title: null\ntype: T", ""]
+
+
+def _fronted(spark, sf_dir) -> DataFrame:
+    """Documents as files; the last sixth has no frontmatter."""
+    front = F.get(F.array(*map(F.lit, _FRONTS)), (F.col("doc_id") % 6).cast("int"))
+    text = F.when(F.col("doc_id") % 6 == 5, F.col("text")).otherwise(F.concat(F.lit("---\n"), front, F.lit("\n---\n"), "text"))
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.cast("binary").alias("content"))
+    return files.withColumn("length", F.octet_length("content"))
+
+
+@_query("""WITH f(k, type, title, description, keywords, tags, status, related, has_type, has_keywords) AS (VALUES
+  (0, 'Note', '7', NULL, 'x,y', 'a,2', 'stable', '', true, true), (1, '', NULL, 'true', '', 'one', NULL, '', false, false), (2, '', NULL, NULL, '', '', NULL, '', false, false),
+  (3, '', NULL, NULL, '', '', NULL, 'u', false, false), (4, 'T', NULL, NULL, '', '', NULL, '', true, false))
+SELECT 'n' || doc_id AS id, type, title, description, keywords, tags, status, related, has_type, has_keywords, true AS has_frontmatter, sha256(text) AS body_sha256 FROM documents JOIN f ON doc_id % 6 = k
+UNION ALL SELECT 'n' || doc_id, NULL, NULL, NULL, '', '', NULL, '', false, false, false, NULL FROM documents WHERE doc_id % 6 = 5""")
+def parse_fields(spark, sf_dir):
+    """Fields of every kind, coerced or left out; files without frontmatter are no concepts."""
+    parsed = _lists(bundle.parse_files(_fronted(spark, sf_dir)).select("id", "type", "title", "description", "keywords", "tags", "status", "related", "has_type", "has_keywords", "has_frontmatter", F.sha2("body", 256).alias("body_sha256")))
+    return parsed.fillna("", ["keywords", "tags", "related"])
+
+
+@_query("""SELECT 'n' || doc_id AS id, CASE doc_id % 6 WHEN 0 THEN 'Note' WHEN 4 THEN 'T' ELSE 'Document' END AS type, doc_id % 6 <> 5 AS has_frontmatter,
+  CASE doc_id % 6 WHEN 5 THEN 'missing frontmatter' WHEN 0 THEN '' WHEN 4 THEN 'missing keywords' ELSE 'missing type,missing keywords' END AS warnings,
+  sha256(text) AS body_sha256 FROM documents WHERE NOT starts_with(text, '---')""")
+def parse_permissive(spark, sf_dir):
+    """The same files where missing fields are made up."""
+    docs = table(spark, sf_dir, "documents").filter(~F.startswith("text", F.lit("---"))).select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("id"))
+    parsed = bundle.parse_files(_fronted(spark, sf_dir), permissive=True).select("id", "type", "has_frontmatter", "warnings", F.sha2("body", 256).alias("body_sha256"))
+    return _lists(parsed.join(docs, "id", "left_semi"))
+
+
+@_query("""WITH rows AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS n FROM pages)
+SELECT page_id AS id, target, count(*) AS links FROM rows WHERE NOT regexp_matches(target, '[\\s<>]') AND target <> '' GROUP BY 1, 2""")
+def reference_links(spark, sf_dir):
+    """Links of pages written as references, labels in another case and spacing than their definitions."""
+    hrefs = F.filter(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), lambda h: ~h.rlike(r"[\s<>]") & (h != ""))
+    said = F.array_join(F.transform(hrefs, lambda h, i: F.concat(F.lit("[x][Label  "), i.cast("string"), F.lit("]"))), " and ")
+    named = F.array_join(F.transform(hrefs, lambda h, i: F.concat(F.lit("[lABEL "), i.cast("string"), F.lit("]: "), h, F.lit(" 'a title'"))), "\n")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(said, F.lit("\n\n"), named).alias("body"))
+    files = pages.select(F.col("page_id").cast("string").alias("path"), F.concat(F.lit("---\n---\n"), "body").cast("binary").alias("content")).withColumn("length", F.octet_length("content"))
+    links = bundle.parse_files(files).select(F.col("id").cast("bigint").alias("id"), F.explode("links.target").alias("target"))
+    return links.groupBy("id", "target").agg(F.count(F.lit(1)).alias("links"))
+
+
+@_query("""WITH ids AS (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents)
+SELECT 'BROKEN_RELATED' AS code, 'error' AS severity, CAST(doc_id AS VARCHAR) AS source, '' AS concept, CAST(doc_id * 2 AS VARCHAR) AS target, 'related target does not resolve in the bundle' AS message FROM documents WHERE CAST(doc_id * 2 AS VARCHAR) NOT IN (SELECT id FROM ids)
+UNION ALL SELECT 'CODEC_MISSING', 'warning', '', CAST(doc_id AS VARCHAR), source, 'body codec ' || source || ' is not installed' FROM documents WHERE source NOT IN ('src1', 'src2') AND source IS NOT NULL
+UNION ALL SELECT 'KEY_UNAVAILABLE', 'warning', 'doc-' || doc_id || '.md', CAST(doc_id AS VARCHAR), '', 'privacy key unavailable: ' || lang FROM documents WHERE lang NOT IN ('en', 'de')
+UNION ALL SELECT 'EMBEDDING_INDEX_MISMATCH', 'warning', 'm' || label || '/64', '', '', 'embedding index does not match its source' FROM embeddings GROUP BY label HAVING count(*) FILTER (WHERE vec_id % 50 <> 0) <> count(*)
+UNION ALL SELECT 'UNSUPPORTED_OKF_VERSION', 'warning', 'index.md', '', '', 'unsupported okf_version: ' || item_id FROM benchmark
+UNION ALL SELECT 'EMPTY_BUNDLE', 'warning', '', '', '', 'empty bundle: ' || item_id FROM benchmark""")
+def audit_codes(spark, sf_dir):
+    """The findings that the other audit query has not: entries, codecs, keys, spaces and collection warnings."""
+    docs = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
+    related = docs.select("id", F.array((F.col("doc_id") * 2).cast("string")).alias("related"))
+    keys = docs.select("id", F.concat(F.lit("doc-"), "id", F.lit(".md")).alias("path"), F.col("lang").alias("key_id"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("m"), F.col("label").cast("string")).alias("model"), F.size("embedding").alias("dim"), "vec_id")
+    def counted(rows):
+        return rows.groupBy("model", "dim").agg(F.count(F.lit(1)).alias("rows"))
+    item = F.col("item_id").cast("string")
+    said = table(spark, sf_dir, "benchmark").select(F.explode(F.array(F.concat(F.lit("unsupported okf_version: "), item), F.concat(F.lit("empty bundle: "), item))).alias("warning"))
+    return audit.findings(audit.related_findings(related) + audit.codec_findings(docs.select("id", F.col("source").alias("body_codec")), ("src1", "src2")) + audit.key_findings(keys, ("en", "de"))
+                          + audit.embedding_counts(counted(vectors), counted(vectors.filter("vec_id % 50 <> 0"))) + audit.version_findings(said))
+
+
+@_query("""WITH kept AS (SELECT l_orderkey, l_suppkey, l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderstatus = 'F')
+SELECT 'o' || l_orderkey AS "from", 's' || l_suppkey AS "to", l_returnflag AS source FROM kept WHERE l_returnflag IN ('A', 'R') GROUP BY ALL""")
+def relation_edges(spark, sf_dir):
+    """Relations of lines from orders to suppliers: those whose ends exist, of two kinds."""
+    def named(prefix, x):
+        return F.concat(F.lit(prefix), F.col(x).cast("string"))
+    lines = table(spark, sf_dir, "lineitem").select(named("o", "l_orderkey").alias("id"), named("s", "l_suppkey").alias("to"), F.col("l_returnflag").alias("kind"), F.lit(None).cast("string").alias("raw"), F.col("l_linenumber").cast("long").alias("seq"))
+    ends = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(named("o", "o_orderkey").alias("id")).unionByName(table(spark, sf_dir, "supplier").select(named("s", "s_suppkey").alias("id")))
+    nodes = ends.withColumn("links", F.array().cast("array<struct<raw:string,target:string,resolved:string,resolves_in_bundle:boolean>>"))
+    return graph.only(graph.build_edges(nodes, lines), ("A", "R")).select("from", "to", "source")
+
+
+@_query(f"""WITH {CONCEPTS} SELECT id, title, 'doc-' || id || '.md' AS path, type, status, coalesce(source, '') AS tags, type AS source FROM
+  (SELECT *, row_number() OVER (PARTITION BY type ORDER BY id) AS n FROM concepts WHERE type IN ('de', 'en', 'fr')) WHERE n <= 20 ORDER BY type, id LIMIT 50""")
+def federated_listing(spark, sf_dir):
+    """The first documents of three sources, merged by source and id."""
+    concepts = _concepts(spark, sf_dir)
+    return _lists(federation.federated_list({a: concepts.filter(F.col("type") == a) for a in ("fr", "de", "en")}, navigation.list_concepts, 50))
+
+
+@_query(f"""WITH {_SIDES}, langs AS (SELECT doc_id, lang FROM documents), each AS (SELECT lang AS source, count(*) FILTER (WHERE action <> 'removed') AS documents, count(*) FILTER (WHERE action = 'added') AS added,
+    count(*) FILTER (WHERE action = 'updated') AS updated, count(*) FILTER (WHERE action = 'removed') AS removed, count(*) FILTER (WHERE action = 'skipped') AS skipped FROM changes JOIN langs ON path = doc_id WHERE lang IN ('de', 'en') GROUP BY lang)
+SELECT * FROM each UNION ALL SELECT '*', sum(documents)::BIGINT, sum(added)::BIGINT, sum(updated)::BIGINT, sum(removed)::BIGINT, sum(skipped)::BIGINT FROM each""")
+def federated_report(spark, sf_dir):
+    """Sync reports of two sources and their sums."""
+    changes = _changes(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "lang"), "path")
+    return federation.merged_report({a: sync.report(changes.filter(F.col("lang") == a)) for a in ("de", "en")})
+
+
+@_query("""SELECT 'n' || n_nationkey AS alias, CASE WHEN n_regionkey = 1 THEN 'new/' ELSE 'old/' END || n_name AS path, CASE WHEN n_regionkey = 1 THEN CAST(n_nationkey + 1 AS BIGINT) ELSE CAST(n_nationkey AS BIGINT) END AS generation
+FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 'r' || r_regionkey, 'new/' || r_name, CAST(1 AS BIGINT) FROM region""")
+def registry_upsert(spark, sf_dir):
+    """A registry of sources after some were named again, others came and one region's went."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    none = F.lit(None).cast("string")
+    def rows(frame, alias, path, generation):
+        return frame.select(alias.alias("alias"), path.alias("path"), F.lit("ready").alias("status"), generation.cast("bigint").alias("generation"), F.lit(None).cast("bigint").alias("last_synced"), none.alias("content_hash"))
+    alias = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    old = rows(nation, alias, F.concat(F.lit("old/"), "n_name"), F.col("n_nationkey"))
+    again = rows(nation.filter("n_regionkey = 1"), alias, F.concat(F.lit("new/"), "n_name"), F.lit(None))
+    came = rows(region, F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), F.concat(F.lit("new/"), "r_name"), F.lit(None))
+    keep = [r[0] for r in nation.filter("n_regionkey <> 2").select(alias).collect()]  # the aliases of a manifest
+    return federation.upsert_sources(federation.prune_sources(old, keep), again.unionByName(came)).select("alias", "path", "generation")
+
+
 QUERIES, SQL = dict(_QUERIES), dict(_SQL)

@@ -68,7 +68,7 @@ class Collection:
 
     @staticmethod
     def _searched(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("title", F.coalesce("title", "id"))
+        return rows.withColumn("title", F.coalesce("title", F.col("id").cast("string")))
 
     def ingest(self, concepts: DataFrame, relations: DataFrame | None = None, artifacts: DataFrame | None = None) -> int:
         """Replaces the whole collection; the version. ``artifacts`` have an id and any columns."""
