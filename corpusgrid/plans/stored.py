@@ -125,8 +125,14 @@ def fill(changes: Transaction, concepts: DataFrame) -> dict:
         new = changes.put("tokens", _sorted(words, "tokens"))
         changes.put("grams", _sorted(gram_rows(changes.versions._open(new)), "grams"))
 
+    def posted():
+        # gathered once: finding the ranges reads the tokens of what is written, and does not gather again
+        positional(held).write.parquet(f"{scratch}-postings")
+        changes.put("postings", _sorted(spark.read.parquet(f"{scratch}-postings"), "postings"))
+        remove(spark, f"{scratch}-postings")
+
     together(
-        lambda: changes.put("postings", _sorted(positional(held), "postings")), lambda: changes.put("lengths", held.select("id", "tokens")),
+        posted, lambda: changes.put("lengths", held.select("id", "tokens")),
         lambda: changes.put("keywords", _sorted(keyword_tokens(concepts), "keywords")), vocabulary,
     )
     size = held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0.0)).alias("t")).first()
