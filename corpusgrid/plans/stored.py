@@ -51,10 +51,15 @@ def positional(held: DataFrame) -> DataFrame:
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in LEXICAL_WEIGHTS])
     rows = held.select("id", "tokens", F.inline(each)).select("id", "tokens", "field", F.posexplode("words").alias("place", "token"))
     weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in LEXICAL_WEIGHTS.items()])
-    def places(field):
-        found = F.array_sort(F.collect_list(F.when(F.col("field") == field, F.col("place"))))
+    # one list for all fields: each field's places begin at a number of its own
+    begins = {f: i << 40 for i, f in enumerate(LEXICAL_WEIGHTS)}
+    begin = F.coalesce(*[F.when(F.col("field") == f, F.lit(b)) for f, b in begins.items()])
+    gathered = rows.select("token", "id", "tokens", weight.alias("w"), (F.col("place") + begin).alias("at")).groupBy("token", "id").agg(
+        F.sum("w").alias("tf"), F.first("tokens").alias("tokens"), F.array_sort(F.collect_list("at")).alias("at"))
+    def places(field, begin):
+        found = F.transform(F.filter("at", lambda x: (x >= begin) & (x < begin + (1 << 40))), lambda x: (x - begin).cast("int"))
         return F.when(F.size(found) > 0, found).alias(field)
-    return rows.groupBy("token", "id").agg(F.sum(weight).alias("tf"), F.first("tokens").alias("tokens"), *map(places, LEXICAL_WEIGHTS))
+    return gathered.select("token", "id", "tf", "tokens", *[places(f, b) for f, b in begins.items()])
 
 
 def lexical_postings(concepts: DataFrame) -> DataFrame:
