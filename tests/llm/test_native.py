@@ -47,6 +47,41 @@ def test_chat_examples_are_prefixes(spark):
     assert found[2].completion == "" and whole.count("<|im_start|>") == 4
 
 
+def test_chat_examples_share_their_contexts(spark):
+    rows = [(c, t, "assistant" if t % 3 else "user", f"text {c} {t} <|im_end|>\n" * (t % 4)) for c in (None, 7) for t in range(41)]
+    formatted = chat_format.format_turns(spark.createDataFrame(rows, CHAT))
+    plain = {(r.conv_id, r.example): r for r in chat_format.expand(formatted).collect()}
+    held = chat_format.expand(formatted, whole=False, rest=True).orderBy("conv_id", "number").collect()
+    text, name = {}, {}
+    for r in held:
+        own = r.prompt + (r.completion + chat_format.END if r.example is not None else "")
+        before = text.get(r.conv_id, "")
+        assert len(before) == r.shared and r.context_sha256 == name.get(r.conv_id, hashlib.sha256(b"").hexdigest())
+        if r.example is not None:
+            p = plain.pop((r.conv_id, r.example))
+            assert (before + r.prompt, r.completion) == (p.prompt, p.completion)
+        text[r.conv_id], name[r.conv_id] = before + own, hashlib.sha256(own.encode()).hexdigest()
+    assert not plain
+    pieces = formatted.orderBy("conv_id", "position").collect()
+    assert text == {c: "".join(r.piece for r in pieces if r.conv_id == c) for c in (None, 7)}  # each piece once
+
+
+@pytest.mark.parametrize("column", ["prompt", "completion", "context_sha256", "shared"])
+def test_chat_digests_notice_a_changed_example(spark, monkeypatch, column):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"text {t}") for t in range(8)]
+    formatted = chat_format.format_turns(spark.createDataFrame(rows, CHAT))
+    expand = chat_format.expand
+
+    def hurt(*args, **more):
+        made = expand(*args, **more)
+        other = F.concat(column, F.lit("x")) if column != "shared" else F.col("shared") + 1
+        return made.withColumn(column, F.when(F.col("example") == 4, other).otherwise(F.col(column)))
+
+    assert chat_format.digests(formatted).first().n_examples == 4
+    monkeypatch.setattr(chat_format, "expand", hurt)
+    assert chat_format.digests(formatted).first().n_examples == 3
+
+
 def test_chat_is_native_and_empty_tables(spark):
     df = chat_format.digests(chat_format.format_turns(spark.createDataFrame([], CHAT)))
     assert df.count() == 0
