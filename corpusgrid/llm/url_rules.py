@@ -13,9 +13,11 @@ The longest match (characters of host and path, then of path) over the second sw
 
 A sweep is a window over points and interval boundaries in key order. A boundary carries the stack
 that holds from there on (known from the rules alone, by an equi-join on key prefixes), so a point
-takes the last stack at or before it. Windows run for each (range, salt): ranges come from a sample
-of about ``SAMPLE`` keys (drawn by a hash from a known count, their first ``PREFIX`` bytes), each range has as many salts as its share of the sample asks for (so a
-hot url is split), and a range starts with the stacks of the intervals that reach into it. The urls with their
+takes the last stack at or before it. Windows run for each (range, salt), about ``POINTS`` points each,
+so their number follows the input: ranges come from a sample of about ``SAMPLE`` keys (drawn by a hash
+from a known count, their first ``PREFIX`` bytes), each range has as many salts as its share of the
+sample asks for (so a hot url is split), and a range starts with the stacks of the intervals that reach
+into it. The urls with their
 numbers, and what the first sweep finds, are written to the shared checkpoint folder: a number stays a
 row's own if an executor is lost, and nothing is swept twice.
 
@@ -36,8 +38,9 @@ from pyspark.sql import Window as W
 
 from corpusgrid.runtime import cut
 
-#: Keys sampled for ranges and their bytes, ranges, and groups that the ranges' salts make in all.
-SAMPLE, PREFIX, RANGES, GROUPS = 4096, 64, 32, 512
+#: Keys sampled for ranges and their bytes; ranges at least and at most; groups that the ranges' salts
+#: make in all, at least; points of a group and groups of a range where there are more points.
+SAMPLE, PREFIX, RANGES, MOST, GROUPS, POINTS, SALTS = 4096, 64, 32, 256, 512, 500_000, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,10 +83,18 @@ def _stacks(intervals: DataFrame) -> DataFrame:
     return found.select("key", F.size("stack").alias("depth"), F.transform("stack", lambda e: e["value"]).alias("stack"))
 
 
-def _splits(points: DataFrame, ranges: int, groups: int) -> tuple[list[bytes], list[int]]:
-    """At most ``ranges - 1`` split keys and each range's salts, from about ``SAMPLE`` rows drawn by a
-    hash."""
-    lot = F.pmod(F.xxhash64("key", "uid"), F.lit(max(1, points.count())))
+def layout(points: int, ranges: int = RANGES, groups: int = GROUPS, size: int = POINTS) -> tuple[int, int]:
+    """Ranges and groups for this many points: groups of about ``size`` points; ranges grow too, up to
+    ``MOST`` of them, so that an interval's boundaries go to fewer groups than there are."""
+    groups = max(groups, -(-points // size))
+    return max(ranges, min(MOST, groups // SALTS)), groups
+
+
+def _splits(points: DataFrame, ranges: int, groups: int, size: int) -> tuple[list[bytes], list[int]]:
+    """Split keys and each range's salts, from about ``SAMPLE`` rows drawn by a hash."""
+    held = points.count()
+    ranges, groups = layout(held, ranges, groups, size)
+    lot = F.pmod(F.xxhash64("key", "uid"), F.lit(max(1, held)))
     sample = points.filter(lot < SAMPLE).select(F.substring("key", 1, PREFIX)).limit(4 * SAMPLE).collect()
     keys = sorted(bytes(r[0]) for r in sample)
     cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
@@ -91,10 +102,10 @@ def _splits(points: DataFrame, ranges: int, groups: int) -> tuple[list[bytes], l
     return cuts, [max(1, -(-(b - a) * groups // max(1, len(keys)))) for a, b in pairwise(edges)]
 
 
-def sweep(points: DataFrame, intervals: DataFrame, ranges: int = RANGES, groups: int = GROUPS) -> DataFrame:
+def sweep(points: DataFrame, intervals: DataFrame, ranges: int = RANGES, groups: int = GROUPS, size: int = POINTS) -> DataFrame:
     """``points`` (key binary, uid, ...) with ``stack``: the values of all intervals whose key is a
     prefix of the point's key, outermost first (null or empty if none)."""
-    cuts, counts = _splits(points, ranges, groups)
+    cuts, counts = _splits(points, ranges, groups, size)
     splits = F.array(*[F.unhex(F.lit(c.hex())) for c in cuts]) if cuts else F.array().cast("array<binary>")
 
     def range_of(key: Column) -> Column:

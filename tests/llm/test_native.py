@@ -179,3 +179,18 @@ def test_url_rules_awkward_tables(spark):
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
     one = spark.createDataFrame([(1, "http://a.com/")] * 500, "page_id long, url string")
     assert {tuple(r) for r in url_rules.judge(one, rules).collect()} == {(1, "a.com", "/", "com/", "allow")}
+
+
+def test_url_groups_follow_the_points(spark):
+    assert url_rules.layout(0) == url_rules.layout(10**6) == (url_rules.RANGES, url_rules.GROUPS)
+    ranges, groups = url_rules.layout(10**12)
+    assert groups == 10**12 // url_rules.POINTS and ranges == url_rules.MOST
+    assert url_rules.layout(10**10) == (256, 20_000)
+    hosts = ["a.com", "b.a.com", "c.net", "hot.com", "hot.com", "hot.com"]
+    points = spark.createDataFrame([(f"{hosts[i % 6]}/{i % 7}".encode(), i) for i in range(600)], "key binary, uid long")
+    rules = spark.createDataFrame([(k.encode(), k) for k in ("a", "a.com", "a.com/1", "c", "hot.com/", "hot.com/6")], "key binary, value string")
+    for few in (dict(ranges=2, groups=2, size=7), dict(ranges=1, groups=1, size=10**6)):
+        found = url_rules.sweep(points, rules, **few)
+        told = {(r.uid, tuple(r.stack or ())) for r in found.select("uid", "stack").collect()}
+        keys = {i: f"{hosts[i % 6]}/{i % 7}" for i in range(600)}
+        assert told == {(i, tuple(r for r in ("a", "a.com", "a.com/1", "c", "hot.com/", "hot.com/6") if k.startswith(r))) for i, k in keys.items()}
