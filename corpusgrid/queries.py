@@ -16,12 +16,12 @@ from corpusgrid.engine import Engine
 from corpusgrid.functions import porter
 from corpusgrid.functions.similarity import similarity
 from corpusgrid.functions.text import round4, strip_markdown, tokens
-from corpusgrid.operators import audit, enrich, explain, export, federation, fuzzy, graph, hybrid, keyword, lexical, metrics, navigation, privacy, semantic, sync
+from corpusgrid.operators import audit, enrich, explain, export, federation, fuzzy, graph, hybrid, keyring, keyword, lexical, metrics, navigation, privacy, rerank, semantic, sync
 from corpusgrid.plans import stored
 from corpusgrid.plans.concepts import from_documents
 from corpusgrid.plans.postings import postings, vocabulary
 from corpusgrid.runtime import checkpoint_dir, cut, ship, spread
-from corpusgrid.sources import assets, bundle, keyed, web
+from corpusgrid.sources import assets, bundle, keyed, projects, web
 from corpusgrid.sources.tables import table
 from corpusgrid.storage import extension_data
 from corpusgrid.storage.collection import Collection
@@ -1113,4 +1113,127 @@ def registry_upsert(spark, sf_dir):
     return federation.upsert_sources(federation.prune_sources(old, keep), again.unionByName(came)).select("alias", "path", "generation")
 
 
+# -- files, keys, extensions and sources that fail -----------------------------------------------
+
+
+@_query("""SELECT (page_id % 10) || '/p' || page_id || '.md' AS path, CAST(strlen(held) AS BIGINT) AS length, sha256(held) AS sha256
+FROM (SELECT page_id, '---' || chr(10) || 'page: ' || page_id || chr(10) || '---' || chr(10) || coalesce(html, '') AS held FROM pages)""")
+def exported_files(spark, sf_dir):
+    """Every page rendered and written as a file by the tasks, then read back from the folder."""
+    n = F.col("page_id").cast("string")
+    path = F.concat((F.col("page_id") % 10).cast("string"), F.lit("/p"), n, F.lit(".md"))
+    concepts = table(spark, sf_dir, "pages").select(path.alias("path"), F.to_json(F.struct(F.col("page_id").alias("page"))).alias("frontmatter"), F.col("html").alias("body"))
+    root = _folder(spark, "files")
+    export.write_files(spark, spread(export.rendered(concepts)), root, {"collection": "pages"})
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
+    return held.select(F.regexp_extract("path", r"([^/]+/[^/]+)\z", 1).alias("path"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+class _MadeKeys(keyring.Provider):
+    """Keys of the first ``newest`` versions."""
+
+    name = "made"
+
+    def __init__(self, newest: int):
+        self.newest = newest
+
+    def versions(self, key_id):
+        return {v: bytes((b + v) % 256 for b in SECRET).hex() for v in range(1, self.newest + 1)} if key_id == "notes" else {}
+
+    def key_ids(self):
+        return ["notes"]
+
+
+@_query("""SELECT doc_id, CASE WHEN text IS NOT NULL THEN sha256(text) END AS sha256, CASE WHEN text IS NOT NULL THEN 'enc:v2:notes:1' END AS sealed, CASE WHEN text IS NOT NULL THEN 'enc:v2:notes:2' END AS rewrapped,
+  CASE WHEN text IS NOT NULL THEN true END AS same_box, CASE WHEN text IS NOT NULL THEN false END AS same_key FROM documents""")
+def rotated_keys(spark, sf_dir):
+    """All texts sealed with one version of a key, their data keys wrapped again by the next one, and opened."""
+    def part(n):
+        return F.sha2(F.split_part("text", F.lit(":"), F.lit(n)), 256)
+    head = F.regexp_extract("text", r"\A((?:[^:]*:){3}[^:]*)", 1)
+    # written: evaluating a sealing twice gives other keys
+    first = cut(keyring.sealed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _MadeKeys(1), "notes"))
+    again = cut(keyring.rewrapped(first.withColumns({"sealed": head, "key": part(5), "box": part(6)}), "text", _MadeKeys(2)))
+    seen = again.withColumns({"rewrapped": head, "same_box": part(6) == F.col("box"), "same_key": part(5) == F.col("key")})
+    return keyring.opened(seen, "text", _MadeKeys(2)).select("doc_id", F.sha2("text", 256).alias("sha256"), "sealed", "rewrapped", "same_box", "same_key")
+
+
+def _sevenths(query: str, shown: list[dict]) -> dict:
+    return {c["id"]: c["id"] % 7 / 5 for c in shown}
+
+
+def _even_fails(query: str, shown: list[dict]) -> dict:
+    return {c["id"]: 1.0 for c in shown if c["id"] % 2 or 1 / 0}
+
+
+@_query(f"""WITH {_keyword_sql("an").replace(f"LIMIT {TOP}", "LIMIT 100")}, core AS (SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM keyword),
+  blended AS (SELECT *, {_r4('0.75::DOUBLE * score + 0.25::DOUBLE * least(1.0::DOUBLE, (id % 7)::DOUBLE / 5)')} AS final_score FROM core)
+(SELECT 'sevenths' AS scorer, id, rank, final_score, false AS failed FROM blended ORDER BY final_score DESC, id LIMIT {TOP})
+UNION ALL (SELECT 'fails', id, rank, score, true FROM core ORDER BY rank LIMIT {TOP})""")
+def scored_candidates(spark, sf_dir):
+    """A hundred candidates sent to a scorer in requests of 4 KB; and to one whose calls fail, which leaves the core order."""
+    enrich.register("scorer", "sevenths", _sevenths)
+    enrich.register("scorer", "fails", _even_fails)
+    concepts = _concepts(spark, sf_dir)
+    hits = cut(keyword.keyword_search(concepts, "an", rerank.candidate_count(TOP)).select("id", "score"))
+    made = [rerank.rerank(hits, concepts, "an", TOP, scorer=name, most=4096).select(
+        F.lit(name).alias("scorer"), "id", "rank", "final_score", F.col("warning").isNotNull().alias("failed")) for name in ("sevenths", "fails")]
+    return made[0].unionByName(made[1])
+
+
+def _sizes(files: list[dict]) -> dict:
+    """An analyzer: of each file its length, its first characters as a symbol, and a module by its length; it leaves some out."""
+    said = {"documents": [], "external_documents": [], "relations": []}
+    for f in files:
+        n = len(f["body"])
+        if n % 11 == 0:
+            continue
+        symbol, module = f"_sym/{f['id']}", f"ext/{n % 997}"
+        said["documents"].append({"id": f["id"], "type": "Code", "title": f"{n} characters", "symbols": [{"id": symbol, "type": "Symbol", "title": f["body"][:20]}]})
+        said["external_documents"].append({"id": module, "type": "External", "title": "module"})
+        said["relations"] += [{"from": f["id"], "to": symbol, "kind": "defines"}, {"from": f["id"], "to": module, "kind": " imports "}, {"from": f["id"], "to": "nowhere", "kind": "imports"}]
+    return said
+
+
+@_query("""WITH f AS (SELECT 'd' || doc_id AS id, text, length(text) AS n FROM documents WHERE length(text) % 11 <> 0)
+SELECT id, 'Code' AS type, n || ' characters' AS title, CAST(0 AS BIGINT) AS relations FROM f UNION ALL SELECT '_sym/' || id, 'Symbol', substr(text, 1, 20), 1 FROM f
+UNION ALL SELECT 'ext/' || (n % 997), 'External', 'module', count(*) FROM f GROUP BY n % 997 HAVING count(*) > 1""")
+def analyzed_projects(spark, sf_dir):
+    """Documents as files of small projects, analyzed and upserted twice: concepts and the relations that lead to each."""
+    projects.register_analyzer("sizes", _sizes)
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    files = docs.select(F.floor(F.col("doc_id") / 8).cast("string").alias("project"), name.alias("id"), F.concat(name, F.lit(".md")).alias("path"), F.col("text").alias("body"))
+    concepts = docs.select(name.alias("id"), F.concat(name, F.lit(".md")).alias("path"), F.col("lang").alias("type"), F.col("source").alias("title"))
+    said = projects.analyze(files, "sizes")
+    once, _ = projects.upsert(concepts, files, said)
+    made, relations = projects.upsert(once.select(*concepts.columns), files, said)
+    led = relations.groupBy(F.col("to").alias("id")).agg(F.count(F.lit(1)).alias("relations"))
+    return made.select("id", "type", "title").join(led, "id", "left").fillna(0, ["relations"])
+
+
+def _lost() -> DataFrame:
+    raise RuntimeError("this source is not there")
+
+
+@_query(f"""WITH {_keyword_sql("an").replace(f"ORDER BY score DESC, id LIMIT {TOP})", ")")},
+  ranked AS (SELECT k.id, k.score, c.type AS source FROM keyword AS k JOIN concepts AS c ON c.id = k.id WHERE c.type IN ('de', 'en', 'fr') QUALIFY row_number() OVER (PARTITION BY c.type ORDER BY k.score DESC, k.id) <= {TOP}),
+  merged AS (SELECT * FROM ranked ORDER BY score DESC, source, id LIMIT {TOP}),
+  status AS (SELECT unnest(['de', 'en', 'fr', 'lost']) AS source)
+SELECT source, CASE WHEN source = 'lost' THEN 'degraded' ELSE 'ok' END AS status, CASE WHEN source = 'lost' THEN 'RuntimeError: this source is not there' END AS message, id, score FROM status LEFT JOIN merged USING (source)""")
+def isolated_search(spark, sf_dir):
+    """Three sources and one that cannot be read: each one's status, and the merged ranking of the others."""
+    concepts = _concepts(spark, sf_dir)
+    sources = {a: (lambda a=a: concepts.filter(F.col("type") == a)) for a in ("fr", "de", "en")} | {"lost": _lost}
+    hits, status = federation.search_isolated(spark, sources, lambda df: keyword.keyword_search(df, "an", TOP).select("id", "score"), TOP)
+    return status.join(hits, "source", "left")
+
+
+@_query("""SELECT event_id, event_type || '/' || (user_id % 3) AS media_type FROM events WHERE event_type = 'click' OR (event_type = 'view' AND user_id % 3 = 1)""")
+def media_filtered(spark, sf_dir):
+    """Rows of a whole family of types and of one exact type."""
+    kinds = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit("/"), (F.col("user_id") % 3).cast("string")).alias("media_type"))
+    return kinds.filter(assets.media_filter(F.col("media_type"), ("click/*", "view/1")))
+
+
 QUERIES, SQL = dict(_QUERIES), dict(_SQL)

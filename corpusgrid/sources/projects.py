@@ -121,7 +121,7 @@ def upsert(concepts: DataFrame, files: DataFrame, said: DataFrame) -> tuple[Data
     merged = rest.groupBy("id").agg(*map(last, fields), F.min_by("body", order).alias("_body"))
     both = stay.join(merged, "id", "full_outer")
     known = {c: F.coalesce(f"_{c}", c) if c in concepts.columns else F.col(f"_{c}") for c in fields}
-    known["body"] = F.coalesce("body", "_body")
+    known["body"] = F.coalesce("body", "_body") if "body" in concepts.columns else F.col("_body")
     known["path"] = F.coalesce("path", "id")
     columns = [*concepts.columns, *(c for c in (*fields, "body") if c not in concepts.columns)]
     made = both.select(*[known.get(c, F.col(c)).alias(c) for c in columns])
