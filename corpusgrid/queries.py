@@ -23,7 +23,7 @@ from corpusgrid.plans.postings import postings, vocabulary
 from corpusgrid.runtime import checkpoint_dir, cut, ship, spread
 from corpusgrid.sources import assets, bundle, keyed, projects, web
 from corpusgrid.sources.tables import table
-from corpusgrid.storage import extension_data
+from corpusgrid.storage import extension_data, workspace
 from corpusgrid.storage.collection import Collection
 from corpusgrid.streaming import watch
 
@@ -1236,4 +1236,43 @@ def media_filtered(spark, sf_dir):
     return kinds.filter(assets.media_filter(F.col("media_type"), ("click/*", "view/1")))
 
 
+@_query(f"""WITH {_LATER}, before AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic IS NOT NULL OR quality IS NOT NULL))
+SELECT 'n' || doc_id || '.md' AS path, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN l.doc_id IS NULL THEN 'removed' ELSE 'updated' END AS action
+FROM (SELECT doc_id, coalesce(text, '') AS text, true AS held FROM before) AS b FULL JOIN (SELECT doc_id, coalesce(text, '') AS text FROM later) AS l USING (doc_id)
+WHERE b.text IS DISTINCT FROM l.text""")
+def watched_files(spark, sf_dir):
+    """What a watcher tells of a folder of documents that reached a later state: the difference of two written listings."""
+    listings = _folder(spark, "listings")
+    roots = []
+    for docs in _states(spark, sf_dir):
+        roots.append(_folder(spark, "files"))
+        export.write_files(spark, docs.select(F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text"), roots[-1], {})
+    watch.Listings(spark, roots[0], listings).start()
+    return watch.Listings(spark, roots[1], listings).take(1).select("path", "action")
+
+
+@_query(f"""WITH {_LATER}, before AS (SELECT doc_id, text, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic IS NOT NULL OR quality IS NOT NULL)),
+  sides AS (SELECT doc_id, CASE WHEN coalesce(b.lang, l.lang) = 'en' THEN 'english' ELSE 'others' END AS alias, b.doc_id IS NOT NULL AS was, l.doc_id IS NOT NULL AS still, b.text IS NOT DISTINCT FROM l.text AS same
+    FROM (SELECT doc_id AS k, * FROM before) AS b FULL JOIN (SELECT doc_id AS k, * FROM later) AS l USING (doc_id))
+SELECT alias, 'ready' AS status, count(*) FILTER (WHERE still AND NOT was) AS added, count(*) FILTER (WHERE still AND was AND NOT same) AS updated, count(*) FILTER (WHERE was AND NOT still) AS removed,
+  count(*) FILTER (WHERE was AND still AND same) AS skipped, CAST(2 AS BIGINT) AS generation, count(*) FILTER (WHERE still) AS documents FROM sides GROUP BY alias
+UNION ALL SELECT 'lost', 'degraded', 0, 0, 0, 0, 2, NULL""")
+def reconciled_workspace(spark, sf_dir):
+    """A workspace of two sources, English documents and all others, and a source that cannot be read, reconciled with a first and a later
+    state: what each one's last run did, its generation, and the documents that it stores."""
+    made = [cut(_linked(docs, docs)) for docs in _states(spark, sf_dir)]
+    names = ("english", "others", "lost")
+    manifest = workspace.Manifest(_folder(spark, "workspace"), {a: f"tables://{a}" for a in names}, "made")
+    def opened(state: DataFrame):
+        def open_(session, path):
+            alias = path.rpartition("/")[2]
+            return Engine(session, state.filter(F.col("type").eqNullSafe("en") == F.lit(alias == "english"))) if alias != "lost" else _lost()
+        return open_
+    for state in made:
+        space = workspace.Workspace(spark, manifest, opened(state))
+        told = space.reconcile()
+    known = space.registry().select("alias", "generation").join(space.stats().select("alias", "documents"), "alias", "left")
+    return told.drop("message").join(known, "alias")
+
+
 QUERIES, SQL = dict(_QUERIES), dict(_SQL)

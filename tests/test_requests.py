@@ -160,3 +160,11 @@ def test_percentiles_are_exact(spark, monkeypatch, settled):
         expected = [ordered[max(1, math.ceil(f * len(ordered) - 1e-9)) - 1] for f in fractions]
         assert [r.value for r in metrics.nearest_ranks(df, "x", fractions).collect()] == expected
     assert [tuple(r) for r in metrics.nearest_ranks(spark.createDataFrame([], "x double"), "x", [0.5]).collect()] == [(0.5, 0, None)]
+
+
+def test_an_analysis_gives_bodies_to_concepts_that_have_none(spark):
+    projects.register_analyzer("bodies", lambda files: {"documents": [{"id": f["id"], "type": "Code", "body": f["body"].upper()} for f in files]})
+    files = spark.createDataFrame([("p", "a", "a.x", "text"), ("q", "b", "b.x", "other")], "project string, id string, path string, body string")
+    said = projects.analyze(files, "bodies")
+    made, _ = projects.upsert(files.select("id", "path"), files, said)
+    assert sorted((r.id, r.type, r.body) for r in made.collect()) == [("a", "Code", "TEXT"), ("b", "Code", "OTHER")]
