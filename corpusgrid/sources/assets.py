@@ -125,8 +125,11 @@ def scan(spark: SparkSession, root: str, wanted=()) -> DataFrame:
     """Files that are not Markdown, of the media types wanted; too large ones carry a warning and no content.
     A collection whose files pass ``TOTAL`` bytes raises."""
     ship(spark)
-    found = bundle.files(spark, root).filter(~F.col("path").rlike(r"(?i)\.(md|tmp|swp)$") & ~F.endswith("path", F.lit("~")))
-    whole = found.filter(F.col("length") <= LARGEST).agg(F.sum("length")).first()[0] or 0  # from the listing
+    def asked(files):
+        return files.filter(~F.col("path").rlike(r"(?i)\.(md|tmp|swp)$") & ~F.endswith("path", F.lit("~")))
+    listed = asked(bundle.listed(spark, root))
+    found = bundle.contents(listed, root) if bundle.in_tasks(spark, root) else asked(bundle.files(spark, root))
+    whole = listed.filter(F.col("length") <= LARGEST).agg(F.sum("length")).first()[0] or 0  # from the listing
     if whole > TOTAL:
         raise GridError("BUNDLE_TOO_LARGE", f"assets hold {whole} bytes, more than {TOTAL}")
     sized = found.select("path", F.col("length").cast("long").alias("size"), F.when(F.col("length") <= LARGEST, F.col("content")).alias("content"), F.sha2("content", 256).alias("content_hash"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusgrid.operators import sync
-from corpusgrid.runtime import remove
+from corpusgrid.runtime import cut, remove
 from corpusgrid.sources import bundle
 
 #: Fixed value: the pace of a watcher.
@@ -28,8 +28,8 @@ LISTING = "path string, modificationTime timestamp, length long, content_hash st
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
     """path, modificationTime and length of the Markdown files that count, reserved ones left out; no content is read."""
-    files = bundle.files(spark, root, "*.md")
-    return files.filter(~bundle.is_reserved(F.col("path"))).select("path", "modificationTime", "length")
+    found = bundle.listed(spark, root, "*.md")
+    return found.filter(~bundle.is_reserved(F.col("path"))).select("path", "modificationTime", "length")
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -37,26 +37,20 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return whole_listing(spark, root).select("path", "content_hash")
 
 
-def whole_listing(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
+def whole_listing(spark: SparkSession, root: str, known: DataFrame | None = None, now: DataFrame | None = None) -> DataFrame:
     """A listing (LISTING). Files that ``known``, an earlier one, has with the same time and length keep its hash;
-    contents are read from the oldest of the others on (a filter that the scan takes), so a tick without
-    changes reads none."""
+    the contents of the others only are read, so a tick without changes reads none. ``now`` is what
+    ``listed`` gave, if that is known."""
     marks = ["path", "modificationTime", "length"]
-    def hashed(files):
-        kept = files.filter(~bundle.is_reserved(F.col("path")))
-        return kept.select(*marks, F.sha2("content", 256).alias("content_hash"))
-    files = bundle.files(spark, root, "*.md")
+    def hashed(some):
+        found = bundle.contents(some, root) if bundle.in_tasks(spark, root, "*.md") else bundle.files(spark, root, "*.md").join(some.select("path"), "path", "left_semi")
+        return found.select(*marks, F.sha2("content", 256).alias("content_hash"))
+    now = listed(spark, root) if now is None else now
     if known is None:
-        return hashed(files)
-    now = listed(spark, root)
-    fresh = now.join(known, marks, "left_anti")
-    oldest = fresh.agg(F.min("modificationTime")).first()[0]
+        return hashed(now)
     same = known.join(now, marks, "left_semi").select(*marks, "content_hash")
-    if oldest is None:
-        return same
     # a file that was touched again meanwhile is listed as it is now
-    read = hashed(files.filter(F.col("modificationTime") >= F.lit(oldest))).join(same.select("path"), "path", "left_anti")
-    return same.unionByName(read)
+    return same.unionByName(hashed(now.join(same.select("path"), "path", "left_anti")))
 
 
 def event_of(changes: DataFrame) -> dict:
@@ -102,11 +96,11 @@ class Listings:
         before = max(n for n in known if n < number)
         if number not in known:
             marks = ["path", "modificationTime", "length"]
-            now, was = listed(self.spark, self.root), self.read(before)
+            now, was = cut(listed(self.spark, self.root)), self.read(before)  # listed once
             same = now.join(was, marks, "left_anti").isEmpty() and was.join(now, "path", "left_anti").isEmpty()
             if same:
                 return None
-            whole_listing(self.spark, self.root, was).write.mode("overwrite").parquet(f"{self.folder}/{number}")
+            whole_listing(self.spark, self.root, was, now).write.mode("overwrite").parquet(f"{self.folder}/{number}")
         changes = sync.diff(self.read(before), self.read(number)).filter("action <> 'skipped'")
         return None if changes.isEmpty() else changes
 

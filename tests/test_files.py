@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusgrid.engine import Engine
 from corpusgrid.errors import GridError
 from corpusgrid.operators import export
-from corpusgrid.sources import files, markdown, providers
+from corpusgrid.sources import bundle, files, markdown, providers
 from corpusgrid.streaming import watch
 
 
@@ -128,6 +128,20 @@ def test_listings_hash_only_what_changed(spark, folder):
     assert {r.path for r in watch.whole_listing(spark, str(folder), marked).collect()} == {"b.md", "c.md"}
 
 
+def test_many_small_files_are_listed_and_read_by_few_tasks(spark, tmp_path):
+    for i in range(600):  # Spark's own source deals 32 of them to a task
+        (tmp_path / f"n{i}.md").write_text(f"text {i}")
+    (tmp_path / "_hidden.md").write_text("x")
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git/x.md").write_text("x")
+    found = bundle.files(spark, str(tmp_path), "*.md")
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert {(r.path, bytes(r.content), r.length) for r in found.collect()} == {(f"n{i}.md", f"text {i}".encode(), len(f"text {i}")) for i in range(600)}
+    own = spark.read.format("binaryFile").load(str(tmp_path)).select(F.regexp_extract("path", "[^/]+$", 0).alias("path"), "modificationTime", "length")
+    listed = bundle.listed(spark, str(tmp_path), "*.md")
+    assert listed.rdd.getNumPartitions() == 1 and listed.exceptAll(own).isEmpty() and own.exceptAll(listed).isEmpty()
+
+
 def test_a_stored_collection_follows_its_folder(spark, folder, tmp_path):
     store, told = str(tmp_path / "store"), []
     Engine.parse(spark, str(folder)).ingest(store, indexed=False)
