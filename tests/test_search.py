@@ -265,3 +265,28 @@ def test_explanations_outside_the_top(spark, concepts):
     given = spark.createDataFrame([(2, 1.0)], "id long, given_score double")
     row = explain.explain_blend(hits, given, 2, 0.75).first()
     assert (row.core_score, row.given_score, row.final_score, row.core_rank, row.final_rank) == (0.5, 1.0, 0.875, 2, 1)
+
+
+def test_postings_are_gathered_within_a_row_and_shuffled_once(spark, monkeypatch):
+    rows = [(i, "a title the", "the" if i % 3 else None, ["k the"], "the word w%d the" % (i % 5) if i % 7 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, title string, description string, keywords array<string>, body string")
+    held = stored.split(df)
+    made = stored.positional(held, 6)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    expected = set()
+    for i, title, description, _, body in rows:
+        fields = {"title": title.split(), "keywords": ["k", "the"], "description": (description or "").split(), "body": (body or "").split()}
+        for token in {t for words in fields.values() for t in words}:
+            places = {f: tuple(n for n, t in enumerate(words) if t == token) for f, words in fields.items()}
+            tf = sum(len(p) * stored.LEXICAL_WEIGHTS[f] for f, p in places.items())
+            expected.add((token, i, tf, float(sum(map(len, fields.values()))), *[places[f] or None for f in stored.LEXICAL_WEIGHTS]))
+    rows = made.withColumn("part", F.spark_partition_id()).collect()
+    assert {(r.token, r.id, r.tf, r.tokens, *[tuple(r[f]) if r[f] else None for f in stored.LEXICAL_WEIGHTS]) for r in rows} == expected and len(rows) == len(expected)
+    ranges = [[r.token for r in rows if r.part == p] for p in sorted({r.part for r in rows})]
+    assert len(ranges) > 1 and all(a[-1] <= b[0] and a == sorted(a) for a, b in zip(ranges, ranges[1:]))
+    # a token that fills several ranges is dealt over them
+    monkeypatch.setattr(stored, "_bounds", lambda held, parts: ["a", "the", "the", "the", "word"])
+    many = stored.positional(held, 6).filter("token = 'the'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(many) == 4 and max(r["count"] for r in many) < 100
+    assert stored.positional(held.limit(0), 3).count() == 0
