@@ -5,9 +5,9 @@ reply is trainable. Each example as one string would grow with the square of a c
 so stored examples share their contexts: a row's prompt holds the turns since the example before it,
 and the row names that example, whose whole text its context begins with, by the SHA-256 of what that
 one adds (``context_sha256``) and by its characters (``shared``). The chain of names gives each example
-its whole context. Everything but ``expand`` with whole prompts, which makes the plain strings where a
-trainer wants them, takes time in proportion to the conversation's characters. ``digests`` reads each
-example's turns and reply from its row and checks the names.
+its whole context. Such storage takes room in proportion to the conversation's characters; ``expand`` with whole
+prompts makes the plain strings. ``digests`` makes and reads every example whole, one at a time, and checks
+its context, its names and its reply.
 
 Template: ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n``. In texts and roles a backslash is doubled and
 ``<|`` becomes ``<\\|``, so no control string survives inside a text, and ``unescape`` undoes it.
@@ -104,14 +104,20 @@ def _before(value: str | Column, first: Column) -> Column:
 
 
 def read_back(made: DataFrame) -> DataFrame:
-    """What examples of shared contexts (and the rest) say: conv_id, number, turns, loss, chars. A reply counts
-    only if its row is as it was named, names the example before it and starts where that one ends; so the
-    rows together vouch for every context."""
-    own = F.when(F.col("example").isNull(), F.col("prompt")).otherwise(F.concat("prompt", "completion", F.lit(END)))
-    rows = made.withColumn("own", own)
+    """What whole examples (and the rest) say: conv_id, number, turns, loss, chars. Every example is read whole: a
+    reply counts only if its context is, character by character, the whole text of the example before (both by their
+    SHA-256), and what the example adds is as it was named; so turns are parsed once, where they come first.
+    Whole texts leave this step as digests: no window or shuffle holds them."""
+    text = F.when(F.col("example").isNull(), F.col("prompt")).otherwise(F.concat("prompt", "completion", F.lit(END)))
+    read = made.withColumn("text", text).select(
+        "conv_id", "number", "example", "completion", "shared", "sha256", "context_sha256",
+        F.expr("substring(text, CAST(shared + 1 AS INT))").alias("own"), F.length("text").cast("long").alias("length"),
+        F.sha2("text", 256).alias("whole"), F.sha2(F.expr("substring(prompt, 1, CAST(shared AS INT))"), 256).alias("context"),
+    )
+    nothing = F.sha2(F.lit(""), 256)
     sound = (
-        (F.col("sha256") == F.sha2("own", 256)) & (F.col("context_sha256") == _before(F.sha2("own", 256), F.sha2(F.lit(""), 256)))
-        & (F.col("shared") == _before(F.col("shared") + F.length("own"), F.lit(0).cast("long")))
+        (F.col("sha256") == F.sha2("own", 256)) & (F.col("context_sha256") == _before(F.sha2("own", 256), nothing))
+        & (F.col("shared") == _before("length", F.lit(0).cast("long"))) & (F.col("context") == _before("whole", nothing))
     )
     parsed = F.split("own", r"<\|im_end\|>\n")
 
@@ -120,17 +126,18 @@ def read_back(made: DataFrame) -> DataFrame:
         role = _swap(F.substr(head, F.lit(len(START) + 1)), NEWLINE, "\n")
         return F.struct(unescape(role).alias("role"), unescape(F.substr(piece, F.length(head) + 2)).alias("text"))
 
-    return rows.select(
+    return read.select(
         "conv_id", "number", F.transform(F.slice(parsed, F.lit(1), F.size(parsed) - 1), turn).alias("turns"),
         F.when(sound, unescape(F.col("completion"))).alias("loss"), F.length("own").cast("long").alias("chars"),
     )
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples, all from the examples.
+    """n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples, all from the whole examples:
+    each assistant turn with its whole prefix, so time grows with the characters of all prefixes.
     A digest of a conversation's text needs it in one row: what it says and its replies meet there, once."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    rows = read_back(expand(formatted, whole=False, rest=True)).select(
+    rows = read_back(expand(formatted, rest=True)).select(
         "conv_id", "number", said.alias("said"), "loss", F.size("turns").cast("long").alias("turns"), "chars"
     )
     parts = F.sort_array(F.collect_list(F.struct("number", "said", "loss")))

@@ -66,6 +66,19 @@ def test_chat_examples_share_their_contexts(spark):
     assert text == {c: "".join(r.piece for r in pieces if r.conv_id == c) for c in (None, 7)}  # each piece once
 
 
+def test_chat_digests_read_whole_prefixes(spark, monkeypatch):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"text {t}") for t in range(8)]
+    formatted = chat_format.format_turns(spark.createDataFrame(rows, CHAT))
+    expand = chat_format.expand
+
+    def hurt(*args, **more):  # a letter of the first turn, in the last example's context only
+        made = expand(*args, **more)
+        return made.withColumn("prompt", F.when(F.col("example") == 4, F.replace("prompt", F.lit("text 0"), F.lit("text X"))).otherwise(F.col("prompt")))
+
+    monkeypatch.setattr(chat_format, "expand", hurt)
+    assert chat_format.digests(formatted).first().n_examples == 3
+
+
 @pytest.mark.parametrize("column", ["prompt", "completion", "context_sha256", "shared"])
 def test_chat_digests_notice_a_changed_example(spark, monkeypatch, column):
     rows = [(1, t, "assistant" if t % 2 else "user", f"text {t}") for t in range(8)]
