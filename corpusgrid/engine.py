@@ -122,7 +122,7 @@ class Engine:
     def export(self, root: str, key: bytes | None = None, key_id: str | None = None) -> int:
         """Writes the concepts as Markdown files below ``root``, bodies encrypted with a key; the number of files."""
         kind = "encrypted" if key else "raw"
-        return export.write_files(self.spark, export.rendered(self.concepts, key, key_id), root, {"kind": kind, "root": self.root})
+        return export.write_files(self.spark, export.unrendered(self.concepts, key), root, {"kind": kind, "root": self.root}, key_id)
 
     def spaces(self) -> DataFrame:
         """The embedding spaces, with their rows, those that fit, and those older than their document."""

@@ -30,33 +30,44 @@ def render(front: dict, body: str) -> str:
     return "---\n" + "".join(f"{line}\n" for line in lines) + "---\n" + body
 
 
+def rendered_text(front: str, body: str, key_id: str | None = None) -> str:
+    """A body under its front matter (JSON)."""
+    fields = json.loads(front)
+    if key_id:
+        fields["privacy"] = {"policy": "encrypt", "key_id": key_id, "encoded": True}
+    return render(fields, body)
+
+
+def unrendered(concepts: DataFrame, key: bytes | None = None) -> DataFrame:
+    """path, front and text of each concept, for ``write_files`` to render: one Python worker for a task, not two."""
+    body = privacy.encrypt(F.col("body"), key) if key else F.col("body")
+    return concepts.select("path", F.coalesce("frontmatter", F.lit("{}")).alias("front"), F.coalesce(body, F.lit("")).alias("text"))
+
+
 def rendered(concepts: DataFrame, key: bytes | None = None, key_id: str | None = None) -> DataFrame:
     """path and text of each concept; with a key, bodies are encrypted and marked as encoded."""
     ship(concepts.sparkSession)
-    front = F.coalesce("frontmatter", F.lit("{}"))
-    body = privacy.encrypt(F.col("body"), key) if key else F.col("body")
-    given = concepts.select("path", front.alias("front"), F.coalesce(body, F.lit("")).alias("body"))
+    given = unrendered(concepts, key).withColumnRenamed("text", "body")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = []
             for front, body in zip(batch["front"], batch["body"], strict=True):
-                fields = json.loads(front)
-                if key_id:
-                    fields["privacy"] = {"policy": "encrypt", "key_id": key_id, "encoded": True}
-                texts.append(render(fields, body))
+                texts.append(rendered_text(front, body, key_id))
             yield pd.DataFrame({"path": batch["path"], "text": texts})
 
     return given.mapInPandas(run, "path string, text string")
 
 
-def write_files(spark: SparkSession, rows: DataFrame, root: str, manifest: dict) -> int:
-    """Files of (path, text) below ``root``, written by the tasks that hold the rows (``sources.files``), then
+def write_files(spark: SparkSession, rows: DataFrame, root: str, manifest: dict, key_id: str | None = None) -> int:
+    """Files of (path, text), or of what ``unrendered`` gives, below ``root``, written by the tasks that hold the rows (``sources.files``), then
     ``manifest.json``; the number of files. A job that fails leaves no file of its own."""
     ship(spark)
     spark.dataSource.register(files.FileSink)
     try:
-        rows.select("path", "text").write.format(files.FileSink.name()).mode("append").option("manifest", json.dumps(manifest, sort_keys=True)).save(root)
+        front = F.col("front") if "front" in rows.columns else F.lit(None).cast("string")
+        writer = rows.select("path", "text", front.alias("front")).write.format(files.FileSink.name()).mode("append").option("manifest", json.dumps(manifest, sort_keys=True))
+        (writer.option("key_id", key_id) if key_id else writer).save(root)
     except Exception as error:
         if files.REFUSED in str(error):
             raise GridError("INVALID_PATH", "a path leaves the folder") from error

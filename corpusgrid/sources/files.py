@@ -1,6 +1,6 @@
 """Rows as files: a data source that Spark writes to under a commit protocol.
 
-A task writes its rows (path, text) under a folder of its attempt, and moves them to their names once all are
+A task writes its rows (path, text, and ``front`` where the text is a body to be rendered under it) below a folder of its attempt, and moves them to their names once all are
 written; what it moved is listed in a journal. The driver gets one journal's name and a count from each task,
 never rows or names: it commits by writing ``manifest.json`` last, or aborts by removing what the journals
 list. A task that fails removes its own folder; one that is run again writes the same names.
@@ -48,8 +48,15 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceWriter):
-    def __init__(self, root: str, manifest: str):
-        self.root, self.manifest, self.job = root, manifest, uuid.uuid4().hex
+    def __init__(self, root: str, manifest: str, key_id: str | None = None):
+        self.root, self.manifest, self.key_id, self.job = root, manifest, key_id, uuid.uuid4().hex
+
+    def _text(self, row) -> str:
+        if row["front"] is None:
+            return row["text"] or ""
+        from corpusgrid.operators.export import rendered_text
+
+        return rendered_text(row["front"], row["text"] or "", self.key_id)
 
     def _place(self):
         fs, base = file_system(self.root)
@@ -66,7 +73,7 @@ class Writer(DataSourceWriter):
                     if not inside(row["path"]):
                         raise ValueError(f"{REFUSED}: {row['path']!r} leaves the folder")
                     with fs.open_output_stream(f"{own}/{n}") as file:
-                        file.write((row["text"] or "").encode())
+                        file.write(self._text(row).encode())
                     journal.write((json.dumps(row["path"]) + "\n").encode())
                     n += 1
             made = set()
@@ -116,14 +123,14 @@ def _names(fs, journal: str):
 
 
 class FileSink(DataSource):
-    """``df.write.format("corpus_files").option("manifest", "{}").save(folder)`` for rows (path, text)."""
+    """``df.write.format("corpus_files").option("manifest", "{}").save(folder)`` for rows (path, text, front)."""
 
     @classmethod
     def name(cls):
         return "corpus_files"
 
     def schema(self):
-        return "path string, text string"
+        return "path string, text string, front string"
 
     def writer(self, schema, overwrite):
-        return Writer(self.options["path"], self.options.get("manifest", "{}"))
+        return Writer(self.options["path"], self.options.get("manifest", "{}"), self.options.get("key_id"))

@@ -28,6 +28,17 @@ def test_files_are_written_by_tasks_and_the_manifest_last(spark, tmp_path):
     assert export.write_files(spark, rows.limit(3), "file://" + str(tmp_path / "uri"), {}) == 3
 
 
+def test_files_are_rendered_by_the_worker_that_writes_them(spark, tmp_path):
+    rows = [("a.md", '{"b": "é", "a": [1]}', "body"), ("b.md", None, None), ("c.md", "{}", "")]
+    concepts = spark.createDataFrame(rows, "path string, frontmatter string, body string")
+    for key_id in (None, "k1"):
+        out = str(tmp_path / str(key_id))
+        given = export.unrendered(concepts)
+        assert "Python" not in given._jdf.queryExecution().executedPlan().toString() and export.write_files(spark, given, out, {}, key_id) == 3
+        for r in export.rendered(concepts, key_id=key_id).collect():
+            assert open(f"{out}/{r.path}", encoding="utf-8").read() == r.text
+
+
 def test_a_failed_job_leaves_no_file(spark, tmp_path):
     out = str(tmp_path / "out")
     rows = spark.range(40).select(F.concat(F.lit("n"), "id").alias("path"), F.lit("x").alias("text")).repartition(4).unionByName(spark.createDataFrame([("../x", "t")], "path string, text string"))
