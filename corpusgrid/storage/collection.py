@@ -59,12 +59,15 @@ class Collection:
 
     # -- writing ----------------------------------------------------------------------------------
 
-    def _graph(self, changes: Transaction, rows: DataFrame, ids: DataFrame | None) -> None:
-        """Concepts with their edges and references."""
+    def _graph(self, changes: Transaction, rows: DataFrame, ids: DataFrame | None) -> DataFrame:
+        """Concepts with their edges and references; the concepts as written. They are made once: all else reads
+        the columns that it needs from the segment."""
+        rows = changes.versions._open(changes.put("concepts", rows))
         relations = changes.rows("relations") if "relations" in changes.tables else None
         own = relations if relations is None or ids is None else relations.join(rows.select("id"), "id", "left_semi")
         led = graph.references(rows, own).repartitionByRange("target").sortWithinPartitions("target")
-        together(lambda: changes.put("concepts", rows), lambda: changes.put("edges", graph.stored_edges(rows, own, ids)), lambda: changes.put("references", led))
+        together(lambda: changes.put("edges", graph.stored_edges(rows, own, ids)), lambda: changes.put("references", led))
+        return rows
 
     @staticmethod
     def _searched(rows: DataFrame) -> DataFrame:
@@ -81,8 +84,8 @@ class Collection:
                 changes.put("relations", relations)
             if artifacts is not None:
                 changes.put("artifacts", artifacts)
-            self._graph(changes, concepts, None)
-            facts = stored.fill(changes, self._searched(concepts)) if self.indexed else {}
+            written = self._graph(changes, concepts, None)
+            facts = stored.fill(changes, self._searched(written)) if self.indexed else {}
             try:
                 return changes.commit(**facts)
             except Conflict:
@@ -125,9 +128,8 @@ class Collection:
             again = again.unionByName(relations.select("id")).unionByName(before)
             changes.replace("relations", relations)
         again = cut(again.distinct())
-        rewritten = cut(scanned.join(again, "id", "left_semi").select(*was.columns))
         changes.bury("graph", again)
-        self._graph(changes, rewritten, keys.select("id"))
+        rewritten = self._graph(changes, scanned.join(again, "id", "left_semi").select(*was.columns), keys.select("id"))
         if artifacts is not None:
             changes.replace("artifacts", artifacts)
         # enrichments and embeddings of changed documents stay until they are made anew

@@ -1,6 +1,7 @@
 """Versioned tables, stored collections and the segmented index: what a change keeps, loses and writes."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,6 +179,15 @@ def test_grams_find_every_similar_token(spark, tmp_path):
         assert found == {r.id for r in near.collect()}, q
 
 
+def test_letter_pairs_of_a_long_token(spark):
+    """A token's pairs are made once, not once for each pair: 6,000 characters took minutes."""
+    began = time.perf_counter()
+    tokens = ["abababa", "aaaa", "ééx", "ab" * 3_000]
+    rows = stored.gram_rows(spark.createDataFrame([(t,) for t in tokens], "token string")).groupBy("token").agg(F.collect_list("gram").alias("grams")).collect()
+    assert {r["token"]: sorted(r["grams"]) for r in rows} == {t: sorted(stored.numbered_pairs(t)) for t in tokens}
+    assert time.perf_counter() - began < 30
+
+
 def test_candidates_are_a_small_part_of_the_vocabulary(spark, tmp_path):
     draw = random.Random(11)
     words = {"".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(3, 11))) for _ in range(4000)} | {"worthless"}
@@ -206,3 +216,19 @@ def test_collections_of_a_store_are_apart(spark, tmp_path):
     for bad in (lambda: other.index(), lambda: other.read("relations"), lambda: Engine.load(spark, str(tmp_path), "none")):
         with pytest.raises(GridError):
             bad()
+
+
+def test_a_scan_is_made_once(spark, tmp_path):
+    """Concepts, edges, references and the index come from the rows as written, however costly the scan is."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    plain = scan(spark, DOCS)
+    kept = Collection(spark, str(tmp_path), "/notes")
+    kept.ingest(plain.mapInArrow(count, plain.schema))
+    assert made.value == len(DOCS)
+    check(spark, kept, DOCS, index=True)
